@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import grammar, packing
+from . import grammar, mixing, packing, simhash
 from .common import table
 from .tokens import default_tokenizer
 
@@ -24,9 +24,22 @@ def op5_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates among all documents: doc_id, fingerprint, component_id."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op7_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents: doc_id, size, source_size, target, taken."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_repair_token_files": op2_repair_token_files,
     "op5_power_of_two_packing": op5_power_of_two_packing,
+    "op6_simhash_tiles": op6_simhash_tiles,
+    "op7_subset_sum_mix": op7_subset_sum_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {}
