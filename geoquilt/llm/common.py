@@ -45,6 +45,11 @@ def save(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df``, a written table, with a hint to broadcast it if it has ``most_rows`` or fewer; else Spark joins as it sees fit."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of a column's text, modulo ``modulus``; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -7,17 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import grammar, mixing, packing, simhash
+from . import cotraining, grammar, mixing, packing, permutation, quality_rules, secrets, simhash, toxicity
 from .common import table
 from .tokens import default_tokenizer
 
 
+def op1_co_training_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents: doc_id, content_score, meta_score, score, kept."""
+    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Re-Pair files of all documents, read back: doc_id, start, n_tokens, ids_crc32."""
     shards = grammar.write_grammar(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=1)
     return grammar.read_grammar(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules over all documents: doc_id, the measured counts, base_failed, kept, and the stratum."""
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every row whose vec_id is divisible by 100: query_id, rank, vec_id, score."""
+    return permutation.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op5_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     packed = packing.pack_power_of_two(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=2, longest=4096)
@@ -35,11 +50,32 @@ def op7_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE_RULES))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", *(count(r.kind).alias(f"n_{r.kind}") for r in secrets.BASE_RULES), F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"))
+
+
+def op9_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents: doc_id, held_out, score, predicted."""
+    return toxicity.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), modulus=3, fold=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_repair_token_files": op2_repair_token_files,
-    "op5_power_of_two_packing": op5_power_of_two_packing,
-    "op6_simhash_tiles": op6_simhash_tiles,
-    "op7_subset_sum_mix": op7_subset_sum_mix,
+    f.__name__: f
+    for f in (
+        op1_co_training_quality,
+        op2_repair_token_files,
+        op3_risk_controlled_rules,
+        op4_permutation_index,
+        op5_power_of_two_packing,
+        op6_simhash_tiles,
+        op7_subset_sum_mix,
+        op8_trigram_secret_scan,
+        op9_zstd_toxicity,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_trigram_secret_scan": secrets.oracle_sql()}
