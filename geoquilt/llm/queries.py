@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, grammar, mixing, packing, permutation, quality_rules, secrets, simhash, toxicity
-from .common import table
+from . import cotraining, grammar, language_model, mixing, packing, permutation, quality_rules, secrets, simhash, toxicity
+from .common import crc_mod, table
 from .tokens import default_tokenizer
 
 
@@ -63,6 +63,12 @@ def op9_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), modulus=3, fold=1)
 
 
+def op10_pitman_yor_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of all documents: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    scored = language_model.score_texts(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2)
+    return scored.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_subset_sum_mix,
         op8_trigram_secret_scan,
         op9_zstd_toxicity,
+        op10_pitman_yor_score,
     )
 }
 
