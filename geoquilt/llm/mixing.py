@@ -94,7 +94,7 @@ def fill_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 42) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken (words, repeats counted).
+    """One row per document: doc_id, text_key (a hash of the text), source, size, source_size, target, taken (words, repeats counted).
 
     Null and empty texts have size 0 and nothing to take; null is a source of its
     own, the last; rows that repeat an id are documents of their own; other
@@ -103,7 +103,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     order = F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(F.col(text_col)))
-    sized = save(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), order.alias("order")), "sizes")
+    sized = save(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), order.alias("order"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key")), "sizes")
     targets = save(source_targets(sized, weights, most), "targets")
     histogram = sized.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
 
@@ -128,5 +128,24 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rank = F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("order", "doc_id"))
     ranked = joined.where("here > 0 AND here < m").withColumn("extra", F.when(rank <= F.col("here"), 1).otherwise(0))
     others = joined.where("here IS NULL OR here = 0 OR here = m").withColumn("extra", F.when((F.col("here") > 0) & (F.col("here") == F.col("m")), 1).otherwise(0))
-    taken = ranked.unionByName(others).select("doc_id", F.col("source").alias("src"), "size", (F.col("size") * (F.coalesce("copies", F.lit(0)) + F.col("extra"))).cast("long").alias("taken"))
-    return taken.join(F.broadcast(targets), taken["src"].eqNullSafe(targets["source"])).select("doc_id", "source", "size", "source_size", "target", "taken")
+    taken = ranked.unionByName(others).select("doc_id", "text_key", F.col("source").alias("src"), "size", (F.col("size") * (F.coalesce("copies", F.lit(0)) + F.col("extra"))).cast("long").alias("taken"))
+    return taken.join(F.broadcast(targets), taken["src"].eqNullSafe(targets["source"])).select("doc_id", "text_key", "source", "size", "source_size", "target", "taken")
+
+
+def repeat_taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; rows that share an id and a text share what is taken of them."""
+    mixed = mix_sources(docs, id_col, text_col, **options)
+    copies = (F.col("taken") / F.col("size")).cast("int")
+    plan = mixed.where("size > 0").groupBy("doc_id", "text_key").agg(F.sum(copies).alias("copies"), F.count("*").alias("rows"))
+    plan = save(plan, "copies").select(F.col("doc_id").alias("mix_id"), F.col("text_key").alias("mix_key"), "copies", "rows")
+    names = docs.columns
+    keyed = docs.select("*", F.xxhash64(F.col(text_col).cast("string")).alias("mix_key_of"))
+    joined = keyed.join(plan, F.col(id_col).eqNullSafe(F.col("mix_id")) & (F.col("mix_key_of") == F.col("mix_key")))
+    if plan.where("rows > 1").isEmpty():
+        times = F.col("copies")
+    else:
+        others = [c for c in names if c not in (id_col, text_col)]
+        place = F.row_number().over(Window.partitionBy(id_col, "mix_key_of").orderBy(*others) if others else Window.partitionBy(id_col, "mix_key_of").orderBy("mix_key_of"))
+        joined = joined.withColumn("place", place)
+        times = F.expr("copies div rows") + F.when(F.col("place") <= F.expr("copies % rows"), 1).otherwise(0)
+    return joined.withColumn("mix_times", times.cast("int")).where("mix_times > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*names)

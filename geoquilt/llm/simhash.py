@@ -69,17 +69,18 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long) of every whole text; A-Z count as a-z. Null and empty texts have fingerprint 0."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """(doc_id, text_key, fp long) of every whole text; A-Z count as a-z. Null and empty texts have fingerprint 0; text_key is a hash of the text."""
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1_000):
                 some = batch.slice(k, 1_000)
                 found = majority_bits(*_shingle_hashes(split_words(some.column(1), lower=True), shingle))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(found.view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    return source.mapInArrow(each, "doc_id long, fp long")
+    return source.mapInArrow(each, "doc_id long, text_key long, fp long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +138,7 @@ def near_links(classes: DataFrame, radius: int = 2, tile: int = 512) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """One row per document: doc_id, fp (long), component_id (smallest doc_id reachable over links).
+    """One row per document: doc_id, text_key, fp (long), root (the component's own number), component_id (smallest doc_id reachable over links).
 
     Texts without words have fingerprint 0 and are linked like any others. Rows
     that repeat an id are rows of their own; rows without an id are linked too,
@@ -149,4 +150,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(near_links(classes, radius))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "text_key", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of ``docs``, one for each component: that with the smallest id, then the smallest hash of its text.
+
+    A row without an id stays only where its component has no ids. Rows of one
+    id and text count once: the least of them by the other columns stays.
+    """
+    found = near_duplicates(docs, id_col, text_col, shingle, radius)
+    stays = save(found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("s")).select("s.doc_id", "s.text_key"), "stays")
+    stays = stays.select(F.col("doc_id").alias("stay_id"), F.col("text_key").alias("stay_key"))
+    names = docs.columns
+    keyed = docs.select("*", F.xxhash64(F.col(text_col).cast("string")).alias("stay_key_of"))
+    kept = keyed.join(stays, F.col(id_col).cast("long").eqNullSafe(F.col("stay_id")) & (F.col("stay_key_of") == F.col("stay_key")), "left_semi")
+    if found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return kept.select(*names)
+    least = kept.groupBy(id_col, "stay_key_of").agg(F.min(F.struct(*names)).alias("row"))
+    return least.select("row.*")
