@@ -36,6 +36,8 @@ CONTEXT_DISCOUNT, CONTEXT_STRENGTH, PARENT_DISCOUNT, PARENT_STRENGTH = 0.75, 1.0
 BURN_IN, SAMPLES, SWEEPS = 1, 2, 2
 #: Bytes of text in a chunk, unless one document is longer, and words for each bucket of pairs.
 CHUNK_BYTES, BUCKET_WORDS = 12 << 20, 3 << 20
+#: A context with more than one of FREQUENT training tokens is dealt to FREQUENT_PARTS buckets.
+FREQUENT, FREQUENT_PARTS = 1_000, 64
 #: Groups up to this size are sampled customer by customer, larger ones come back one by one up to LEAP customers and then in doubling blocks.
 SINGLY, LEAP = 16, 64
 
@@ -78,76 +80,110 @@ def tokenize(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(chunks, _TOKENS)
 
 
+def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each word, by the 48 bits that the model knows it by."""
+    return ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+
 class _Chunk:
-    """One chunk's tokens: each word and an end per document, with the word before it or the start as context."""
+    """One chunk's tokens: each word and an end per document, with the word before it or the start as context.
 
-    def __init__(self, row: dict):
+    Words are numbered by bucket and hash, so that sorted numbers are sorted by
+    bucket. A frequent context is FREQUENT_PARTS contexts, told apart by the
+    word's hash and each with a bucket of its own.
+    """
+
+    def __init__(self, row: dict, buckets: int, frequent: np.ndarray):
         n_words = np.array(row["n_words"], np.int64)
-        codes = np.frombuffer(row["codes"], "<u4").astype(np.int64)
-        self.hashes = np.concatenate([_U64(row["hashes"]), np.array([END, START], np.uint64)])
-        n = len(self.hashes)
+        hashes = np.concatenate([_U64(row["hashes"]), np.array([END, START], np.uint64)])
+        bucket = _bucket_of(hashes, buckets)
+        self.order = np.lexsort((hashes, bucket))
+        number = np.empty(len(hashes), np.int64)
+        number[self.order] = np.arange(len(hashes))
+        self.hashes, self.bucket = hashes[self.order], bucket[self.order]
+        codes = number[np.frombuffer(row["codes"], "<u4")]
+        n = len(hashes)
         ends = np.cumsum(n_words)
         self.sizes = n_words + 1
-        self.word = np.insert(codes, ends, n - 2)
-        self.context = np.insert(codes, ends - n_words, n - 1)
+        self.word = np.insert(codes, ends, number[n - 2])
+        context = np.insert(codes, ends - n_words, number[n - 1])
         self.learn = np.repeat(np.array(row["learn"], bool), self.sizes)
-
-    def requests(self, buckets: int, only_learnt: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(bucket, context, word, training count of each distinct pair, by bucket, context, word; all pairs' keys in numeric order; each request's place there)."""
-        n = len(self.hashes)
-        key = self.context * n + self.word
-        learnt, counts = np.unique(key[self.learn], return_counts=True)
+        # contexts: every word, and the parts of the frequent ones after them; then numbered by bucket and hash again
+        often = np.flatnonzero(np.isin(self.hashes, frequent))
+        part_of = np.zeros(n, np.int64)
+        part_of[often] = n + FREQUENT_PARTS * np.arange(len(often))
+        split = part_of[context] > 0
+        context[split] = part_of[context[split]] + (self.hashes[self.word[split]] >> np.uint64(16)).astype(np.int64) % FREQUENT_PARTS
+        of = np.concatenate([np.arange(n), np.repeat(often, FREQUENT_PARTS)])
+        parts = np.concatenate([np.zeros(n, np.int64), np.tile(np.arange(FREQUENT_PARTS), len(often))])
+        context_bucket = (self.bucket[of] + parts * (1 + buckets // FREQUENT_PARTS)) % buckets
+        order = np.lexsort((parts, self.hashes[of], context_bucket))
+        place = np.empty(len(of), np.int64)
+        place[order] = np.arange(len(of))
+        self.context_word, self.context_bucket = of[order], context_bucket[order]
+        self.key = place[context] * n + self.word
+
+    def pairs(self, only_learnt: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(key of each distinct pair in order of buckets, its training count)."""
+        learnt, counts = np.unique(self.key[self.learn], return_counts=True)
         if only_learnt:
-            keys, total = learnt, counts
-        else:
-            keys = np.unique(key)
-            total = np.zeros(len(keys), np.int64)
-            total[np.searchsorted(keys, learnt)] = counts
-        context, word = (self.hashes[k] >> np.uint64(16) for k in np.divmod(keys, n))
-        # eight buckets for each context, so that a frequent one does not fill one alone
-        mixed = (context * np.uint64(0x9E3779B97F4A7C15)) ^ ((word & np.uint64(7)) * np.uint64(0xC2B2AE3D27D4EB4F))
-        bucket = ((mixed * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(33)) % np.uint64(buckets)
-        order = np.lexsort((word, context, bucket))
-        return bucket[order].astype(np.int64), context[order], word[order], total[order], keys, order
+            return learnt, counts
+        keys = np.unique(self.key)
+        total = np.zeros(len(keys), np.int64)
+        total[np.searchsorted(keys, learnt)] = counts
+        return keys, total
+
+
+def _six(x: np.ndarray) -> bytes:
+    """The lower 6 bytes of each number."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six(raw: bytes) -> np.ndarray:
+    narrow = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(narrow), 8), np.uint8)
+    wide[:, :6] = narrow
+    return wide.view("<u8").ravel()
+
+
+def _rows(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 _PACKED = "bucket int, chunk long, contexts binary, runs binary, words binary, counts binary"
+_PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("contexts", "runs", "words", "counts"))])
 
 
-def _pack(tokens: DataFrame, buckets: int, only_learnt: bool) -> DataFrame:
+def _pack(tokens: DataFrame, buckets: int, frequent: np.ndarray, only_learnt: bool) -> DataFrame:
     """A row for each chunk and bucket: contexts and their runs, 6 bytes for each word, training counts."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                bucket, context, word, total, _, _ = _Chunk(row).requests(buckets, only_learnt)
+                of = _Chunk(row, buckets, frequent)
+                keys, total = of.pairs(only_learnt)
+                context, word = np.divmod(keys, len(of.hashes))
+                bucket = of.context_bucket[context]
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(bucket) else np.zeros(1, np.int64)
-                out = {c: [] for c in ("bucket", "chunk", "contexts", "runs", "words", "counts")}
+                out: list[list] = [[] for _ in _PACKED_ARROW]
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    begins = np.flatnonzero(np.concatenate([[True], np.diff(context[a:b]) != 0]))
-                    values = (bucket[a], row["chunk"], context[a:b][begins].tobytes(), np.diff(begins, append=b - a).astype("<u4").tobytes(), word[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), total[a:b].astype("<u4").tobytes())
+                    begins = np.flatnonzero(np.diff(context[a:b], prepend=-1))
+                    values = (bucket[a], row["chunk"], _six(of.hashes[of.context_word[context[a:b][begins]]] >> np.uint64(16)), np.diff(begins, append=b - a).astype("<u4").tobytes(), _six(of.hashes[word[a:b]] >> np.uint64(16)), total[a:b].astype("<u4").tobytes())
                     for c, v in zip(out, values, strict=True):
-                        out[c].append(v)
-                if out["bucket"]:
-                    types = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
+                        c.append(v)
+                yield _rows(_PACKED_ARROW, out)
 
     return tokens.select("chunk", "learn", "n_words", "codes", "hashes").mapInArrow(each, _PACKED)
 
 
 def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """(context, word, count) of all requests in a bucket, and how many each row has."""
-    contexts, words, counts, sizes = [], [], [], []
-    for row in table.to_pylist():
-        contexts.append(np.repeat(_U64(row["contexts"]), np.frombuffer(row["runs"], "<u4")))
-        raw = np.frombuffer(row["words"], np.uint8).reshape(-1, 6)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :6] = raw
-        words.append(wide.view("<u8").ravel())
-        counts.append(np.frombuffer(row["counts"], "<u4").astype(np.int64))
-        sizes.append(len(raw))
-    return np.concatenate(contexts), np.concatenate(words), np.concatenate(counts), sizes
+    rows = table.to_pylist()
+    contexts = [np.repeat(_from_six(r["contexts"]), np.frombuffer(r["runs"], "<u4")) for r in rows]
+    words = [_from_six(r["words"]) for r in rows]
+    counts = [np.frombuffer(r["counts"], "<u4").astype(np.int64) for r in rows]
+    return np.concatenate(contexts), np.concatenate(words), np.concatenate(counts), [len(w) for w in words]
 
 
 def _pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -155,26 +191,51 @@ def _pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (context * np.uint64(0x9E3779B97F4A7C15) + word) * np.uint64(0xC2B2AE3D27D4EB4F) ^ (word << np.uint64(16))
 
 
-def _count(table: pa.Table) -> pa.Table:
-    """Sum a bucket's counts: kind 0 are pairs seen twice or more, kinds 1 and 2 how many pairs seen once a context or a word has."""
-    bucket = table["bucket"][0].as_py()
-    context, word, count, _ = _unpack(table)
-    distinct, first, place = np.unique(_pair_key(context, word), return_index=True, return_inverse=True)
-    total = np.bincount(place, count, len(distinct)).astype(np.int64)
-    context, word = context[first].astype(np.int64), word[first].astype(np.int64)
-    more, once = total > 1, total == 1
-    by_context, n_context = np.unique(context[once], return_counts=True)
-    by_word, n_word = np.unique(word[once], return_counts=True)
-    kind = np.repeat([0, 1, 2], [more.sum(), len(by_context), len(by_word)]).astype(np.int32)
-    return pa.table(
-        {
-            "bucket": pa.array(np.full(len(kind), bucket, np.int32)),
-            "kind": pa.array(kind),
-            "u": pa.array(np.concatenate([context[more], by_context, np.zeros(len(by_word), np.int64)])),
-            "w": pa.array(np.concatenate([word[more], np.zeros(len(by_context), np.int64), by_word])),
-            "c": pa.array(np.concatenate([total[more], n_context, n_word])),
-        }
-    )
+_SUMMED = "bucket int, kind int, u long, w long, c long, words binary, counts binary"
+
+
+def _counter(buckets: int):
+    def count(table: pa.Table) -> pa.Table:
+        """Sum a bucket's counts. Kind 0: pairs seen twice or more; 1: how many pairs seen once a context has; 2: the same for words, packed by the words' buckets."""
+        bucket = table["bucket"][0].as_py()
+        context, word, number, _ = _unpack(table)
+        distinct, first, place = np.unique(_pair_key(context, word), return_index=True, return_inverse=True)
+        total = np.bincount(place, number, len(distinct)).astype(np.int64)
+        context, word = context[first], word[first]
+        more, once = total > 1, total == 1
+        by_context, n_context = np.unique(context[once], return_counts=True)
+        by_word, n_word = np.unique(word[once], return_counts=True)
+        to = _bucket_of(by_word << np.uint64(16), buckets)
+        order = np.argsort(to, kind="stable")
+        cuts = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1)) if len(to) else np.zeros(1, np.int64)
+        packed = [(int(to[order[a]]), _six(by_word[order[a:b]]), n_word[order[a:b]].astype("<u4").tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        sizes = [int(more.sum()), len(by_context), len(packed)]
+        zeros = np.zeros(len(packed), np.int64)
+        none = [None] * (sizes[0] + sizes[1])
+        return pa.table(
+            {
+                "bucket": pa.array(np.concatenate([np.full(sizes[0] + sizes[1], bucket), [p[0] for p in packed]]).astype(np.int32)),
+                "kind": pa.array(np.repeat([0, 1, 2], sizes).astype(np.int32)),
+                "u": pa.array(np.concatenate([context[more].astype(np.int64), by_context.astype(np.int64), zeros])),
+                "w": pa.array(np.concatenate([word[more].astype(np.int64), np.zeros(len(by_context), np.int64), zeros])),
+                "c": pa.array(np.concatenate([total[more], n_context, zeros])),
+                "words": pa.array(none + [p[1] for p in packed], pa.binary()),
+                "counts": pa.array(none + [p[2] for p in packed], pa.binary()),
+            }
+        )
+
+    return count
+
+
+def _sum_words(table: pa.Table) -> pa.Table:
+    """(w, c): the sums of a bucket's packed words."""
+    rows = table.to_pylist()
+    wide = len(rows[0]["words"]) // max(1, len(rows[0]["counts"]) // 4) == 8
+    words = np.concatenate([_U64(r["words"]) if wide else _from_six(r["words"]) for r in rows])
+    counts = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows])
+    distinct, place = np.unique(words, return_inverse=True)
+    total = np.bincount(place, counts, len(distinct)).astype(np.int64)
+    return pa.table({"w": pa.array(distinct.view(np.int64)), "c": pa.array(total)})
 
 
 def seat(counts: np.ndarray, open_weight: np.ndarray, discount: float, sweeps: int, samples: int, rng: np.random.Generator) -> np.ndarray:
@@ -236,27 +297,28 @@ def _seat_whole(counts: np.ndarray, open_weight: np.ndarray, discount: float, rn
     return out
 
 
-def _draw(rows: DataFrame, discount: float, samples: int, keep: list[str], seed: int) -> DataFrame:
-    """Sample tables for rows with customers c and the weight of a new table; columns t0, t1, ... are added to ``keep``."""
-    names = [f"t{s}" for s in range(samples)]
+def _draw(rows: DataFrame, of: list[str], prefix: str, discount: float, samples: int, seed: int) -> DataFrame:
+    """Sample tables for the customers in the columns ``of``, given the weight of a new table; columns prefix0, prefix1, ... replace the weight."""
+    keep = [c for c in rows.columns if c != "weight"]
+    names = [f"{prefix}{s}" for s in range(samples * len(of))]
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields), *(f"{n} long" for n in names)])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c, weight = (batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("c", "weight"))
+            get = lambda n: batch.column(batch.schema.get_field_index(n))  # noqa: B023, E731
+            weight = get("weight").to_numpy(zero_copy_only=False)
             # the same rows give the same draws
-            rng = np.random.default_rng([seed, len(c), int(c.sum()), int(weight.sum() * 1e6) & 0x7FFFFFFF])
-            tables = seat(c, weight, discount, SWEEPS, samples, rng)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in keep), *(pa.array(t) for t in tables)], [*keep, *names])
+            rng = np.random.default_rng([seed, len(weight), int(weight.sum() * 1e6) & 0x7FFFFFFF])
+            tables = [t for n in of for t in seat(get(n).to_numpy(zero_copy_only=False), weight, discount, SWEEPS, samples, rng)]
+            yield pa.RecordBatch.from_arrays([*map(get, keep), *(pa.array(t) for t in tables)], [*keep, *names])
 
     return rows.mapInArrow(each, schema)
 
 
 def _totals(pairs: DataFrame, once: DataFrame, key: str, names: list[str]) -> DataFrame:
-    """Tables by context (u) or word (w): one for each pair seen once, and those sampled."""
-    more = pairs.select(F.col(key).alias("m"), *names)
-    single = once.select(F.col(key).alias("m"), *(F.col("c").alias(n) for n in names))
-    return more.unionByName(single).groupBy("m").agg(*(F.sum(n).alias(n) for n in names))
+    """(m, a column of tables for each name) by context (u) or word (w): one for each pair seen once (m, n), and those sampled."""
+    more = pairs.groupBy(F.col(key).alias("m")).agg(*(F.sum(n).alias(n) for n in names))
+    return more.unionByName(once.select("m", *(F.col("n").alias(n) for n in names))).groupBy("m").agg(*(F.sum(n).alias(n) for n in names))
 
 
 def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,69 +335,76 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))
     tokens = save(tokenize(source), "lm-tokens")
-    n_all, n_docs = tokens.select(F.aggregate("n_words", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), F.size(F.filter("learn", lambda x: x)).alias("d")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("d"), F.lit(0))).first()
+    n_all = tokens.select(F.aggregate("n_words", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, -(-int(n_all) // BUCKET_WORDS))
 
     # words, with the end, and the start as a context of its own
-    counted = _chunk_words(tokens).where("n > 0").groupBy("w").agg(F.sum("n").alias("c"))
-    words = save(counted, "lm-words")
+    words = save(_pack_words(tokens, buckets).groupBy("bucket").applyInArrow(_sum_words, "w long, c long").where("c > 0"), "lm-words")
     n_train, n_distinct = words.where(F.col("w") != START).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    # at most FREQUENT + 1 contexts can be so frequent
+    often = words.where(F.col("c") >= max(1_000, n_train // FREQUENT)).select("w").limit(FREQUENT + 2).toPandas()["w"].to_numpy(np.int64)
+    frequent = np.sort(often).view(np.uint64)
 
     # pairs
-    summed = save(_pack(tokens, buckets, True).groupBy("bucket").applyInArrow(_count, "bucket int, kind int, u long, w long, c long"), "lm-pairs")
-    pairs, once_u, once_w = summed.where("kind = 0"), summed.where("kind = 1"), summed.where("kind = 2")
+    summed = save(_pack(tokens, buckets, frequent, True).groupBy("bucket").applyInArrow(_counter(buckets), _SUMMED), "lm-pairs")
+    pairs = summed.where("kind = 0").select("bucket", "u", "w", "c")
+    once_u = save(summed.where("kind = 1").groupBy(F.col("u").alias("m")).agg(F.sum("c").alias("n")), "lm-once")
+    once_w = save(summed.where("kind = 2").select("bucket", "words", "counts").groupBy("bucket").applyInArrow(_sum_words, "w long, c long").select(F.col("w").alias("m"), F.col("c").alias("n")), "lm-once")
     base = 1 / (n_distinct + 1)
 
     def parent(by_word: DataFrame, samples: int, seed: int) -> tuple[DataFrame, list[float]]:
         """(m, p0, p1, ...): the parent's probabilities given the tables below it, and those of an unknown word."""
-        out, unknown = None, []
-        for s in range(samples):
-            rows = by_word.select("m", F.col(f"t{s}").alias("c")).withColumn("weight", F.lit((PARENT_STRENGTH + PARENT_DISCOUNT * n_distinct) * base))
-            drawn = save(_draw(rows, PARENT_DISCOUNT, 1, ["m", "c"], seed + s), "lm-parent")
-            customers, tables = drawn.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("t0"), F.lit(0))).first()
-            rest = (PARENT_STRENGTH + PARENT_DISCOUNT * tables) / (PARENT_STRENGTH + customers) * base
-            unknown.append(rest)
-            p = drawn.select("m", ((F.col("c") - PARENT_DISCOUNT * F.col("t0")) / (PARENT_STRENGTH + customers) + rest).alias(f"p{s}"))
-            out = p if out is None else out.join(p, "m")
-        return out, unknown
+        weight = F.lit((PARENT_STRENGTH + PARENT_DISCOUNT * n_distinct) * base)
+        drawn = save(_draw(by_word.withColumn("weight", weight), [f"t{s}" for s in range(samples)], "r", PARENT_DISCOUNT, 1, seed), "lm-parent")
+        sums = drawn.agg(*(F.coalesce(F.sum(f"{x}{s}"), F.lit(0)) for s in range(samples) for x in "tr")).first()
+        unknown = [(PARENT_STRENGTH + PARENT_DISCOUNT * sums[2 * s + 1]) / (PARENT_STRENGTH + sums[2 * s]) * base for s in range(samples)]
+        held = [((F.col(f"t{s}") - PARENT_DISCOUNT * F.col(f"r{s}")) / (PARENT_STRENGTH + sums[2 * s]) + unknown[s]).alias(f"p{s}") for s in range(samples)]
+        return drawn.select("m", *held), unknown
 
     # at first every pair has one table; each pass draws all seatings given what the last one left
-    state = pairs.withColumn("t0", F.lit(1).cast("long"))
-    samples = 1
+    state, names = pairs.withColumn("t0", F.lit(1).cast("long")), ["t0"]
     for step in range(BURN_IN + 1):
-        by_context, by_word = _totals(state, once_u, "u", ["t0"]), _totals(state, once_w, "w", ["t0"])
-        p, _ = parent(by_word, 1, 100 * step)
+        p, _ = parent(_totals(state, once_w, "w", ["t0"]), 1, 100 * step)
+        by_context = _totals(state, once_u, "u", ["t0"])
         samples = SAMPLES if step == BURN_IN else 1
         rows = pairs.join(by_context.select(F.col("m").alias("u"), F.col("t0").alias("tables")), "u").join(p.select(F.col("m").alias("w"), "p0"), "w")
         rows = rows.withColumn("weight", (CONTEXT_STRENGTH + CONTEXT_DISCOUNT * F.col("tables")) * F.col("p0"))
-        state = save(_draw(rows.select("bucket", "u", "w", "c", "weight"), CONTEXT_DISCOUNT, samples, ["bucket", "u", "w", "c"], 1000 + step), "lm-seats")
+        state = save(_draw(rows.select("bucket", "u", "w", "c", "weight"), ["c"], "t", CONTEXT_DISCOUNT, samples, 1000 + step), "lm-seats")
     names = [f"t{s}" for s in range(samples)]
-    by_context, by_word = _totals(state, once_u, "u", names), _totals(state, once_w, "w", names)
-    p, unknown = parent(by_word, samples, 100 * (BURN_IN + 1))
+    by_context = _totals(state, once_u, "u", names)
+    p, unknown = parent(_totals(state, once_w, "w", names), samples, 100 * (BURN_IN + 1))
 
     # what each word is worth as a word and as a context
     known = words.withColumn("m", F.shiftrightunsigned("w", 16))
-    as_context = known.groupBy("m").agg(F.sum("c").alias("cu")).join(by_context.select("m", *(F.col(n).alias(f"u{n}") for n in names)), "m")
-    info = known.join(p, "m", "left").join(as_context, "m", "left").drop("m")
-    asked = _chunk_words(tokens).select("chunk", "code", "w").join(info, "w", "left")
-    ps = [f"p{s}" for s in range(samples)]
-    uts = [f"u{n}" for n in names]
-
-    def pack_info(table: pa.Table) -> pa.Table:
-        table = table.sort_by("code")
-        get = lambda n, kind: table[n].fill_null(0).to_numpy().astype(kind).tobytes()
-        return pa.table({"chunk": [table["chunk"][0].as_py()], "bucket": pa.array([-1], pa.int32()), "a": [get("c", "<i8")], "b": [get("cu", "<i8")], "x": [b"".join(get(n, "<f8") for n in ps)], "y": [b"".join(get(n, "<i8") for n in uts)]})
-
-    reply = "chunk long, bucket int, a binary, b binary, x binary, y binary"
-    word_info = asked.groupBy("chunk").applyInArrow(pack_info, reply)
+    ps, uts = [f"p{s}" for s in range(samples)], [f"u{n}" for n in names]
+    info = known.join(p, "m", "left").join(by_context.select("m", *(F.col(n).alias(f"u{n}") for n in names)), "m", "left").drop("m")
+    info = info.select((F.shiftrightunsigned("w", 20) % buckets).cast("int").alias("bucket"), "w", "c", *ps, *uts)
+    reply = "chunk long, bucket int, a binary, x binary, y binary"
+
+    def tell(requests: pa.Table, told: pa.Table) -> pa.Table:
+        """Counts, the parent's probabilities and the tables as a context of the words that each chunk asks a bucket for, in its order."""
+        w = told["w"].to_numpy().view(np.uint64)
+        order = np.argsort(w)
+        w = w[order]
+        c = told["c"].to_numpy()[order]
+        p = np.stack([told[n].fill_null(0).to_numpy()[order] for n in ps])
+        t = np.stack([told[n].fill_null(0).to_numpy()[order] for n in uts])
+        out: list[list] = [[], [], []]
+        for hashes in requests["words"].to_pylist():
+            asked = _U64(hashes)
+            at = np.minimum(np.searchsorted(w, asked), max(0, len(w) - 1))
+            hit = w[at] == asked if len(w) else np.zeros(len(asked), bool)
+            pick = lambda x, kind: np.where(hit, x[..., at] if len(w) else 0, 0).astype(kind).tobytes()  # noqa: B023, E731
+            for o, v in zip(out, (pick(c, "<i8"), pick(p, "<f4"), pick(t, "<i8")), strict=True):
+                o.append(v)
+        return pa.table({"chunk": requests["chunk"], "bucket": pa.array([-1 - b for b in requests["bucket"].to_pylist()], pa.int32()), "a": out[0], "x": out[1], "y": out[2]})
 
     def answer(requests: pa.Table, seats: pa.Table) -> pa.Table:
         """Counts and tables of the pairs that each chunk asks a bucket for, in the order in which it asks."""
         if not requests.num_rows:
-            return pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in "abxy"}})
+            return pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in "axy"}})
         context, word, count, sizes = _unpack(requests)
-        key = _pair_key(context, word)
-        distinct, place = np.unique(key, return_inverse=True)
+        distinct, place = np.unique(_pair_key(context, word), return_inverse=True)
         total = np.bincount(place, count, len(distinct)).astype(np.int64)
         tables = np.ones((samples, len(distinct)), np.int64)
         if seats.num_rows:
@@ -345,54 +414,63 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
                 tables[s, at] = seats[n].to_numpy()
         ends = np.cumsum(sizes)
         cut = [place[e - n : e] for e, n in zip(ends, sizes, strict=True)]
-        return pa.table({"chunk": requests["chunk"], "bucket": requests["bucket"], "a": [total[i].astype("<u4").tobytes() for i in cut], "b": [b""] * len(cut), "x": [b""] * len(cut), "y": [tables[:, i].astype("<u4").tobytes() for i in cut]})
+        return pa.table({"chunk": requests["chunk"], "bucket": requests["bucket"], "a": [total[i].astype("<u4").tobytes() for i in cut], "x": [b""] * len(cut), "y": [tables[:, i].astype("<u4").tobytes() for i in cut]})
+
+    def tell_or_nothing(requests: pa.Table, told: pa.Table) -> pa.Table:
+        return tell(requests, told) if requests.num_rows else pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in "axy"}})
 
-    replies = _pack(tokens, buckets, False).groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(answer, reply)
+    word_replies = _pack_words(tokens, buckets).groupBy("bucket").cogroup(info.groupBy("bucket")).applyInArrow(tell_or_nothing, reply)
+    replies = _pack(tokens, buckets, frequent, False).groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(answer, reply)
     log_rest = -np.log10(n_train + n_distinct + 1)
 
     def finish(chunk: pa.Table, told: pa.Table) -> pa.Table:
         row = chunk.to_pylist()[0]
-        of = _Chunk(row)
-        rows = sorted(told.to_pylist(), key=lambda r: r["bucket"])
-        info = rows[0]
+        of = _Chunk(row, buckets, frequent)
+        rows = told.to_pylist()
+        # words are numbered by bucket, and so were they asked for
+        word_rows = sorted((r for r in rows if r["bucket"] < 0), key=lambda r: -r["bucket"])
+        pair_rows = sorted((r for r in rows if r["bucket"] >= 0), key=lambda r: r["bucket"])
         n = len(of.hashes)
-        c, cu = (np.frombuffer(info[k], "<i8") for k in "ab")
-        p = np.frombuffer(info["x"], "<f8").reshape(samples, n)
-        ut = np.frombuffer(info["y"], "<i8").reshape(samples, n)
-        _, _, _, _, keys, order = of.requests(buckets, False)
-        pair_c = np.empty(len(keys))
-        pair_c[order] = np.concatenate([np.frombuffer(r["a"], "<u4") for r in rows[1:]])
-        u, w = np.divmod(keys, n)
+        joined = lambda some, k, kind, width: np.concatenate([np.frombuffer(r[k], kind).reshape(width, -1) for r in some], axis=1)
+        c = joined(word_rows, "a", "<i8", 1)[0]
+        p, ut = joined(word_rows, "x", "<f4", samples).astype(float), joined(word_rows, "y", "<i8", samples)
+        pair_c, pair_t = joined(pair_rows, "a", "<u4", 1)[0].astype(float), joined(pair_rows, "y", "<u4", samples)
+        keys, place = np.unique(of.key, return_inverse=True)
+        context, w = np.divmod(keys, n)
+        u = of.context_word[context]
         mean = np.zeros(len(keys))
-        parts = [np.frombuffer(r["y"], "<u4").reshape(samples, -1) for r in rows[1:]]
         for s in range(samples):
-            t = np.empty(len(keys))
-            t[order] = np.concatenate([x[s] for x in parts])
             above = np.where(c[w] > 0, p[s][w], unknown[s])
-            held = np.maximum(0, pair_c - CONTEXT_DISCOUNT * np.where(pair_c > 0, t, 0))
-            mean += np.where(cu[u] > 0, (held + (CONTEXT_STRENGTH + CONTEXT_DISCOUNT * ut[s][u]) * above) / (CONTEXT_STRENGTH + cu[u]), above)
-        logs = np.log10(mean / samples)[np.searchsorted(keys, of.context * n + of.word)]
+            held = np.maximum(0, pair_c - CONTEXT_DISCOUNT * np.where(pair_c > 0, pair_t[s], 0))
+            mean += np.where(c[u] > 0, (held + (CONTEXT_STRENGTH + CONTEXT_DISCOUNT * ut[s][u]) * above) / (CONTEXT_STRENGTH + c[u]), above)
+        logs = np.log10(mean / samples)[place]
         starts = np.cumsum(of.sizes) - of.sizes
         by_doc = lambda x: np.add.reduceat(x, starts)
         seen = c[of.word]
         return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": pa.array(of.sizes), "n_known": pa.array(by_doc((seen > 0).astype(np.int64))), "base_score": pa.array(by_doc(np.log10(seen + 1) + log_rest)), "score": pa.array(by_doc(logs))})
 
-    told = word_info.unionByName(replies)
+    told = word_replies.unionByName(replies)
     scored = tokens.select("chunk", "doc_ids", "learn", "n_words", "codes", "hashes").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(int(n_train)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _chunk_words(tokens: DataFrame) -> DataFrame:
-    """(chunk, code, w, n): each chunk's distinct words, the end and the start, with their training counts."""
+_WORDS_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
+
+
+def _pack_words(tokens: DataFrame, buckets: int) -> DataFrame:
+    """A row for each chunk and bucket: the hashes of the chunk's distinct words, the end and the start, in order, and their training counts."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 learnt = sum(row["learn"])
-                hashes = np.concatenate([_U64(row["hashes"]), np.array([END, START], np.uint64)]).view(np.int64)
+                hashes = np.concatenate([_U64(row["hashes"]), np.array([END, START], np.uint64)])
                 counts = np.concatenate([np.frombuffer(row["counts"], "<u4").astype(np.int64), [learnt, learnt]])
-                n = len(hashes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row["chunk"])), pa.array(np.arange(n, dtype=np.int32)), pa.array(hashes), pa.array(counts)], ["chunk", "code", "w", "n"])
+                bucket = _bucket_of(hashes, buckets)
+                order = np.lexsort((hashes, bucket))
+                cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+                pieces = [order[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                yield _rows(_WORDS_ARROW, [[int(bucket[o[0]]) for o in pieces], [row["chunk"]] * len(pieces), [hashes[o].astype("<u8").tobytes() for o in pieces], [counts[o].astype("<u4").tobytes() for o in pieces]])
 
-    return tokens.select("chunk", "learn", "hashes", "counts").mapInArrow(each, "chunk long, code int, w long, n long")
+    return tokens.select("chunk", "learn", "hashes", "counts").mapInArrow(each, "bucket int, chunk long, words binary, counts binary")
