@@ -85,7 +85,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (node, smaller node) that connect what pairs of a and b within the radius connect."""
-    near = np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
+    # unsigned: numpy counts the bits of a signed number's absolute value
+    near = np.bitwise_count(a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :]) <= radius
     i, j = np.nonzero(near)
     x, y = a[i], b[j]
     differ = x != y
