@@ -87,7 +87,7 @@ def _hulls(points: DataFrame, by: list[str], lon: str, lat: str) -> DataFrame:
                 least = planar.hull(p)[:-1] or list(dict.fromkeys(p))
                 out = pd.DataFrame(least, columns=["lon", "lat"])
                 for name, value in zip(by, key if isinstance(key, tuple) else (key,), strict=True):
-                    out[name] = value
+                    out[name] = pd.Series([None if pd.isna(value) else value] * len(out), dtype=object)
                 yield out[names]
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
