@@ -130,7 +130,8 @@ def point_to_line_distance(p: Column, line: Column, units: str = "kilometers", m
     """The least distance to a segment of the line; both methods compute the same."""
     if method not in ("geodesic", "planar"):
         raise ValueError("options.method must be 'geodesic' or 'planar'.")
-    return F.array_min(F.transform(S.pairs(S.first_line(line)), lambda s: sphere.segment_distance(p, s["a"], s["b"]))) / meters_in(units)
+    # the point is worked out once, not for each segment
+    return let(p, lambda q: F.array_min(F.transform(S.pairs(S.first_line(line)), lambda s: sphere.segment_distance(q, s["a"], s["b"])))) / meters_in(units)
 
 
 def rhumb_bearing(a: Column, b: Column, final: bool = False) -> Column:

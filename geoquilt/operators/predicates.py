@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ PARALLEL = 1e-14
 
 def _inside(p: Column, g: Column, ignore_boundary: bool | Column) -> Column:
     ignore = F.lit(ignore_boundary) if isinstance(ignore_boundary, bool) else ignore_boundary
-    return S.is_polygon(g) & F.exists(g["coords"], lambda part: S.in_part_with_boundary(p, part, ignore))
+    return S.is_polygon(g) & let(p, lambda q: F.exists(g["coords"], lambda part: S.in_part_with_boundary(q, part, ignore)))
 
 
 def _meeting(s: Column, t: Column) -> Column:
@@ -40,6 +42,11 @@ def segments_meet(s: Column, t: Column) -> Column:
     return let(_meeting(s, t), lambda m: F.when(F.abs(m["d"]) < PARALLEL, touch).otherwise(m["t"].between(-e, 1.0 + e) & m["u"].between(-e, 1.0 + e)))
 
 
+def _any_pair(a: Column, b: Column, test: Callable[[Column, Column], Column]) -> Column:
+    """Any segment of a with any of b; the segments are worked out once."""
+    return let(S.segments(b), lambda others: F.exists(S.segments(a), lambda s: F.exists(others, lambda t: test(s, t))))
+
+
 def boolean_clockwise(ring: Column) -> Column:
     """A negative signed area; rings are not closed, and fewer than four vertices are not clockwise. ``ring``: structs of lon, lat."""
     return S.signed_area(ring) < 0.0
@@ -56,7 +63,7 @@ def boolean_within(a: Column, b: Column) -> Column:
 
 def boolean_crosses(a: Column, b: Column) -> Column:
     """Two lines properly cross; or a line has vertices both strictly inside a polygon and not."""
-    lines = F.exists(S.segments(a), lambda s: F.exists(S.segments(b), lambda t: segments_cross(s, t)))
+    lines = _any_pair(a, b, segments_cross)
 
     def mixed(line: Column, g: Column) -> Column:
         return let(F.transform(S.vertices(line), lambda p: _inside(p, g, True)), lambda x: F.exists(x, lambda v: v) & F.exists(x, lambda v: ~v))
@@ -71,14 +78,16 @@ def intersects(a: Column, b: Column) -> Column:
     """
 
     def of_point(p_of: Column, g: Column) -> Column:
-        p = S.vertices(p_of)[0]
-        same = let(S.vertices(g)[0], lambda q: (F.abs(p["lon"] - q["lon"]) < EPSILON) & (F.abs(p["lat"] - q["lat"]) < EPSILON))
-        return F.when(g["type"] == "Point", same).when(S.is_line(g), F.exists(S.segments(g), lambda s: S.on_segment(p, s))).when(S.is_polygon(g), _inside(p, g, False)).otherwise(F.lit(False))
+        def test(p: Column) -> Column:
+            same = let(S.vertices(g)[0], lambda q: (F.abs(p["lon"] - q["lon"]) < EPSILON) & (F.abs(p["lat"] - q["lat"]) < EPSILON))
+            return F.when(g["type"] == "Point", same).when(S.is_line(g), F.exists(S.segments(g), lambda s: S.on_segment(p, s))).when(S.is_polygon(g), _inside(p, g, False)).otherwise(F.lit(False))
+
+        return let(S.vertices(p_of)[0], test)
 
     def probe(of: Column, g: Column) -> Column:
         return (F.size(S.segments(of)) > 0) & _inside(S.vertices(of)[0], g, False)
 
-    meet = F.exists(S.segments(a), lambda s: F.exists(S.segments(b), lambda t: segments_meet(s, t)))
+    meet = _any_pair(a, b, segments_meet)
     return F.when(a["type"] == "Point", of_point(a, b)).when(b["type"] == "Point", of_point(b, a)).otherwise(meet | probe(b, a) | probe(a, b))
 
 
@@ -118,9 +127,13 @@ def boolean_point_in_polygon(p: Column, g: Column, ignore_boundary: bool = False
 
 def boolean_point_on_line(p: Column, line: Column, ignore_end_vertices: bool = False) -> Column:
     """``p``: a Point geometry on any segment of the lines; their end vertices may be excluded."""
-    v = S.vertices(p)[0]
-    on = F.exists(S.segments(line), lambda s: S.on_segment(v, s))
-    if ignore_end_vertices:
-        near = lambda q: (F.abs(v["lon"] - q["lon"]) < EPSILON) & (F.abs(v["lat"] - q["lat"]) < EPSILON)
-        on = on & ~F.exists(S.rings(line), lambda r: near(r[0]) | near(F.element_at(r, -1)))
-    return check(p["type"] == "Point", "point must be a GeoJSON Point geometry.", check(S.is_line(line), "line must be a LineString or MultiLineString geometry.", on))
+
+    def test(v: Column) -> Column:
+        on = F.exists(S.segments(line), lambda s: S.on_segment(v, s))
+        if ignore_end_vertices:
+            near = lambda q: (F.abs(v["lon"] - q["lon"]) < EPSILON) & (F.abs(v["lat"] - q["lat"]) < EPSILON)
+            on = on & ~F.exists(S.rings(line), lambda r: near(r[0]) | near(F.element_at(r, -1)))
+        return on
+
+    on_line = let(S.vertices(p)[0], test)
+    return check(p["type"] == "Point", "point must be a GeoJSON Point geometry.", check(S.is_line(line), "line must be a LineString or MultiLineString geometry.", on_line))
