@@ -31,9 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import save
+from .common import save, small_side
 from .tokens import encoder, with_end
 
+#: Shards up to which the table of their first tokens' places is broadcast.
+BROADCAST_SHARDS = 2_000_000
+
 SHARD_SCHEMA = StructType(
     [
         StructField("part", IntegerType()),
@@ -99,15 +102,18 @@ def _frequent_pairs(seq: np.ndarray, open_: np.ndarray, least: int, most: int) -
 
     Then no two occurrences overlap, and all of them can be replaced at once.
     """
-    bits = 21
-    left, right = seq[:-1].astype(np.int64), seq[1:].astype(np.int64)
-    slot = (left * 0x9E3779B1 + right * 0x85EBCA77) >> 7 & ((1 << bits) - 1)
-    slot[~open_[:-1]] = 0
-    counts = np.bincount(slot, minlength=1 << bits)
-    candidates = np.flatnonzero((counts[slot] >= least) & open_[:-1] & (left != right))
-    if not candidates.size:
+    bits = 20
+    left, right = seq[:-1], seq[1:]
+    slot = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
+    usable = open_[:-1] & (left != right)
+    counts = np.bincount(slot[usable], minlength=1 << bits)
+    often = counts[counts >= least]
+    if not often.size:
         return []
-    pairs, n = np.unique(left[candidates] << 32 | right[candidates], return_counts=True)
+    # slots beyond the fullest hold no pair that would be chosen, or one that a later round finds
+    bar = np.partition(often, -2 * most)[-2 * most] if often.size > 2 * most else least
+    candidates = np.flatnonzero((counts >= bar)[slot] & usable)
+    pairs, n = np.unique(left[candidates].astype(np.int64) << 32 | right[candidates], return_counts=True)
     keep = n >= least
     pairs, n = pairs[keep], n[keep]
     role: dict[int, int] = {}
@@ -129,7 +135,7 @@ def compress(ids: np.ndarray, sizes: np.ndarray, least: int = 16, rounds: int =
     or more; it ends when there are none, or after ``rounds``. Pairs of two equal
     symbols are left, so that occurrences never overlap.
     """
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.uint32)
     first_rule = int(seq.max()) + 1 if len(seq) else 0
     last = np.zeros(len(seq), bool)
     ends = np.cumsum(sizes)
@@ -147,11 +153,11 @@ def compress(ids: np.ndarray, sizes: np.ndarray, least: int = 16, rounds: int =
         is_left[[a for a, _ in chosen]] = True
         is_right[[b for _, b in chosen]] = True
         places = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]] & ~last[:-1])
-        keys = seq[places] << 32 | seq[places + 1]
+        keys = seq[places].astype(np.int64) << 32 | seq[places + 1]
         found = np.minimum(np.searchsorted(table[order], keys), len(table) - 1)
         hit = table[order][found] == keys
         places, which = places[hit], order[found[hit]]
-        seq[places] = first_rule + len(rules) + which
+        seq[places] = (first_rule + len(rules) + which).astype(np.uint32)
         last[places] = last[places + 1]
         keep = np.ones(len(seq), bool)
         keep[places + 1] = False
@@ -162,7 +168,7 @@ def compress(ids: np.ndarray, sizes: np.ndarray, least: int = 16, rounds: int =
         rules += chosen
     out_sizes = np.zeros(len(sizes), np.int64)
     out_sizes[sizes > 0] = np.diff(np.flatnonzero(last), prepend=-1)
-    return Grammar(seq.astype(np.uint32), np.array(rules, np.uint32).reshape(-1, 2), np.array(lengths, np.int64), first_rule, out_sizes)
+    return Grammar(seq, np.array(rules, np.uint32).reshape(-1, 2), np.array(lengths, np.int64), first_rule, out_sizes)
 
 
 def read_shard(row: dict) -> Grammar:
@@ -171,7 +177,7 @@ def read_shard(row: dict) -> Grammar:
     return Grammar(symbols, rules.reshape(-1, 2), lengths.astype(np.int64), int(row["first_rule"]), np.array(row["n_symbols"], np.int64))
 
 
-def write_grammar(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 20, part_bytes: int = 8 << 20) -> DataFrame:
+def write_grammar(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 19, part_bytes: int = 8 << 20) -> DataFrame:
     """Encode every whole text, append ``end_id``, and write Re-Pair shards in ascending order of ids.
 
     Null and empty texts have the end id only; rows without an id come first;
@@ -219,6 +225,9 @@ def read_grammar(shards: DataFrame) -> DataFrame:
     parts = by_part.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
     in_part = Window.partitionBy("part").orderBy("shard")
     begins = totals.select("part", "shard", (F.sum("n").over(in_part) - F.col("n")).alias("in_part"))
+    placed = save(begins.join(parts, "part").select("part", "shard", (F.col("part_start") + F.col("in_part")).alias("first")), "shard-starts")
+    # one row of 16 bytes for each shard; so shards are decoded where they are read
+    rows = shards.join(small_side(placed, BROADCAST_SHARDS), ["part", "shard"])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,10 +236,7 @@ def read_grammar(shards: DataFrame) -> DataFrame:
                 raw = read_shard(shard).decode().astype("<u4").tobytes()
                 sizes = np.array(shard["n_tokens"], np.int64)
                 ends = np.cumsum(sizes)
-                arrays = [pa.array(x) for x in ([shard["part"]] * len(sizes), [shard["shard"]] * len(sizes))]
-                arrays = [a.cast(pa.int32()) for a in arrays]
                 whole = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.concatenate([[0], ends * 4]).astype(np.int64).tobytes()), pa.py_buffer(raw)])
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(shard["doc_ids"], pa.int64()), pa.array(ends - sizes), pa.array(sizes), whole.cast(pa.binary())], ["part", "shard", "doc_id", "in_shard", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard["doc_ids"], pa.int64()), pa.array(shard["first"] + ends - sizes), pa.array(sizes), whole.cast(pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    documents = shards.mapInArrow(decode, "part int, shard int, doc_id long, in_shard long, n_tokens long, ids binary")
-    return documents.join(begins, ["part", "shard"]).join(parts, "part").select("doc_id", (F.col("part_start") + F.col("in_part") + F.col("in_shard")).alias("start"), "n_tokens", "ids")
+    return rows.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")

@@ -19,7 +19,7 @@ import regex
 from .words import split_words
 
 #: Words that a worker keeps; those met later are encoded again when they recur.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 #: The pieces to which the tokenizer's own rules cut a text, and the line feed that ends each word here.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+|\n")
 #: Words of Latin script below U+0250 are cut by _PIECES, all others by the library.
