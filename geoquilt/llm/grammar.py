@@ -104,15 +104,16 @@ def _frequent_pairs(seq: np.ndarray, open_: np.ndarray, least: int, most: int) -
     """
     bits = 20
     left, right = seq[:-1], seq[1:]
-    slot = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
-    usable = open_[:-1] & (left != right)
-    counts = np.bincount(slot[usable], minlength=1 << bits)
+    slot = ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)).astype(np.intp)
+    slot[~open_[:-1] | (left == right)] = 1 << bits  # a slot for what is no pair
+    counts = np.bincount(slot, minlength=(1 << bits) + 1)
+    counts[-1] = 0
     often = counts[counts >= least]
     if not often.size:
         return []
     # slots beyond the fullest hold no pair that would be chosen, or one that a later round finds
     bar = np.partition(often, -2 * most)[-2 * most] if often.size > 2 * most else least
-    candidates = np.flatnonzero((counts >= bar)[slot] & usable)
+    candidates = np.flatnonzero((counts >= bar)[slot])
     pairs, n = np.unique(left[candidates].astype(np.int64) << 32 | right[candidates], return_counts=True)
     keep = n >= least
     pairs, n = pairs[keep], n[keep]
@@ -128,7 +129,7 @@ def _frequent_pairs(seq: np.ndarray, open_: np.ndarray, least: int, most: int) -
     return chosen
 
 
-def compress(ids: np.ndarray, sizes: np.ndarray, least: int = 16, rounds: int = 10, rules_per_round: int = 1024) -> Grammar:
+def compress(ids: np.ndarray, sizes: np.ndarray, least: int = 16, rounds: int = 6, rules_per_round: int = 4096) -> Grammar:
     """Re-Pair over documents of ``sizes`` ids each.
 
     Each round replaces up to ``rules_per_round`` pairs that occur ``least`` times
@@ -148,11 +149,11 @@ def compress(ids: np.ndarray, sizes: np.ndarray, least: int = 16, rounds: int =
             break
         table = np.array([a << 32 | b for a, b in chosen], np.int64)
         order = np.argsort(table)
-        is_left = np.zeros(first_rule + len(rules) + 1, bool)
-        is_right = is_left.copy()
-        is_left[[a for a, _ in chosen]] = True
-        is_right[[b for _, b in chosen]] = True
-        places = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]] & ~last[:-1])
+        role = np.zeros(first_rule + len(rules) + 1, np.int8)
+        role[[a for a, _ in chosen]] = 1
+        role[[b for _, b in chosen]] = 2
+        roles = role[seq]
+        places = np.flatnonzero((roles[:-1] == 1) & (roles[1:] == 2) & ~last[:-1])
         keys = seq[places].astype(np.int64) << 32 | seq[places + 1]
         found = np.minimum(np.searchsorted(table[order], keys), len(table) - 1)
         hit = table[order][found] == keys
