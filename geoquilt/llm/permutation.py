@@ -40,12 +40,17 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return good.join(F.broadcast(lengths.select("dim")), F.size("v") == F.col("dim"), "left_semi")  # one row
 
 
-def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE, seed: int = 42) -> np.ndarray:
+def choose_pivots(vectors: DataFrame, count: int, pivots: int = PIVOTS, sample: int = SAMPLE, seed: int = 42) -> np.ndarray:
     """Up to ``pivots`` distinct vectors of a bounded sample (``sample`` rows, the first by a seeded hash).
 
-    Which of them is a seeded choice, so reruns agree.
+    Which of them is a seeded choice, so reruns agree. Of ``count`` vectors only
+    about four times the sample are sorted for it.
     """
-    rows = vectors.select("v", F.xxhash64(F.lit(seed), "v").alias("h")).dropDuplicates(["h"]).orderBy("h").limit(sample).select("v").toPandas()
+    hashed = vectors.select("v", F.xxhash64(F.lit(seed), "v").alias("h"))
+    thin = max(1, count // (4 * sample))
+    rows = hashed.where(F.pmod("h", F.lit(thin)) == 0).dropDuplicates(["h"]).orderBy("h").limit(sample).select("v").toPandas()
+    if len(rows) < pivots and thin > 1:  # nearly all vectors are copies
+        rows = hashed.dropDuplicates(["h"]).orderBy("h").limit(sample).select("v").toPandas()
     if rows.empty:
         return np.zeros((0, 0))
     pool = np.stack(rows["v"].to_numpy())
@@ -118,11 +123,12 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
     """
     spark: SparkSession = vectors.sparkSession
     good = save(usable(vectors, id_col, vector_col), "vectors")
-    pivots = choose_pivots(good)
+    count = good.count()
+    pivots = choose_pivots(good, count)
     schema = "query_id long, vec_id long, score double"
     if not len(pivots):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    n_shards = max(1, math.ceil(good.count() / SHARD))
+    n_shards = max(1, math.ceil(count / SHARD))
     index = build_index(good, pivots, n_shards, nearest)
     asked = good.where(queries).select("vec_id", "v")
     n_blocks = max(1, math.ceil(asked.count() / BLOCK))
