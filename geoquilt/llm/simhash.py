@@ -6,12 +6,16 @@ Classes are dealt to tiles by the population counts of their fingerprints' four
 over the quarters, so all other pairs of tiles are skipped. Within a pair of
 tiles numpy's exclusive-or and bit counts compare every pair; a tile pair gives
 a spanning forest of the links that it finds, which is enough for components.
+
+near_copies takes a wide radius only to find candidates, which then need enough
+shingles in common. It deals texts to tiles by their numbers of shingles too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import product, repeat
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,8 @@ from .words import Words, split_words
 _SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 #: A tile's key has four digits from 0 to 16; the base is so large that steps between tiles carry nothing over.
 _QUARTERS, _BASE = 4, 64
+#: Tiles of near_copies: population counts to a bin, bins to a band of sizes, and shingles to a tile.
+_BIN, _BINS, _TILE_SHINGLES = 8, 16, 1 << 20
 
 
 def _shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,10 +91,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (node, smaller node) that connect what pairs of a and b within the radius connect."""
-    # unsigned: numpy counts the bits of a signed number's absolute value
-    near = np.bitwise_count(a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :]) <= radius
-    i, j = np.nonzero(near)
-    x, y = a[i], b[j]
+    i, j = np.nonzero(_near(a, b, radius))
+    return _spanning(a[i], b[j])
+
+
+def _spanning(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, smaller node) that connect what the links (x, y) connect."""
     differ = x != y
     nodes, at = np.unique(np.concatenate([x[differ], y[differ]]), return_inverse=True)
     x, y = at[: len(at) // 2], at[len(at) // 2 :]
@@ -154,13 +162,147 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, with_sets: bool) -> DataFrame:
+    """(doc_id, text_key, key, fp, n), or (key, shingles): key is a hash of a text's set of n shingles, shingles their sorted 64-bit hashes."""
+    import xxhash
+
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                some = batch.slice(k, 500)
+                hashes, counts = _shingle_hashes(split_words(some.column(1), lower=True), shingle)
+                ends = np.cumsum(counts)
+                distinct = [np.unique(hashes[e - c : e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+                sets = [x.astype("<u8").tobytes() for x in distinct]
+                key = pa.array(np.array([xxhash.xxh64_intdigest(x, 42) for x in sets], np.uint64).view(np.int64))
+                if with_sets:
+                    yield pa.RecordBatch.from_arrays([key, pa.array(sets, pa.binary())], ["key", "shingles"])
+                else:
+                    n = np.array([len(x) for x in distinct], np.int64)
+                    fp = pa.array(majority_bits(np.concatenate(distinct), n).view(np.int64))
+                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), key, fp, pa.array(n.astype(np.int32))], ["doc_id", "text_key", "key", "fp", "n"])
+
+    return source.mapInArrow(each, "key long, shingles binary" if with_sets else "doc_id long, text_key long, key long, fp long, n int")
+
+
+def _candidates(classes: DataFrame, radius: int, similarity: float, tile: int) -> DataFrame:
+    """(block, key): for each pair of tiles the sets of shingles that have a set within the radius, and of a size that allows the similarity, in the other tile.
+
+    No pair is lost: sets whose sizes allow the similarity lie in the same band
+    or in neighbouring ones, and the bins of population counts that are skipped
+    lie more than the radius apart. Empty sets are like no others.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / log(1 / similarity) + 1e-9).cast("int")
+    key = band * _BINS + F.floor(F.bit_count("fp") / _BIN).cast("int")
+    keyed = classes.where("n > 0").select("key", "fp", "n", key.alias("at"))
+    rows = F.greatest(F.lit(1.0), F.least(F.lit(float(tile)), F.lit(float(_TILE_SHINGLES)) / F.max("n")))
+    counts = keyed.groupBy("at").agg(F.ceil(F.count("*") / rows).alias("tiles"))  # bands by bins: some hundred rows
+    tiles = keyed.join(F.broadcast(counts), "at").groupBy("at", F.pmod(F.xxhash64("key"), "tiles").alias("sub"))
+    tiles = save(tiles.agg(F.collect_list(F.struct("key", "fp", "n")).alias("rows")).select("at", "sub", F.col("rows.key").alias("key"), F.col("rows.fp").alias("fp"), F.col("rows.n").alias("n")), "tiles")
+    far = (radius - 1) // _BIN + 1
+    # no bins below the band's first, which are the last of the band before
+    steps = [(0, d) for d in range(far + 1)] + [(1, d) for d in range(-far, far + 1)]
+    reach = F.array(*(F.when(F.col("at") % _BINS + d >= 0, F.col("at") + b * _BINS + d) for b, d in steps))
+    side = lambda x: (F.col("sub").alias(f"sub_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("key", "fp", "n")))
+    left = tiles.select(F.explode(reach).alias("to"), F.col("at").alias("from"), *side("a")).where("to IS NOT NULL")
+    right = tiles.select(F.col("at").alias("to"), *side("b"))
+    block = F.xxhash64("from", "sub_a", "to", "sub_b").alias("block")
+    pairs = left.join(right, "to").where("to != from OR sub_a <= sub_b").select(block, *(f"{c}_{x}" for x in "ab" for c in ("key", "fp", "n")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = batch.column(0).to_numpy()
+            sides = [(c.flatten().to_numpy(zero_copy_only=False), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in batch.columns[1:]]
+            found = []
+            for k in range(batch.num_rows):
+                key_a, a, n_a, key_b, b, n_b = (v[o[k] : o[k + 1]] for v, o in sides)
+                i, j = np.nonzero(_near(a, b, radius))
+                ok = (np.minimum(n_a[i], n_b[j]) >= similarity * np.maximum(n_a[i], n_b[j]) - 1e-9) & (key_a[i] != key_b[j])
+                if ok.any():
+                    found.append((blocks[k], np.unique(np.concatenate([key_a[i[ok]], key_b[j[ok]]]))))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found])), pa.array(np.concatenate([f[1] for f in found]))], ["block", "key"])
+
+    return pairs.mapInArrow(compare, "block long, key long")
+
+
+def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    # unsigned: numpy counts the bits of a signed number's absolute value
+    return np.bitwise_count(a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :]) <= radius
+
+
+def _similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which pairs of the sets have so large a share of their union in common, as a matrix."""
+    n = np.array([len(x) for x in sets], np.int64)
+    values, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # only what several sets hold counts for what two have in common
+    column = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[at]
+    row = np.repeat(np.arange(len(sets)), n)[column >= 0]
+    column = column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float64)
+    width = 4_096
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, (first, first + width))
+        held = np.zeros((len(sets), width), np.float32)
+        held[row[a:b], column[a:b] - first] = 1
+        common += held @ held.T
+    return common * (1 + similarity) >= similarity * (n[:, None] + n) - 1e-9
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, radius: int, similarity: float, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tile: int = 512) -> DataFrame:
+    """(src, dst): links between different values of the column key of ``prints``, enough to connect all pairs within the radius that have the similarity."""
+    classes = prints.groupBy("key").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("text_key").alias("text_key"))
+    classes = save(classes, "classes")
+    members = save(_candidates(classes, radius, similarity, tile), "candidates")
+    asked = save(members.select("key").distinct().join(classes, "key"), "asked")
+    # one text for each set
+    texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"))
+    texts = texts.join(asked.select("text_key"), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"), F.first(id_col).alias(id_col))
+    sets = save(_shingle_sets(texts, id_col, "text", shingle, True), "sets")
+    held = members.join(asked.select("key", "fp"), "key").join(sets, "key")
+
+    def verify(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        keys, fp = (table.column(c).to_numpy() for c in ("key", "fp"))
+        ok = _similar([np.frombuffer(x.as_buffer(), "<u8") for x in table.column("shingles")], similarity) & _near(fp, fp, radius)
+        i, j = np.nonzero(np.triu(ok, 1))
+        src, dst = _spanning(keys[i], keys[j])
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+    return held.groupBy("block").applyInArrow(verify, "src long, dst long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 16, similarity: float = 0.8) -> DataFrame:
+    """As near_duplicates, but texts are linked where their fingerprints lie within the radius and their sets of shingles have ``similarity`` (intersection by union) or more.
+
+    Texts of the same shingles are one class, those without words too. Here a
+    shingle counts once for the fingerprint, however often it occurs.
+    """
+    prints = save(_shingle_sets(docs, id_col, text_col, shingle, False), "fingerprints")
+    least = save(prints.groupBy("key").agg(F.min("doc_id").alias("least")), "least")
+    roots = connected_components(similar_links(docs, prints, radius, similarity, id_col, text_col, shingle))
+    rooted = least.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(rooted.join(named, "root").select("key", "root", "component_id"), "key").select("doc_id", "text_key", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs``, one for each component: that with the smallest id, then the smallest hash of its text.
 
+    With a ``similarity`` components are those of near_copies.
+
     A row without an id stays only where its component has no ids. Rows of one
     id and text count once: the least of them by the other columns stays.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, radius)
+    if similarity is None:
+        found = near_duplicates(docs, id_col, text_col, shingle, radius)
+    else:
+        found = save(near_copies(docs, id_col, text_col, shingle, radius, similarity), "components")
     stays = save(found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("s")).select("s.doc_id", "s.text_key"), "stays")
     stays = stays.select(F.col("doc_id").alias("stay_id"), F.col("text_key").alias("stay_key"))
     names = docs.columns
