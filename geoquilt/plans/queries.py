@@ -124,10 +124,10 @@ _matches("booleanPointInPolygon", lambda p, g: P.boolean_point_in_polygon(p, g))
 
 @_query("booleanCrosses")
 def boolean_crosses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first six vertices of a path against its next six."""
+    """The first half of each path's vertices against the others; a half of one vertex crosses nothing."""
     v = S.first_line(F.col(_G))
-    long = lines(spark, sf_dir).where(F.size(v) >= 12)
-    return long.select("fid", P.boolean_crosses(S.of_line(F.slice(v, 1, 6)), S.of_line(F.slice(v, 7, 6))).alias("value"))
+    half = F.floor(F.size(v) / 2).cast("int")
+    return lines(spark, sf_dir).select("fid", P.boolean_crosses(S.of_line(F.slice(v, F.lit(1), half)), S.of_line(F.slice(v, half + 1, F.size(v)))).alias("value"))
 
 
 @_query("booleanDisjoint")
@@ -159,8 +159,8 @@ def boolean_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("booleanPointOnLine")
 def boolean_point_on_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each of a path's first four vertices, end vertices excluded."""
-    rows = lines(spark, sf_dir).select("fid", _G, F.posexplode(F.slice(S.first_line(F.col(_G)), 1, 4)).alias("ix", "v"))
+    """Each of a path's vertices, end vertices excluded."""
+    rows = lines(spark, sf_dir).select("fid", _G, F.posexplode(S.first_line(F.col(_G))).alias("ix", "v"))
     on = P.boolean_point_on_line(S.of_point(F.col("v.lon"), F.col("v.lat")), F.col(_G), ignore_end_vertices=True)
     return rows.select("fid", (F.col("ix") + 1).cast("long").alias("ix"), on.alias("value"))
 

@@ -49,3 +49,35 @@ def test_kmeans_labels_all_customers(spark, blobs):
         was, centers = now, np.array([p[now == c].mean(axis=0) if (now == c).any() else centers[c] for c in range(5)])
     got = QUERIES["clustersKmeans"](spark, SF).toPandas().sort_values("id")
     assert got["id"].tolist() == ids.tolist() and got["cluster"].tolist() == now.tolist()
+
+
+@pytest.fixture(scope="module")
+def paths():
+    """Each user's path."""
+    import pandas as pd
+
+    e = pd.read_parquet(f"{SF}/events.parquet").sort_values(["user_id", "ts", "event_id"])
+    u, k = e["user_id"].to_numpy(np.int64), e["event_id"].to_numpy(np.int64)
+    e["lon"], e["lat"] = u * 37 % 300 - 150.0 + k * 7919 % 20000 / 10000, u * 53 % 140 - 70.0 + k * 104729 % 20000 / 10000
+    return {fid: p[["lon", "lat"]].to_numpy() for fid, p in e.groupby("user_id") if len(p) > 1}
+
+
+def test_crossings_anywhere_in_a_path_are_found(spark, paths):
+    def crosses(p):
+        halves = p[: len(p) // 2], p[len(p) // 2 :]
+        (a, b), (c, d) = ((h[:-1, None], h[1:, None]) for h in halves)
+        c, d = c.transpose(1, 0, 2), d.transpose(1, 0, 2)
+        cross = lambda x, y: x[..., 0] * y[..., 1] - x[..., 1] * y[..., 0]
+        det = cross(b - a, d - c)
+        ok = np.abs(det) >= 1e-14
+        t, s = (np.where(ok, cross(c - a, x) / np.where(ok, det, 1), -1) for x in (d - c, b - a))
+        return bool((ok & (t > 1e-10) & (t < 1 - 1e-10) & (s > 1e-10) & (s < 1 - 1e-10)).any())
+
+    got = QUERIES["booleanCrosses"](spark, SF).toPandas()
+    assert dict(zip(got["fid"], got["value"], strict=True)) == {fid: crosses(p) for fid, p in paths.items()}
+
+
+def test_every_vertex_is_tested_on_its_line(spark, paths):
+    got = QUERIES["booleanPointOnLine"](spark, SF).toPandas()
+    want = {(fid, k + 1): not any(np.abs(p[k] - p[e]).max() < 1e-12 for e in (0, -1)) for fid, p in paths.items() for k in range(len(p))}
+    assert len(got) == len(want) and dict(zip(zip(got["fid"], got["ix"], strict=True), got["value"], strict=True)) == want
