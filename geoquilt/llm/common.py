@@ -22,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder shared by driver and executors: spark.checkpoint.dir, or where that is unset and all runs on one machine, a folder of our own."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = f"/tmp/checkpoints/{app}-{uuid.uuid4().hex[:8]}"
@@ -42,7 +44,16 @@ def save(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    saved = spark.read.schema(df.schema).parquet(path)
+    saved.saved_at = path
+    return saved
+
+
+def discard(saved: DataFrame) -> None:
+    """Delete a table that ``save`` wrote and nothing reads any more."""
+    jvm = saved.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(saved.saved_at)
+    path.getFileSystem(saved.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def small_side(df: DataFrame, most_rows: int) -> DataFrame:

@@ -3,18 +3,27 @@
 Every word is a context with a restaurant of its own; all these restaurants
 share one parent, the restaurant of single words, whose base is uniform. In a
 restaurant the customers of a word sit at tables, and each table is a customer
-of the parent. Seatings are sampled by Gibbs: given the tables of the rest, the
-customers of one word in one restaurant leave and come back, so that all such
-groups are drawn at once on the cluster, level after level. Several samples are
+of the parent. Seatings are sampled by blocked Gibbs, with two kinds of
+auxiliary variables that make all groups of customers independent:
+
+* a gamma variate for each restaurant given its number of tables T, of shape
+  strength / discount + T: given it, a word's tables t have the conditional
+  distribution P(t) ~ (discount x p)^t S(c, t), see ``restaurant.seat``;
+* the parent's own probabilities p, drawn as Dirichlet weights given the
+  parent's seating (what its unopened tables hold is spread evenly).
+
+So each pass draws the parent's tables and probabilities from what the contexts
+need, then SWEEPS times the contexts' tables from these. Several samples are
 kept, and a word's probability is averaged over them.
 
 Data flow. Documents become chunks of a bounded number of words, each with its
-distinct words; words are counted by 64-bit hashes. A chunk's distinct pairs go
-to buckets of pairs as packed arrays, where counts are summed; only pairs seen
-twice or more need sampling (a pair seen once has one table), and those are
-ordinary rows, joined with what their context and their word have gathered. For
-scoring, chunks ask the buckets for their own pairs, so the model is never
-collected or broadcast. All counts cover all training documents.
+distinct words, known by 64-bit hashes. A chunk's distinct pairs go to buckets
+by their contexts, where counts are summed; words live on shelves by their
+hashes. In a pass buckets and shelves exchange packed arrays: tables by word one
+way, the parent's weights the other. Only the pairs seen twice or more take part
+(a pair seen once has one table). For scoring a bucket answers the chunks in the
+order in which they sent their pairs, so the model is never collected or
+broadcast. All counts cover all training documents.
 """
 
 from __future__ import annotations
@@ -27,36 +36,37 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import discard, save
+from .restaurant import DISCOUNT, gammas, mix, seat, uniforms
 from .words import split_words
 
-#: Discount and strength of the context restaurants and of their parent.
-CONTEXT_DISCOUNT, CONTEXT_STRENGTH, PARENT_DISCOUNT, PARENT_STRENGTH = 0.75, 1.0, 0.5, 1.0
-#: Passes over all seatings before the samples are taken, samples, and Gibbs sweeps in a pass.
-BURN_IN, SAMPLES, SWEEPS = 1, 2, 2
-#: Bytes of text in a chunk, unless one document is longer, and words for each bucket of pairs.
-CHUNK_BYTES, BUCKET_WORDS = 12 << 20, 3 << 20
-#: A context with more than one of FREQUENT training tokens is dealt to FREQUENT_PARTS buckets.
-FREQUENT, FREQUENT_PARTS = 1_000, 64
-#: Groups up to this size are sampled customer by customer, larger ones come back one by one up to LEAP customers and then in doubling blocks.
-SINGLY, LEAP = 16, 64
+#: Strength of the context restaurants and of their parent.
+CONTEXT_STRENGTH, PARENT_STRENGTH = 4.0, 1.0
+#: Passes over all seatings before the samples are taken, samples (one a pass), and sweeps over the contexts in a pass.
+BURN_IN, SAMPLES, SWEEPS = 2, 3, 2
+#: Bytes of text in a chunk, unless one document is longer; tokens for each bucket of pairs; words of chunks for each shelf.
+CHUNK_BYTES, BUCKET_TOKENS, SHELF_WORDS = 12 << 20, 2 << 20, 1 << 20
+#: A context of more tokens than a piece is dealt to buckets in quarters of pieces: a 16th of a bucket, or the share at which FREQUENT contexts at most are so frequent.
+PIECES, FREQUENT = 16, 10_000
 
 #: Words are known by the upper 48 bits of their XXH64 in the model, and by all 64 in the base.
 SEED = 10
 END, START = 1 << 16, 2 << 16
 
-_TOKENS = "chunk long, doc_ids array<long>, learn array<boolean>, n_words array<long>, codes binary, hashes binary, counts binary"
-_U64 = lambda x: np.frombuffer(x, "<u8")
+_TOKENS = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("learn", pa.list_(pa.bool_())), ("n_words", pa.list_(pa.int64())), ("n_distinct", pa.int64()), ("codes", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary())])
+_TOKENS_SQL = "chunk long, doc_ids array<long>, learn array<boolean>, n_words array<long>, n_distinct long, codes binary, hashes binary, counts binary"
 
 
 def tokenize(docs: DataFrame) -> DataFrame:
-    """Chunks of (doc_id, text, learn): the numbers of their words among the chunk's distinct ones, with hashes and training counts of those."""
+    """Chunks of (doc_id, text, learn): the numbers of their words among the chunk's distinct ones (compressed), with hashes and training counts of those."""
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
+        import zstandard
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId() << 24
+        shrink = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             piece = (np.cumsum(lengths) - lengths) // CHUNK_BYTES
@@ -70,255 +80,370 @@ def tokenize(docs: DataFrame) -> DataFrame:
                 hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words.at(first)), np.uint64, len(first))
                 n_words = np.diff(words.bounds)
                 learn = some.column(2).to_numpy(zero_copy_only=False).astype(bool)
-                counts = np.bincount(codes[np.repeat(learn, n_words)], minlength=len(first)).astype("<u4")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk]), pa.array([some.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([learn]), pa.array([n_words]), *(pa.array([x.tobytes()], pa.binary()) for x in (codes.astype("<u4"), hashes.astype("<u8"), counts))],
-                    schema=pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("learn", pa.list_(pa.bool_())), ("n_words", pa.list_(pa.int64())), ("codes", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary())]),
-                )
+                counts = np.bincount(codes[np.repeat(learn, n_words)], minlength=len(first))
+                row = (chunk, some.column(0).to_pylist(), learn, n_words, len(first), shrink(codes.astype("<u4").tobytes()), hashes.astype("<u8").tobytes(), counts.astype("<u4").tobytes())
+                yield _rows(_TOKENS, [[x] for x in row])
                 chunk += 1
 
-    return docs.mapInArrow(chunks, _TOKENS)
+    return docs.mapInArrow(chunks, _TOKENS_SQL)
+
+
+# packed messages: rows of one kind, from one place (of) to another (to), with arrays as bytes
+_PACKED = pa.schema([("kind", pa.string()), ("to", pa.int64()), ("of", pa.int64()), *((c, pa.binary()) for c in "abcdefpq"), *((c, pa.float64()) for c in "xyz")])
+_PACKED_SQL = "kind string, to long, of long, a binary, b binary, c binary, d binary, e binary, f binary, p binary, q binary, x double, y double, z double"
+_U4 = lambda x: np.frombuffer(x, "<u4").astype(np.int64)
+_U8 = lambda x: np.frombuffer(x, "<u8")
+_F8 = lambda x: np.frombuffer(x, "<f8")
+_AS4 = lambda x: x.astype("<u4").tobytes()
+
+
+def _rows(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _message(kind: str, to: int, of: int = 0, **values) -> dict:
+    return {"kind": kind, "to": int(to), "of": int(of)} | values
+
+
+def _packed(messages: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(messages, _PACKED)
+
+
+def _of_kind(table: pa.Table, kind: str) -> list[dict]:
+    """The messages of a kind, in order of where they come from."""
+    return sorted((r for r in table.to_pylist() if r["kind"] == kind), key=lambda r: r["of"])
+
+
+def _six(x: np.ndarray) -> bytes:
+    """The lower 6 bytes of each number."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six(raw: bytes) -> np.ndarray:
+    narrow = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(narrow), 8), np.uint8)
+    wide[:, :6] = narrow
+    return wide.view("<u8").ravel()
+
+
+def _joined(parts: list[np.ndarray], kind: type = np.int64) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    cuts = np.flatnonzero(np.diff(values, prepend=-1, append=-1)) if len(values) else np.zeros(1, np.int64)
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
 
 
-def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of each word, by the 48 bits that the model knows it by."""
-    return ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+def _shelf_of(words: np.ndarray, shelves: int) -> np.ndarray:
+    """The shelf of words known by 48 bits."""
+    return (mix(words) % np.uint64(shelves)).astype(np.int64)
+
+
+class _Frequent:
+    """The contexts that are dealt to several buckets (sorted, by 48 bits), and to how many each."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, piece: int):
+        self.words, at = np.unique(words, return_inverse=True)
+        self.parts = -(-4 * np.bincount(at, counts, len(self.words)).astype(np.int64) // piece)
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """The place of each word among them, or -1."""
+        if not len(self.words):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, at, -1)
 
 
 class _Chunk:
     """One chunk's tokens: each word and an end per document, with the word before it or the start as context.
 
-    Words are numbered by bucket and hash, so that sorted numbers are sorted by
-    bucket. A frequent context is FREQUENT_PARTS contexts, told apart by the
-    word's hash and each with a bucket of its own.
+    Words are numbered by hash, contexts by bucket and hash. A frequent context
+    is several contexts, told apart by the word's hash, each with a bucket.
     """
 
-    def __init__(self, row: dict, buckets: int, frequent: np.ndarray):
+    def __init__(self, row: dict, buckets: int, frequent: _Frequent):
+        import zstandard
+
         n_words = np.array(row["n_words"], np.int64)
-        hashes = np.concatenate([_U64(row["hashes"]), np.array([END, START], np.uint64)])
-        bucket = _bucket_of(hashes, buckets)
-        self.order = np.lexsort((hashes, bucket))
-        number = np.empty(len(hashes), np.int64)
-        number[self.order] = np.arange(len(hashes))
-        self.hashes, self.bucket = hashes[self.order], bucket[self.order]
-        codes = number[np.frombuffer(row["codes"], "<u4")]
+        hashes = np.concatenate([_U8(row["hashes"]), np.array([END, START], np.uint64)])
         n = len(hashes)
+        order = np.argsort(hashes)
+        number = np.empty(n, np.int64)
+        number[order] = np.arange(n)
+        self.hashes = hashes[order]
+        self.words = self.hashes >> np.uint64(16)
+        codes = number[_U4(zstandard.ZstdDecompressor().decompress(row["codes"]))]
         ends = np.cumsum(n_words)
         self.sizes = n_words + 1
         self.word = np.insert(codes, ends, number[n - 2])
         context = np.insert(codes, ends - n_words, number[n - 1])
         self.learn = np.repeat(np.array(row["learn"], bool), self.sizes)
-        # contexts: every word, and the parts of the frequent ones after them; then numbered by bucket and hash again
-        often = np.flatnonzero(np.isin(self.hashes, frequent))
-        part_of = np.zeros(n, np.int64)
-        part_of[often] = n + FREQUENT_PARTS * np.arange(len(often))
-        split = part_of[context] > 0
-        context[split] = part_of[context[split]] + (self.hashes[self.word[split]] >> np.uint64(16)).astype(np.int64) % FREQUENT_PARTS
-        of = np.concatenate([np.arange(n), np.repeat(often, FREQUENT_PARTS)])
-        parts = np.concatenate([np.zeros(n, np.int64), np.tile(np.arange(FREQUENT_PARTS), len(often))])
-        context_bucket = (self.bucket[of] + parts * (1 + buckets // FREQUENT_PARTS)) % buckets
-        order = np.lexsort((parts, self.hashes[of], context_bucket))
+        found = frequent.find(self.words)
+        parts = np.where(found >= 0, frequent.parts[np.maximum(found, 0)] if len(frequent.parts) else 1, 1)
+        first = np.cumsum(parts) - parts
+        of = np.repeat(np.arange(n), parts)
+        part = np.arange(len(of)) - first[of]
+        bucket = (mix(self.words[of] + (part.astype(np.uint64) << np.uint64(48))) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
         place = np.empty(len(of), np.int64)
         place[order] = np.arange(len(of))
-        self.context_word, self.context_bucket = of[order], context_bucket[order]
-        self.key = place[context] * n + self.word
+        self.context_word, self.context_bucket = of[order], bucket[order]
+        self.key = place[first[context] + (self.words[self.word] % parts[context].astype(np.uint64)).astype(np.int64)] * n + self.word
 
-    def pairs(self, only_learnt: bool) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """(key of each distinct pair in order of buckets, its training count)."""
         learnt, counts = np.unique(self.key[self.learn], return_counts=True)
-        if only_learnt:
-            return learnt, counts
         keys = np.unique(self.key)
         total = np.zeros(len(keys), np.int64)
         total[np.searchsorted(keys, learnt)] = counts
         return keys, total
 
 
-def _six(x: np.ndarray) -> bytes:
-    """The lower 6 bytes of each number."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _from_six(raw: bytes) -> np.ndarray:
-    narrow = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    wide = np.zeros((len(narrow), 8), np.uint8)
-    wide[:, :6] = narrow
-    return wide.view("<u8").ravel()
-
-
-def _rows(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
-_PACKED = "bucket int, chunk long, contexts binary, runs binary, words binary, counts binary"
-_PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("contexts", "runs", "words", "counts"))])
-
-
-def _pack(tokens: DataFrame, buckets: int, frequent: np.ndarray, only_learnt: bool) -> DataFrame:
-    """A row for each chunk and bucket: contexts and their runs, 6 bytes for each word, training counts."""
+def _ask_pairs(tokens: DataFrame, buckets: int, frequent: _Frequent) -> DataFrame:
+    """A row for each chunk and bucket: contexts and their runs, words, training counts."""
+    schema = pa.schema([("to", pa.int64()), ("of", pa.int64()), *((c, pa.binary()) for c in "abcd")])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
+            for row in batch.to_pylist():
                 of = _Chunk(row, buckets, frequent)
-                keys, total = of.pairs(only_learnt)
+                keys, total = of.pairs()
                 context, word = np.divmod(keys, len(of.hashes))
-                bucket = of.context_bucket[context]
-                cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(bucket) else np.zeros(1, np.int64)
-                out: list[list] = [[] for _ in _PACKED_ARROW]
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                out: list[list] = [[] for _ in schema]
+                for a, b in _runs(of.context_bucket[context]):
                     begins = np.flatnonzero(np.diff(context[a:b], prepend=-1))
-                    values = (bucket[a], row["chunk"], _six(of.hashes[of.context_word[context[a:b][begins]]] >> np.uint64(16)), np.diff(begins, append=b - a).astype("<u4").tobytes(), _six(of.hashes[word[a:b]] >> np.uint64(16)), total[a:b].astype("<u4").tobytes())
+                    contexts = of.words[of.context_word[context[a:b][begins]]]
+                    values = (of.context_bucket[context[a]], row["chunk"], _six(contexts), _AS4(np.diff(begins, append=b - a)), _six(of.words[word[a:b]]), _AS4(total[a:b]))
                     for c, v in zip(out, values, strict=True):
                         c.append(v)
-                yield _rows(_PACKED_ARROW, out)
+                yield _rows(schema, out)
 
-    return tokens.select("chunk", "learn", "n_words", "codes", "hashes").mapInArrow(each, _PACKED)
+    return tokens.select("chunk", "learn", "n_words", "codes", "hashes").mapInArrow(each, "to long, of long, a binary, b binary, c binary, d binary")
 
 
-def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """(context, word, count) of all requests in a bucket, and how many each row has."""
-    rows = table.to_pylist()
-    contexts = [np.repeat(_from_six(r["contexts"]), np.frombuffer(r["runs"], "<u4")) for r in rows]
-    words = [_from_six(r["words"]) for r in rows]
-    counts = [np.frombuffer(r["counts"], "<u4").astype(np.int64) for r in rows]
-    return np.concatenate(contexts), np.concatenate(words), np.concatenate(counts), [len(w) for w in words]
+def _ask_words(tokens: DataFrame, shelves: int) -> DataFrame:
+    """A row for each chunk and shelf: the hashes of the chunk's distinct words, the end and the start, in order, and their training counts."""
+    schema = pa.schema([("to", pa.int64()), ("of", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                learnt = sum(row["learn"])
+                hashes = np.concatenate([_U8(row["hashes"]), np.array([END, START], np.uint64)])
+                counts = np.concatenate([_U4(row["counts"]), [learnt, learnt]])
+                shelf = _shelf_of(hashes >> np.uint64(16), shelves)
+                order = np.lexsort((hashes, shelf))
+                pieces = [order[a:b] for a, b in _runs(shelf[order])]
+                yield _rows(schema, [[int(shelf[o[0]]) for o in pieces], [row["chunk"]] * len(pieces), [hashes[o].astype("<u8").tobytes() for o in pieces], [_AS4(counts[o]) for o in pieces]])
 
+    return tokens.select("chunk", "learn", "hashes", "counts").mapInArrow(each, "to long, of long, a binary, b binary")
 
-def _pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """A 64-bit key of a pair within its bucket."""
-    return (context * np.uint64(0x9E3779B97F4A7C15) + word) * np.uint64(0xC2B2AE3D27D4EB4F) ^ (word << np.uint64(16))
 
+def _sum_words(piece: int):
+    def of_shelf(table: pa.Table) -> pa.Table:
+        """A shelf's words seen in training (a) and their counts (b); x tokens, y words; a row for each frequent context."""
+        shelf = table["to"][0].as_py()
+        words, at = np.unique(_joined([_U8(x) for x in table["a"].to_pylist()], np.uint64), return_inverse=True)
+        counts = np.bincount(at, _joined([_U4(x) for x in table["b"].to_pylist()]), len(words)).astype(np.int64)
+        words, counts = words[counts > 0], counts[counts > 0]
+        token = words != START
+        often = [_message("often", shelf, w >> np.uint64(16), x=float(c)) for w, c in zip(words[counts > piece], counts[counts > piece], strict=True)]
+        return _packed([_message("words", shelf, a=words.astype("<u8").tobytes(), b=counts.astype("<i8").tobytes(), x=float(counts[token].sum()), y=float(token.sum())), *often])
 
-_SUMMED = "bucket int, kind int, u long, w long, c long, words binary, counts binary"
+    return of_shelf
 
 
-def _counter(buckets: int):
+def _counter(shelves: int, frequent: _Frequent):
     def count(table: pa.Table) -> pa.Table:
-        """Sum a bucket's counts. Kind 0: pairs seen twice or more; 1: how many pairs seen once a context has; 2: the same for words, packed by the words' buckets."""
-        bucket = table["bucket"][0].as_py()
-        context, word, number, _ = _unpack(table)
-        distinct, first, place = np.unique(_pair_key(context, word), return_index=True, return_inverse=True)
-        total = np.bincount(place, number, len(distinct)).astype(np.int64)
-        context, word = context[first], word[first]
-        more, once = total > 1, total == 1
-        by_context, n_context = np.unique(context[once], return_counts=True)
-        by_word, n_word = np.unique(word[once], return_counts=True)
-        to = _bucket_of(by_word << np.uint64(16), buckets)
-        order = np.argsort(to, kind="stable")
-        cuts = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1)) if len(to) else np.zeros(1, np.int64)
-        packed = [(int(to[order[a]]), _six(by_word[order[a:b]]), n_word[order[a:b]].astype("<u4").tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        sizes = [int(more.sum()), len(by_context), len(packed)]
-        zeros = np.zeros(len(packed), np.int64)
-        none = [None] * (sizes[0] + sizes[1])
-        return pa.table(
-            {
-                "bucket": pa.array(np.concatenate([np.full(sizes[0] + sizes[1], bucket), [p[0] for p in packed]]).astype(np.int32)),
-                "kind": pa.array(np.repeat([0, 1, 2], sizes).astype(np.int32)),
-                "u": pa.array(np.concatenate([context[more].astype(np.int64), by_context.astype(np.int64), zeros])),
-                "w": pa.array(np.concatenate([word[more].astype(np.int64), np.zeros(len(by_context), np.int64), zeros])),
-                "c": pa.array(np.concatenate([total[more], n_context, zeros])),
-                "words": pa.array(none + [p[1] for p in packed], pa.binary()),
-                "counts": pa.array(none + [p[2] for p in packed], pa.binary()),
-            }
-        )
+        """Sum a bucket's pairs and seat each at one table.
+
+        groups: contexts (a) with pairs seen once (b) and groups (c), pairs seen
+        twice or more; each group's word (d) and customers (e); the groups' words (f).
+        pairs (p): 0, 1 or 2 for a distinct pair unseen, seen once, or more often.
+        asked: a chunk's pairs (p) and contexts (q), as steps between places.
+        once, tables: to shelves, words and their pairs seen once, or tables.
+        """
+        bucket = table["to"][0].as_py()
+        rows = sorted(table.to_pylist(), key=lambda r: r["of"])
+        contexts, ctx = np.unique(_joined([_from_six(r["a"]) for r in rows], np.uint64), return_inverse=True)
+        vocabulary, word = np.unique(_joined([_from_six(r["c"]) for r in rows], np.uint64), return_inverse=True)
+        pairs, place = np.unique(np.repeat(ctx, _joined([_U4(r["b"]) for r in rows])) * len(vocabulary) + word, return_inverse=True)
+        total = np.bincount(place, _joined([_U4(r["d"]) for r in rows]), len(pairs)).astype(np.int64)
+        of_context, of_word = np.divmod(pairs, len(vocabulary))
+        more, single = np.flatnonzero(total > 1), total == 1
+        by_context = lambda some: np.bincount(of_context[some], minlength=len(contexts))
+        by_word = lambda some: np.bincount(of_word[some], minlength=len(vocabulary))
+        shelf = _shelf_of(vocabulary, shelves)
+        by_shelf = np.argsort(shelf, kind="stable")
+        held, n_once = by_word(more), by_word(single)
+        grouped = by_shelf[held[by_shelf] > 0]
+        number = np.zeros(len(vocabulary), np.int64)
+        number[grouped] = np.arange(len(grouped))
+        out = [_message("groups", bucket, a=_six(contexts), b=_AS4(by_context(single)), c=_AS4(by_context(more)), d=_AS4(number[of_word[more]]), e=_AS4(total[more]), f=_six(vocabulary[grouped]))]
+        out.append(_message("pairs", bucket, p=np.minimum(total, 2).astype("u1").tobytes()))
+        steps = lambda x: np.diff(x, prepend=0).astype("<i4").tobytes()
+        pair_ends, context_ends = (np.cumsum([len(r[c]) // 6 for r in rows]) for c in "ca")
+        for r, e, f in zip(rows, pair_ends.tolist(), context_ends.tolist(), strict=True):
+            out.append(_message("asked", bucket, r["of"], p=steps(place[e - len(r["c"]) // 6 : e]), q=steps(ctx[f - len(r["a"]) // 6 : f])))
+        out += _to_shelves("tables", bucket, vocabulary[grouped], held[grouped], shelves)
+        some = by_shelf[n_once[by_shelf] > 0]
+        out += _to_shelves("once", bucket, vocabulary[some], n_once[some], shelves)
+        out += _often(frequent, contexts, by_context(total > 0))
+        return _packed(out)
 
     return count
 
 
-def _sum_words(table: pa.Table) -> pa.Table:
-    """(w, c): the sums of a bucket's packed words."""
-    rows = table.to_pylist()
-    wide = len(rows[0]["words"]) // max(1, len(rows[0]["counts"]) // 4) == 8
-    words = np.concatenate([_U64(r["words"]) if wide else _from_six(r["words"]) for r in rows])
-    counts = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows])
-    distinct, place = np.unique(words, return_inverse=True)
-    total = np.bincount(place, counts, len(distinct)).astype(np.int64)
-    return pa.table({"w": pa.array(distinct.view(np.int64)), "c": pa.array(total)})
+def _to_shelves(kind: str, bucket: int, words: np.ndarray, values: np.ndarray, shelves: int) -> list[dict]:
+    """A message to each shelf, of words sorted by shelf, and a number for each."""
+    shelf = _shelf_of(words, shelves)
+    return [_message(kind, shelf[a], bucket, a=_six(words[a:b]), b=_AS4(values[a:b])) for a, b in _runs(shelf)]
 
 
-def seat(counts: np.ndarray, open_weight: np.ndarray, discount: float, sweeps: int, samples: int, rng: np.random.Generator) -> np.ndarray:
-    """(samples, groups): tables of each group of ``counts`` customers of one word, a new table weighing ``open_weight``.
+def _often(frequent: _Frequent, contexts: np.ndarray, tables: np.ndarray) -> list[dict]:
+    """A message with a bucket's tables of each frequent context."""
+    found = frequent.find(contexts)
+    return [_message("often", -1, int(frequent.words[k]), x=float(t)) for k, t in zip(found[found >= 0].tolist(), tables[found >= 0].tolist(), strict=True)]
 
-    A customer joins a table of n with weight n - discount. Up to SINGLY
-    customers, each in turn leaves and sits down again in each sweep; a larger
-    group leaves as a whole and comes back.
-    """
-    out = np.ones((samples, len(counts)), np.int64)
-    for c in range(2, SINGLY + 1):
-        rows = np.flatnonzero(counts == c)
-        if len(rows):
-            out[:, rows] = _seat_singly(c, open_weight[rows], discount, sweeps, samples, rng)
-    rows = np.flatnonzero(counts > SINGLY)
-    for s in range(samples if len(rows) else 0):
-        out[s, rows] = _seat_whole(counts[rows], open_weight[rows], discount, rng)
-    return out
 
+class _Groups:
+    """A bucket's contexts and groups, from its message."""
 
-def _seat_singly(c: int, open_weight: np.ndarray, discount: float, sweeps: int, samples: int, rng: np.random.Generator) -> np.ndarray:
-    n, at = len(open_weight), np.arange(len(open_weight))
-    tables = np.zeros((n, c))
-    tables[:, 0] = 1
-    found = np.ones((samples, n), np.int64)
-
-    def sit() -> None:
-        weights = np.where(tables > 0, tables - discount, 0)
-        weights[at, np.argmin(tables > 0, axis=1)] = open_weight  # the first empty table; with a customer up there is one
-        edges = np.cumsum(weights, axis=1)
-        chosen = (edges < (rng.random(n) * edges[:, -1])[:, None]).sum(axis=1)
-        tables[at, np.minimum(chosen, c - 1)] += 1
-
-    for _ in range(c - 1):
-        sit()
-    for sweep in range(sweeps * samples):
-        for _ in range(c):
-            edges = np.cumsum(tables, axis=1)
-            tables[at, (edges <= (rng.random(n) * c)[:, None]).sum(axis=1)] -= 1
-            sit()
-        found[sweep // sweeps] = (tables > 0).sum(axis=1)
-    return found
-
-
-def _seat_whole(counts: np.ndarray, open_weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    order = np.argsort(-counts, kind="stable")
-    c, weight = counts[order], open_weight[order]
-    t, n, k = np.ones(len(c), np.int64), np.ones(len(c), np.int64), len(c)
-    while True:
-        k = int(np.searchsorted(-c, -n[0], side="left")) if k else 0  # groups of which some are still up; n is the same for these
-        if not k:
-            break
-        block = np.minimum(1 if n[0] < LEAP else n[0] // 8, c[:k] - n[:k])
-        p = weight[:k] / (weight[:k] + n[:k] - discount * t[:k])
-        t[:k] += rng.binomial(block, np.clip(p, 0, 1))
-        n[:k] += block
-    out = np.empty(len(c), np.int64)
-    out[order] = t
-    return out
+    def __init__(self, row: dict):
+        self.contexts, self.vocabulary = _from_six(row["a"]), _from_six(row["f"])
+        self.once, runs = _U4(row["b"]), _U4(row["c"])
+        self.context = np.repeat(np.arange(len(runs)), runs)
+        self.word, self.count = _U4(row["d"]), _U4(row["e"])
+        self.tables = self.once + runs
 
 
-def _draw(rows: DataFrame, of: list[str], prefix: str, discount: float, samples: int, seed: int) -> DataFrame:
-    """Sample tables for the customers in the columns ``of``, given the weight of a new table; columns prefix0, prefix1, ... replace the weight."""
-    keep = [c for c in rows.columns if c != "weight"]
-    names = [f"{prefix}{s}" for s in range(samples * len(of))]
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields), *(f"{n} long" for n in names)])
+def _parent(sums: DataFrame) -> tuple[float, float, float]:
+    """What all shelves hold together: weights drawn, the parent's tables, its customers."""
+    return tuple(map(float, sums.where("kind = 'sums'").agg(*(F.coalesce(F.sum(c), F.lit(0.0)) for c in "xyz")).first()))
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            get = lambda n: batch.column(batch.schema.get_field_index(n))  # noqa: B023, E731
-            weight = get("weight").to_numpy(zero_copy_only=False)
-            # the same rows give the same draws
-            rng = np.random.default_rng([seed, len(weight), int(weight.sum() * 1e6) & 0x7FFFFFFF])
-            tables = [t for n in of for t in seat(get(n).to_numpy(zero_copy_only=False), weight, discount, SWEEPS, samples, rng)]
-            yield pa.RecordBatch.from_arrays([*map(get, keep), *(pa.array(t) for t in tables)], [*keep, *names])
 
-    return rows.mapInArrow(each, schema)
+def _totals(tables: DataFrame, frequent: _Frequent) -> np.ndarray:
+    """All tables of each frequent context; at most FREQUENT rows."""
+    rows = tables.where("kind = 'often'").groupBy("of").agg(F.sum("x").alias("x")).toPandas()
+    out = np.zeros(len(frequent.words))
+    if len(rows):
+        out[frequent.find(rows["of"].to_numpy(np.uint64))] = rows["x"]
+    return out
+
+
+def _shelver(step: int, parent_gamma: float, base: float, keep: bool):
+    def shelve(shelf: pa.Table, told: pa.Table) -> pa.Table:
+        """Seat the parent's customers on a shelf, and answer each bucket with weights drawn for its words (a); held (a): what the parent's customers hold of each word."""
+        if not shelf.num_rows:
+            return _packed([])
+        words = np.unique(_U8(_of_kind(shelf, "words")[0]["a"]) >> np.uint64(16))
+        customers = np.zeros(len(words), np.int64)
+        rows = _of_kind(told, "tables")
+        places = [np.searchsorted(words, _from_six(r["a"])) for r in rows]
+        for r, at in (*zip(rows, places, strict=True), *((r, np.searchsorted(words, _from_six(r["a"]))) for r in _of_kind(shelf, "once"))):
+            customers[at] += _U4(r["b"])
+        some = np.flatnonzero(customers)
+        tables = np.zeros(len(words), np.int64)
+        tables[some] = seat(customers[some], np.full(len(some), DISCOUNT * parent_gamma * base), uniforms(words[some], step, 1))
+        held = customers - DISCOUNT * tables
+        drawn = np.zeros(len(words))
+        drawn[some] = gammas(held[some], words[some], step, 2)
+        number = int(shelf["to"][0].as_py())
+        out = [_message("sums", number, x=float(drawn.sum()), y=float(tables.sum()), z=float(customers.sum()))]
+        if keep:
+            out.append(_message("held", number, step, a=held.astype("<f8").tobytes()))
+        return _packed(out + [_message("drawn", r["of"], number, a=drawn[at].astype("<f8").tobytes()) for r, at in zip(rows, places, strict=True)])
+
+    return shelve
+
+
+def _seater(step: int, weight: float, spare: float, totals: np.ndarray, frequent: _Frequent, shelves: int, keep: bool):
+    def sit(groups: pa.Table, told: pa.Table) -> pa.Table:
+        """Seat a bucket's groups given the parent's probabilities and the tables of the last pass.
+
+        state (q): tables of each context; tables: to shelves; seats: tables of each group (p) and context (q).
+        """
+        if not groups.num_rows:
+            return _packed([])
+        of = _Groups(_of_kind(groups, "groups")[0])
+        bucket = int(groups["to"][0].as_py())
+        p = weight * _joined([_F8(r["a"]) for r in _of_kind(told, "drawn")], float) + spare
+        state = _of_kind(told, "state")
+        now = np.frombuffer(state[0]["q"], "<i8") if state else of.tables
+        found = frequent.find(of.contexts)
+        t = np.zeros(0, np.int64)
+        keys = mix(of.contexts[of.context] + mix(of.vocabulary[of.word]))
+        for sweep in range(SWEEPS):
+            x = gammas(CONTEXT_STRENGTH / DISCOUNT + now, of.contexts, step, 3, sweep)
+            if (often := found >= 0).any():
+                # the tables of a context in several buckets are known from the last pass
+                x[often] = gammas(CONTEXT_STRENGTH / DISCOUNT + totals[found[often]], of.contexts[often], step, 3, 0)
+            t = seat(of.count, DISCOUNT * x[of.context] * p[of.word], uniforms(keys, step, 4, sweep))
+            now = of.once + np.bincount(of.context, t, len(of.once)).astype(np.int64)
+        out = [_message("state", bucket, q=now.astype("<i8").tobytes())]
+        out += _to_shelves("tables", bucket, of.vocabulary, np.bincount(of.word, t, len(of.vocabulary)), shelves) + _often(frequent, of.contexts, now)
+        if keep:
+            out.append(_message("seats", bucket, step, p=_AS4(t), q=now.astype("<i8").tobytes()))
+        return _packed(out)
+
+    return sit
+
+
+_REPLY = pa.schema([("chunk", pa.int64()), ("of", pa.int64()), ("kind", pa.string()), ("a", pa.binary()), ("b", pa.binary())])
+_REPLY_SQL = "chunk long, of long, kind string, a binary, b binary"
+
+
+def _answer_pairs(totals: list[np.ndarray], frequent: _Frequent):
+    def answer(bucket: pa.Table, seats: pa.Table) -> pa.Table:
+        """What the model holds of each pair (a), averaged over the samples, and each sample's tables of its contexts (b), in the order in which a chunk asked."""
+        groups = _of_kind(bucket, "groups")
+        if not groups:
+            return _REPLY.empty_table()
+        of = _Groups(groups[0])
+        samples = _of_kind(seats, "seats")
+        kinds = np.frombuffer(_of_kind(bucket, "pairs")[0]["p"], "u1")
+        held = np.where(kinds == 1, 1 - DISCOUNT, 0.0)
+        held[kinds == 2] = of.count - DISCOUNT * np.mean([_U4(r["p"]) for r in samples], axis=0)
+        found = frequent.find(of.contexts)
+        tables = np.stack([np.frombuffer(r["q"], "<i8") for r in samples])
+        for s, total in enumerate(totals):
+            tables[s, found >= 0] = total[found[found >= 0]]
+        places = lambda x: np.cumsum(np.frombuffer(x, "<i4").astype(np.int64))
+        rows = _of_kind(bucket, "asked")
+        out = [(r["of"], r["to"], "pairs", held[places(r["p"])].astype("<f4").tobytes(), tables[:, places(r["q"])].astype("<i8").tobytes()) for r in rows]
+        return pa.Table.from_batches([_rows(_REPLY, list(map(list, zip(*out, strict=True))))]) if out else _REPLY.empty_table()
+
+    return answer
+
+
+def _answer_words(parents: list[tuple[float, float, float]], base: float):
+    def answer(asked: pa.Table, shelf: pa.Table) -> pa.Table:
+        """Training counts (a) and each sample's probabilities by the parent (b) of the words that a chunk asks for, in its order."""
+        known = _of_kind(shelf, "words")
+        words = _U8(known[0]["a"]) if known else np.zeros(0, np.uint64)
+        counts = np.frombuffer(known[0]["b"], "<i8") if known else np.zeros(0, np.int64)
+        short, at_short = np.unique(words >> np.uint64(16), return_inverse=True)
+        held = np.stack([_F8(r["a"]) for r in _of_kind(shelf, "held")]) if known else np.zeros((len(parents), 0))
+        spare, scale = (np.array(x)[:, None] for x in _predictive(parents, base))
+        p = (held[:, at_short] * scale + spare) if len(short) else np.zeros((len(parents), 0))
+        p, counts, words = np.column_stack([p, spare]), np.append(counts, 0), np.append(words, np.uint64(2**64 - 1))
+        out: list[list] = [[] for _ in _REPLY]
+        for r in asked.to_pylist():
+            w = _U8(r["a"])
+            at = np.searchsorted(words[:-1], w)
+            at = np.where(words[at] == w, at, len(words) - 1)
+            for o, v in zip(out, (r["of"], r["to"], "words", counts[at].astype("<i8").tobytes(), p[:, at].astype("<f8").tobytes()), strict=True):
+                o.append(v)
+        return pa.Table.from_batches([_rows(_REPLY, out)])
+
+    return answer
 
 
-def _totals(pairs: DataFrame, once: DataFrame, key: str, names: list[str]) -> DataFrame:
-    """(m, a column of tables for each name) by context (u) or word (w): one for each pair seen once (m, n), and those sampled."""
-    more = pairs.groupBy(F.col(key).alias("m")).agg(*(F.sum(n).alias(n) for n in names))
-    return more.unionByName(once.select("m", *(F.col("n").alias(n) for n in names))).groupBy("m").agg(*(F.sum(n).alias(n) for n in names))
+def _predictive(parents: list[tuple[float, float, float]], base: float) -> tuple[list[float], list[float]]:
+    """For each sample the parent's probability of an unknown word, and what each unit that it holds of a word adds."""
+    return [(PARENT_STRENGTH + DISCOUNT * r) / (PARENT_STRENGTH + c) * base for _, r, c in parents], [1 / (PARENT_STRENGTH + c) for *_, c in parents]
 
 
 def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -331,146 +456,88 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     that of the model. A null text is empty and has the end only; a row without
     an id is scored, and learnt if ``learn`` holds; rows that repeat an id are
     documents of their own; other columns are not used; an empty table gives no
-    rows. Without training tokens every token has the base's probability.
+    rows. Without training tokens every token has the base's probability. All
+    draws follow the words, so the scores do not depend on partitions.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))
     tokens = save(tokenize(source), "lm-tokens")
-    n_all = tokens.select(F.aggregate("n_words", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(1, -(-int(n_all) // BUCKET_WORDS))
-
-    # words, with the end, and the start as a context of its own
-    words = save(_pack_words(tokens, buckets).groupBy("bucket").applyInArrow(_sum_words, "w long, c long").where("c > 0"), "lm-words")
-    n_train, n_distinct = words.where(F.col("w") != START).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # at most FREQUENT + 1 contexts can be so frequent
-    often = words.where(F.col("c") >= max(1_000, n_train // FREQUENT)).select("w").limit(FREQUENT + 2).toPandas()["w"].to_numpy(np.int64)
-    frequent = np.sort(often).view(np.uint64)
-
-    # pairs
-    summed = save(_pack(tokens, buckets, frequent, True).groupBy("bucket").applyInArrow(_counter(buckets), _SUMMED), "lm-pairs")
-    pairs = summed.where("kind = 0").select("bucket", "u", "w", "c")
-    once_u = save(summed.where("kind = 1").groupBy(F.col("u").alias("m")).agg(F.sum("c").alias("n")), "lm-once")
-    once_w = save(summed.where("kind = 2").select("bucket", "words", "counts").groupBy("bucket").applyInArrow(_sum_words, "w long, c long").select(F.col("w").alias("m"), F.col("c").alias("n")), "lm-once")
+    size = tokens.select(F.aggregate("n_words", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), "n_distinct")
+    n_all, n_asked = (int(x) for x in size.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0))).first())
+    buckets, shelves = (max(1, -(-n // most)) for n, most in ((n_all, BUCKET_TOKENS), (n_asked, SHELF_WORDS)))
+
+    piece = max(BUCKET_TOKENS // PIECES, n_all // FREQUENT)
+    words = save(_ask_words(tokens, shelves).groupBy("to").applyInArrow(_sum_words(piece), _PACKED_SQL), "lm-words")
+    shelf = words.where("kind = 'words'")
+    n_train, n_distinct = (int(x) for x in shelf.agg(F.coalesce(F.sum("x"), F.lit(0)), F.coalesce(F.sum("y"), F.lit(0))).first())
     base = 1 / (n_distinct + 1)
-
-    def parent(by_word: DataFrame, samples: int, seed: int) -> tuple[DataFrame, list[float]]:
-        """(m, p0, p1, ...): the parent's probabilities given the tables below it, and those of an unknown word."""
-        weight = F.lit((PARENT_STRENGTH + PARENT_DISCOUNT * n_distinct) * base)
-        drawn = save(_draw(by_word.withColumn("weight", weight), [f"t{s}" for s in range(samples)], "r", PARENT_DISCOUNT, 1, seed), "lm-parent")
-        sums = drawn.agg(*(F.coalesce(F.sum(f"{x}{s}"), F.lit(0)) for s in range(samples) for x in "tr")).first()
-        unknown = [(PARENT_STRENGTH + PARENT_DISCOUNT * sums[2 * s + 1]) / (PARENT_STRENGTH + sums[2 * s]) * base for s in range(samples)]
-        held = [((F.col(f"t{s}") - PARENT_DISCOUNT * F.col(f"r{s}")) / (PARENT_STRENGTH + sums[2 * s]) + unknown[s]).alias(f"p{s}") for s in range(samples)]
-        return drawn.select("m", *held), unknown
-
-    # at first every pair has one table; each pass draws all seatings given what the last one left
-    state, names = pairs.withColumn("t0", F.lit(1).cast("long")), ["t0"]
-    for step in range(BURN_IN + 1):
-        p, _ = parent(_totals(state, once_w, "w", ["t0"]), 1, 100 * step)
-        by_context = _totals(state, once_u, "u", ["t0"])
-        samples = SAMPLES if step == BURN_IN else 1
-        rows = pairs.join(by_context.select(F.col("m").alias("u"), F.col("t0").alias("tables")), "u").join(p.select(F.col("m").alias("w"), "p0"), "w")
-        rows = rows.withColumn("weight", (CONTEXT_STRENGTH + CONTEXT_DISCOUNT * F.col("tables")) * F.col("p0"))
-        state = save(_draw(rows.select("bucket", "u", "w", "c", "weight"), ["c"], "t", CONTEXT_DISCOUNT, samples, 1000 + step), "lm-seats")
-    names = [f"t{s}" for s in range(samples)]
-    by_context = _totals(state, once_u, "u", names)
-    p, unknown = parent(_totals(state, once_w, "w", names), samples, 100 * (BURN_IN + 1))
-
-    # what each word is worth as a word and as a context
-    known = words.withColumn("m", F.shiftrightunsigned("w", 16))
-    ps, uts = [f"p{s}" for s in range(samples)], [f"u{n}" for n in names]
-    info = known.join(p, "m", "left").join(by_context.select("m", *(F.col(n).alias(f"u{n}") for n in names)), "m", "left").drop("m")
-    info = info.select((F.shiftrightunsigned("w", 20) % buckets).cast("int").alias("bucket"), "w", "c", *ps, *uts)
-    reply = "chunk long, bucket int, a binary, x binary, y binary"
-
-    def tell(requests: pa.Table, told: pa.Table) -> pa.Table:
-        """Counts, the parent's probabilities and the tables as a context of the words that each chunk asks a bucket for, in its order."""
-        w = told["w"].to_numpy().view(np.uint64)
-        order = np.argsort(w)
-        w = w[order]
-        c = told["c"].to_numpy()[order]
-        p = np.stack([told[n].fill_null(0).to_numpy()[order] for n in ps])
-        t = np.stack([told[n].fill_null(0).to_numpy()[order] for n in uts])
-        out: list[list] = [[], [], []]
-        for hashes in requests["words"].to_pylist():
-            asked = _U64(hashes)
-            at = np.minimum(np.searchsorted(w, asked), max(0, len(w) - 1))
-            hit = w[at] == asked if len(w) else np.zeros(len(asked), bool)
-            pick = lambda x, kind: np.where(hit, x[..., at] if len(w) else 0, 0).astype(kind).tobytes()  # noqa: B023, E731
-            for o, v in zip(out, (pick(c, "<i8"), pick(p, "<f4"), pick(t, "<i8")), strict=True):
-                o.append(v)
-        return pa.table({"chunk": requests["chunk"], "bucket": pa.array([-1 - b for b in requests["bucket"].to_pylist()], pa.int32()), "a": out[0], "x": out[1], "y": out[2]})
-
-    def answer(requests: pa.Table, seats: pa.Table) -> pa.Table:
-        """Counts and tables of the pairs that each chunk asks a bucket for, in the order in which it asks."""
-        if not requests.num_rows:
-            return pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in "axy"}})
-        context, word, count, sizes = _unpack(requests)
-        distinct, place = np.unique(_pair_key(context, word), return_inverse=True)
-        total = np.bincount(place, count, len(distinct)).astype(np.int64)
-        tables = np.ones((samples, len(distinct)), np.int64)
-        if seats.num_rows:
-            u, w = (seats[n].to_numpy().astype(np.uint64) for n in ("u", "w"))
-            at = np.searchsorted(distinct, _pair_key(u, w))
-            for s, n in enumerate(names):
-                tables[s, at] = seats[n].to_numpy()
-        ends = np.cumsum(sizes)
-        cut = [place[e - n : e] for e, n in zip(ends, sizes, strict=True)]
-        return pa.table({"chunk": requests["chunk"], "bucket": requests["bucket"], "a": [total[i].astype("<u4").tobytes() for i in cut], "x": [b""] * len(cut), "y": [tables[:, i].astype("<u4").tobytes() for i in cut]})
-
-    def tell_or_nothing(requests: pa.Table, told: pa.Table) -> pa.Table:
-        return tell(requests, told) if requests.num_rows else pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in "axy"}})
-
-    word_replies = _pack_words(tokens, buckets).groupBy("bucket").cogroup(info.groupBy("bucket")).applyInArrow(tell_or_nothing, reply)
-    replies = _pack(tokens, buckets, frequent, False).groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(answer, reply)
-    log_rest = -np.log10(n_train + n_distinct + 1)
+    often = words.where("kind = 'often'").select("of", "x").toPandas()  # at most FREQUENT rows
+    frequent = _Frequent(often["of"].to_numpy(np.uint64), often["x"].to_numpy(float), piece)
+
+    first = save(_ask_pairs(tokens, buckets, frequent).groupBy("to").applyInArrow(_counter(shelves, frequent), _PACKED_SQL), "lm-pairs")
+    groups = first.where("kind = 'groups'").select("kind", "to", "of", *"abcdef")
+    words = save(shelf.unionByName(first.where("kind = 'once'")).select("kind", "to", "of", "a", "b"), "lm-shelves")
+
+    tables, totals, n_parent = first, _totals(first, frequent), float(n_distinct)
+    seats, held, samples, parents = [], [], [], []
+    # a pass seats the parent's customers, then the contexts' given what the parent drew; a sample is one of the latter with the parent that follows it
+    for step in range(BURN_IN + SAMPLES + 1):
+        gamma = float(gammas(np.array([PARENT_STRENGTH / DISCOUNT + n_parent]), np.array([START], np.uint64), step, 0)[0])
+        asked = tables.where("kind = 'tables'").select("kind", "to", "of", "a", "b")
+        keep = step > BURN_IN
+        drawn = save(words.groupBy("to").cogroup(asked.groupBy("to")).applyInArrow(_shelver(step, gamma, base, keep), _PACKED_SQL), "lm-drawn")
+        total, n_parent, customers = _parent(drawn)
+        if keep:
+            held.append(drawn.where("kind = 'held'").select("kind", "to", "of", "a"))
+            parents.append((total, n_parent, customers))
+        if step == BURN_IN + SAMPLES:
+            break
+        rest = float(gammas(np.array([PARENT_STRENGTH + DISCOUNT * n_parent]), np.array([END], np.uint64), step, 0)[0])
+        told = drawn.where("kind = 'drawn'").select("kind", "to", "of", "a", F.lit(None).cast("binary").alias("q"))
+        if step:
+            told = told.unionByName(tables.where("kind = 'state'").select("kind", "to", "of", F.lit(None).cast("binary").alias("a"), "q"))
+        sit = _seater(step, 1 / (total + rest), rest / (total + rest) * base, totals, frequent, shelves, step >= BURN_IN)
+        last, tables = tables, save(groups.groupBy("to").cogroup(told.groupBy("to")).applyInArrow(sit, _PACKED_SQL), "lm-seats")
+        totals = _totals(tables, frequent)
+        if step >= BURN_IN:
+            seats.append(tables.where("kind = 'seats'").select("kind", "to", "of", "p", "q"))
+            samples.append(totals)
+        # what later steps do not read
+        if step and step <= BURN_IN:
+            discard(last)
+        if not keep:
+            discard(drawn)
+
+    union = lambda some: some[0] if len(some) == 1 else union(some[: len(some) // 2]).unionByName(union(some[len(some) // 2 :]))
+    bucket = first.where("kind IN ('groups', 'pairs', 'asked')").select("kind", "to", "of", *"abcdefpq")
+    pair_replies = bucket.groupBy("to").cogroup(union(seats).groupBy("to")).applyInArrow(_answer_pairs(samples, frequent), _REPLY_SQL)
+    shelved = words.where("kind = 'words'").select("kind", "to", "of", "a", "b").unionByName(union(held).withColumn("b", F.lit(None).cast("binary")))
+    word_replies = _ask_words(tokens, shelves).groupBy("to").cogroup(shelved.groupBy("to")).applyInArrow(_answer_words(parents, base), _REPLY_SQL)
+    log_rest, n_samples, unknown = -np.log10(n_train + n_distinct + 1), SAMPLES, np.array(_predictive(parents, base)[0])
 
     def finish(chunk: pa.Table, told: pa.Table) -> pa.Table:
         row = chunk.to_pylist()[0]
         of = _Chunk(row, buckets, frequent)
-        rows = told.to_pylist()
-        # words are numbered by bucket, and so were they asked for
-        word_rows = sorted((r for r in rows if r["bucket"] < 0), key=lambda r: -r["bucket"])
-        pair_rows = sorted((r for r in rows if r["bucket"] >= 0), key=lambda r: r["bucket"])
+        asked, answers = _of_kind(told, "words"), _of_kind(told, "pairs")
         n = len(of.hashes)
-        joined = lambda some, k, kind, width: np.concatenate([np.frombuffer(r[k], kind).reshape(width, -1) for r in some], axis=1)
-        c = joined(word_rows, "a", "<i8", 1)[0]
-        p, ut = joined(word_rows, "x", "<f4", samples).astype(float), joined(word_rows, "y", "<i8", samples)
-        pair_c, pair_t = joined(pair_rows, "a", "<u4", 1)[0].astype(float), joined(pair_rows, "y", "<u4", samples)
+        # words were asked for by shelf and hash
+        by_shelf = np.lexsort((of.hashes, _shelf_of(of.words, shelves)))
+        c, p = np.zeros(n, np.int64), np.zeros((n_samples, n))
+        c[by_shelf] = _joined([np.frombuffer(r["a"], "<i8") for r in asked])
+        p[:, by_shelf] = np.concatenate([_F8(r["b"]).reshape(n_samples, -1) for r in asked], axis=1)
         keys, place = np.unique(of.key, return_inverse=True)
         context, w = np.divmod(keys, n)
-        u = of.context_word[context]
-        mean = np.zeros(len(keys))
-        for s in range(samples):
-            above = np.where(c[w] > 0, p[s][w], unknown[s])
-            held = np.maximum(0, pair_c - CONTEXT_DISCOUNT * np.where(pair_c > 0, pair_t[s], 0))
-            mean += np.where(c[u] > 0, (held + (CONTEXT_STRENGTH + CONTEXT_DISCOUNT * ut[s][u]) * above) / (CONTEXT_STRENGTH + c[u]), above)
-        logs = np.log10(mean / samples)[place]
+        held = _joined([np.frombuffer(r["a"], "<f4") for r in answers]).astype(float)
+        tables = np.concatenate([np.frombuffer(r["b"], "<i8").reshape(n_samples, -1) for r in answers], axis=1)
+        run = np.cumsum(np.diff(context, prepend=-1) != 0) - 1
+        seen = c[of.context_word[context]].astype(float)
+        above = np.where(c[w] > 0, p[:, w], unknown[:, None])
+        below = ((CONTEXT_STRENGTH + DISCOUNT * tables[:, run]) * above).mean(axis=0)
+        mean = np.where(seen > 0, (held + below) / (CONTEXT_STRENGTH + seen), above.mean(axis=0))
         starts = np.cumsum(of.sizes) - of.sizes
         by_doc = lambda x: np.add.reduceat(x, starts)
-        seen = c[of.word]
-        return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": pa.array(of.sizes), "n_known": pa.array(by_doc((seen > 0).astype(np.int64))), "base_score": pa.array(by_doc(np.log10(seen + 1) + log_rest)), "score": pa.array(by_doc(logs))})
-
-    told = word_replies.unionByName(replies)
-    scored = tokens.select("chunk", "doc_ids", "learn", "n_words", "codes", "hashes").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "n_tokens", "n_known", F.lit(int(n_train)).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-_WORDS_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
-
+        known = c[of.word]
+        return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": pa.array(of.sizes), "n_known": pa.array(by_doc((known > 0).astype(np.int64))), "base_score": pa.array(by_doc(np.log10(known + 1) + log_rest)), "score": pa.array(by_doc(np.log10(mean)[place]))})
 
-def _pack_words(tokens: DataFrame, buckets: int) -> DataFrame:
-    """A row for each chunk and bucket: the hashes of the chunk's distinct words, the end and the start, in order, and their training counts."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                learnt = sum(row["learn"])
-                hashes = np.concatenate([_U64(row["hashes"]), np.array([END, START], np.uint64)])
-                counts = np.concatenate([np.frombuffer(row["counts"], "<u4").astype(np.int64), [learnt, learnt]])
-                bucket = _bucket_of(hashes, buckets)
-                order = np.lexsort((hashes, bucket))
-                cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
-                pieces = [order[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-                yield _rows(_WORDS_ARROW, [[int(bucket[o[0]]) for o in pieces], [row["chunk"]] * len(pieces), [hashes[o].astype("<u8").tobytes() for o in pieces], [counts[o].astype("<u4").tobytes() for o in pieces]])
-
-    return tokens.select("chunk", "learn", "hashes", "counts").mapInArrow(each, "bucket int, chunk long, words binary, counts binary")
+    replies = word_replies.unionByName(pair_replies)
+    scored = tokens.select("chunk", "doc_ids", "learn", "n_words", "codes", "hashes").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from geoquilt.llm import cotraining, grammar, language_model, mixing, packing, permutation, quality_rules, secrets, simhash, toxicity
+from geoquilt.llm import cotraining, grammar, language_model, mixing, packing, permutation, quality_rules, restaurant, secrets, simhash, toxicity
 from geoquilt.llm.queries import QUERIES
 from geoquilt.llm.tokens import default_tokenizer
 
@@ -280,24 +280,77 @@ def test_model_probabilities_sum_to_one(spark):
     """
     df = spark.createDataFrame([(0, "a"), (1, "b"), (100, "a"), (101, "b"), (102, "zz"), (103, "")], "doc_id long, text string")
     got = {r["doc_id"]: 10 ** r["score"] for r in language_model.score_texts(df, F.col("doc_id") < 100).collect()}
-    d, e, s, z = language_model.CONTEXT_DISCOUNT, language_model.PARENT_DISCOUNT, language_model.CONTEXT_STRENGTH, language_model.PARENT_STRENGTH
+    d, s, z = restaurant.DISCOUNT, language_model.CONTEXT_STRENGTH, language_model.PARENT_STRENGTH
     # pairs: start-a, start-b, a-end, b-end, each once; so the parent has a: 1, b: 1, end: 2
-    unknown = {r: (z + e * (3 + r)) / (z + 4) / 4 for r in (0, 1)}  # the end's two customers share a table or do not
-    after = lambda r: {w: ((1 - d) * (w in "ab") + (s + d * 2) * p) / (s + 2) for w, p in {"a": (1 - e) / (z + 4) + unknown[r], "b": (1 - e) / (z + 4) + unknown[r], "$": (2 - e * (1 + r)) / (z + 4) + unknown[r], "?": unknown[r]}.items()}
+    unknown = {r: (z + d * (3 + r)) / (z + 4) / 4 for r in (0, 1)}  # the end's two customers share a table or do not
+    after = lambda r: {w: ((1 - d) * (w in "ab") + (s + d * 2) * p) / (s + 2) for w, p in {"a": (1 - d) / (z + 4) + unknown[r], "b": (1 - d) / (z + 4) + unknown[r], "$": (2 - d * (1 + r)) / (z + 4) + unknown[r], "?": unknown[r]}.items()}
     for r in (0, 1):
         assert sum(after(r).values()) == pytest.approx(1)
     low, high = sorted(after(r)["$"] for r in (0, 1))
     assert low - 1e-6 <= got[103] <= high + 1e-6
 
 
-def test_seating_follows_the_restaurant():
-    """Two customers of one word share a table with the probability that the process gives."""
-    rng = np.random.default_rng(0)
-    weight, discount = 0.9, 0.5
-    tables = language_model.seat(np.full(40_000, 2), np.full(40_000, weight), discount, 3, 2, rng)
-    share = weight / (weight + 1 - discount)
-    assert abs((tables == 2).mean() - share) < 0.01
-    assert (language_model.seat(np.array([1, 500, 17]), np.array([1.0, 1e9, 1e-9]), 0.5, 1, 1, rng) == [[1, 500, 1]]).all()
+def test_model_probabilities_sum_to_one_on_frequent_pairs(spark):
+    """With pairs seen many times and contexts in several buckets, all that can follow a word shares all probability.
+
+    S(x y) = q(x) P(y | x) E(y) for two words, S(x) = q(x) E(x) for one; so that P( . | x) sums to
+    one fixes E, the chance that a text ends after x, and then q and the end have to share all that follows the start.
+    """
+    rng = np.random.default_rng(2)
+    words = list("abcde")
+    learnt = [" ".join(rng.choice(words, 60, p=[0.5, 0.2, 0.15, 0.1, 0.05])) for _ in range(40)]
+    asked = ["", *words, "zz", *(f"{x} {y}" for x in [*words, "zz"] for y in [*words, "zz"])]
+    df = spark.createDataFrame([*enumerate(learnt), *((100 + k, t) for k, t in enumerate(asked))], "doc_id long, text string")
+    was = language_model.BUCKET_TOKENS
+    language_model.BUCKET_TOKENS = 200
+    try:
+        got = {asked[r["doc_id"] - 100]: 10 ** r["score"] for r in language_model.score_texts(df, F.col("doc_id") < 100).collect() if r["doc_id"] >= 100}
+    finally:
+        language_model.BUCKET_TOKENS = was
+    every = [*words, "zz"]
+    end = dict.fromkeys(every, 0.1)
+    for _ in range(2_000):
+        end = {x: 0.5 * end[x] + 0.5 / (1 + sum(got[f"{x} {y}"] / (got[x] * end[y]) for y in every)) for x in every}
+    # one unknown word stands for all: it has the share of one word of the vocabulary
+    assert got[""] + sum(got[x] / end[x] for x in every) == pytest.approx(1, abs=1e-4)
+
+
+@pytest.mark.parametrize("count", [2, 5, 17, 64, 200, 5_000])
+@pytest.mark.parametrize("weight", [0.02, 0.5, 5.0, 300.0])
+def test_tables_follow_the_posterior(count, weight):
+    """Mean tables against the recursion S(c + 1, t) = S(c, t - 1) + (c - d t) S(c, t)."""
+    t = np.arange(count + 1)
+    ways = np.full(count + 1, -np.inf)
+    ways[1] = 0
+    with np.errstate(divide="ignore"):
+        for n in range(1, count):
+            stay = ways + np.log(np.maximum(n - restaurant.DISCOUNT * t, 0))
+            ways = np.concatenate([stay[:1], np.logaddexp(ways[:-1], stay[1:])])
+    logs = ways[1:] + t[1:] * np.log(weight)
+    p = np.exp(logs - logs.max())
+    want = float((p * t[1:]).sum() / p.sum())
+    n = 20_000
+    got = restaurant.seat(np.full(n, count), np.full(n, weight), restaurant.uniforms(np.arange(n, dtype=np.uint64), count))
+    assert got.mean() == pytest.approx(want, rel=0.02)
+    assert got.min() >= 1 and got.max() <= count
+
+
+def test_gamma_draws():
+    keys = np.arange(100_000, dtype=np.uint64)
+    for shape in (0.5, 1.0, 3.5, 1e6):
+        x = restaurant.gammas(np.full(len(keys), shape), keys, 1)
+        assert x.mean() == pytest.approx(shape, rel=0.02) and x.var() == pytest.approx(shape, rel=0.05)
+
+
+def test_scores_do_not_depend_on_partitions(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    got = []
+    for parts in (4, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got.append({r["doc_id"]: r["score"] for r in language_model.score_texts(docs.repartition(parts, "doc_id"), F.col("doc_id") % 7 != 2).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert got[0].keys() == got[1].keys()
+    assert max(abs(got[0][k] - got[1][k]) for k in got[0]) < 1e-6
 
 
 # all queries
