@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import uuid
 import zlib
@@ -56,6 +57,12 @@ def discard(saved: DataFrame) -> None:
     path.getFileSystem(saved.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the files of shuffles whose tables nothing refers to any more; it follows the driver's garbage collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_side(df: DataFrame, most_rows: int) -> DataFrame:
     """``df``, a written table, with a hint to broadcast it if it has ``most_rows`` or fewer; else Spark joins as it sees fit."""
     return F.broadcast(df) if df.count() <= most_rows else df

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, save
+from .common import discard, release, save
 from .restaurant import DISCOUNT, gammas, mix, seat, uniforms
 from .words import split_words
 
@@ -45,7 +45,7 @@ CONTEXT_STRENGTH, PARENT_STRENGTH = 4.0, 1.0
 #: Passes over all seatings before the samples are taken, samples (one a pass), and sweeps over the contexts in a pass.
 BURN_IN, SAMPLES, SWEEPS = 2, 3, 2
 #: Bytes of text in a chunk, unless one document is longer; tokens for each bucket of pairs; words of chunks for each shelf.
-CHUNK_BYTES, BUCKET_TOKENS, SHELF_WORDS = 12 << 20, 2 << 20, 1 << 20
+CHUNK_BYTES, BUCKET_TOKENS, SHELF_WORDS = 24 << 20, 2 << 20, 1 << 20
 #: A context of more tokens than a piece is dealt to buckets in quarters of pieces: a 16th of a bucket, or the share at which FREQUENT contexts at most are so frequent.
 PIECES, FREQUENT = 16, 10_000
 
@@ -58,15 +58,13 @@ _TOKENS_SQL = "chunk long, doc_ids array<long>, learn array<boolean>, n_words ar
 
 
 def tokenize(docs: DataFrame) -> DataFrame:
-    """Chunks of (doc_id, text, learn): the numbers of their words among the chunk's distinct ones (compressed), with hashes and training counts of those."""
+    """Chunks of (doc_id, text, learn): the numbers of their words among the chunk's distinct ones, with hashes and training counts of those."""
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
-        import zstandard
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId() << 24
-        shrink = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             piece = (np.cumsum(lengths) - lengths) // CHUNK_BYTES
@@ -77,11 +75,16 @@ def tokenize(docs: DataFrame) -> DataFrame:
                 some = batch.slice(a, b - a)
                 words = split_words(some.column(1), lower=True)
                 codes, first = words.numbered()
+                # numbers by frequency take the fewest bytes
+                order = np.argsort(-np.bincount(codes, minlength=len(first)), kind="stable")
+                rank = np.empty(len(first), np.int64)
+                rank[order] = np.arange(len(first))
+                codes, first = rank[codes], first[order]
                 hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words.at(first)), np.uint64, len(first))
                 n_words = np.diff(words.bounds)
                 learn = some.column(2).to_numpy(zero_copy_only=False).astype(bool)
                 counts = np.bincount(codes[np.repeat(learn, n_words)], minlength=len(first))
-                row = (chunk, some.column(0).to_pylist(), learn, n_words, len(first), shrink(codes.astype("<u4").tobytes()), hashes.astype("<u8").tobytes(), counts.astype("<u4").tobytes())
+                row = (chunk, some.column(0).to_pylist(), learn, n_words, len(first), _put(codes, 4), _put(hashes, 8), _put(counts, 4))
                 yield _rows(_TOKENS, [[x] for x in row])
                 chunk += 1
 
@@ -91,10 +94,36 @@ def tokenize(docs: DataFrame) -> DataFrame:
 # packed messages: rows of one kind, from one place (of) to another (to), with arrays as bytes
 _PACKED = pa.schema([("kind", pa.string()), ("to", pa.int64()), ("of", pa.int64()), *((c, pa.binary()) for c in "abcdefpq"), *((c, pa.float64()) for c in "xyz")])
 _PACKED_SQL = "kind string, to long, of long, a binary, b binary, c binary, d binary, e binary, f binary, p binary, q binary, x double, y double, z double"
-_U4 = lambda x: np.frombuffer(x, "<u4").astype(np.int64)
-_U8 = lambda x: np.frombuffer(x, "<u8")
-_F8 = lambda x: np.frombuffer(x, "<f8")
-_AS4 = lambda x: x.astype("<u4").tobytes()
+
+
+def _put(numbers: np.ndarray, width: int) -> bytes:
+    """The lower ``width`` bytes of whole numbers: all first bytes, then all second ones and so on, compressed."""
+    import zstandard
+
+    planes = numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _get(raw: bytes, width: int) -> np.ndarray:
+    """The numbers that _put packed, unsigned."""
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(width, -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, :width] = planes.T
+    return wide.view("<u8").ravel()
+
+
+def _count(raw: bytes, width: int = 4) -> np.ndarray:
+    return _get(raw, width).view(np.int64)
+
+
+def _put_steps(places: np.ndarray) -> bytes:
+    return _put(np.diff(places, prepend=0), 4)
+
+
+def _get_steps(raw: bytes) -> np.ndarray:
+    return np.cumsum(_count(raw)) & 0xFFFFFFFF
 
 
 def _rows(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
@@ -114,18 +143,6 @@ def _of_kind(table: pa.Table, kind: str) -> list[dict]:
     return sorted((r for r in table.to_pylist() if r["kind"] == kind), key=lambda r: r["of"])
 
 
-def _six(x: np.ndarray) -> bytes:
-    """The lower 6 bytes of each number."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _from_six(raw: bytes) -> np.ndarray:
-    narrow = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    wide = np.zeros((len(narrow), 8), np.uint8)
-    wide[:, :6] = narrow
-    return wide.view("<u8").ravel()
-
-
 def _joined(parts: list[np.ndarray], kind: type = np.int64) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
@@ -164,17 +181,15 @@ class _Chunk:
     """
 
     def __init__(self, row: dict, buckets: int, frequent: _Frequent):
-        import zstandard
-
         n_words = np.array(row["n_words"], np.int64)
-        hashes = np.concatenate([_U8(row["hashes"]), np.array([END, START], np.uint64)])
+        hashes = np.concatenate([_get(row["hashes"], 8), np.array([END, START], np.uint64)])
         n = len(hashes)
         order = np.argsort(hashes)
         number = np.empty(n, np.int64)
         number[order] = np.arange(n)
         self.hashes = hashes[order]
         self.words = self.hashes >> np.uint64(16)
-        codes = number[_U4(zstandard.ZstdDecompressor().decompress(row["codes"]))]
+        codes = number[_count(row["codes"])]
         ends = np.cumsum(n_words)
         self.sizes = n_words + 1
         self.word = np.insert(codes, ends, number[n - 2])
@@ -215,7 +230,7 @@ def _ask_pairs(tokens: DataFrame, buckets: int, frequent: _Frequent) -> DataFram
                 for a, b in _runs(of.context_bucket[context]):
                     begins = np.flatnonzero(np.diff(context[a:b], prepend=-1))
                     contexts = of.words[of.context_word[context[a:b][begins]]]
-                    values = (of.context_bucket[context[a]], row["chunk"], _six(contexts), _AS4(np.diff(begins, append=b - a)), _six(of.words[word[a:b]]), _AS4(total[a:b]))
+                    values = (of.context_bucket[context[a]], row["chunk"], _put(contexts, 6), _put(np.diff(begins, append=b - a), 4), _put(of.words[word[a:b]], 6), _put(total[a:b], 4))
                     for c, v in zip(out, values, strict=True):
                         c.append(v)
                 yield _rows(schema, out)
@@ -231,12 +246,12 @@ def _ask_words(tokens: DataFrame, shelves: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 learnt = sum(row["learn"])
-                hashes = np.concatenate([_U8(row["hashes"]), np.array([END, START], np.uint64)])
-                counts = np.concatenate([_U4(row["counts"]), [learnt, learnt]])
+                hashes = np.concatenate([_get(row["hashes"], 8), np.array([END, START], np.uint64)])
+                counts = np.concatenate([_count(row["counts"]), [learnt, learnt]])
                 shelf = _shelf_of(hashes >> np.uint64(16), shelves)
                 order = np.lexsort((hashes, shelf))
                 pieces = [order[a:b] for a, b in _runs(shelf[order])]
-                yield _rows(schema, [[int(shelf[o[0]]) for o in pieces], [row["chunk"]] * len(pieces), [hashes[o].astype("<u8").tobytes() for o in pieces], [_AS4(counts[o]) for o in pieces]])
+                yield _rows(schema, [[int(shelf[o[0]]) for o in pieces], [row["chunk"]] * len(pieces), [_put(hashes[o], 8) for o in pieces], [_put(counts[o], 4) for o in pieces]])
 
     return tokens.select("chunk", "learn", "hashes", "counts").mapInArrow(each, "to long, of long, a binary, b binary")
 
@@ -245,12 +260,12 @@ def _sum_words(piece: int):
     def of_shelf(table: pa.Table) -> pa.Table:
         """A shelf's words seen in training (a) and their counts (b); x tokens, y words; a row for each frequent context."""
         shelf = table["to"][0].as_py()
-        words, at = np.unique(_joined([_U8(x) for x in table["a"].to_pylist()], np.uint64), return_inverse=True)
-        counts = np.bincount(at, _joined([_U4(x) for x in table["b"].to_pylist()]), len(words)).astype(np.int64)
+        words, at = np.unique(_joined([_get(x, 8) for x in table["a"].to_pylist()], np.uint64), return_inverse=True)
+        counts = np.bincount(at, _joined([_count(x) for x in table["b"].to_pylist()]), len(words)).astype(np.int64)
         words, counts = words[counts > 0], counts[counts > 0]
         token = words != START
         often = [_message("often", shelf, w >> np.uint64(16), x=float(c)) for w, c in zip(words[counts > piece], counts[counts > piece], strict=True)]
-        return _packed([_message("words", shelf, a=words.astype("<u8").tobytes(), b=counts.astype("<i8").tobytes(), x=float(counts[token].sum()), y=float(token.sum())), *often])
+        return _packed([_message("words", shelf, a=_put(words, 8), b=_put(counts, 8), x=float(counts[token].sum()), y=float(token.sum())), *often])
 
     return of_shelf
 
@@ -259,38 +274,41 @@ def _counter(shelves: int, frequent: _Frequent):
     def count(table: pa.Table) -> pa.Table:
         """Sum a bucket's pairs and seat each at one table.
 
-        groups: contexts (a) with pairs seen once (b) and groups (c), pairs seen
-        twice or more; each group's word (d) and customers (e); the groups' words (f).
-        pairs (p): 0, 1 or 2 for a distinct pair unseen, seen once, or more often.
-        asked: a chunk's pairs (p) and contexts (q), as steps between places.
+        groups: the contexts (a) that have pairs seen twice or more, their pairs
+        seen once (b) and groups (c); each group's word (d) and customers (e); the groups' words (f).
+        pairs: 0, 1 or 2 for a distinct pair unseen, seen once, or more often (p);
+        pairs seen once of each context (a), and whether it has groups (b).
+        asked: the places of a chunk's pairs (p) and contexts (q).
         once, tables: to shelves, words and their pairs seen once, or tables.
         """
         bucket = table["to"][0].as_py()
         rows = sorted(table.to_pylist(), key=lambda r: r["of"])
-        contexts, ctx = np.unique(_joined([_from_six(r["a"]) for r in rows], np.uint64), return_inverse=True)
-        vocabulary, word = np.unique(_joined([_from_six(r["c"]) for r in rows], np.uint64), return_inverse=True)
-        pairs, place = np.unique(np.repeat(ctx, _joined([_U4(r["b"]) for r in rows])) * len(vocabulary) + word, return_inverse=True)
-        total = np.bincount(place, _joined([_U4(r["d"]) for r in rows]), len(pairs)).astype(np.int64)
+        sent = [[_get(r["a"], 6), _count(r["b"]), _get(r["c"], 6), _count(r["d"])] for r in rows]
+        contexts, ctx = np.unique(_joined([x[0] for x in sent], np.uint64), return_inverse=True)
+        vocabulary, word = np.unique(_joined([x[2] for x in sent], np.uint64), return_inverse=True)
+        pairs, place = np.unique(np.repeat(ctx, _joined([x[1] for x in sent])) * len(vocabulary) + word, return_inverse=True)
+        total = np.bincount(place, _joined([x[3] for x in sent]), len(pairs)).astype(np.int64)
         of_context, of_word = np.divmod(pairs, len(vocabulary))
-        more, single = np.flatnonzero(total > 1), total == 1
         by_context = lambda some: np.bincount(of_context[some], minlength=len(contexts))
         by_word = lambda some: np.bincount(of_word[some], minlength=len(vocabulary))
         shelf = _shelf_of(vocabulary, shelves)
         by_shelf = np.argsort(shelf, kind="stable")
+        more, single = total > 1, total == 1
         held, n_once = by_word(more), by_word(single)
         grouped = by_shelf[held[by_shelf] > 0]
         number = np.zeros(len(vocabulary), np.int64)
         number[grouped] = np.arange(len(grouped))
-        out = [_message("groups", bucket, a=_six(contexts), b=_AS4(by_context(single)), c=_AS4(by_context(more)), d=_AS4(number[of_word[more]]), e=_AS4(total[more]), f=_six(vocabulary[grouped]))]
-        out.append(_message("pairs", bucket, p=np.minimum(total, 2).astype("u1").tobytes()))
-        steps = lambda x: np.diff(x, prepend=0).astype("<i4").tobytes()
-        pair_ends, context_ends = (np.cumsum([len(r[c]) // 6 for r in rows]) for c in "ca")
-        for r, e, f in zip(rows, pair_ends.tolist(), context_ends.tolist(), strict=True):
-            out.append(_message("asked", bucket, r["of"], p=steps(place[e - len(r["c"]) // 6 : e]), q=steps(ctx[f - len(r["a"]) // 6 : f])))
+        once, groups = by_context(single), by_context(more)
+        has = groups > 0
+        out = [_message("groups", bucket, a=_put(contexts[has], 6), b=_put(once[has], 4), c=_put(groups[has], 4), d=_put(number[of_word[more]], 4), e=_put(total[more], 4), f=_put(vocabulary[grouped], 6))]
+        out.append(_message("pairs", bucket, p=_put(np.minimum(total, 2), 1), a=_put(once, 4), b=_put(has, 1)))
+        pair_ends, context_ends = (np.cumsum([len(x[k]) for x in sent]).tolist() for k in (2, 0))
+        for r, x, e, f in zip(rows, sent, pair_ends, context_ends, strict=True):
+            out.append(_message("asked", bucket, r["of"], p=_put_steps(place[e - len(x[2]) : e]), q=_put_steps(ctx[f - len(x[0]) : f])))
         out += _to_shelves("tables", bucket, vocabulary[grouped], held[grouped], shelves)
         some = by_shelf[n_once[by_shelf] > 0]
         out += _to_shelves("once", bucket, vocabulary[some], n_once[some], shelves)
-        out += _often(frequent, contexts, by_context(total > 0))
+        out += _often(frequent, contexts, once + groups)
         return _packed(out)
 
     return count
@@ -299,7 +317,7 @@ def _counter(shelves: int, frequent: _Frequent):
 def _to_shelves(kind: str, bucket: int, words: np.ndarray, values: np.ndarray, shelves: int) -> list[dict]:
     """A message to each shelf, of words sorted by shelf, and a number for each."""
     shelf = _shelf_of(words, shelves)
-    return [_message(kind, shelf[a], bucket, a=_six(words[a:b]), b=_AS4(values[a:b])) for a, b in _runs(shelf)]
+    return [_message(kind, shelf[a], bucket, a=_put(words[a:b], 6), b=_put(values[a:b], 4)) for a, b in _runs(shelf)]
 
 
 def _often(frequent: _Frequent, contexts: np.ndarray, tables: np.ndarray) -> list[dict]:
@@ -309,13 +327,13 @@ def _often(frequent: _Frequent, contexts: np.ndarray, tables: np.ndarray) -> lis
 
 
 class _Groups:
-    """A bucket's contexts and groups, from its message."""
+    """A bucket's groups and their contexts, from its message."""
 
     def __init__(self, row: dict):
-        self.contexts, self.vocabulary = _from_six(row["a"]), _from_six(row["f"])
-        self.once, runs = _U4(row["b"]), _U4(row["c"])
+        self.contexts, self.vocabulary = _get(row["a"], 6), _get(row["f"], 6)
+        self.once, runs = _count(row["b"]), _count(row["c"])
         self.context = np.repeat(np.arange(len(runs)), runs)
-        self.word, self.count = _U4(row["d"]), _U4(row["e"])
+        self.word, self.count = _count(row["d"]), _count(row["e"])
         self.tables = self.once + runs
 
 
@@ -335,15 +353,15 @@ def _totals(tables: DataFrame, frequent: _Frequent) -> np.ndarray:
 
 def _shelver(step: int, parent_gamma: float, base: float, keep: bool):
     def shelve(shelf: pa.Table, told: pa.Table) -> pa.Table:
-        """Seat the parent's customers on a shelf, and answer each bucket with weights drawn for its words (a); held (a): what the parent's customers hold of each word."""
+        """Seat the parent's customers on a shelf, and answer each bucket with weights drawn for its words (a); held (a): what the parent's customers hold of each word, in halves."""
         if not shelf.num_rows:
             return _packed([])
-        words = np.unique(_U8(_of_kind(shelf, "words")[0]["a"]) >> np.uint64(16))
+        words = np.unique(_get(_of_kind(shelf, "words")[0]["a"], 8) >> np.uint64(16))
         customers = np.zeros(len(words), np.int64)
         rows = _of_kind(told, "tables")
-        places = [np.searchsorted(words, _from_six(r["a"])) for r in rows]
-        for r, at in (*zip(rows, places, strict=True), *((r, np.searchsorted(words, _from_six(r["a"]))) for r in _of_kind(shelf, "once"))):
-            customers[at] += _U4(r["b"])
+        places = [np.searchsorted(words, _get(r["a"], 6)) for r in rows]
+        for r, at in (*zip(rows, places, strict=True), *((r, np.searchsorted(words, _get(r["a"], 6))) for r in _of_kind(shelf, "once"))):
+            customers[at] += _count(r["b"])
         some = np.flatnonzero(customers)
         tables = np.zeros(len(words), np.int64)
         tables[some] = seat(customers[some], np.full(len(some), DISCOUNT * parent_gamma * base), uniforms(words[some], step, 1))
@@ -353,8 +371,8 @@ def _shelver(step: int, parent_gamma: float, base: float, keep: bool):
         number = int(shelf["to"][0].as_py())
         out = [_message("sums", number, x=float(drawn.sum()), y=float(tables.sum()), z=float(customers.sum()))]
         if keep:
-            out.append(_message("held", number, step, a=held.astype("<f8").tobytes()))
-        return _packed(out + [_message("drawn", r["of"], number, a=drawn[at].astype("<f8").tobytes()) for r, at in zip(rows, places, strict=True)])
+            out.append(_message("held", number, step, a=_put(2 * held, 8)))
+        return _packed(out + [_message("drawn", r["of"], number, a=drawn[at].astype("<f4").tobytes()) for r, at in zip(rows, places, strict=True)])
 
     return shelve
 
@@ -369,9 +387,9 @@ def _seater(step: int, weight: float, spare: float, totals: np.ndarray, frequent
             return _packed([])
         of = _Groups(_of_kind(groups, "groups")[0])
         bucket = int(groups["to"][0].as_py())
-        p = weight * _joined([_F8(r["a"]) for r in _of_kind(told, "drawn")], float) + spare
+        p = weight * _joined([np.frombuffer(r["a"], "<f4") for r in _of_kind(told, "drawn")], float) + spare
         state = _of_kind(told, "state")
-        now = np.frombuffer(state[0]["q"], "<i8") if state else of.tables
+        now = _count(state[0]["q"]) if state else of.tables
         found = frequent.find(of.contexts)
         t = np.zeros(0, np.int64)
         keys = mix(of.contexts[of.context] + mix(of.vocabulary[of.word]))
@@ -382,10 +400,10 @@ def _seater(step: int, weight: float, spare: float, totals: np.ndarray, frequent
                 x[often] = gammas(CONTEXT_STRENGTH / DISCOUNT + totals[found[often]], of.contexts[often], step, 3, 0)
             t = seat(of.count, DISCOUNT * x[of.context] * p[of.word], uniforms(keys, step, 4, sweep))
             now = of.once + np.bincount(of.context, t, len(of.once)).astype(np.int64)
-        out = [_message("state", bucket, q=now.astype("<i8").tobytes())]
+        out = [_message("state", bucket, q=_put(now, 4))]
         out += _to_shelves("tables", bucket, of.vocabulary, np.bincount(of.word, t, len(of.vocabulary)), shelves) + _often(frequent, of.contexts, now)
         if keep:
-            out.append(_message("seats", bucket, step, p=_AS4(t), q=now.astype("<i8").tobytes()))
+            out.append(_message("seats", bucket, step, p=_put(t, 4), q=_put(now, 4)))
         return _packed(out)
 
     return sit
@@ -395,50 +413,43 @@ _REPLY = pa.schema([("chunk", pa.int64()), ("of", pa.int64()), ("kind", pa.strin
 _REPLY_SQL = "chunk long, of long, kind string, a binary, b binary"
 
 
-def _answer_pairs(totals: list[np.ndarray], frequent: _Frequent):
+def _answer_pairs():
     def answer(bucket: pa.Table, seats: pa.Table) -> pa.Table:
         """What the model holds of each pair (a), averaged over the samples, and each sample's tables of its contexts (b), in the order in which a chunk asked."""
-        groups = _of_kind(bucket, "groups")
-        if not groups:
+        summed = _of_kind(bucket, "pairs")
+        if not summed:
             return _REPLY.empty_table()
-        of = _Groups(groups[0])
-        samples = _of_kind(seats, "seats")
-        kinds = np.frombuffer(_of_kind(bucket, "pairs")[0]["p"], "u1")
+        count, samples = _count(_of_kind(bucket, "groups")[0]["e"]), _of_kind(seats, "seats")
+        kinds, once, has = _count(summed[0]["p"], 1), _count(summed[0]["a"]), _count(summed[0]["b"], 1) > 0
         held = np.where(kinds == 1, 1 - DISCOUNT, 0.0)
-        held[kinds == 2] = of.count - DISCOUNT * np.mean([_U4(r["p"]) for r in samples], axis=0)
-        found = frequent.find(of.contexts)
-        tables = np.stack([np.frombuffer(r["q"], "<i8") for r in samples])
-        for s, total in enumerate(totals):
-            tables[s, found >= 0] = total[found[found >= 0]]
-        places = lambda x: np.cumsum(np.frombuffer(x, "<i4").astype(np.int64))
+        held[kinds == 2] = count - DISCOUNT * np.mean([_count(r["p"]) for r in samples], axis=0)
+        tables = np.tile(once, (len(samples), 1))
+        tables[:, has] = np.stack([_count(r["q"]) for r in samples])
+        # those of a context in several buckets are told from the context's own by the chunk
         rows = _of_kind(bucket, "asked")
-        out = [(r["of"], r["to"], "pairs", held[places(r["p"])].astype("<f4").tobytes(), tables[:, places(r["q"])].astype("<i8").tobytes()) for r in rows]
+        planes = lambda x: _put(x.astype("<f4").view("<u4"), 4)
+        out = [(r["of"], r["to"], "pairs", planes(held[_get_steps(r["p"])]), _put(tables[:, _get_steps(r["q"])].ravel(), 4)) for r in rows]
         return pa.Table.from_batches([_rows(_REPLY, list(map(list, zip(*out, strict=True))))]) if out else _REPLY.empty_table()
 
     return answer
 
 
-def _answer_words(parents: list[tuple[float, float, float]], base: float):
-    def answer(asked: pa.Table, shelf: pa.Table) -> pa.Table:
-        """Training counts (a) and each sample's probabilities by the parent (b) of the words that a chunk asks for, in its order."""
-        known = _of_kind(shelf, "words")
-        words = _U8(known[0]["a"]) if known else np.zeros(0, np.uint64)
-        counts = np.frombuffer(known[0]["b"], "<i8") if known else np.zeros(0, np.int64)
-        short, at_short = np.unique(words >> np.uint64(16), return_inverse=True)
-        held = np.stack([_F8(r["a"]) for r in _of_kind(shelf, "held")]) if known else np.zeros((len(parents), 0))
-        spare, scale = (np.array(x)[:, None] for x in _predictive(parents, base))
-        p = (held[:, at_short] * scale + spare) if len(short) else np.zeros((len(parents), 0))
-        p, counts, words = np.column_stack([p, spare]), np.append(counts, 0), np.append(words, np.uint64(2**64 - 1))
-        out: list[list] = [[] for _ in _REPLY]
-        for r in asked.to_pylist():
-            w = _U8(r["a"])
-            at = np.searchsorted(words[:-1], w)
-            at = np.where(words[at] == w, at, len(words) - 1)
-            for o, v in zip(out, (r["of"], r["to"], "words", counts[at].astype("<i8").tobytes(), p[:, at].astype("<f8").tobytes()), strict=True):
-                o.append(v)
-        return pa.Table.from_batches([_rows(_REPLY, out)])
-
-    return answer
+def _answer_words(asked: pa.Table, shelf: pa.Table) -> pa.Table:
+    """Training counts (a) of the words that a chunk asks for, and what the parent's customers hold of them in each sample (b), in halves."""
+    known = _of_kind(shelf, "words")
+    words = np.append(_get(known[0]["a"], 8) if known else np.zeros(0, np.uint64), np.uint64(2**64 - 1))
+    counts = np.append(_count(known[0]["b"], 8) if known else np.zeros(0, np.int64), 0)
+    short, at_short = np.unique(words >> np.uint64(16), return_inverse=True)
+    held = np.stack([_count(r["a"], 8) for r in _of_kind(shelf, "held")]) if known else np.zeros((SAMPLES, 0), np.int64)
+    held = np.pad(held, ((0, 0), (0, len(short) - held.shape[1])))[:, at_short]
+    out: list[list] = [[] for _ in _REPLY]
+    for r in asked.to_pylist():
+        w = _get(r["a"], 8)
+        at = np.searchsorted(words[:-1], w)
+        at = np.where(words[at] == w, at, len(words) - 1)
+        for o, v in zip(out, (r["of"], r["to"], "words", _put(counts[at], 8), _put(held[:, at].ravel(), 8)), strict=True):
+            o.append(v)
+    return pa.Table.from_batches([_rows(_REPLY, out)])
 
 
 def _predictive(parents: list[tuple[float, float, float]], base: float) -> tuple[list[float], list[float]]:
@@ -461,6 +472,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))
     tokens = save(tokenize(source), "lm-tokens")
+    spark = docs.sparkSession
     size = tokens.select(F.aggregate("n_words", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), "n_distinct")
     n_all, n_asked = (int(x) for x in size.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0))).first())
     buckets, shelves = (max(1, -(-n // most)) for n, most in ((n_all, BUCKET_TOKENS), (n_asked, SHELF_WORDS)))
@@ -474,6 +486,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     frequent = _Frequent(often["of"].to_numpy(np.uint64), often["x"].to_numpy(float), piece)
 
     first = save(_ask_pairs(tokens, buckets, frequent).groupBy("to").applyInArrow(_counter(shelves, frequent), _PACKED_SQL), "lm-pairs")
+    release(spark)
     groups = first.where("kind = 'groups'").select("kind", "to", "of", *"abcdef")
     words = save(shelf.unionByName(first.where("kind = 'once'")).select("kind", "to", "of", "a", "b"), "lm-shelves")
 
@@ -502,17 +515,19 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
             seats.append(tables.where("kind = 'seats'").select("kind", "to", "of", "p", "q"))
             samples.append(totals)
         # what later steps do not read
+        release(spark)
         if step and step <= BURN_IN:
             discard(last)
         if not keep:
             discard(drawn)
 
     union = lambda some: some[0] if len(some) == 1 else union(some[: len(some) // 2]).unionByName(union(some[len(some) // 2 :]))
-    bucket = first.where("kind IN ('groups', 'pairs', 'asked')").select("kind", "to", "of", *"abcdefpq")
-    pair_replies = bucket.groupBy("to").cogroup(union(seats).groupBy("to")).applyInArrow(_answer_pairs(samples, frequent), _REPLY_SQL)
+    bucket = first.where("kind IN ('groups', 'pairs', 'asked')").select("kind", "to", "of", F.when(F.col("kind") == "pairs", F.col("a")).alias("a"), F.when(F.col("kind") == "pairs", F.col("b")).alias("b"), "e", "p", "q")
+    pair_replies = bucket.groupBy("to").cogroup(union(seats).groupBy("to")).applyInArrow(_answer_pairs(), _REPLY_SQL)
     shelved = words.where("kind = 'words'").select("kind", "to", "of", "a", "b").unionByName(union(held).withColumn("b", F.lit(None).cast("binary")))
-    word_replies = _ask_words(tokens, shelves).groupBy("to").cogroup(shelved.groupBy("to")).applyInArrow(_answer_words(parents, base), _REPLY_SQL)
-    log_rest, n_samples, unknown = -np.log10(n_train + n_distinct + 1), SAMPLES, np.array(_predictive(parents, base)[0])
+    word_replies = _ask_words(tokens, shelves).groupBy("to").cogroup(shelved.groupBy("to")).applyInArrow(_answer_words, _REPLY_SQL)
+    log_rest, n_samples = -np.log10(n_train + n_distinct + 1), SAMPLES
+    unknown, unit = (np.array(x)[:, None] for x in _predictive(parents, base))
 
     def finish(chunk: pa.Table, told: pa.Table) -> pa.Table:
         row = chunk.to_pylist()[0]
@@ -522,15 +537,19 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         # words were asked for by shelf and hash
         by_shelf = np.lexsort((of.hashes, _shelf_of(of.words, shelves)))
         c, p = np.zeros(n, np.int64), np.zeros((n_samples, n))
-        c[by_shelf] = _joined([np.frombuffer(r["a"], "<i8") for r in asked])
-        p[:, by_shelf] = np.concatenate([_F8(r["b"]).reshape(n_samples, -1) for r in asked], axis=1)
+        c[by_shelf] = _joined([_count(r["a"], 8) for r in asked])
+        p[:, by_shelf] = unknown + unit / 2 * np.concatenate([_count(r["b"], 8).reshape(n_samples, -1) for r in asked], axis=1)
         keys, place = np.unique(of.key, return_inverse=True)
         context, w = np.divmod(keys, n)
-        held = _joined([np.frombuffer(r["a"], "<f4") for r in answers]).astype(float)
-        tables = np.concatenate([np.frombuffer(r["b"], "<i8").reshape(n_samples, -1) for r in answers], axis=1)
-        run = np.cumsum(np.diff(context, prepend=-1) != 0) - 1
+        held = _joined([_get(r["a"], 4).astype("<u4").view("<f4") for r in answers]).astype(float)
+        begins = np.diff(context, prepend=-1) != 0
+        run = np.cumsum(begins) - 1
+        tables = np.concatenate([_count(r["b"]).reshape(n_samples, -1) for r in answers], axis=1)
+        # a context in several buckets has the tables of all of them
+        often = frequent.find(of.words[of.context_word[context[begins]]])
+        tables = np.where(often >= 0, np.array(samples).reshape(n_samples, -1)[:, often] if len(frequent.words) else 0, tables)
         seen = c[of.context_word[context]].astype(float)
-        above = np.where(c[w] > 0, p[:, w], unknown[:, None])
+        above = np.where(c[w] > 0, p[:, w], unknown)
         below = ((CONTEXT_STRENGTH + DISCOUNT * tables[:, run]) * above).mean(axis=0)
         mean = np.where(seen > 0, (held + below) / (CONTEXT_STRENGTH + seen), above.mean(axis=0))
         starts = np.cumsum(of.sizes) - of.sizes
