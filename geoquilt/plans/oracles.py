@@ -140,22 +140,23 @@ _SQL: dict[str, tuple[list[str], str]] = {
     "booleanContains": (["geo_hex", "geo_pts"], f"WITH {INSIDE} SELECT nk, id FROM pip"),
     "booleanWithin": (["geo_hex", "geo_pts"], f"WITH {INSIDE} SELECT nk, id FROM pip"),
     "booleanPointInPolygon": (["geo_hex", "geo_pts"], f"WITH {INSIDE} SELECT nk, id FROM pip"),
-    "booleanCrosses": (["geo_path"], """WITH s AS (SELECT fid, ix, lon AS x1, lat AS y1, lead(lon) OVER w AS x2, lead(lat) OVER w AS y2 FROM geo_path WHERE ix<=12 WINDOW w AS (PARTITION BY fid ORDER BY ix)),
-        g AS (SELECT * FROM s WHERE x2 IS NOT NULL), f AS (SELECT DISTINCT fid FROM g),
-        m AS (SELECT a.fid, (a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1) AS det, (b.x1-a.x1)*(b.y2-b.y1)-(b.y1-a.y1)*(b.x2-b.x1) AS t, (b.x1-a.x1)*(a.y2-a.y1)-(b.y1-a.y1)*(a.x2-a.x1) AS u FROM g a JOIN g b ON a.fid=b.fid AND a.ix<=5 AND b.ix>=7)
-        SELECT f.fid, coalesce(bool_or(abs(det)>=1e-14 AND t/det>1e-10 AND t/det<1-1e-10 AND u/det>1e-10 AND u/det<1-1e-10),false) AS value FROM f LEFT JOIN m USING (fid) WHERE f.fid IN (SELECT fid FROM geo_path GROUP BY fid HAVING count(*)>=12) GROUP BY f.fid"""),
+    "booleanCrosses": (["geo_path"], """WITH s AS (SELECT fid, ix, lon AS x1, lat AS y1, lead(lon) OVER w AS x2, lead(lat) OVER w AS y2, count(*) OVER (PARTITION BY fid) AS n FROM geo_path WINDOW w AS (PARTITION BY fid ORDER BY ix)),
+        f AS (SELECT DISTINCT fid FROM s WHERE n>1), g AS (SELECT * FROM s WHERE x2 IS NOT NULL),
+        m AS (SELECT a.fid, (a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1) AS det, (b.x1-a.x1)*(b.y2-b.y1)-(b.y1-a.y1)*(b.x2-b.x1) AS t, (b.x1-a.x1)*(a.y2-a.y1)-(b.y1-a.y1)*(a.x2-a.x1) AS u FROM g a JOIN g b ON a.fid=b.fid AND a.ix<a.n//2 AND b.ix>b.n//2)
+        SELECT f.fid, coalesce(bool_or(abs(det)>=1e-14 AND t/det>1e-10 AND t/det<1-1e-10 AND u/det>1e-10 AND u/det<1-1e-10),false) AS value FROM f LEFT JOIN m USING (fid) GROUP BY f.fid"""),
     "booleanDisjoint": (["geo_hex", "geo_pts"], f"WITH {INSIDE}, x AS (SELECT nk, count(*) AS n FROM pip GROUP BY nk) SELECT h.nk, (SELECT count(*) FROM geo_pts)-coalesce(n,0) AS n FROM (SELECT DISTINCT nk FROM geo_hex) h LEFT JOIN x USING (nk)"),
     "booleanEqual": (["geo_hex"], "SELECT a.nk AS a, b.nk AS b, a.nk=b.nk AS value FROM (SELECT DISTINCT nk FROM geo_hex) a CROSS JOIN (SELECT DISTINCT nk FROM geo_hex) b"),
     "booleanParallel": (["geo_path"], f"""WITH {PATHS}, c AS (SELECT fid, arg_max(lon,ix)-arg_min(lon,ix) AS x, arg_max(lat,ix)-arg_min(lat,ix) AS y FROM p GROUP BY fid)
         SELECT a.fid, abs(a.x*b.y-a.y*b.x)/(sqrt(a.x*a.x+a.y*a.y)*sqrt(b.x*b.x+b.y*b.y))<1e-8 AS value FROM c a JOIN c b ON b.fid=a.fid+1"""),
-    "booleanPointOnLine": (["geo_path"], f"WITH {PATHS} SELECT fid, ix, ix<>1 AND ix<>(max(ix) OVER (PARTITION BY fid)) AS value FROM p QUALIFY ix<=4"),
+    "booleanPointOnLine": (["geo_path"], f"""WITH {PATHS}, e AS (SELECT *, first_value(lon) OVER u AS xa, first_value(lat) OVER u AS ya, first_value(lon) OVER d AS xb, first_value(lat) OVER d AS yb FROM p WINDOW u AS (PARTITION BY fid ORDER BY ix), d AS (PARTITION BY fid ORDER BY ix DESC))
+        SELECT fid, ix, NOT (abs(lon-xa)<1e-12 AND abs(lat-ya)<1e-12 OR abs(lon-xb)<1e-12 AND abs(lat-yb)<1e-12) AS value FROM e"""),
     "collect": (["geo_hex", "geo_pts"], f"WITH {INSIDE}, x AS (SELECT nk, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM pip GROUP BY nk) SELECT h.nk, coalesce(n,0)::BIGINT AS n, coalesce(ids,'') AS ids FROM (SELECT DISTINCT nk FROM geo_hex) h LEFT JOIN x USING (nk)"),
     "clustersDbscan": (["geo_blobs"], f"""WITH {_BLOB_NEAR}, core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*)>=4), ce AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
         reach AS (SELECT id, id AS root FROM core UNION SELECT ce.a, reach.root FROM reach JOIN ce ON ce.b=reach.id),
         roots AS (SELECT id, min(root) AS root FROM reach GROUP BY id), nums AS (SELECT id, dense_rank() OVER (ORDER BY root)-1 AS cluster FROM roots),
         border AS (SELECT a AS id, min(cluster) AS cluster FROM near JOIN nums ON nums.id=near.b GROUP BY a)
         SELECT p.id, coalesce(nums.cluster, border.cluster, -1)::BIGINT AS cluster FROM geo_blobs p LEFT JOIN nums USING (id) LEFT JOIN border USING (id)"""),
-    "clustersKmeans": (["geo_blobs"], kmeans(5, 30)),
+    "clustersKmeans": (["geo_blobs"], kmeans(5, 100)),
     "nearestPoint": (["geo_sites", "geo_pts"], f"WITH m AS (SELECT p.id AS tid, s.id AS fid, {hav('p.lon', 'p.lat', 's.lon', 's.lat')} AS m FROM geo_pts p CROSS JOIN geo_sites s) SELECT tid, arg_min(fid, {{'m': m, 'f': fid}}) AS fid, round(min(m),3) AS meters FROM m GROUP BY tid"),
     "bezierSpline": (["geo_path"], f"""WITH {PATHS}, s AS (SELECT fid, ix, lon, lat, lead(lon) OVER w AS x, lead(lat) OVER w AS y, max(ix) OVER (PARTITION BY fid) AS n FROM p WINDOW w AS (PARTITION BY fid ORDER BY ix)),
         o AS (SELECT fid, 0 AS ix, lon, lat FROM s WHERE ix=1 UNION ALL SELECT fid, 2*ix-1, 0.75*lon+0.25*x, 0.75*lat+0.25*y FROM s WHERE ix<n UNION ALL SELECT fid, 2*ix, 0.25*lon+0.75*x, 0.25*lat+0.75*y FROM s WHERE ix<n UNION ALL SELECT fid, 2*n-1, lon, lat FROM s WHERE ix=n)

@@ -174,9 +174,8 @@ def collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("nk", F.size("ids").cast("long").alias("n"), F.array_join("ids", ",").alias("ids"))
 
 
-# over all customers; the SQL of both still reads the first 599, and 30 rounds
-QUERIES["clustersDbscan"] = lambda spark, sf_dir: A.clusters_dbscan(view(spark, sf_dir, "geo_all_blobs"), 20.0, "kilometers", 4, fid="id").select(F.col("fid").alias("id"), "cluster")
-QUERIES["clustersKmeans"] = lambda spark, sf_dir: A.clusters_kmeans(view(spark, sf_dir, "geo_all_blobs"), 5, fid="id").select(F.col("fid").alias("id"), "cluster")
+QUERIES["clustersDbscan"] = lambda spark, sf_dir: A.clusters_dbscan(view(spark, sf_dir, "geo_blobs"), 20.0, "kilometers", 4, fid="id").select(F.col("fid").alias("id"), "cluster")
+QUERIES["clustersKmeans"] = lambda spark, sf_dir: A.clusters_kmeans(view(spark, sf_dir, "geo_blobs"), 5, fid="id").select(F.col("fid").alias("id"), "cluster")
 
 
 @_query("nearestPoint")

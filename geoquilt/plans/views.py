@@ -24,8 +24,6 @@ SQL: dict[str, tuple[list[str], str]] = {
         CAST((o_orderkey*32452843)%1700000 AS DOUBLE)/CAST(10000 AS DOUBLE)-CAST(85 AS DOUBLE) AS lat2,
         CAST((o_orderkey*31)%360 AS DOUBLE) AS bearing, CAST((o_orderkey*17)%500 AS DOUBLE) AS km FROM orders"""),
     "geo_blobs": (["customer"], f"""SELECT c_custkey AS id, CAST((c_nationkey%5)*4 AS DOUBLE)+{_LON.format(k="c_custkey", a=10000)} AS lon,
-        CAST(CAST(floor(c_nationkey/5) AS INT)*4 AS DOUBLE)+{_LAT.format(k="c_custkey", b=10000)} AS lat FROM customer WHERE c_custkey<600"""),
-    "geo_all_blobs": (["customer"], f"""SELECT c_custkey AS id, CAST((c_nationkey%5)*4 AS DOUBLE)+{_LON.format(k="c_custkey", a=10000)} AS lon,
         CAST(CAST(floor(c_nationkey/5) AS INT)*4 AS DOUBLE)+{_LAT.format(k="c_custkey", b=10000)} AS lat FROM customer"""),
     "geo_sites": (["supplier"], f"""SELECT s_suppkey AS id, {_LON.format(k="s_suppkey", a=3000000)}-CAST(150 AS DOUBLE) AS lon,
         {_LAT.format(k="s_suppkey", b=1400000)}-CAST(70 AS DOUBLE) AS lat FROM supplier"""),
