@@ -45,7 +45,7 @@ CONTEXT_STRENGTH, PARENT_STRENGTH = 4.0, 1.0
 #: Passes over all seatings before the samples are taken, samples (one a pass), and sweeps over the contexts in a pass.
 BURN_IN, SAMPLES, SWEEPS = 2, 3, 2
 #: Bytes of text in a chunk, unless one document is longer; tokens for each bucket of pairs; words of chunks for each shelf.
-CHUNK_BYTES, BUCKET_TOKENS, SHELF_WORDS = 24 << 20, 2 << 20, 1 << 20
+CHUNK_BYTES, BUCKET_TOKENS, SHELF_WORDS = 20 << 20, 2 << 20, 1 << 20
 #: A context of more tokens than a piece is dealt to buckets in quarters of pieces: a 16th of a bucket, or the share at which FREQUENT contexts at most are so frequent.
 PIECES, FREQUENT = 16, 10_000
 

@@ -1,12 +1,15 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made, one of toxic and one of ordinary text. Both
-hold the same common words of ordinary text, so that usual words cost the same
-with either, and each the words that are characteristic of its class. A text is
-cut into windows of a few words; a window that the toxic dictionary shortens
-more than the ordinary one speaks for toxicity. How often a text's windows
-differ by how many bytes is turned into a probability by a calibration on
-labelled documents that the dictionaries have not seen.
+zstandard trains three dictionaries: one on words that set toxic documents
+apart, one of the same size on ordinary windows, and a larger common one on
+other ordinary windows, which follows either of the two, so that usual words
+cost the same with both. Which words of toxic documents to train on is decided
+by contrast: those that begin with letters, or are words, found in far more
+toxic documents than ordinary ones would lead to expect. A text is cut into
+windows of a few words; a window that the toxic side shortens more than the
+ordinary one speaks for toxicity. How often a text's windows differ by how many
+bytes is turned into a probability by a calibration on labelled documents that
+the dictionaries have not seen.
 """
 
 from __future__ import annotations
@@ -24,53 +27,61 @@ from .fitting import fit_logistic, predict
 
 #: Labelled documents from which a model is fitted, at most, by class; half make dictionaries, half calibrate.
 MOST_TOXIC, MOST_ORDINARY = 6_000, 12_000
-#: Words of a window, bytes of the common and of the characteristic part of a dictionary, and zstandard's level.
-WINDOW, COMMON_BYTES, OWN_BYTES, LEVEL = 4, 4_096, 512, 3
+#: Words of a window, bytes of the common and of a class's own dictionary at most, zstandard's level, and the sizes of the segments it trains with.
+WINDOW, COMMON_BYTES, OWN_BYTES, LEVEL, SEGMENT, MATCH = 4, 32_768, 4_096, 12, 32, 6
+#: Ordinary windows that dictionaries are trained on, at most: the first by a hash.
+MOST_WINDOWS = 60_000
 #: Differences in bytes are counted from -CLIP to CLIP.
 CLIP = 10
-#: A word is characteristic if it is in LEAST_DOCS documents of a class or more, and its excess there is this many standard deviations.
-LEAST_DOCS, LEAST_EXCESS = 3, 6.0
+#: A beginning of these lengths, or a word, marks a class if it is in LEAST_DOCS documents of it or more, and its excess there is this many standard deviations.
+BEGINNINGS, LEAST_DOCS, LEAST_EXCESS = (3, 4, 5, 6, 7, 8, 10), 3, 6.0
 #: From this score on a text is predicted to be toxic.
 THRESHOLD = 0.7
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """The two dictionaries' contents and the calibration's weights (none yet: empty)."""
+    """The contents of both sides' dictionaries and the calibration's weights (none yet: empty)."""
 
     toxic: bytes
     ordinary: bytes
     weights: tuple[float, ...] = ()
 
 
+def windows(text: str | None) -> list[bytes]:
+    """A text's words in lower case, WINDOW at a time, with a space at either end."""
+    words = (text or "").lower().encode(errors="replace").split()
+    return [b" " + b" ".join(words[k : k + WINDOW]) + b" " for k in range(0, len(words), WINDOW)]
+
+
 class _Compressors:
     def __init__(self, model: ToxicityModel):
         import zstandard
 
         self.pair = []
         for content in (model.ordinary, model.toxic):
+            # the trained content alone: entropy tables of their own would set the two sides apart on all texts
             words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             words.precompute_compress(level=LEVEL)
             self.pair.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
 
-    def differences(self, text: str) -> np.ndarray:
+    def differences(self, text: str | None) -> np.ndarray:
         """How many bytes each window is shorter with the toxic dictionary."""
-        words = text.lower().encode(errors="replace").split()
         ordinary, toxic = self.pair
-        windows = [b" " + b" ".join(words[k : k + WINDOW]) + b" " for k in range(0, len(words), WINDOW)]
-        return np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in windows), np.int64, len(windows))
+        found = windows(text)
+        return np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in found), np.int64, len(found))
 
     def features(self, text: str | None) -> np.ndarray:
-        """Shares and log counts of the windows by difference, the largest ones, and the number of windows."""
-        found = self.differences(text or "")
+        """Shares and log counts of the windows by difference, the largest ones, the number of windows, and the mean."""
+        found = self.differences(text)
         counts = np.bincount(np.clip(found, -CLIP, CLIP) + CLIP, minlength=2 * CLIP + 1)[CLIP + 2 :].astype(float)
         at_least = np.cumsum(counts[::-1])[::-1]
         top = np.sort(np.clip(found, -CLIP, 2 * CLIP))[-3:] if len(found) else np.zeros(1)
-        return np.concatenate([10 * at_least / max(1, len(found)), np.log1p(at_least), [top.max() / 4, top.mean() / 4, np.log1p(len(found))]])
+        return np.concatenate([10 * at_least / max(1, len(found)), np.log1p(at_least), [top.max() / 4, top.mean() / 4, np.log1p(len(found)), found.mean() if len(found) else 0]])
 
 
 _COMPRESSORS: dict[ToxicityModel, _Compressors] = {}
-N_FEATURES = 2 * (CLIP - 1) + 3
+N_FEATURES = 2 * (CLIP - 1) + 4
 
 
 def _compressors(model: ToxicityModel) -> _Compressors:
@@ -80,31 +91,60 @@ def _compressors(model: ToxicityModel) -> _Compressors:
     return _COMPRESSORS[model]
 
 
-def _dictionaries(sample: DataFrame) -> ToxicityModel:
-    """The contents of both dictionaries, from the document counts of words in a bounded sample (toxic, text)."""
+def train(samples: list[bytes], size: int) -> bytes:
+    """A dictionary of ``size`` bytes or less, trained by zstandard; where it finds too little in the samples, the last of them as they are."""
+    import zstandard
+
+    try:
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=MATCH).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def _markers(sample: DataFrame) -> list[str]:
+    """Beginnings of words, and whole words with a space, that mark the toxic documents of a bounded sample (toxic, text)."""
     stripped = F.transform(F.regexp_extract_all(F.lower("text"), F.lit(WORD_PATTERN), F.lit(0)), lambda w: F.regexp_replace(w, r"^\p{Punct}+|\p{Punct}+$", ""))
-    # copies of a text count once
-    words = sample.dropDuplicates(["toxic", "text"]).select("toxic", F.explode(F.array_distinct(stripped)).alias("word")).where("length(word) BETWEEN 2 AND 40")
-    counts = save(words.groupBy("word").agg(F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("o")), "toxic-words")
-    n_toxic, n_ordinary = (max(1, sample.where(F.col("toxic") == k).select("text").distinct().count()) for k in (1, 0))
+    words = sample.select("toxic", F.array_distinct(F.filter(stripped, lambda w: F.length(w) >= 2)).alias("words"))
+    begun = F.flatten(F.transform("words", lambda w: F.array(F.concat(w, F.lit(" ")), *(F.when(F.length(w) >= k, F.substring(w, 1, k)) for k in BEGINNINGS))))
+    counts = words.select("toxic", F.explode(F.array_distinct(F.array_compact(begun))).alias("mark")).groupBy("mark").agg(F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("o"))
+    n_toxic, n_ordinary = (max(1, sample.where(F.col("toxic") == k).count()) for k in (1, 0))
+    expected = (F.col("o") + 1) / (n_ordinary + 1) * n_toxic
+    found = counts.where(F.col("t") >= LEAST_DOCS).where((F.col("t") - expected) / F.sqrt(expected) >= LEAST_EXCESS)
+    return sorted(r["mark"] for r in found.select("mark").collect())
 
-    def own(mine: str, other: str, n_mine: int, n_other: int) -> bytes:
-        expected = (F.col(other) + 1) / (n_other + 1) * n_mine
-        excess = (F.col(mine) - expected) / F.sqrt(expected)
-        rows = counts.where(F.col(mine) >= LEAST_DOCS).withColumn("excess", excess).where(F.col("excess") >= LEAST_EXCESS).orderBy(F.desc("excess"), "word").limit(OWN_BYTES // 3).collect()
-        # the most characteristic come last, nearest to the text
-        return (" " + " ".join(r["word"] for r in reversed(rows)) + " ").encode()[-OWN_BYTES:].rjust(OWN_BYTES)
 
-    common = counts.orderBy(F.desc("o"), "word").limit(COMMON_BYTES // 3).collect()
-    shared = (" ".join(r["word"] for r in reversed(common)) + " ").encode()[-COMMON_BYTES:].rjust(COMMON_BYTES)
-    return ToxicityModel(own("t", "o", n_toxic, n_ordinary) + shared, own("o", "t", n_ordinary, n_toxic) + shared)
+def _train_sides(sample: DataFrame) -> ToxicityModel:
+    """Both sides' dictionaries from a bounded sample (toxic, text)."""
+    marks = frozenset(_markers(sample))
+
+    def marked(word: str) -> bool:
+        bare = word.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+        return f"{bare} " in marks or any(bare[:k] in marks for k in BEGINNINGS if len(bare) >= k)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                # toxic texts give their marked words, ordinary ones their windows
+                found = [f" {w} ".encode(errors="replace") for w in (text or "").lower().split() if marked(w)] if toxic else windows(text)
+                yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(found), pa.int32()), pa.array(found, pa.binary())], ["toxic", "window"])
+
+    found = save(sample.select("toxic", "text").mapInArrow(each, "toxic int, window binary"), "toxic-windows")
+    order = F.xxhash64(F.lit(5), "window")
+    words, ordinary = ([bytes(r["window"]) for r in found.where(F.col("toxic") == k).orderBy(order, "window").limit(MOST_WINDOWS).collect()] for k in (1, 0))
+    toxic = train(words, OWN_BYTES)
+    # the ordinary side and the common part are trained on windows of their own
+    cut = min(len(words), len(ordinary) // 2)
+    own, common = train(ordinary[:cut], max(256, len(toxic))), train(ordinary[cut:], COMMON_BYTES)
+    size = max(len(toxic), len(own))
+    return ToxicityModel((toxic or own).rjust(size) + common, own.rjust(size) + common)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn: Column | None = None) -> ToxicityModel:
-    """Fit on labelled documents: at most MOST_TOXIC and MOST_ORDINARY of them, the first of each class by a hash of their ids.
+    """Fit on labelled documents: at most MOST_TOXIC and MOST_ORDINARY ids, the first of each class by a hash.
 
     ``learn`` is a condition on doc_id. Documents with several labels are toxic if
-    one says so; null labels do not count. Without toxic labels every score is low.
+    one says so; null labels do not count; of the rows of one id the text with
+    the least hash stands for all. Without toxic labels every score is low.
     """
     truth = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     if learn is not None:
@@ -113,9 +153,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     parts = [truth.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(n) for k, n in ((1, MOST_TOXIC), (0, MOST_ORDINARY))]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most MOST_TOXIC + MOST_ORDINARY rows of 12 bytes
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # halves by text, so that copies are in the same one
-    sample = save(texts.join(chosen, "doc_id").select("toxic", "text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("half")), "toxic-sample")
-    model = _dictionaries(sample.where("half = 0"))
+    one = texts.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    # copies of a text count once in a class, and are in the same half
+    sample = save(one.dropDuplicates(["toxic", "text"]).select("toxic", "text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("half")), "toxic-sample")
+    model = _train_sides(sample.where("half = 0"))
     rows = _features(sample.where("half = 1"), model).toPandas()
     x = np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, N_FEATURES))
     weights = fit_logistic(x, rows["toxic"].to_numpy(float), ridge=0.3)
@@ -153,8 +194,9 @@ def score_held_out(docs: DataFrame, labels: DataFrame, modulus: int = 3, fold: i
     The fold: crc32 of the id's text, modulo ``modulus``, is ``fold``. Labels,
     language, source and id are no inputs of a score. Rows without an id are
     scored (held_out null); rows that repeat an id are scored by their texts;
-    an empty table gives no rows.
+    an empty table gives no rows; columns that clash with others play no part.
     """
-    model = fit(docs, labels, learn=crc_mod("doc_id", modulus) != fold)
+    own = labels.select("doc_id", "toxic")
+    model = fit(docs, own, learn=crc_mod("doc_id", modulus) != fold)
     scored = score(docs, model)
     return scored.select("doc_id", (crc_mod("doc_id", modulus) == fold).alias("held_out"), "score", "predicted")
