@@ -2,7 +2,7 @@
 
 Documents are dealt to tasks by ranges of doc_id, sorted, encoded and cut into
 shards of about ``shard_tokens`` ids. In each shard frequent pairs of ids are
-replaced by nonterminals, round after round. A shard is one row of a Parquet
+replaced by nonterminals, round after round until none is left. A shard is one row of a Parquet
 table, so Spark's committer makes the files safe against lost executors:
 
     part, shard    its place: parts in order, and shards in each part
@@ -15,7 +15,8 @@ table, so Spark's committer makes the files safe against lost executors:
     first_rule     the smallest number that is not a token id of the shard
 
 A pair never begins with a document's last symbol, so each document is a run of
-whole symbols, and ``rule_lengths`` lead to any token within it.
+whole symbols, and ``rule_lengths`` lead to any token within it without
+expanding what lies before.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from .common import save, small_side
-from .tokens import encoder, with_end
+from .tokens import encoder, slices, with_end
 
 #: Shards up to which the table of their first tokens' places is broadcast.
 BROADCAST_SHARDS = 2_000_000
@@ -93,8 +94,35 @@ class Grammar:
 
     def document(self, k: int) -> np.ndarray:
         """The token ids of document k alone."""
+        return self.tokens(k)
+
+    def tokens(self, k: int, i: int = 0, j: int | None = None) -> np.ndarray:
+        """The token ids i:j of document k; only the rules on the way to them are opened."""
         begin = int(self.sizes[:k].sum())
-        return self.decode(begin, begin + int(self.sizes[k]))
+        symbols = self.symbols[begin : begin + int(self.sizes[k])].astype(np.int64)
+        lengths = np.ones(len(symbols), np.int64)
+        is_rule = symbols >= self.first_rule
+        lengths[is_rule] = self.lengths[symbols[is_rule] - self.first_rule]
+        ends = np.cumsum(lengths)
+        n = int(ends[-1]) if len(ends) else 0
+        i, j = max(0, i), n if j is None else min(j, n)
+        if i >= j:
+            return np.zeros(0, np.uint32)
+        first, last = int(np.searchsorted(ends, i, side="right")), int(np.searchsorted(ends, j))
+        at, out = int(ends[first] - lengths[first]), []
+        todo = symbols[first : last + 1][::-1].tolist()
+        while todo and at < j:
+            symbol = todo.pop()
+            size = 1 if symbol < self.first_rule else int(self.lengths[symbol - self.first_rule])
+            if at + size <= i:
+                at += size
+            elif symbol < self.first_rule:
+                out.append(symbol)
+                at += 1
+            else:
+                left, right = self.rules[symbol - self.first_rule].tolist()
+                todo += [right, left]
+        return np.array(out, np.uint32)
 
 
 def _frequent_pairs(seq: np.ndarray, open_: np.ndarray, least: int, most: int) -> list[tuple[int, int]]:
@@ -111,7 +139,7 @@ def _frequent_pairs(seq: np.ndarray, open_: np.ndarray, least: int, most: int) -
     often = counts[counts >= least]
     if not often.size:
         return []
-    # slots beyond the fullest hold no pair that would be chosen, or one that a later round finds
+    # slots beyond the fullest wait for a later round
     bar = np.partition(often, -2 * most)[-2 * most] if often.size > 2 * most else least
     candidates = np.flatnonzero((counts >= bar)[slot])
     pairs, n = np.unique(left[candidates].astype(np.int64) << 32 | right[candidates], return_counts=True)
@@ -129,12 +157,26 @@ def _frequent_pairs(seq: np.ndarray, open_: np.ndarray, least: int, most: int) -
     return chosen
 
 
-def compress(ids: np.ndarray, sizes: np.ndarray, least: int = 16, rounds: int = 6, rules_per_round: int = 4096) -> Grammar:
+def _doubled(seq: np.ndarray, open_: np.ndarray, least: int) -> tuple[list[int], np.ndarray]:
+    """(symbols that are their own right neighbours ``least`` times or more, every other place within a run counted; these places)."""
+    same = np.flatnonzero((seq[:-1] == seq[1:]) & open_[:-1])
+    if not len(same):
+        return [], same
+    # a run's places follow one another and hold one symbol; the first, third and so on are taken
+    begins = np.flatnonzero(np.concatenate([[True], (np.diff(same) > 1) | (np.diff(seq[same].astype(np.int64)) != 0)]))
+    step = np.arange(len(same)) - np.repeat(begins, np.diff(begins, append=len(same)))
+    places = same[step % 2 == 0]
+    symbols, counts = np.unique(seq[places], return_counts=True)
+    symbols = symbols[counts >= least]
+    return symbols.tolist(), places[np.isin(seq[places], symbols)]
+
+
+def compress(ids: np.ndarray, sizes: np.ndarray, least: int = 16, rules_per_round: int = 4096) -> Grammar:
     """Re-Pair over documents of ``sizes`` ids each.
 
     Each round replaces up to ``rules_per_round`` pairs that occur ``least`` times
-    or more; it ends when there are none, or after ``rounds``. Pairs of two equal
-    symbols are left, so that occurrences never overlap.
+    or more, the most frequent first; then pairs of two equal symbols, from the
+    left of each run. It ends when no pair is so frequent.
     """
     seq = ids.astype(np.uint32)
     first_rule = int(seq.max()) + 1 if len(seq) else 0
@@ -143,30 +185,38 @@ def compress(ids: np.ndarray, sizes: np.ndarray, least: int = 16, rounds: int =
     last[ends[sizes > 0] - 1] = True
     rules: list[tuple[int, int]] = []
     lengths: list[int] = []
-    for _ in range(rounds):
-        chosen = _frequent_pairs(seq, ~last, least, rules_per_round) if len(seq) > 1 else []
-        if not chosen:
-            break
-        table = np.array([a << 32 | b for a, b in chosen], np.int64)
-        order = np.argsort(table)
-        role = np.zeros(first_rule + len(rules) + 1, np.int8)
-        role[[a for a, _ in chosen]] = 1
-        role[[b for _, b in chosen]] = 2
-        roles = role[seq]
-        places = np.flatnonzero((roles[:-1] == 1) & (roles[1:] == 2) & ~last[:-1])
-        keys = seq[places].astype(np.int64) << 32 | seq[places + 1]
-        found = np.minimum(np.searchsorted(table[order], keys), len(table) - 1)
-        hit = table[order][found] == keys
-        places, which = places[hit], order[found[hit]]
+
+    def replace(chosen: list[tuple[int, int]], places: np.ndarray, which: np.ndarray) -> None:
+        nonlocal seq, last, rules, lengths
         seq[places] = (first_rule + len(rules) + which).astype(np.uint32)
         last[places] = last[places + 1]
         keep = np.ones(len(seq), bool)
         keep[places + 1] = False
         seq, last = seq[keep], last[keep]
-        known = np.array(lengths or [0], np.int64)
-        size = lambda s: 1 if s < first_rule else int(known[s - first_rule])  # noqa: B023, E731
-        lengths += [size(a) + size(b) for a, b in chosen]
-        rules += chosen
+        known = lengths
+        size = lambda s: 1 if s < first_rule else known[s - first_rule]
+        lengths = known + [size(a) + size(b) for a, b in chosen]
+        rules = rules + chosen
+
+    while len(seq) > 1:
+        chosen = _frequent_pairs(seq, ~last, least, rules_per_round)
+        if chosen:
+            table = np.array([a << 32 | b for a, b in chosen], np.int64)
+            order = np.argsort(table)
+            role = np.zeros(first_rule + len(rules) + 1, np.int8)
+            role[[a for a, _ in chosen]] = 1
+            role[[b for _, b in chosen]] = 2
+            roles = role[seq]
+            places = np.flatnonzero((roles[:-1] == 1) & (roles[1:] == 2) & ~last[:-1])
+            keys = seq[places].astype(np.int64) << 32 | seq[places + 1]
+            found = np.minimum(np.searchsorted(table[order], keys), len(table) - 1)
+            hit = table[order][found] == keys
+            replace(chosen, places[hit], order[found[hit]])
+        equal, places = _doubled(seq, ~last, least) if len(seq) > 1 else ([], None)
+        if equal:
+            replace([(a, a) for a in equal], places, np.searchsorted(equal, seq[places]))
+        if not chosen and not equal:
+            break
     out_sizes = np.zeros(len(sizes), np.int64)
     out_sizes[sizes > 0] = np.diff(np.flatnonzero(last), prepend=-1)
     return Grammar(seq, np.array(rules, np.uint32).reshape(-1, 2), np.array(lengths, np.int64), first_rule, out_sizes)
@@ -205,8 +255,7 @@ def write_grammar(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str
             return pa.RecordBatch.from_pylist([{"part": part, "shard": number, "doc_ids": doc_ids, "n_tokens": sizes.tolist(), "n_symbols": g.sizes.tolist(), "symbols": pack(g.symbols), "rules": pack(g.rules), "rule_lengths": pack(g.lengths), "first_rule": g.first_rule}], schema)
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 1_000):
-                some = batch.slice(k, 1_000)
+            for some in slices(batch, 1):
                 ids, sizes = with_end(*encoder(tokenizer).encode(some.column(1)), end_id)
                 kept.append((some.column(0).to_pylist(), ids, sizes))
                 held += len(ids)

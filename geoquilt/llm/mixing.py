@@ -3,8 +3,9 @@
 Each source takes whole copies of all its documents as far as its target goes;
 what remains is filled by whole documents. Their number of each exact length is
 planned from the histogram of lengths alone: an even share of each length first,
-then a bounded-knapsack dynamic programme over the remaining budget. Which
-documents of a length are taken follows a seeded hash.
+rounded up or down by seeded chance, then a bounded-knapsack dynamic programme
+over the small remaining budget. Which documents of a length are taken follows
+a seeded hash.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, save
+from .common import WORD_PATTERN, save, small_side
 
-#: Words of budget that the dynamic programme fills exactly if any choice does.
-PROGRAMME_WORDS = 1 << 17
+#: Mean lengths that the even share leaves to the dynamic programme at first, and words of budget up to which it is given more if it cannot fill that exactly.
+PROGRAMME_DOCS, PROGRAMME_WORDS = 4, 1 << 17
+#: Sources up to which the table of targets is broadcast.
+BROADCAST_SOURCES = 1_000_000
 #: Slices of the seeded order, ranked one by one.
 SLICES = 1024
 
@@ -46,44 +49,80 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return settled.withColumn("level", F.first("level", ignorenulls=True).over(by_room.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).select("source", "source_size", F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(full, F.col("level") * F.col("weight"))).alias("target"))
 
 
-def fill_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+def fill_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = 42) -> np.ndarray:
     """How many items of each length to take so that their sum comes as near to the budget from below as can be found.
 
-    An even share of all lengths comes first, then what still fits from the
-    longest down, each leaving PROGRAMME_WORDS of budget; the dynamic programme
-    fills that rest with the best sum of the items not yet taken.
+    Every length gives the same share of its items, its last one by seeded
+    chance; in seeded order single items then go or come until a small budget is
+    left, which the dynamic programme fills with the best sum of the items not
+    yet taken. Where it cannot fill it to the word, it starts again with more
+    budget left, up to PROGRAMME_WORDS.
     """
-    take = np.zeros(len(lengths), np.int64)
+    counts = counts.astype(np.int64)
     total = int((lengths * counts).sum())
     if budget <= 0 or not total:
-        return take
+        return np.zeros(len(lengths), np.int64)
     if budget >= total:
-        return counts.astype(np.int64).copy()
-    bulk = max(0, budget - PROGRAMME_WORDS)
-    take = np.floor(counts * (bulk / total)).astype(np.int64)
-    order = np.argsort(-lengths)
-    left = bulk - int((take * lengths).sum())
-    for k in order.tolist():
-        more = min(int(counts[k] - take[k]), max(0, left) // int(lengths[k]))
-        take[k] += more
-        left -= more * int(lengths[k])
+        return counts.copy()
+    rng = np.random.default_rng([seed, total, budget])
+    chance, order = rng.random(len(lengths)), rng.permutation(len(lengths))
+    left = PROGRAMME_DOCS * -(-total // int(counts.sum()))
+    best, best_sum = np.zeros(len(lengths), np.int64), -1
+    while True:
+        take = _even_share(lengths, counts, budget - left, chance, order)
+        take += _knapsack(lengths, counts - take, budget - int((take * lengths).sum()), order)
+        taken = int((take * lengths).sum())
+        if taken > best_sum:
+            best, best_sum = take, taken
+        if best_sum == budget or left >= min(budget, PROGRAMME_WORDS):
+            return best
+        left *= 4
+
+
+def _even_share(lengths: np.ndarray, counts: np.ndarray, budget: int, chance: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """About the same share of each length, its sum within the budget and short of it by less than any item in ``order`` that was passed by."""
+    if budget <= 0:
+        return np.zeros(len(lengths), np.int64)
+    share = counts * (budget / int((lengths * counts).sum()))
+    take = np.minimum(counts, np.floor(share).astype(np.int64) + (chance < share % 1))
     rest = budget - int((take * lengths).sum())
-    reached = np.zeros(rest + 1, bool)
+    for k in order.tolist():
+        size = int(lengths[k])
+        if rest < 0 and take[k] and chance[k] < share[k] % 1:
+            take[k] -= 1
+            rest += size
+        elif 0 < size <= rest and take[k] < counts[k] and chance[k] >= share[k] % 1:
+            take[k] += 1
+            rest -= size
+    for k in order.tolist() if rest < 0 else []:
+        fewer = min(int(take[k]), -(rest // int(lengths[k])))
+        take[k] -= fewer
+        rest += fewer * int(lengths[k])
+        if rest >= 0:
+            break
+    return take
+
+
+def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int, order: np.ndarray) -> np.ndarray:
+    """The items whose sum is the largest within the budget; of equal sums the first found in ``order``."""
+    take = np.zeros(len(lengths), np.int64)
+    reached = np.zeros(budget + 1, bool)
     reached[0] = True
-    by_item = np.full(rest + 1, -1, np.int32)
+    by_item = np.full(budget + 1, -1, np.int32)
     items: list[tuple[int, int]] = []
     for k in order.tolist():
-        n, size = min(int(counts[k] - take[k]), rest // int(lengths[k])), 1
-        while n > 0 and not reached[rest]:
+        # powers of two of a length stand for any number of it
+        n, size = min(int(counts[k]), budget // int(lengths[k])), 1
+        while n > 0 and not reached[budget]:
             size_now = min(size, n)
             step = size_now * int(lengths[k])
-            if step <= rest:
-                new = reached[: rest + 1 - step] & ~reached[step:]
+            if step <= budget:
+                new = reached[: budget + 1 - step] & ~reached[step:]
                 by_item[step:][new] = len(items)
                 reached[step:] |= new
                 items.append((k, size_now))
             n, size = n - size_now, size * 2
-        if reached[rest]:
+        if reached[budget]:
             break
     at = int(np.flatnonzero(reached)[-1])
     while at:
@@ -111,7 +150,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lengths = lengths.sort_values("size")
         goal = int(round(lengths["target"].iloc[0]))
         whole, budget = divmod(goal, int(lengths["source_size"].iloc[0]))
-        extra = fill_budget(lengths["size"].to_numpy(np.int64), lengths["n"].to_numpy(np.int64), budget if whole < most else 0)
+        extra = fill_budget(lengths["size"].to_numpy(np.int64), lengths["n"].to_numpy(np.int64), budget if whole < most else 0, seed)
         return pd.DataFrame({"source": lengths["source"], "size": lengths["size"], "n": lengths["n"], "copies": min(whole, most), "extra": extra})
 
     # a group is one source's distinct lengths, not its documents
@@ -129,7 +168,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ranked = joined.where("here > 0 AND here < m").withColumn("extra", F.when(rank <= F.col("here"), 1).otherwise(0))
     others = joined.where("here IS NULL OR here = 0 OR here = m").withColumn("extra", F.when((F.col("here") > 0) & (F.col("here") == F.col("m")), 1).otherwise(0))
     taken = ranked.unionByName(others).select("doc_id", "text_key", F.col("source").alias("src"), "size", (F.col("size") * (F.coalesce("copies", F.lit(0)) + F.col("extra"))).cast("long").alias("taken"))
-    return taken.join(F.broadcast(targets), taken["src"].eqNullSafe(targets["source"])).select("doc_id", "text_key", "source", "size", "source_size", "target", "taken")
+    return taken.join(small_side(targets, BROADCAST_SOURCES), taken["src"].eqNullSafe(targets["source"])).select("doc_id", "text_key", "source", "size", "source_size", "target", "taken")
 
 
 def repeat_taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

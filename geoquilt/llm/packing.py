@@ -15,8 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
-from .tokens import encoder, with_end
+from .common import save, small_side
+from .tokens import encoder, slices, with_end
+
+#: Tasks up to which the table of their buckets' first sequences is broadcast: one row of some 200 bytes for each.
+BROADCAST_PARTS = 1_000_000
 
 
 def binary_lengths(sizes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,8 +54,7 @@ def pack_power_of_two(docs: DataFrame, tokenizer: str, end_id: int = 2, longest:
         part = TaskContext.get().partitionId()
         seen = np.zeros(longest.bit_length(), np.int64)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1_000):
-                some = batch.slice(k, 1_000)
+            for some in slices(batch, 1):
                 ids, sizes = with_end(*encoder(tokenizer).encode(some.column(1)), end_id)
                 doc, lengths = binary_lengths(sizes, longest)
                 ends = np.cumsum(lengths)
@@ -71,6 +73,8 @@ def pack_power_of_two(docs: DataFrame, tokenizer: str, end_id: int = 2, longest:
 
     cut = save(source.mapInArrow(pieces, "doc_id long, start long, length long, ids binary, doc_tokens long, part int, rank long"), "pieces")
     counts = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
-    # one row per length and task, so that the order over all of them stays small
+    # one row per length and task, so that the order over all of them stays small; then one row per task, so that pieces stay where they are
     first = counts.select("length", "part", (F.sum("n").over(Window.orderBy(F.desc("length"), "part")) - F.col("n")).alias("first"))
-    return cut.join(first, ["length", "part"]).select("doc_id", "start", "length", "ids", "doc_tokens", (F.col("first") + F.col("rank")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    first = save(first.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "first"))).alias("first")), "first-sequences")
+    placed = cut.join(small_side(first, BROADCAST_PARTS), "part")
+    return placed.select("doc_id", "start", "length", "ids", "doc_tokens", (F.element_at("first", F.col("length")) + F.col("rank")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

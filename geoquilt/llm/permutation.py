@@ -22,7 +22,7 @@ from .common import save
 
 #: Vectors of the sample from which pivots are drawn, pivots, and pivots that represent a vector.
 SAMPLE, PIVOTS, NEAREST = 10_000, 256, 128
-#: Vectors of a shard, of which a query compares exactly the DEPTH best by footrule; queries of a block.
+#: Vectors of a shard, of which a query compares exactly the DEPTH best by footrule (a quarter of a smaller shard, but 4 for each neighbour asked for); queries of a block.
 SHARD, DEPTH, BLOCK = 16_384, 640, 512
 
 
@@ -64,19 +64,19 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarra
     return np.argsort(square, axis=1, kind="stable")[:, :nearest].astype(np.int16)
 
 
-_SHARD_SCHEMA = "shard int, n int, dim int, ids binary, vectors binary, rows binary, places binary, starts binary"
+_SHARD_SCHEMA = "shard int, n int, dim int, ids binary, numbers binary, vectors binary, rows binary, places binary, starts binary"
 
 
 def build_index(vectors: DataFrame, pivots: np.ndarray, shards: int, nearest: int = NEAREST) -> DataFrame:
-    """One row per shard: its ids and vectors, and the inverted files of all pivots one after the other.
+    """One row per shard: its ids, numbers of rows and vectors, and the inverted files of all pivots one after the other.
 
     rows: the shard's rows that have a pivot, in order of ids; places: where they
     have it; starts: where each pivot's file begins. Written to the shared folder.
     """
-    dealt = vectors.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "v")
+    dealt = vectors.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "number", "v")
 
     def build(table: pa.Table) -> pa.Table:
-        table = table.sort_by("vec_id")
+        table = table.sort_by([("vec_id", "ascending"), ("number", "ascending")])
         ids = table["vec_id"].to_numpy()
         x = table["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         order = nearest_pivots(x, pivots, nearest)
@@ -89,6 +89,7 @@ def build_index(vectors: DataFrame, pivots: np.ndarray, shards: int, nearest: in
                 "n": pa.array([len(ids)], pa.int32()),
                 "dim": pa.array([x.shape[1]], pa.int32()),
                 "ids": [ids.astype("<i8").tobytes()],
+                "numbers": [table["number"].to_numpy().astype("<i8").tobytes()],
                 "vectors": [x.astype("<f8").tobytes()],
                 "rows": [(by_pivot // width).astype("<i4").tobytes()],
                 "places": [(by_pivot % width).astype("u1").tobytes()],
@@ -115,24 +116,26 @@ def footrule(order: np.ndarray, rows: np.ndarray, places: np.ndarray, starts: np
 def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", nearest: int = NEAREST, depth: int = DEPTH, exact: bool = False) -> DataFrame:
     """(query_id, rank int from 1, vec_id, score): each query's ``k`` nearest found by Euclidean distance, ties to the smaller id.
 
-    ``queries`` is a condition on vec_id. A query is no candidate of its own id;
-    with fewer candidates all are returned; rows that take no part (see usable)
-    are neither; other columns are not used; an empty table gives no rows. Rows
-    that repeat an id are candidates of their own. ``exact`` compares every
-    vector, to measure recall.
+    ``queries`` is a condition on vec_id. A query's own row is no candidate of
+    it; with fewer candidates all are returned; rows that take no part (see
+    usable) are neither; other columns are not used; an empty table gives no
+    rows. Rows that repeat an id are candidates and queries of their own, with a
+    list each, and meet one another. ``exact`` compares every vector, to measure
+    recall.
     """
     spark: SparkSession = vectors.sparkSession
-    good = save(usable(vectors, id_col, vector_col), "vectors")
+    # numbered as written, so that a row is known by its number from here on
+    good = save(usable(vectors, id_col, vector_col).withColumn("number", F.monotonically_increasing_id()), "vectors")
     count = good.count()
     pivots = choose_pivots(good, count)
-    schema = "query_id long, vec_id long, score double"
+    schema = "query_number long, query_id long, vec_id long, score double"
     if not len(pivots):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     n_shards = max(1, math.ceil(count / SHARD))
     index = build_index(good, pivots, n_shards, nearest)
-    asked = good.where(queries).select("vec_id", "v")
+    asked = good.where(queries).select("vec_id", "number", "v")
     n_blocks = max(1, math.ceil(asked.count() / BLOCK))
-    blocks = asked.groupBy(F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)).alias("block")).agg(F.collect_list("vec_id").alias("q_ids"), F.collect_list("v").alias("qs"))
+    blocks = asked.groupBy(F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "number", "v")).alias("q")).select("block", F.col("q.vec_id").alias("q_ids"), F.col("q.number").alias("q_numbers"), F.col("q.v").alias("qs"))
     blocks = save(blocks, "queries")
     # each block meets each shard once: rows of bounded size, as many as blocks times shards
     met = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).join(index, "shard")
@@ -143,30 +146,28 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i] for name in batch.schema.names}
                 n, dim = row["n"].as_py(), row["dim"].as_py()
-                ids = np.frombuffer(row["ids"].as_buffer(), "<i8")
+                ids, numbers = (np.frombuffer(row[c].as_buffer(), "<i8") for c in ("ids", "numbers"))
                 x = np.frombuffer(row["vectors"].as_buffer(), "<f8").reshape(n, dim)
                 rows, places, starts = (np.frombuffer(row[c].as_buffer(), t) for c, t in (("rows", "<i4"), ("places", "u1"), ("starts", "<i8")))
-                q_ids = row["q_ids"].values.to_numpy()
+                q_ids, q_numbers = (row[c].values.to_numpy() for c in ("q_ids", "q_numbers"))
                 q = row["qs"].values.flatten().to_numpy().reshape(-1, dim)
                 orders = nearest_pivots(q, pivots, nearest)
-                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for q_id, one, order in zip(q_ids.tolist(), q, orders, strict=True):
-                    if exact or n <= depth:
-                        best = np.arange(n)
-                    else:
-                        # rows are in order of ids, so equal footrules go to the smaller id
-                        key = footrule(order, rows, places, starts, n).astype(np.int64) * n + np.arange(n)
-                        best = np.argpartition(key, depth)[:depth]
-                    best = best[ids[best] != q_id]
+                out: list[tuple[np.ndarray, ...]] = []
+                most = n if exact else min(n, depth, max(4 * k, n // 4))
+                for q_id, number, one, order in zip(q_ids.tolist(), q_numbers.tolist(), q, orders, strict=True):
+                    # rows are in order of ids, so equal footrules go to the smaller id
+                    key = footrule(order, rows, places, starts, n).astype(np.int64) * n + np.arange(n)
+                    best = np.argpartition(key, most - 1)[:most]
+                    best = best[numbers[best] != number]
                     score = np.sqrt(((x[best] - one) ** 2).sum(axis=1))
                     top = np.lexsort((ids[best], score))[:k]
-                    out.append((np.full(len(top), q_id), ids[best][top], score[top]))
+                    out.append((np.full(len(top), number), np.full(len(top), q_id), ids[best][top], score[top]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(4)], ["query_number", "query_id", "vec_id", "score"])
 
-    found = met.select("q_ids", "qs", "n", "dim", "ids", "vectors", "rows", "places", "starts").mapInArrow(compare, schema)
+    found = met.select("q_ids", "q_numbers", "qs", "n", "dim", "ids", "numbers", "vectors", "rows", "places", "starts").mapInArrow(compare, schema)
     # k rows from each shard for each query
     best = F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k)
-    ranked = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("place", "b"))
+    ranked = found.groupBy("query_number", "query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("place", "b"))
     return ranked.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
 

@@ -40,7 +40,14 @@ MORE_RULES = (
     Rule("github", r"(ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
+    Rule("stripe", r"(sk|rk)_(live|test)_[A-Za-z0-9]{16,}"),
+    Rule("npm", r"npm_[A-Za-z0-9]{36}"),
+    Rule("pypi", r"pypi-[A-Za-z0-9_-]{50,}"),
+    Rule("azure", r"AccountKey=[A-Za-z0-9+/]{40,}={0,2}"),
+    Rule("login", r"(postgres|postgresql|mysql|mongodb|redis|amqp)://[A-Za-z0-9._%-]+:[A-Za-z0-9._%!$-]+@[A-Za-z0-9.-]+"),
+    # the header, and what follows of the key's body and its end
+    Rule("pem", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----([A-Za-z0-9+/=\x20\x09\x0A\x0D]*-----END [A-Z0-9 ]*PRIVATE KEY-----|[A-Za-z0-9+/=\x20\x09\x0A\x0D]*)"),
 )
 RULES = BASE_RULES + MORE_RULES
 

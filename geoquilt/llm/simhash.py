@@ -30,6 +30,8 @@ from .words import Words, split_words
 _SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 #: A tile's key has four digits from 0 to 16; the base is so large that steps between tiles carry nothing over.
 _QUARTERS, _BASE = 4, 64
+#: Tiles that a tile meets in one group of the join.
+_SALT = 64
 #: Tiles of near_copies: population counts to a bin, bins to a band of sizes, and shingles to a tile.
 _BIN, _BINS, _TILE_SHINGLES = 8, 16, 1 << 20
 
@@ -113,6 +115,11 @@ def _spanning(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[kept], nodes[root[kept]]
 
 
+def _salted(left: DataFrame, counts: DataFrame) -> DataFrame:
+    """A copy of each tile for every _SALT tiles of the key ``to`` that it goes to, so that no group of the join holds more of them."""
+    return left.join(F.broadcast(counts), "to").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(tiles - 1) div {_SALT}")))).drop("tiles")
+
+
 def near_links(classes: DataFrame, radius: int = 2, tile: int = 512) -> DataFrame:
     """(src, dst): links between different values of the column fp of ``classes``, enough to connect all within the radius.
 
@@ -127,9 +134,9 @@ def near_links(classes: DataFrame, radius: int = 2, tile: int = 512) -> DataFram
     tiles = save(tiles, "tiles")
     steps = [d for d in product(range(-radius, radius + 1), repeat=_QUARTERS) if sum(map(abs, d)) <= radius and d >= (0,) * _QUARTERS]
     reach = F.array(*(F.col("key") + sum(x * _BASE**k for k, x in enumerate(d)) for d in steps))
-    left = tiles.select(F.explode(reach).alias("to"), F.col("key").alias("from"), F.col("sub").alias("sub_a"), F.col("fps").alias("a"))
-    right = tiles.select(F.col("key").alias("to"), F.col("sub").alias("sub_b"), F.col("fps").alias("b"))
-    pairs = left.join(right, "to").where("to != from OR sub_a <= sub_b").select("a", "b")
+    left = _salted(tiles.select(F.explode(reach).alias("to"), F.col("key").alias("from"), F.col("sub").alias("sub_a"), F.col("fps").alias("a")), counts.withColumnRenamed("key", "to"))
+    right = tiles.select(F.col("key").alias("to"), F.col("sub").alias("sub_b"), F.expr(f"sub div {_SALT}").alias("salt"), F.col("fps").alias("b"))
+    pairs = left.join(right, ["to", "salt"]).where("to != from OR sub_a <= sub_b").select("a", "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,10 +214,10 @@ def _candidates(classes: DataFrame, radius: int, similarity: float, tile: int) -
     steps = [(0, d) for d in range(far + 1)] + [(1, d) for d in range(-far, far + 1)]
     reach = F.array(*(F.when(F.col("at") % _BINS + d >= 0, F.col("at") + b * _BINS + d) for b, d in steps))
     side = lambda x: (F.col("sub").alias(f"sub_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("key", "fp", "n")))
-    left = tiles.select(F.explode(reach).alias("to"), F.col("at").alias("from"), *side("a")).where("to IS NOT NULL")
-    right = tiles.select(F.col("at").alias("to"), *side("b"))
+    left = _salted(tiles.select(F.explode(reach).alias("to"), F.col("at").alias("from"), *side("a")).where("to IS NOT NULL"), counts.withColumnRenamed("at", "to"))
+    right = tiles.select(F.col("at").alias("to"), F.expr(f"sub div {_SALT}").alias("salt"), *side("b"))
     block = F.xxhash64("from", "sub_a", "to", "sub_b").alias("block")
-    pairs = left.join(right, "to").where("to != from OR sub_a <= sub_b").select(block, *(f"{c}_{x}" for x in "ab" for c in ("key", "fp", "n")))
+    pairs = left.join(right, ["to", "salt"]).where("to != from OR sub_a <= sub_b").select(block, *(f"{c}_{x}" for x in "ab" for c in ("key", "fp", "n")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from .words import split_words
@@ -127,6 +129,17 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = 1_000, size: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows, and of ``size`` bytes of the texts in a column unless one row has more."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, min(at + rows, int(np.searchsorted(total, total[at] + size, side="right")) - 1))
+        yield batch.slice(at, end - at)
+        at = min(end, batch.num_rows)
+
+
 def with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Append ``end_id`` to each document's ids."""
     return np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
