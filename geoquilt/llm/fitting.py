@@ -25,12 +25,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
     shrink = np.full(d + 1, ridge)
     shrink[-1] = 1e-6
     weight = np.ones(n) if weight is None else weight
+    loss = lambda w: float(weight @ (np.logaddexp(0, a @ w) - y * (a @ w)) + shrink @ w**2 / 2)
+    now = loss(w)
     for _ in range(steps):
         p = sigmoid(a @ w)
         gradient = a.T @ (weight * (p - y)) + shrink * w
         hessian = (a * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ a + np.diag(shrink)
         step = np.linalg.solve(hessian, gradient)
-        w -= step * min(1.0, 4 / max(1e-12, np.abs(step).max()))
+        # a whole step may overshoot: half of it, then, and so on
+        while (new := loss(w - step)) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w, now = w - step, new
         if np.abs(step).max() < 1e-6:
             break
     return w

@@ -298,6 +298,32 @@ def test_co_training_finds_junk(spark):
     assert kept.columns == docs.columns and kept.count() == got["kept"].sum()
 
 
+def test_pseudo_labels_go_both_ways(spark):
+    """Each view hands over what was asked of it in each round, unlabelled documents only, and neither ends worse than it began."""
+    rng = np.random.default_rng(9)
+    word = lambda k: "".join(rng.choice(list(k), 5))
+    rows = []
+    for k in range(4_000):
+        good = rng.random() < 0.7
+        # either view alone errs in a part of the documents, independently of the other
+        text, source = (good if rng.random() < 0.9 else not good), (good if rng.random() < 0.85 else not good)
+        rows.append((k, " ".join(word("aeioulnrst" if text else "bcdfghjkmp") for _ in range(30)), f"{'good' if source else 'bad'}{rng.integers(4)}.org", "en", int(good)))
+    docs = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, source string, lang string").repartition(3)
+    labels = spark.createDataFrame([(r[0], r[4]) for r in rows[:400]], "doc_id long, quality int")
+    table = cotraining.save(cotraining.features(docs), "features")
+    fresh = np.array([r[4] for r in rows[400:]])
+
+    def rates(model):
+        got = cotraining.score(table, model).toPandas().set_index("doc_id").loc[range(400, 4_000)]
+        return [((got[c] >= 0.5) == fresh).mean() for c in ("content_score", "meta_score", "score")]
+
+    model = cotraining.fit(table, labels, rounds=3, exchanged=100)
+    assert len(model.exchanged) == 3 and all(a == b == 100 for a, b in model.exchanged)
+    before, after = rates(cotraining.fit(table, labels, rounds=0)), rates(model)
+    assert all(b >= a - 0.005 for a, b in zip(before[:2], after[:2], strict=True))
+    assert after[0] > 0.85 and after[1] > 0.83 and after[2] > max(after[:2]) + 0.02
+
+
 def test_classifier_on_awkward_rows(docs, empty, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = cotraining.classify(docs, none).collect()
