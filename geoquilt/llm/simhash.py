@@ -7,8 +7,10 @@ over the quarters, so all other pairs of tiles are skipped. Within a pair of
 tiles numpy's exclusive-or and bit counts compare every pair; a tile pair gives
 a spanning forest of the links that it finds, which is enough for components.
 
-near_copies takes a wide radius only to find candidates, which then need enough
-shingles in common. It deals texts to tiles by their numbers of shingles too.
+near_copies takes a wide radius only to find candidates, which then have to be as
+near in further fingerprints of other hashes, so that chance ones do not grow with
+the square of the texts, and need enough shingles in common. It deals texts to
+tiles by their numbers of shingles too.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import release, save, small_side
 from .components import connected_components
+from .restaurant import mix
 from .words import Words, split_words
 
 #: For a byte: a 64-bit number with one byte per bit of it.
@@ -34,6 +37,8 @@ _QUARTERS, _BASE = 4, 64
 _SALT = 64
 #: Tiles of near_copies: population counts to a bin, bins to a band of sizes, and shingles to a tile.
 _BIN, _BINS, _TILE_SHINGLES = 8, 16, 1 << 20
+#: Further fingerprints of near_copies, and texts with candidates up to which their keys (8 bytes each) are broadcast.
+_FURTHER, BROADCAST_TEXTS = ("fp1", "fp2", "fp3"), 2_000_000
 
 
 def _shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +175,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, with_sets: bool) -> DataFrame:
-    """(doc_id, text_key, key, fp, n), or (key, shingles): key is a hash of a text's set of n shingles, shingles their sorted 64-bit hashes."""
+    """(doc_id, text_key, key, fp and further ones, n), or (key, shingles): key is a hash of a text's set of n shingles, shingles their sorted 64-bit hashes."""
     import xxhash
 
     text = F.col(text_col).cast("string")
@@ -188,36 +193,38 @@ def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, wit
                 if with_sets:
                     yield pa.RecordBatch.from_arrays([key, pa.array(sets, pa.binary())], ["key", "shingles"])
                 else:
-                    n = np.array([len(x) for x in distinct], np.int64)
-                    fp = pa.array(majority_bits(np.concatenate(distinct), n).view(np.int64))
-                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), key, fp, pa.array(n.astype(np.int32))], ["doc_id", "text_key", "key", "fp", "n"])
+                    n, all_hashes = np.array([len(x) for x in distinct], np.int64), np.concatenate(distinct)
+                    prints = [majority_bits(all_hashes if k == 0 else mix(all_hashes + np.uint64(k)), n) for k in range(1 + len(_FURTHER))]
+                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), key, *(pa.array(x.view(np.int64)) for x in prints), pa.array(n.astype(np.int32))], ["doc_id", "text_key", "key", "fp", *_FURTHER, "n"])
 
-    return source.mapInArrow(each, "key long, shingles binary" if with_sets else "doc_id long, text_key long, key long, fp long, n int")
+    return source.mapInArrow(each, "key long, shingles binary" if with_sets else f"doc_id long, text_key long, key long, fp long, {', '.join(f'{c} long' for c in _FURTHER)}, n int")
 
 
 def _candidates(classes: DataFrame, radius: int, similarity: float, tile: int) -> DataFrame:
     """(block, key): for each pair of tiles the sets of shingles that have a set within the radius, and of a size that allows the similarity, in the other tile.
 
-    No pair is lost: sets whose sizes allow the similarity lie in the same band
+    Candidates lie within the radius in fp, and within as many times the radius
+    in all fingerprints together. No such pair is lost: sets whose sizes allow the similarity lie in the same band
     or in neighbouring ones, and the bins of population counts that are skipped
     lie more than the radius apart. Empty sets are like no others.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / log(1 / similarity) + 1e-9).cast("int")
     key = band * _BINS + F.floor(F.bit_count("fp") / _BIN).cast("int")
-    keyed = classes.where("n > 0").select("key", "fp", "n", key.alias("at"))
+    names = ("key", "fp", "n", *_FURTHER)
+    keyed = classes.where("n > 0").select(*names, key.alias("at"))
     rows = F.greatest(F.lit(1.0), F.least(F.lit(float(tile)), F.lit(float(_TILE_SHINGLES)) / F.max("n")))
     counts = keyed.groupBy("at").agg(F.ceil(F.count("*") / rows).alias("tiles"))  # bands by bins: some hundred rows
     tiles = keyed.join(F.broadcast(counts), "at").groupBy("at", F.pmod(F.xxhash64("key"), "tiles").alias("sub"))
-    tiles = save(tiles.agg(F.collect_list(F.struct("key", "fp", "n")).alias("rows")).select("at", "sub", F.col("rows.key").alias("key"), F.col("rows.fp").alias("fp"), F.col("rows.n").alias("n")), "tiles")
+    tiles = save(tiles.agg(F.collect_list(F.struct(*names)).alias("rows")).select("at", "sub", *(F.col(f"rows.{c}").alias(c) for c in names)), "tiles")
     far = (radius - 1) // _BIN + 1
     # no bins below the band's first, which are the last of the band before
     steps = [(0, d) for d in range(far + 1)] + [(1, d) for d in range(-far, far + 1)]
     reach = F.array(*(F.when(F.col("at") % _BINS + d >= 0, F.col("at") + b * _BINS + d) for b, d in steps))
-    side = lambda x: (F.col("sub").alias(f"sub_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("key", "fp", "n")))
+    side = lambda x: (F.col("sub").alias(f"sub_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in names))
     left = _salted(tiles.select(F.explode(reach).alias("to"), F.col("at").alias("from"), *side("a")).where("to IS NOT NULL"), counts.withColumnRenamed("at", "to"))
     right = tiles.select(F.col("at").alias("to"), F.expr(f"sub div {_SALT}").alias("salt"), *side("b"))
     block = F.xxhash64("from", "sub_a", "to", "sub_b").alias("block")
-    pairs = left.join(right, ["to", "salt"]).where("to != from OR sub_a <= sub_b").select(block, *(f"{c}_{x}" for x in "ab" for c in ("key", "fp", "n")))
+    pairs = left.join(right, ["to", "salt"]).where("to != from OR sub_a <= sub_b").select(block, *(f"{c}_{x}" for x in "ab" for c in names))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,8 +232,11 @@ def _candidates(classes: DataFrame, radius: int, similarity: float, tile: int) -
             sides = [(c.flatten().to_numpy(zero_copy_only=False), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in batch.columns[1:]]
             found = []
             for k in range(batch.num_rows):
-                key_a, a, n_a, key_b, b, n_b = (v[o[k] : o[k + 1]] for v, o in sides)
+                one, two = ([v[o[k] : o[k + 1]] for v, o in some] for some in (sides[: len(names)], sides[len(names) :]))
+                (key_a, a, n_a), (key_b, b, n_b) = one[:3], two[:3]
                 i, j = np.nonzero(_near(a, b, radius))
+                apart = sum(np.bitwise_count(x.view(np.uint64)[i] ^ y.view(np.uint64)[j]).astype(np.int64) for x, y in zip((a, *one[3:]), (b, *two[3:]), strict=True))
+                i, j = i[apart <= radius * (1 + len(_FURTHER))], j[apart <= radius * (1 + len(_FURTHER))]
                 ok = (np.minimum(n_a[i], n_b[j]) >= similarity * np.maximum(n_a[i], n_b[j]) - 1e-9) & (key_a[i] != key_b[j])
                 if ok.any():
                     found.append((blocks[k], np.unique(np.concatenate([key_a[i[ok]], key_b[j[ok]]]))))
@@ -263,13 +273,14 @@ def _similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 def similar_links(docs: DataFrame, prints: DataFrame, radius: int, similarity: float, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tile: int = 512) -> DataFrame:
     """(src, dst): links between different values of the column key of ``prints``, enough to connect all pairs within the radius that have the similarity."""
-    classes = prints.groupBy("key").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("text_key").alias("text_key"))
+    classes = prints.groupBy("key").agg(*(F.min(c).alias(c) for c in ("fp", "n", "text_key", *_FURTHER)))
     classes = save(classes, "classes")
     members = save(_candidates(classes, radius, similarity, tile), "candidates")
-    asked = save(members.select("key").distinct().join(classes, "key"), "asked")
+    asked = save(members.select("key").distinct().join(classes.select("key", "fp", "text_key"), "key"), "asked")
+    release(docs.sparkSession)
     # one text for each set
     texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"))
-    texts = texts.join(asked.select("text_key"), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"), F.first(id_col).alias(id_col))
+    texts = texts.join(small_side(asked.select("text_key"), BROADCAST_TEXTS), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"), F.first(id_col).alias(id_col))
     sets = save(_shingle_sets(texts, id_col, "text", shingle, True), "sets")
     held = members.join(asked.select("key", "fp"), "key").join(sets, "key")
 
@@ -292,7 +303,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     prints = save(_shingle_sets(docs, id_col, text_col, shingle, False), "fingerprints")
     least = save(prints.groupBy("key").agg(F.min("doc_id").alias("least")), "least")
-    roots = connected_components(similar_links(docs, prints, radius, similarity, id_col, text_col, shingle))
+    roots = connected_components(save(similar_links(docs, prints, radius, similarity, id_col, text_col, shingle), "links"))
+    release(docs.sparkSession)
     rooted = least.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(rooted.join(named, "root").select("key", "root", "component_id"), "key").select("doc_id", "text_key", "fp", "root", "component_id")
