@@ -141,7 +141,7 @@ class CoTraining:
         self.fit()
 
     def _put(self, k: int, x: np.ndarray) -> np.ndarray:
-        return (x.astype(float) - self.scale[k][0]) * self.scale[k][1]
+        return ((x.astype(np.float32) - self.scale[k][0]) * self.scale[k][1]).astype(np.float32)
 
     def fit(self) -> None:
         self.weights = [fit_logistic(self.x[k], self.y[k], ridge=10.0, weight=self.weight[k]) for k in (0, 1)]
@@ -219,7 +219,7 @@ def _most_confident(rows: DataFrame, labels: DataFrame, views: tuple[View, View]
         total = np.zeros((2, 40 * BINS + 1), np.int64)
         for batch in batches:
             for k, x in enumerate(_both(batch)) if batch.num_rows else ():
-                np.add.at(total[k], _bin(_logits(x, views[k])), 1)
+                np.add.at(total[k], _bin(_logits(x[~np.isin(batch.column("key").to_numpy(), used[k])], views[k])), 1)
         view, place = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(view.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(total[view, place])], ["view", "bin", "n"])
 
@@ -227,14 +227,14 @@ def _most_confident(rows: DataFrame, labels: DataFrame, views: tuple[View, View]
     counts = np.zeros((2, 40 * BINS + 1), np.int64)
     for r in kept.mapInArrow(histogram, "view int, bin int, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).collect():
         counts[r["view"], r["bin"]] = r["n"]
-    # twice as many as wanted, as some have labels; where whole bins hold more, a share of them by the hash
+    # those used before do not count; twice as many as wanted, as some have labels; where whole bins hold more, a share of them by the hash
     ends, shares = np.zeros((2, 2), np.int64), np.ones((2, 2))
     for k in (0, 1):
         for good in (0, 1):
             seen = np.cumsum(counts[k][:: -1 if good else 1])
-            at = min(int(np.searchsorted(seen, 2 * wanted[good] + len(used[k]))), len(seen) - 1)
+            at = min(int(np.searchsorted(seen, 2 * wanted[good])), len(seen) - 1)
             ends[k, good] = len(seen) - 1 - at if good else at
-            shares[k, good] = min(1.0, 4 * (wanted[good] + len(used[k])) / max(1, seen[at]))
+            shares[k, good] = min(1.0, 3 * wanted[good] / max(1, seen[at]))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,9 +242,9 @@ def _most_confident(rows: DataFrame, labels: DataFrame, views: tuple[View, View]
                 continue
             chance = (batch.column("key").to_numpy().view(np.uint64) >> np.uint64(11)).astype(float) * 2.0**-53
             for k, x in enumerate(_both(batch)):
-                place = _bin(_logits(x, views[k]))
+                place, fresh = _bin(_logits(x, views[k])), ~np.isin(batch.column("key").to_numpy(), used[k])
                 for good in (0, 1):
-                    hit = ((place >= ends[k, 1]) if good else (place <= ends[k, 0])) & (chance < shares[k, good])
+                    hit = ((place >= ends[k, 1]) if good else (place <= ends[k, 0])) & (chance < shares[k, good]) & fresh
                     some = batch.filter(pa.array(hit))
                     yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.full(some.num_rows, k, np.int32)), pa.array(np.full(some.num_rows, good, np.int32))], [*some.schema.names, "view", "good"])
 
@@ -260,7 +260,7 @@ def _most_confident(rows: DataFrame, labels: DataFrame, views: tuple[View, View]
             key, view, good = (table[c].to_numpy() for c in ("key", "view", "good"))
             logit = _logits(x, views[k])[:, 0]
             for label in (0, 1):
-                mine = np.flatnonzero((view == k) & (good == label) & ~np.isin(key, used[k]))
+                mine = np.flatnonzero((view == k) & (good == label))
                 mine = mine[np.lexsort((key[mine], -logit[mine] if label else logit[mine]))][: wanted[label]]
                 places = np.concatenate([places, mine])
             odds = logit[places]

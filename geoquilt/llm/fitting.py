@@ -21,19 +21,25 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
     w[-1] = np.log(rate / (1 - rate))
     if n == 0 or y.min() == y.max():
         return w
-    a = np.column_stack([x, np.ones(n)])
     shrink = np.full(d + 1, ridge)
     shrink[-1] = 1e-6
     weight = np.ones(n) if weight is None else weight
-    loss = lambda w: float(weight @ (np.logaddexp(0, a @ w) - y * (a @ w)) + shrink @ w**2 / 2)
-    now = loss(w)
+    blocks = [slice(k, k + 2_048) for k in range(0, n, 2_048)]
+    odds = lambda w: np.concatenate([x[b] @ w[:-1] + w[-1] for b in blocks])
+    loss = lambda w, z: float(weight @ (np.logaddexp(0, z) - y * z) + shrink @ w**2 / 2)
+    z = odds(w)
+    now = loss(w, z)
     for _ in range(steps):
-        p = sigmoid(a @ w)
-        gradient = a.T @ (weight * (p - y)) + shrink * w
-        hessian = (a * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ a + np.diag(shrink)
+        p = sigmoid(z)
+        gradient, hessian = shrink * w, np.diag(shrink)
+        # some rows at a time, so that only they are held in full precision
+        for b in blocks:
+            a = np.column_stack([x[b], np.ones(len(x[b]))])
+            gradient += a.T @ (weight[b] * (p[b] - y[b]))
+            hessian += (a * (weight[b] * np.maximum(p[b] * (1 - p[b]), 1e-6))[:, None]).T @ a
         step = np.linalg.solve(hessian, gradient)
         # a whole step may overshoot: half of it, then, and so on
-        while (new := loss(w - step)) > now and np.abs(step).max() > 1e-9:
+        while (new := loss(w - step, z := odds(w - step))) > now and np.abs(step).max() > 1e-9:
             step = step / 2
         w, now = w - step, new
         if np.abs(step).max() < 1e-6:
