@@ -37,8 +37,8 @@ _QUARTERS, _BASE = 4, 64
 _SALT = 64
 #: Tiles of near_copies: population counts to a bin, bins to a band of sizes, and shingles to a tile.
 _BIN, _BINS, _TILE_SHINGLES = 8, 16, 1 << 20
-#: Further fingerprints of near_copies, and texts with candidates up to which their keys (8 bytes each) are broadcast.
-_FURTHER, BROADCAST_TEXTS = ("fp1", "fp2", "fp3"), 2_000_000
+#: Further fingerprints of near_copies, the bits of all together that may differ, and texts with candidates up to which their keys (8 bytes each) are broadcast.
+_FURTHER, _WIDE_RADIUS, BROADCAST_TEXTS = ("fp1", "fp2", "fp3"), 64, 2_000_000
 
 
 def _shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,8 +203,8 @@ def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, wit
 def _candidates(classes: DataFrame, radius: int, similarity: float, tile: int) -> DataFrame:
     """(block, key): for each pair of tiles the sets of shingles that have a set within the radius, and of a size that allows the similarity, in the other tile.
 
-    Candidates lie within the radius in fp, and within as many times the radius
-    in all fingerprints together. No such pair is lost: sets whose sizes allow the similarity lie in the same band
+    Candidates lie within the radius in fp, and within _WIDE_RADIUS in all
+    fingerprints together. No such pair is lost: sets whose sizes allow the similarity lie in the same band
     or in neighbouring ones, and the bins of population counts that are skipped
     lie more than the radius apart. Empty sets are like no others.
     """
@@ -236,7 +236,7 @@ def _candidates(classes: DataFrame, radius: int, similarity: float, tile: int) -
                 (key_a, a, n_a), (key_b, b, n_b) = one[:3], two[:3]
                 i, j = np.nonzero(_near(a, b, radius))
                 apart = sum(np.bitwise_count(x.view(np.uint64)[i] ^ y.view(np.uint64)[j]).astype(np.int64) for x, y in zip((a, *one[3:]), (b, *two[3:]), strict=True))
-                i, j = i[apart <= radius * (1 + len(_FURTHER))], j[apart <= radius * (1 + len(_FURTHER))]
+                i, j = i[apart <= _WIDE_RADIUS], j[apart <= _WIDE_RADIUS]
                 ok = (np.minimum(n_a[i], n_b[j]) >= similarity * np.maximum(n_a[i], n_b[j]) - 1e-9) & (key_a[i] != key_b[j])
                 if ok.any():
                     found.append((blocks[k], np.unique(np.concatenate([key_a[i[ok]], key_b[j[ok]]]))))
@@ -295,7 +295,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, radius: int, similarity: f
     return held.groupBy("block").applyInArrow(verify, "src long, dst long")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 16, similarity: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 20, similarity: float = 0.8) -> DataFrame:
     """As near_duplicates, but texts are linked where their fingerprints lie within the radius and their sets of shingles have ``similarity`` (intersection by union) or more.
 
     Texts of the same shingles are one class, those without words too. Here a
