@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import shapes as S
-from .functions.sphere import point
+from .functions.sphere import let, point
 from .operators import aggregation as A
 from .operators import measurement as M
 from .operators import predicates as P
 from .operators import transformation as T
-from .sources.geojson import feature_json, parse_geometry
+from .sources.geojson import feature_json, geometry_json, parse_geometry
 
 
 def _value(arguments: dict, key: str) -> Any:
@@ -68,6 +68,29 @@ def _features(value: Any, key: str) -> list[dict]:
     return value["features"]
 
 
+def _map_geometries(value: Any, change: Callable[[dict], Any]) -> Any:
+    """The document with each plain geometry in it changed, in order; features without a geometry stay as they are."""
+    if not isinstance(value, dict) or not isinstance(value.get("type"), str):
+        raise ValueError("GeoJSON must be an object with a 'type' field.")
+    for kind, key in (("FeatureCollection", "features"), ("GeometryCollection", "geometries")):
+        if value["type"] == kind:
+            if not isinstance(value.get(key), list):
+                raise ValueError(f"{kind} must contain a {key} array.")
+            return value | {key: [_map_geometries(x, change) for x in value[key]]}
+    if value["type"] == "Feature":
+        return value | {"geometry": _map_geometries(value["geometry"], change)} if value.get("geometry") else value
+    return change(value)
+
+
+def _geometries(value: Any) -> list[dict]:
+    """The plain geometries that a document holds."""
+    found: list[dict] = []
+    _map_geometries(value, found.append)
+    if not found:
+        raise ValueError("GeoJSON must contain a geometry.")
+    return found
+
+
 class Engine:
     """The operators by their public names."""
 
@@ -81,7 +104,7 @@ class Engine:
         try:
             if name in _COLUMNS:
                 row = self.spark.range(1).select(_COLUMNS[name](arguments).alias("v")).first()
-                data = None if row["v"] is None else json.loads(row["v"])
+                data = None if row["v"] is None else _named(name, arguments, json.loads(row["v"]))
             elif name in _TABLES:
                 data = _TABLES[name](self.spark, arguments)
             else:
@@ -97,12 +120,23 @@ def _pt(arguments: dict, key: str) -> Column:
 
 
 def _shape(arguments: dict, key: str) -> Column:
-    value = _value(arguments, key)
-    if isinstance(value, dict) and value.get("type") == "FeatureCollection":
-        # all vertices of a collection as one MultiPoint, for operators on vertices
-        parts = F.array(*(F.flatten(F.flatten(_geom(f)["coords"])) for f in _features(value, key) if f.get("geometry")))
-        return S.geometry("MultiPoint", F.array(F.array(F.flatten(parts))))
-    return _geom(value)
+    """The only geometry of a document, or all its vertices as one MultiPoint, for operators on vertices."""
+    found = _geometries(_value(arguments, key))
+    if len(found) == 1:
+        return _geom(found[0])
+    vertices = F.flatten(F.array(*(F.flatten(F.flatten(_geom(g)["coords"])) for g in found)))
+    return S.geometry("MultiPoint", F.array(F.array(vertices)))
+
+
+def _areal(arguments: dict, key: str) -> Column:
+    """The polygons that a document holds, as one MultiPolygon if there are several; without any, as _shape."""
+    found = [g for g in _geometries(_value(arguments, key)) if g["type"] in S.POLYGONS]
+    if not found:
+        return _shape(arguments, key)
+    if len(found) == 1:
+        return _geom(found[0])
+    parts = [part for g in found for part in (g["coordinates"] if g["type"] == "MultiPolygon" else [g["coordinates"]])]
+    return _geom({"type": "MultiPolygon", "coordinates": parts})
 
 
 def _units(arguments: dict) -> str:
@@ -113,6 +147,10 @@ def _point_out(p: Column) -> Column:
     return feature_json(S.of_point(p["lon"], p["lat"]))
 
 
+def _features_out(shapes: Column) -> Column:
+    return F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.transform(shapes, lambda g: feature_json(g)), ","), F.lit("]}"))
+
+
 def _number(value: Column, units: str | None = None) -> Column:
     return F.to_json(F.struct(value.alias("value"), *([F.lit(units).alias("units")] if units else [])))
 
@@ -166,12 +204,12 @@ def _flag(arguments: dict, key: str) -> bool:
 
 _COLUMNS: dict[str, Callable[[dict], Column]] = {
     "along": lambda a: _point_out(M.along(_shape(a, "line"), _num(a, "distance"), _units(a))),
-    "area": lambda a: _number(M.area(_shape(a, "polygon")), "square meters"),
+    "area": lambda a: _number(M.area(_areal(a, "polygon")), "square meters"),
     "bbox": lambda a: _array(M.bbox(_shape(a, "geojson"))),
     "bboxPolygon": lambda a: feature_json(M.bbox_polygon(_box(a))),
     "bearing": lambda a: _number(M.bearing(_pt(a, "point1"), _pt(a, "point2")), "degrees"),
     "center": lambda a: _point_out(M.center(_shape(a, "geojson"))),
-    "centerOfMass": lambda a: _point_out(M.center_of_mass(_shape(a, "geojson"))),
+    "centerOfMass": lambda a: _point_out(M.center_of_mass(_areal(a, "geojson"))),
     "centroid": lambda a: _point_out(M.centroid(_shape(a, "geojson"))),
     "destination": lambda a: _point_out(M.destination(_pt(a, "origin"), _num(a, "distance"), _num(a, "bearing"), _units(a))),
     "distance": lambda a: _number(M.distance(_pt(a, "point1"), _pt(a, "point2"), _units(a)), _units(a)),
@@ -185,7 +223,7 @@ _COLUMNS: dict[str, Callable[[dict], Column]] = {
     "rhumbDistance": lambda a: _number(M.rhumb_distance(_pt(a, "point1"), _pt(a, "point2"), _units(a)), _units(a)),
     "square": lambda a: _array(M.square(_box(a))),
     "greatCircle": lambda a: feature_json(M.great_circle(_pt(a, "start"), _pt(a, "end"), int(_options(a).get("npoints", 100)))),
-    "polygonTangents": lambda a: F.to_json(M.polygon_tangents(_pt(a, "point"), _geom(_value(a, "polygon")))),
+    "polygonTangents": lambda a: _features_out(let(M.polygon_tangents(_pt(a, "point"), _areal(a, "polygon")), lambda t: F.array(*(S.of_point(t[k]["lon"], t[k]["lat"]) for k in ("left", "right"))))),
     "booleanClockwise": lambda a: _number(P.boolean_clockwise(_ring(a))),
     "booleanContains": lambda a: _number(P.boolean_contains(*_both(a))),
     "booleanCrosses": lambda a: _number(P.boolean_crosses(*_both(a))),
@@ -193,7 +231,7 @@ _COLUMNS: dict[str, Callable[[dict], Column]] = {
     "booleanEqual": lambda a: _number(P.boolean_equal(*_both(a))),
     "booleanOverlap": lambda a: _number(P.boolean_overlap(*_both(a))),
     "booleanParallel": lambda a: _number(P.boolean_parallel(_geom(_value(a, "line1")), _geom(_value(a, "line2")))),
-    "booleanPointInPolygon": lambda a: _number(P.boolean_point_in_polygon(_geom(_value(a, "point")), _geom(_value(a, "polygon")), _flag(a, "ignoreBoundary"))),
+    "booleanPointInPolygon": lambda a: _number(P.boolean_point_in_polygon(_geom(_value(a, "point")), _areal(a, "polygon"), _flag(a, "ignoreBoundary"))),
     "booleanPointOnLine": lambda a: _number(P.boolean_point_on_line(_geom(_value(a, "point")), _geom(_value(a, "line")), _flag(a, "ignoreEndVertices"))),
     "booleanWithin": lambda a: _number(P.boolean_within(*_both(a))),
     "bboxClip": lambda a: feature_json(T.bbox_clip(_geom(_value(a, "feature")), _box(a))),
@@ -205,14 +243,62 @@ _COLUMNS: dict[str, Callable[[dict], Column]] = {
     "intersect": lambda a: F.when(T.intersect(*_two(a)).isNotNull(), feature_json(T.intersect(*_two(a)))),
     "union": lambda a: feature_json(T.union(*_two(a))),
     "lineOffset": lambda a: feature_json(T.line_offset(_geom(_value(a, "line")), _num(a, "distance"), _units(a))),
-    "simplify": lambda a: feature_json(T.simplify(_geom(_value(a, "geojson")), float(_options(a).get("tolerance", 1.0)))),
-    "tesselate": lambda a: F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.transform(T.tesselate(_geom(_value(a, "polygon"))), lambda t: feature_json(t)), ","), F.lit("]}")),
-    "transformRotate": lambda a: feature_json(T.transform_rotate(_geom(_value(a, "geojson")), _num(a, "angle"), _origin(a, "pivot"))),
-    "transformScale": lambda a: feature_json(T.transform_scale(_geom(_value(a, "geojson")), _num(a, "factor"), _origin(a, "origin"))),
-    "transformTranslate": lambda a: feature_json(T.transform_translate(_geom(_value(a, "geojson")), _num(a, "distance"), _num(a, "direction"), _units(a), float(_options(a).get("zTranslation", 0.0)))),
+    "tesselate": lambda a: _features_out(T.tesselate(_geom(_value(a, "polygon")))),
 }
 
 
+#: What of the options is kept in the reply's Feature, and the argument whose Feature's properties are kept.
+_FROM_OPTIONS = dict.fromkeys(("center", "centerOfMass", "centroid", "destination", "rhumbDestination"), ("properties", "id", "bbox")) | {"bboxPolygon": ("properties", "id"), "circle": ("properties", "id"), "buffer": ("properties",)}
+_FROM_FEATURE = {"bezierSpline": "line", "tesselate": "polygon"}
+
+
+def _named(name: str, arguments: dict, data: Any) -> Any:
+    """The reply with the properties, id and bbox that the arguments give it."""
+    options = _options(arguments)
+    for key in _FROM_OPTIONS.get(name, ()):
+        if key in options and isinstance(options[key], {"properties": dict, "bbox": list}.get(key, object)):
+            data[key] = options[key]
+    if name in _FROM_FEATURE:
+        source = _value(arguments, _FROM_FEATURE[name])
+        properties = source.get("properties") if source.get("type") == "Feature" else None
+        if isinstance(properties, dict):
+            for feature in data.get("features", [data]):
+                feature["properties"] = properties
+    return data
+
+
+def _changed(spark: SparkSession, arguments: dict, change: Callable[[Column], Column]) -> Any:
+    """The document with its geometries changed; all else in it stays."""
+    value = _value(arguments, "geojson")
+    rows = spark.createDataFrame(list(enumerate(map(json.dumps, _geometries(value)))), "k long, text string")
+    made = rows.select("k", geometry_json(change(parse_geometry(F.parse_json("text")))).alias("v")).orderBy("k").collect()
+    new = iter([json.loads(r["v"]) for r in made])
+    return _map_geometries(value, lambda _: next(new))
+
+
+def _around(arguments: dict, key: str) -> Column:
+    """The point that an option gives, else the mean vertex of the whole document."""
+    origin = _origin(arguments, key)
+    return M.centroid(_shape(arguments, "geojson")) if origin is None else origin
+
+
+def _simplify(spark: SparkSession, a: dict) -> Any:
+    return _changed(spark, a, lambda g: T.simplify(g, float(_options(a).get("tolerance", 1.0))))
+
+
+def _rotate(spark: SparkSession, a: dict) -> Any:
+    return _changed(spark, a, lambda g: T.transform_rotate(g, _num(a, "angle"), _around(a, "pivot")))
+
+
+def _scale(spark: SparkSession, a: dict) -> Any:
+    return _changed(spark, a, lambda g: T.transform_scale(g, _num(a, "factor"), _around(a, "origin")))
+
+
+def _translate(spark: SparkSession, a: dict) -> Any:
+    z = float(_options(a).get("zTranslation", 0.0))
+    return _changed(spark, a, lambda g: T.transform_translate(g, _num(a, "distance"), _num(a, "direction"), _units(a), z))
+
+
 def _point_table(spark: SparkSession, features: list[dict], name: str = "fid") -> DataFrame:
     return spark.createDataFrame([(k, *_lonlat(f)) for k, f in enumerate(features)], f"{name} long, lon double, lat double")
 
@@ -278,4 +364,4 @@ def _voronoi(spark: SparkSession, a: dict) -> dict:
     return _collection([json.loads(r["v"]) | {"properties": features[r["fid"]].get("properties") or {}} for r in rows])
 
 
-_TABLES: dict[str, Callable[[SparkSession, dict], Any]] = {"collect": _collect, "clustersDbscan": _dbscan, "clustersKmeans": _kmeans, "nearestPoint": _nearest, "convex": _hull, "concave": _hull, "dissolve": _dissolve, "voronoi": _voronoi}
+_TABLES: dict[str, Callable[[SparkSession, dict], Any]] = {"collect": _collect, "clustersDbscan": _dbscan, "clustersKmeans": _kmeans, "nearestPoint": _nearest, "convex": _hull, "concave": _hull, "dissolve": _dissolve, "voronoi": _voronoi, "simplify": _simplify, "transformRotate": _rotate, "transformScale": _scale, "transformTranslate": _translate}

@@ -24,7 +24,7 @@ def parse_geometry(node: Column) -> Column:
             for _ in range(4 - depth):
                 value = F.array(value)
         coords = F.when(kind == name, value).otherwise(coords)
-    # a collection of geometries of one family becomes its parts
+    # a collection is null here; read_geojson makes a row of each of its geometries
     parts = F.try_variant_get(inner, "$.geometries", "array<variant>")
     known = F.when(kind.isNull() | kind.isin(*_DEPTH), coords).otherwise(F.raise_error(F.concat(F.lit("Unsupported GeoJSON geometry type: "), kind)))
     return F.when(kind.isNotNull() & parts.isNull(), S.geometry(kind, known))

@@ -19,6 +19,7 @@ from geoquilt.operators import transformation as T
 from geoquilt.plans.queries import ORACLE_SQL, QUERIES
 from geoquilt.sources import geojson
 
+# The places that the golden results below belong to.
 BT, ND, DD, HCR, VTS = (106.698, 10.773), (106.699, 10.780), (106.695, 10.777), (106.696, 10.791), (106.690, 10.797)
 LM, TSN, PA, PB, PC, CL = (106.722, 10.795), (106.652, 10.819), (106.720, 10.730), (106.723, 10.728), (106.718, 10.732), (106.662, 10.751)
 Q1 = [(106.685, 10.760), (106.715, 10.760), (106.715, 10.790), (106.685, 10.790), (106.685, 10.760)]
