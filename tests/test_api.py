@@ -129,4 +129,4 @@ def test_geofence_on_a_stream(spark, tmp_path):
         query.processAllAvailable()
     finally:
         query.stop()
-    assert sorted(r["n"] for r in spark.table("fences").collect()) == [1, 6]
+    assert sorted(r["n"] for r in spark.table("fences").collect()) == [2, 5]
