@@ -1,11 +1,11 @@
 """Mixing sources to target weights by fitting a subset sum.
 
-Each source takes whole copies of all its documents as far as its target goes;
-what remains is filled by whole documents. Their number of each exact length is
-planned from the histogram of lengths alone: an even share of each length first,
-rounded up or down by seeded chance, then a bounded-knapsack dynamic programme
-over the small remaining budget. Which documents of a length are taken follows
-a seeded hash.
+A source may take each of its documents up to three times. How many copies of
+each exact length it takes is planned from the histogram of lengths alone: an
+even share of each length first, rounded up or down by seeded chance, then a
+bounded-knapsack dynamic programme over the small remaining budget. A length's
+copies go to its documents evenly; which of them get one more follows a seeded
+hash.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, save, small_side
 
-#: Mean lengths that the even share leaves to the dynamic programme at first, and words of budget up to which it is given more if it cannot fill that exactly.
-PROGRAMME_DOCS, PROGRAMME_WORDS = 4, 1 << 17
+#: Mean lengths that the even share leaves to the dynamic programme at first, and words that bound its memory (five bytes a word).
+PROGRAMME_DOCS, PROGRAMME_WORDS = 4, 1 << 24
 #: Sources up to which the table of targets is broadcast.
 BROADCAST_SOURCES = 1_000_000
 #: Slices of the seeded order, ranked one by one.
@@ -54,9 +54,10 @@ def fill_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int
 
     Every length gives the same share of its items, its last one by seeded
     chance; in seeded order single items then go or come until a small budget is
-    left, which the dynamic programme fills with the best sum of the items not
-    yet taken. Where it cannot fill it to the word, it starts again with more
-    budget left, up to PROGRAMME_WORDS.
+    left, which the dynamic programme fills from the items not yet taken. Where it
+    misses the budget it starts again with more left to it, in the end with all,
+    so that no sum within the budget is nearer; PROGRAMME_WORDS bounds its memory
+    where lengths are so few and long that this takes more.
     """
     counts = counts.astype(np.int64)
     total = int((lengths * counts).sum())
@@ -64,13 +65,16 @@ def fill_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int
         return np.zeros(len(lengths), np.int64)
     if budget >= total:
         return counts.copy()
+    # all sums are multiples of what divides all lengths
+    unit = int(np.gcd.reduce(lengths[counts > 0]))
+    lengths, total, budget = lengths // unit, total // unit, budget // unit
     rng = np.random.default_rng([seed, total, budget])
     chance, order = rng.random(len(lengths)), rng.permutation(len(lengths))
     left = PROGRAMME_DOCS * -(-total // int(counts.sum()))
     best, best_sum = np.zeros(len(lengths), np.int64), -1
     while True:
         take = _even_share(lengths, counts, budget - left, chance, order)
-        take += _knapsack(lengths, counts - take, budget - int((take * lengths).sum()), order)
+        take = take + _knapsack(lengths, counts - take, budget - int((take * lengths).sum()), order)
         taken = int((take * lengths).sum())
         if taken > best_sum:
             best, best_sum = take, taken
@@ -104,31 +108,33 @@ def _even_share(lengths: np.ndarray, counts: np.ndarray, budget: int, chance: np
 
 
 def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int, order: np.ndarray) -> np.ndarray:
-    """The items whose sum is the largest within the budget; of equal sums the first found in ``order``."""
+    """The items whose sum is the largest within the budget; in rounds over ``order``, so that a length's second item comes after the first of all."""
     take = np.zeros(len(lengths), np.int64)
     reached = np.zeros(budget + 1, bool)
     reached[0] = True
     by_item = np.full(budget + 1, -1, np.int32)
     items: list[tuple[int, int]] = []
-    for k in order.tolist():
-        # powers of two of a length stand for any number of it
-        n, size = min(int(counts[k]), budget // int(lengths[k])), 1
-        while n > 0 and not reached[budget]:
-            size_now = min(size, n)
-            step = size_now * int(lengths[k])
+    left = np.where(lengths > 0, np.minimum(counts, budget // np.maximum(lengths, 1)), 0)
+    size = 1
+    while left.any() and not reached[budget]:
+        # rounds of 1, 2, 4, ... items of each length stand for any number of it
+        for k in order[left[order] > 0].tolist():
+            n = min(size, int(left[k]))
+            left[k] -= n
+            step = n * int(lengths[k])
             if step <= budget:
                 new = reached[: budget + 1 - step] & ~reached[step:]
                 by_item[step:][new] = len(items)
                 reached[step:] |= new
-                items.append((k, size_now))
-            n, size = n - size_now, size * 2
-        if reached[budget]:
-            break
+                items.append((k, n))
+            if reached[budget]:
+                break
+        size *= 2
     at = int(np.flatnonzero(reached)[-1])
     while at:
-        k, size = items[by_item[at]]
-        take[k] += size
-        at -= size * int(lengths[k])
+        k, n = items[by_item[at]]
+        take[k] += n
+        at -= n * int(lengths[k])
     return take
 
 
@@ -148,10 +154,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def plan(lengths: pd.DataFrame) -> pd.DataFrame:
         lengths = lengths.sort_values("size")
-        goal = int(round(lengths["target"].iloc[0]))
-        whole, budget = divmod(goal, int(lengths["source_size"].iloc[0]))
-        extra = fill_budget(lengths["size"].to_numpy(np.int64), lengths["n"].to_numpy(np.int64), budget if whole < most else 0, seed)
-        return pd.DataFrame({"source": lengths["source"], "size": lengths["size"], "n": lengths["n"], "copies": min(whole, most), "extra": extra})
+        n = lengths["n"].to_numpy(np.int64)
+        copies = fill_budget(lengths["size"].to_numpy(np.int64), most * n, int(round(lengths["target"].iloc[0])), seed)
+        return pd.DataFrame({"source": lengths["source"], "size": lengths["size"], "n": lengths["n"], "copies": copies // n, "extra": copies % n})
 
     # a group is one source's distinct lengths, not its documents
     planned = histogram.join(targets, histogram["source"].eqNullSafe(targets["source"])).select(histogram["source"], "size", "n", "source_size", "target")
@@ -172,19 +177,24 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def repeat_taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; rows that share an id and a text share what is taken of them."""
+    """The rows of ``docs``, each as often as the mix takes it; rows that share an id and a text share what is taken of them.
+
+    Rows with null or empty texts have no words, so the mix takes none of them; a
+    null source is one of its own; an empty table gives an empty one; other
+    columns come along as they are.
+    """
     mixed = mix_sources(docs, id_col, text_col, **options)
     copies = (F.col("taken") / F.col("size")).cast("int")
-    plan = mixed.where("size > 0").groupBy("doc_id", "text_key").agg(F.sum(copies).alias("copies"), F.count("*").alias("rows"))
-    plan = save(plan, "copies").select(F.col("doc_id").alias("mix_id"), F.col("text_key").alias("mix_key"), "copies", "rows")
+    plan = mixed.where("size > 0").groupBy("doc_id", "text_key").agg(F.sum(copies).alias("mix_copies"), F.count("*").alias("mix_rows"))
+    plan = save(plan, "copies").select(F.col("doc_id").alias("mix_id"), F.col("text_key").alias("mix_key"), "mix_copies", "mix_rows")
     names = docs.columns
     keyed = docs.select("*", F.xxhash64(F.col(text_col).cast("string")).alias("mix_key_of"))
     joined = keyed.join(plan, F.col(id_col).eqNullSafe(F.col("mix_id")) & (F.col("mix_key_of") == F.col("mix_key")))
-    if plan.where("rows > 1").isEmpty():
-        times = F.col("copies")
+    if plan.where("mix_rows > 1").isEmpty():
+        times = F.col("mix_copies")
     else:
         others = [c for c in names if c not in (id_col, text_col)]
         place = F.row_number().over(Window.partitionBy(id_col, "mix_key_of").orderBy(*others) if others else Window.partitionBy(id_col, "mix_key_of").orderBy("mix_key_of"))
-        joined = joined.withColumn("place", place)
-        times = F.expr("copies div rows") + F.when(F.col("place") <= F.expr("copies % rows"), 1).otherwise(0)
+        joined = joined.withColumn("mix_place", place)
+        times = F.expr("mix_copies div mix_rows") + F.when(F.col("mix_place") <= F.expr("mix_copies % mix_rows"), 1).otherwise(0)
     return joined.withColumn("mix_times", times.cast("int")).where("mix_times > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*names)

@@ -228,6 +228,48 @@ def test_fill_budget_is_exact():
         assert int((take * lengths).sum()) == max(r for r in reachable if r <= budget)
 
 
+def test_each_source_takes_the_best_sum_of_copies(spark, small):
+    """No choice of 0 to 3 copies of each document comes nearer to a source's target from below; sizes and targets by SQL."""
+    import duckdb
+
+    sized = duckdb.sql(f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text,''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM '{small}/documents.parquet')
+        SELECT doc_id, source, size, (sum(size) OVER (PARTITION BY source))::BIGINT AS source_size FROM d ORDER BY doc_id""").fetchall()
+    got = QUERIES["op7_subset_sum_mix"](spark, small).toPandas().sort_values("doc_id")
+    assert list(zip(got["doc_id"], got["size"], got["source_size"], strict=True)) == [(i, n, m) for i, _, n, m in sized]
+    got["source"] = [s for _, s, _, _ in sized]
+    names = sorted(got["source"].unique())
+    sizes = dict(got.groupby("source")["size"].sum())
+    level, full = 0.0, set()
+    while True:
+        weights = {s: 1 + k % 3 for k, s in enumerate(names) if s not in full}
+        level = (sum(sizes.values()) - sum(3 * sizes[s] for s in full)) / sum(weights.values())
+        more = {s for s, w in weights.items() if level * w > 3 * sizes[s]}
+        if not more:
+            break
+        full |= more
+    for name, group in got.groupby("source"):
+        target = 3 * sizes[name] if name in full else level * weights[name]
+        assert group["target"].to_numpy() == pytest.approx(target)
+        reachable, budget = 1, round(target)
+        for size in group["size"]:
+            for _ in range(3):
+                reachable |= reachable << size
+        assert group["taken"].sum() == (reachable & ((1 << (budget + 1)) - 1)).bit_length() - 1
+
+
+def test_repeated_rows_share_what_is_taken(spark):
+    """Rows of one id and text come as often as the mix takes them together; null and empty texts not at all; a null source is one of its own."""
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (1, "a b c", "t"), (2, None, "s"), (3, "", None), (4, "d e", None), (None, "f", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copies", F.lit("clash"))
+    taken = Counter()
+    for r in mixing.mix_sources(df).collect():
+        taken[r["doc_id"]] += r["taken"]
+    got = Counter()
+    for r in mixing.repeat_taken(df).collect():
+        got[r["doc_id"]] += len(brute.WORD.findall(r["text"]))
+    assert +taken == got and not got[2] and not got[3]
+
+
 def test_the_share_taken_does_not_follow_length():
     rng = np.random.default_rng(8)
     lengths = np.unique(rng.lognormal(6, 1.2, 4_000).astype(int) + 1)
