@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, grammar, language_model, mixing, packing, permutation, quality_rules, secrets, simhash, toxicity
+from . import conversations, cotraining, grammar, language_model, licenses, merkle, mixing, packing, permutation, quality_rules, secrets, simhash, toxicity
 from .common import crc_mod, table
 from .tokens import default_tokenizer
 
@@ -69,6 +69,21 @@ def op10_pitman_yor_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents against a manifest of the untampered ones: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified."""
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_positional_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations damaged and repaired: conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256."""
+    return conversations.digests(*conversations.repair(conversations.damage(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -82,7 +97,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_trigram_secret_scan,
         op9_zstd_toxicity,
         op10_pitman_yor_score,
+        op11_merkle_manifest,
+        op12_positional_license_scan,
+        op13_conversation_repair,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_trigram_secret_scan": secrets.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op8_trigram_secret_scan": secrets.oracle_sql(), "op11_merkle_manifest": merkle.oracle_sql()}

@@ -80,8 +80,8 @@ class Words:
         return [raw[a:b] for a, b in zip(starts.tolist(), (starts + lengths).tolist(), strict=True)]
 
 
-def split_words(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
-    """The words of a batch of texts, A-Z in lower case if ``lower``; a null text has none."""
+def split_words(texts: pa.Array | pa.ChunkedArray, lower: bool = False, outside: np.ndarray = _IS_SPACE) -> Words:
+    """The words of a batch of texts, A-Z in lower case if ``lower``; a null text has none. ``outside`` says of each byte whether it stands between words."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -93,7 +93,7 @@ def split_words(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words
     if lower:
         buf = _LOWER[buf]
     offsets = offsets - offsets[0]
-    inside = ~_IS_SPACE[buf[:size]]
+    inside = ~outside[buf[:size]]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
