@@ -2,43 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import shapes as S
-from ..functions import sphere
-from ..functions.constants import EARTH_RADIUS, meters_in
 from ..sources.scratch import numbered, saved
+from .density import clusters_dbscan
+from .joins import points_in_polygons
+from .nearest import nearest_point
 
-#: Targets up to which nearest_point compares each with every point.
-FEW_TARGETS = 256
-
-
-def points_in_polygons(polygons: DataFrame, points: DataFrame, fid: str = "fid", geom: str = "geom", pid: str = "pid", lon: str = "lon", lat: str = "lat", inside=None) -> DataFrame:
-    """(fid, pid): every point in every polygon, by a grid.
-
-    A polygon is posted to the cells that its box touches, nine at most, of the
-    level whose cells are half its size or more; a point is posted once for each
-    level in use. So the join is on equal cells, whatever the polygons' sizes.
-    """
-    inside = inside or S.in_polygon
-    box = lambda k, f: f(F.transform(S.vertices(F.col(geom)), lambda v: v[k]))
-    boxed = polygons.select(F.col(fid).alias("fid"), F.col(geom).alias("geom"), box("lon", F.array_min).alias("x0"), box("lon", F.array_max).alias("x1"), box("lat", F.array_min).alias("y0"), box("lat", F.array_max).alias("y1"))
-    size = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(2.0**-20))
-    leveled = saved(boxed.where("x0 IS NOT NULL").withColumn("level", (F.ceil(F.log2(size)) - 1).cast("int")), "leveled")
-    levels = [r["level"] for r in leveled.select("level").distinct().collect()]  # thirty or so powers of two
-    cell = lambda c, level: F.floor(c / F.pow(F.lit(2.0), level)).cast("long")
-    across = F.explode(F.sequence(cell(F.col("x0"), F.col("level")), cell(F.col("x1"), F.col("level"))))
-    up = F.explode(F.sequence(cell(F.col("y0"), F.col("level")), cell(F.col("y1"), F.col("level"))))
-    posted = leveled.withColumn("i", across).withColumn("j", up)
-    rows = points.select(F.col(pid).alias("pid"), F.col(lon).cast("double").alias("lon"), F.col(lat).cast("double").alias("lat"))
-    keyed = rows.withColumn("level", F.explode(F.array(*(F.lit(x) for x in levels)).cast("array<int>"))).withColumn("i", cell(F.col("lon"), F.col("level"))).withColumn("j", cell(F.col("lat"), F.col("level")))
-    in_box = F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))
-    met = keyed.join(posted, ["level", "i", "j"]).where(in_box)
-    return met.where(inside(F.struct("lon", "lat"), F.col("geom"))).select("fid", "pid")
-
+__all__ = ["clusters_dbscan", "clusters_kmeans", "collect", "nearest_point", "points_in_polygons"]
 
 def collect(polygons: DataFrame, points: DataFrame, in_field: str, out_field: str, fid: str = "fid", geom: str = "geom", pid: str = "pid", lon: str = "lon", lat: str = "lat") -> DataFrame:
     """All polygons with ``out_field``: the values of ``in_field`` of the points in them, in order of points; an empty array for none.
@@ -55,65 +27,6 @@ def collect(polygons: DataFrame, points: DataFrame, in_field: str, out_field: st
     return joined.withColumn(out_field, F.coalesce(out_field, F.array().cast(kind)))
 
 
-def _on_sphere(df: DataFrame, lon: str, lat: str) -> DataFrame:
-    """Add the place on the unit sphere, where neither poles nor the antimeridian need care."""
-    lo, la = F.radians(F.col(lon)), F.radians(F.col(lat))
-    return df.withColumns({"sx": F.cos(la) * F.cos(lo), "sy": F.cos(la) * F.sin(lo), "sz": F.sin(la)})
-
-
-def _cells(df: DataFrame, size: float, around: bool) -> DataFrame:
-    """Add the grid cell on the unit sphere, or with ``around`` a row for it and each of its neighbours."""
-    steps = F.sequence(F.lit(-1), F.lit(1)) if around else F.array(F.lit(0))
-    for axis in "xyz":
-        df = df.withColumn(f"c{axis}", F.floor(F.col(f"s{axis}") / size).cast("long"))
-        df = df.withColumn("step", F.explode(steps)).withColumn(f"c{axis}", F.col(f"c{axis}") + F.col("step")).drop("step") if around else df
-    return df
-
-
-def within_distance(points: DataFrame, meters: float, fid: str = "fid", lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """(a, b): pairs of different ids at most so far apart, either way round."""
-    chord = 2 * math.sin(min(math.pi, meters / EARTH_RADIUS) / 2) * (1 + 1e-9) + 1e-12
-    rows = _on_sphere(points.select(F.col(fid).alias("id"), F.col(lon).alias("lon"), F.col(lat).alias("lat")), "lon", "lat")
-    left = _cells(rows, chord, True).select(F.col("id").alias("a"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), "cx", "cy", "cz")
-    right = _cells(rows, chord, False).select(F.col("id").alias("b"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), "cx", "cy", "cz")
-    near = sphere.haversine(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2")) <= meters
-    return left.join(right, ["cx", "cy", "cz"]).where((F.col("a") != F.col("b")) & near).select("a", "b")
-
-
-def _least_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, root): the least id that each node reaches, by rounds of least labels and their labels' labels."""
-    labels = saved(nodes.select("id", F.col("id").alias("root")), "labels")
-    while True:
-        heard = edges.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("heard"))
-        told = labels.join(heard, "id", "left").select("id", F.least("root", F.coalesce("heard", "root")).alias("new"), "root")
-        jumped = told.join(labels.select(F.col("id").alias("new"), F.col("root").alias("further")), "new").select("id", F.least("new", "further").alias("next"), "root")
-        after = saved(jumped, "labels")
-        if after.where("next != root").isEmpty():
-            return labels
-        labels = after.select("id", F.col("next").alias("root"))
-
-
-def clusters_dbscan(points: DataFrame, max_distance: float, units: str = "kilometers", min_points: int = 3, fid: str = "fid", lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """(fid, cluster): clusters are numbered from 0 by their first core point; noise is -1.
-
-    A point with min_points neighbours or more, itself included, is core. Points
-    in one place are compared once, with their number.
-    """
-    rows = saved(points.select(F.col(fid).alias("fid"), F.col(lon).cast("double").alias("lon"), F.col(lat).cast("double").alias("lat")), "points")
-    places = saved(rows.groupBy("lon", "lat").agg(F.min("fid").alias("id"), F.count("*").alias("n")), "places")
-    pairs = saved(within_distance(places, max_distance * meters_in(units), "id"), "pairs")
-    others = pairs.join(places.select(F.col("id").alias("b"), "n"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("m"))
-    degree = places.join(others, "id", "left").select("id", (F.col("n") + F.coalesce("m", F.lit(0))).alias("degree"))
-    core = saved(degree.where(F.col("degree") >= min_points).select("id"), "core")
-    edges = saved(pairs.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b"), "edges")
-    roots = _least_reachable(core, edges)
-    order = numbered(roots.select("root").distinct(), "root", "cluster")
-    of_core = saved(roots.join(order, "root").select("id", "cluster"), "clusters")
-    border = pairs.join(of_core.select(F.col("id").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("near"))
-    labeled = places.join(of_core, "id", "left").join(border, "id", "left").select("lon", "lat", F.coalesce("cluster", "near", F.lit(-1)).cast("long").alias("cluster"))
-    return rows.join(labeled, ["lon", "lat"]).select("fid", "cluster")
-
-
 def clusters_kmeans(points: DataFrame, number_of_clusters: int, most_rounds: int = 100, fid: str = "fid", lon: str = "lon", lat: str = "lat") -> DataFrame:
     """(fid, cluster): seeds are the points at places floor(i n / k); squared degrees, ties to the lower cluster; an empty cluster stays where it is."""
     rows = saved(numbered(points.select(F.col(fid).alias("fid"), F.col(lon).cast("double").alias("lon"), F.col(lat).cast("double").alias("lat")), "fid"), "points")
@@ -139,38 +52,3 @@ def clusters_kmeans(points: DataFrame, number_of_clusters: int, most_rounds: int
         moved = {r["c"]: (r["x"], r["y"]) for r in sums}
         centers = [moved.get(c, where) for c, where in enumerate(centers)]
     return rows.select("fid", now.cast("long").alias("cluster"))
-
-
-def nearest_point(targets: DataFrame, points: DataFrame, tid: str = "tid", fid: str = "fid", lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """(tid, fid, meters): each target's nearest point, the first of equals; distances that are no number do not count.
-
-    A few targets meet every point, with partial minima in each task. Many are
-    looked up in a grid on the sphere; those for which no point is as near as
-    the cells reach look again with cells twice as large.
-    """
-    asked = saved(targets.select(F.col(tid).alias("tid"), F.col(lon).cast("double").alias("lon1"), F.col(lat).cast("double").alias("lat1")), "targets")
-    held = points.select(F.col(fid).alias("fid"), F.col(lon).cast("double").alias("lon2"), F.col(lat).cast("double").alias("lat2"))
-    meters = sphere.haversine(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"))
-
-    def least(met: DataFrame) -> DataFrame:
-        some = met.withColumn("m", meters).where(~F.isnan("m") & F.col("m").isNotNull())
-        return some.groupBy("tid").agg(F.min(F.struct("m", "fid")).alias("best")).select("tid", F.col("best.fid").alias("fid"), F.col("best.m").alias("meters"))
-
-    if asked.count() <= FEW_TARGETS:
-        return least(held.crossJoin(F.broadcast(asked)))
-    held = saved(_on_sphere(held, "lon2", "lat2"), "points")
-    n = held.count()
-    if not n:
-        raise ValueError("points must be a FeatureCollection with a non-empty array of features.")
-    size, todo, done = 4 / math.sqrt(n), _on_sphere(asked, "lon1", "lat1"), None
-    while True:
-        whole = size >= 2
-        met = todo.select("tid", "lon1", "lat1").crossJoin(held) if whole else _cells(todo, size, True).select("tid", "lon1", "lat1", "cx", "cy", "cz").join(_cells(held, size, False).select("fid", "lon2", "lat2", "cx", "cy", "cz"), ["cx", "cy", "cz"])
-        best = saved(least(met), "nearest")
-        # all points within one cell's size have been seen
-        sure = best if whole else best.where(2 * F.sin(F.col("meters") / (2 * EARTH_RADIUS)) <= size * (1 - 1e-9))
-        done = sure if done is None else done.unionByName(sure)
-        todo = saved(todo.join(sure.select("tid"), "tid", "left_anti"), "targets")
-        if whole or todo.isEmpty():
-            return done
-        size *= 2

@@ -105,6 +105,18 @@ _RING = f"""ring AS (SELECT nk, k AS ix, {", ".join(f"{x} AS {n}" for x, n in zi
 _BLOB_NEAR = f"near AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM geo_blobs a JOIN geo_blobs b ON {hav('a.lon', 'a.lat', 'b.lon', 'b.lat')}<=20000)"
 _MOVED = "i AS (SELECT nk, ix, lon+9 AS lon, lat+4 AS lat FROM geo_hex)"
 
+_PATHS_OF_TWO = "SELECT * FROM geo_path WHERE fid IN (SELECT fid FROM geo_path GROUP BY fid HAVING count(*)>1)"
+_DET, _T, _U = "((a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1))", "((b.x1-a.x1)*(b.y2-b.y1)-(b.y1-a.y1)*(b.x2-b.x1))", "((b.x1-a.x1)*(a.y2-a.y1)-(b.y1-a.y1)*(a.x2-a.x1))"
+#: ``touching``: (kind, id, nk), hexagons and the hexagons moved by (9, 4) that they intersect, paths and the hexagons that they intersect; ``within``: those whose vertices lie inside.
+_TOUCHING = f"""left_v AS (SELECT 'hexagon' AS kind, nk::BIGINT AS id, ix::BIGINT AS ix, lon, lat FROM geo_hex UNION ALL SELECT 'path', fid, ix, lon, lat FROM ({_PATHS_OF_TWO})),
+    right_v AS (SELECT 'hexagon' AS kind, nk::BIGINT AS nk, ix, lon+9 AS lon, lat+4 AS lat FROM geo_hex UNION ALL SELECT 'path', nk, ix, lon, lat FROM geo_hex),
+    left_e AS MATERIALIZED (SELECT * FROM (SELECT kind, id, ix, lon AS x1, lat AS y1, lead(lon) OVER w AS x2, lead(lat) OVER w AS y2 FROM left_v WINDOW w AS (PARTITION BY kind, id ORDER BY ix)) WHERE x2 IS NOT NULL),
+    right_e AS MATERIALIZED (SELECT * FROM (SELECT kind, nk, ix, lon AS x1, lat AS y1, lead(lon) OVER w AS x2, lead(lat) OVER w AS y2 FROM right_v WINDOW w AS (PARTITION BY kind, nk ORDER BY ix)) WHERE x2 IS NOT NULL),
+    within AS MATERIALIZED (SELECT p.kind, p.id, p.ix, e.nk FROM left_v p JOIN right_e e ON e.kind=p.kind AND (e.y2>p.lat)<>(e.y1>p.lat) AND p.lon<(e.x1-e.x2)*(p.lat-e.y2)/(CASE WHEN e.y1=e.y2 THEN 1 ELSE e.y1-e.y2 END)+e.x2 GROUP BY p.kind, p.id, p.ix, e.nk HAVING count(*)%2=1),
+    within_other AS MATERIALIZED (SELECT p.kind, p.nk, p.ix, e.id FROM right_v p JOIN left_e e ON p.kind='hexagon' AND e.kind=p.kind AND (e.y2>p.lat)<>(e.y1>p.lat) AND p.lon<(e.x1-e.x2)*(p.lat-e.y2)/(CASE WHEN e.y1=e.y2 THEN 1 ELSE e.y1-e.y2 END)+e.x2 GROUP BY p.kind, p.nk, p.ix, e.id HAVING count(*)%2=1),
+    touching AS MATERIALIZED (SELECT DISTINCT a.kind, a.id, b.nk FROM left_e a JOIN right_e b ON a.kind=b.kind AND abs({_DET})>=1e-14 AND {_T}/{_DET} BETWEEN -1e-10 AND 1+1e-10 AND {_U}/{_DET} BETWEEN -1e-10 AND 1+1e-10
+        UNION SELECT kind, id, nk FROM within WHERE ix=(CASE kind WHEN 'path' THEN 1 ELSE 0 END) UNION SELECT kind, id, nk FROM within_other WHERE ix=0)"""
+
 _SQL: dict[str, tuple[list[str], str]] = {
     "along": (["geo_path"], walk(d(100000))),
     "area": (["geo_hex"], f"WITH {HEX_PLANE} SELECT nk, round(abs(s)/1000000,3) AS km2 FROM a"),
@@ -145,7 +157,9 @@ _SQL: dict[str, tuple[list[str], str]] = {
         m AS (SELECT a.fid, (a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1) AS det, (b.x1-a.x1)*(b.y2-b.y1)-(b.y1-a.y1)*(b.x2-b.x1) AS t, (b.x1-a.x1)*(a.y2-a.y1)-(b.y1-a.y1)*(a.x2-a.x1) AS u FROM g a JOIN g b ON a.fid=b.fid AND a.ix<a.n//2 AND b.ix>b.n//2)
         SELECT f.fid, coalesce(bool_or(abs(det)>=1e-14 AND t/det>1e-10 AND t/det<1-1e-10 AND u/det>1e-10 AND u/det<1-1e-10),false) AS value FROM f LEFT JOIN m USING (fid) GROUP BY f.fid"""),
     "booleanDisjoint": (["geo_hex", "geo_pts"], f"WITH {INSIDE}, x AS (SELECT nk, count(*) AS n FROM pip GROUP BY nk) SELECT h.nk, (SELECT count(*) FROM geo_pts)-coalesce(n,0) AS n FROM (SELECT DISTINCT nk FROM geo_hex) h LEFT JOIN x USING (nk)"),
-    "booleanEqual": (["geo_hex"], "SELECT a.nk AS a, b.nk AS b, a.nk=b.nk AS value FROM (SELECT DISTINCT nk FROM geo_hex) a CROSS JOIN (SELECT DISTINCT nk FROM geo_hex) b"),
+    "booleanEqual": (["geo_hex", "geo_path"], """WITH v AS (SELECT 'hexagon' AS kind, nk::BIGINT AS id, ix::BIGINT AS ix, lon, lat FROM geo_hex UNION ALL SELECT 'path', fid, ix, lon, lat FROM geo_path),
+        n AS (SELECT kind, id, count(*) AS n FROM v GROUP BY kind, id), m AS (SELECT a.kind, a.id AS a, b.id AS b, count(*) AS n FROM v a JOIN v b ON a.kind=b.kind AND a.ix=b.ix AND a.lon=b.lon AND a.lat=b.lat GROUP BY a.kind, a.id, b.id)
+        SELECT m.kind, m.a, m.b FROM m JOIN n x ON x.kind=m.kind AND x.id=m.a JOIN n y ON y.kind=m.kind AND y.id=m.b WHERE m.n=x.n AND m.n=y.n AND m.n>1"""),
     "booleanParallel": (["geo_path"], f"""WITH {PATHS}, c AS (SELECT fid, arg_max(lon,ix)-arg_min(lon,ix) AS x, arg_max(lat,ix)-arg_min(lat,ix) AS y FROM p GROUP BY fid)
         SELECT a.fid, abs(a.x*b.y-a.y*b.x)/(sqrt(a.x*a.x+a.y*a.y)*sqrt(b.x*b.x+b.y*b.y))<1e-8 AS value FROM c a JOIN c b ON b.fid=a.fid+1"""),
     "booleanPointOnLine": (["geo_path"], f"""WITH {PATHS}, e AS (SELECT *, first_value(lon) OVER u AS xa, first_value(lat) OVER u AS ya, first_value(lon) OVER d AS xb, first_value(lat) OVER d AS yb FROM p WINDOW u AS (PARTITION BY fid ORDER BY ix), d AS (PARTITION BY fid ORDER BY ix DESC))
@@ -179,7 +193,10 @@ _SQL: dict[str, tuple[list[str], str]] = {
     "transformRotate": (["geo_hex"], f"WITH {MEAN}, {PLANE} SELECT nk, ix::BIGINT AS ix, {from_plane('x*cos(radians(-30))-y*sin(radians(-30))', 'x*sin(radians(-30))+y*cos(radians(-30))')} FROM t"),
     "transformScale": (["geo_hex"], f"WITH {MEAN}, {PLANE} SELECT nk, ix::BIGINT AS ix, {from_plane('x*0.5', 'y*0.5')} FROM t"),
     "transformTranslate": (["geo_pairs"], f"SELECT id, {at(*_D)} FROM geo_pairs"),
-    "booleanOverlap": (["geo_hex"], "SELECT a.nk AS a, b.nk AS b, a.nk=b.nk AS value FROM (SELECT DISTINCT nk FROM geo_hex) a CROSS JOIN (SELECT DISTINCT nk FROM geo_hex) b"),
+    "booleanOverlap": (["geo_hex", "geo_path"], f"""WITH {_TOUCHING}, c AS (SELECT kind, id, nk, count(*) AS n FROM within GROUP BY kind, id, nk), s AS (SELECT kind, id, count(*) AS n FROM left_v GROUP BY kind, id),
+        r AS (SELECT id, nk, count(*) AS n FROM within_other GROUP BY id, nk)
+        SELECT t.kind, t.id AS a, t.nk AS b FROM touching t JOIN s ON s.kind=t.kind AND s.id=t.id LEFT JOIN c ON c.kind=t.kind AND c.id=t.id AND c.nk=t.nk LEFT JOIN r ON t.kind='hexagon' AND r.id=t.id AND r.nk=t.nk WHERE coalesce(c.n,0)<s.n AND coalesce(r.n,0)<7"""),
+    "booleanDisjointPaths": (["geo_hex", "geo_path"], f"WITH {_TOUCHING}, q AS ({_PATHS_OF_TWO}) SELECT DISTINCT fid FROM q WHERE fid NOT IN (SELECT id FROM touching WHERE kind='path')"),
 }
 
 ORACLE_SQL: dict[str, str] = {name: with_views(views, body) for name, (views, body) in _SQL.items()}

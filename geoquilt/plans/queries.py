@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import shapes as S
+from ..functions.constants import EPSILON
 from ..operators import aggregation as A
+from ..operators import joins as J
 from ..operators import measurement as M
 from ..operators import predicates as P
 from ..operators import transformation as T
@@ -127,7 +129,9 @@ def boolean_crosses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first half of each path's vertices against the others; a half of one vertex crosses nothing."""
     v = S.first_line(F.col(_G))
     half = F.floor(F.size(v) / 2).cast("int")
-    return lines(spark, sf_dir).select("fid", P.boolean_crosses(S.of_line(F.slice(v, F.lit(1), half)), S.of_line(F.slice(v, half + 1, F.size(v)))).alias("value"))
+    paths = lines(spark, sf_dir)
+    found = J.lines_that_cross(paths.select("fid", S.of_line(F.slice(v, F.lit(1), half)).alias(_G)), paths.select("fid", S.of_line(F.slice(v, half + 1, F.size(v))).alias(_G)))
+    return paths.select("fid").join(found.withColumn("value", F.lit(True)), "fid", "left").select("fid", F.coalesce("value", F.lit(False)).alias("value"))
 
 
 @_query("booleanDisjoint")
@@ -139,14 +143,26 @@ def boolean_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hexes.select("nk").join(met, F.col("nk") == F.col("fid"), "left").crossJoin(F.broadcast(whole)).select("nk", (F.col("whole") - F.coalesce("met", F.lit(0))).alias("n"))
 
 
-def _hexagon_pairs(spark: SparkSession, sf_dir: str, dx: float, dy: float) -> DataFrame:
-    """All pairs of the 25 hexagons, the second moved."""
-    a = hexagons(spark, sf_dir).select(F.col("nk").alias("a"), F.col(_G).alias("g1"))
-    return a.crossJoin(F.broadcast(hexagons(spark, sf_dir, dx, dy).select(F.col("nk").alias("b"), F.col(_G).alias("g2"))))
+@_query("booleanEqual")
+def boolean_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of equal hexagons, and of equal paths."""
+    hexes, paths = hexagons(spark, sf_dir), lines(spark, sf_dir)
+    same = J.spatial_join(hexes, hexes, P.boolean_equal, aid="nk", bid="nk").select(F.lit("hexagon").alias("kind"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    return same.unionByName(J.spatial_join(paths, paths, P.boolean_equal).select(F.lit("path").alias("kind"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
 
 
-QUERIES["booleanEqual"] = lambda spark, sf_dir: _hexagon_pairs(spark, sf_dir, 0.0, 0.0).select("a", "b", P.boolean_equal(F.col("g1"), F.col("g2")).alias("value"))
-QUERIES["booleanOverlap"] = lambda spark, sf_dir: _hexagon_pairs(spark, sf_dir, 9.0, 4.0).select("a", "b", P.boolean_overlap(F.col("g1"), F.col("g2")).alias("value"))
+@_query("booleanOverlap")
+def boolean_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that overlap: hexagons and hexagons moved by (9, 4), paths and hexagons."""
+    hexes, moved, paths = hexagons(spark, sf_dir), hexagons(spark, sf_dir, 9.0, 4.0), lines(spark, sf_dir)
+    met = J.spatial_join(hexes, moved, P.boolean_overlap, aid="nk", bid="nk").select(F.lit("hexagon").alias("kind"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    return met.unionByName(J.spatial_join(paths, hexes, P.boolean_overlap, bid="nk").select(F.lit("path").alias("kind"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+
+
+@_query("booleanDisjointPaths")
+def boolean_disjoint_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths that are disjoint from all hexagons: those for which the join finds none that intersects."""
+    return J.spatial_join(lines(spark, sf_dir), hexagons(spark, sf_dir), P.intersects, how="left_anti", bid="nk").select(F.col("a").alias("fid"))
 
 
 @_query("booleanParallel")
@@ -160,9 +176,13 @@ def boolean_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("booleanPointOnLine")
 def boolean_point_on_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each of a path's vertices, end vertices excluded."""
-    rows = lines(spark, sf_dir).select("fid", _G, F.posexplode(S.first_line(F.col(_G))).alias("ix", "v"))
-    on = P.boolean_point_on_line(S.of_point(F.col("v.lon"), F.col("v.lat")), F.col(_G), ignore_end_vertices=True)
-    return rows.select("fid", (F.col("ix") + 1).cast("long").alias("ix"), on.alias("value"))
+    paths = lines(spark, sf_dir)
+    v = S.first_line(F.col(_G))
+    at_end = lambda p, q: (F.abs(p["lon"] - q["lon"]) < EPSILON) & (F.abs(p["lat"] - q["lat"]) < EPSILON)
+    ends = paths.select("fid", v[0].alias("first"), F.element_at(v, -1).alias("last"), F.posexplode(v).alias("ix", "v"))
+    vertices = ends.select("fid", (F.col("ix") + 1).cast("long").alias("ix"), F.col("v.lon").alias("lon"), F.col("v.lat").alias("lat"), (at_end(F.col("v"), F.col("first")) | at_end(F.col("v"), F.col("last"))).alias("end"))
+    on = J.points_on_lines(vertices, paths).withColumn("on", F.lit(True))
+    return vertices.join(on, ["fid", "ix"], "left").select("fid", "ix", (F.coalesce("on", F.lit(False)) & ~F.col("end")).alias("value"))
 
 
 # aggregation and classification

@@ -43,3 +43,8 @@ def numbered(df: DataFrame, order: str, name: str = "place") -> DataFrame:
     before = counts.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_before"))
     place = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
     return cut.join(F.broadcast(before), "_range").withColumn(name, place.cast("long")).drop("_range", "_before")
+
+
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df``, a written table, with a hint to broadcast it if it has ``most`` rows or fewer; else Spark joins as it sees fit."""
+    return F.broadcast(df) if df.count() <= most else df
