@@ -31,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, linked where 0.8 or more of their five-word shingles are the same: the one with the smallest id."""
-    return simhash.keep_one(_documents(docs), shingle=5, radius=20, similarity=0.8)
+    return simhash.keep_one(_documents(docs), shingle=5, similarity=0.8)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
