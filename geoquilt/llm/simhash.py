@@ -7,26 +7,26 @@ over the quarters, so all other pairs of tiles are skipped. Within a pair of
 tiles numpy's exclusive-or and bit counts compare every pair; a tile pair gives
 a spanning forest of the links that it finds, which is enough for components.
 
-near_copies takes a wide radius only to find candidates, which then have to be as
-near in further fingerprints of other hashes, so that chance ones do not grow with
-the square of the texts, and need enough shingles in common. It deals texts to
-tiles by their numbers of shingles too.
+near_copies links texts by how much of their shingles they share. SimHash links
+and texts with the same least shingle, verified, make the first components; what
+they leave is found without loss by a prefix filter: two sets that share enough
+have one of their rarest shingles in common, so only those are posted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import product, repeat
-from math import log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, save, small_side
+from .common import discard, release, save, small_side
 from .components import connected_components
 from .restaurant import mix
+from .tokens import slices
 from .words import Words, split_words
 
 #: For a byte: a 64-bit number with one byte per bit of it.
@@ -35,10 +35,8 @@ _SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in ra
 _QUARTERS, _BASE = 4, 64
 #: Tiles that a tile meets in one group of the join.
 _SALT = 64
-#: Tiles of near_copies: population counts to a bin, bins to a band of sizes, and shingles to a tile.
-_BIN, _BINS, _TILE_SHINGLES = 8, 16, 1 << 20
-#: Further fingerprints of near_copies, the bits of all together that may differ, and texts with candidates up to which their keys (8 bytes each) are broadcast.
-_FURTHER, _WIDE_RADIUS, BROADCAST_TEXTS = ("fp1", "fp2", "fp3"), 64, 2_000_000
+#: Least shingles by which near_copies groups texts at first, buckets in which it counts how frequent shingles are (4 bytes each in every task), and rows of 8 bytes up to which its lists of texts, shingles and components are broadcast.
+_LEAST, _BUCKETS, BROADCAST_KEYS = 2, 1 << 19, 2_000_000
 
 
 def _shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +100,11 @@ def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.n
     return _spanning(a[i], b[j])
 
 
+def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    # unsigned: numpy counts the bits of a signed number's absolute value
+    return np.bitwise_count(a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :]) <= radius
+
+
 def _spanning(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (node, smaller node) that connect what the links (x, y) connect."""
     differ = x != y
@@ -174,140 +177,160 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
-def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, with_sets: bool) -> DataFrame:
-    """(doc_id, text_key, key, fp and further ones, n), or (key, shingles): key is a hash of a text's set of n shingles, shingles their sorted 64-bit hashes."""
+def _sets(texts: pa.Array, shingle: int) -> list[np.ndarray]:
+    """Each text's distinct shingles as sorted 64-bit hashes, A-Z in lower case."""
+    hashes, counts = _shingle_hashes(split_words(texts, lower=True), shingle)
+    ends = np.cumsum(counts)
+    return [np.unique(hashes[e - c : e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+
+
+def _keys(sets: list[np.ndarray]) -> np.ndarray:
+    """A hash of each set."""
     import xxhash
 
+    return np.array([xxhash.xxh64_intdigest(x.astype("<u8").tobytes(), 42) for x in sets], np.uint64).view(np.int64)
+
+
+def _set_prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(doc_id, text_key, key, fp, n, least shingles in other orders): key is a hash of a text's set of n shingles."""
     text = F.col(text_col).cast("string")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    low = [f"low{k}" for k in range(_LEAST)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                some = batch.slice(k, 500)
-                hashes, counts = _shingle_hashes(split_words(some.column(1), lower=True), shingle)
-                ends = np.cumsum(counts)
-                distinct = [np.unique(hashes[e - c : e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-                sets = [x.astype("<u8").tobytes() for x in distinct]
-                key = pa.array(np.array([xxhash.xxh64_intdigest(x, 42) for x in sets], np.uint64).view(np.int64))
-                if with_sets:
-                    yield pa.RecordBatch.from_arrays([key, pa.array(sets, pa.binary())], ["key", "shingles"])
-                else:
-                    n, all_hashes = np.array([len(x) for x in distinct], np.int64), np.concatenate(distinct)
-                    prints = [majority_bits(all_hashes if k == 0 else mix(all_hashes + np.uint64(k)), n) for k in range(1 + len(_FURTHER))]
-                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), key, *(pa.array(x.view(np.int64)) for x in prints), pa.array(n.astype(np.int32))], ["doc_id", "text_key", "key", "fp", *_FURTHER, "n"])
-
-    return source.mapInArrow(each, "key long, shingles binary" if with_sets else f"doc_id long, text_key long, key long, fp long, {', '.join(f'{c} long' for c in _FURTHER)}, n int")
-
-
-def _candidates(classes: DataFrame, radius: int, similarity: float, tile: int) -> DataFrame:
-    """(block, key): for each pair of tiles the sets of shingles that have a set within the radius, and of a size that allows the similarity, in the other tile.
-
-    Candidates lie within the radius in fp, and within _WIDE_RADIUS in all
-    fingerprints together. No such pair is lost: sets whose sizes allow the similarity lie in the same band
-    or in neighbouring ones, and the bins of population counts that are skipped
-    lie more than the radius apart. Empty sets are like no others.
-    """
-    band = F.floor(F.log(F.col("n").cast("double")) / log(1 / similarity) + 1e-9).cast("int")
-    key = band * _BINS + F.floor(F.bit_count("fp") / _BIN).cast("int")
-    names = ("key", "fp", "n", *_FURTHER)
-    keyed = classes.where("n > 0").select(*names, key.alias("at"))
-    rows = F.greatest(F.lit(1.0), F.least(F.lit(float(tile)), F.lit(float(_TILE_SHINGLES)) / F.max("n")))
-    counts = keyed.groupBy("at").agg(F.ceil(F.count("*") / rows).alias("tiles"))  # bands by bins: some hundred rows
-    tiles = keyed.join(F.broadcast(counts), "at").groupBy("at", F.pmod(F.xxhash64("key"), "tiles").alias("sub"))
-    tiles = save(tiles.agg(F.collect_list(F.struct(*names)).alias("rows")).select("at", "sub", *(F.col(f"rows.{c}").alias(c) for c in names)), "tiles")
-    far = (radius - 1) // _BIN + 1
-    # no bins below the band's first, which are the last of the band before
-    steps = [(0, d) for d in range(far + 1)] + [(1, d) for d in range(-far, far + 1)]
-    reach = F.array(*(F.when(F.col("at") % _BINS + d >= 0, F.col("at") + b * _BINS + d) for b, d in steps))
-    side = lambda x: (F.col("sub").alias(f"sub_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in names))
-    left = _salted(tiles.select(F.explode(reach).alias("to"), F.col("at").alias("from"), *side("a")).where("to IS NOT NULL"), counts.withColumnRenamed("at", "to"))
-    right = tiles.select(F.col("at").alias("to"), F.expr(f"sub div {_SALT}").alias("salt"), *side("b"))
-    block = F.xxhash64("from", "sub_a", "to", "sub_b").alias("block")
-    pairs = left.join(right, ["to", "salt"]).where("to != from OR sub_a <= sub_b").select(block, *(f"{c}_{x}" for x in "ab" for c in names))
+            for some in slices(batch, 1, 500):
+                sets = _sets(some.column(1), shingle)
+                n, all_hashes = np.array([len(x) for x in sets], np.int64), np.concatenate(sets)
+                least = [np.minimum.reduceat(np.append(mix(all_hashes + np.uint64(k + 1)), ~np.uint64(0)), np.cumsum(n) - n) for k in range(_LEAST)]
+                columns = [_keys(sets), majority_bits(all_hashes, n).view(np.int64), *(np.where(n > 0, x, np.uint64(0)).view(np.int64) for x in least)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), *map(pa.array, columns), pa.array(n.astype(np.int32))], ["doc_id", "text_key", "key", "fp", *low, "n"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blocks = batch.column(0).to_numpy()
-            sides = [(c.flatten().to_numpy(zero_copy_only=False), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in batch.columns[1:]]
-            found = []
-            for k in range(batch.num_rows):
-                one, two = ([v[o[k] : o[k + 1]] for v, o in some] for some in (sides[: len(names)], sides[len(names) :]))
-                (key_a, a, n_a), (key_b, b, n_b) = one[:3], two[:3]
-                i, j = np.nonzero(_near(a, b, radius))
-                apart = sum(np.bitwise_count(x.view(np.uint64)[i] ^ y.view(np.uint64)[j]).astype(np.int64) for x, y in zip((a, *one[3:]), (b, *two[3:]), strict=True))
-                i, j = i[apart <= _WIDE_RADIUS], j[apart <= _WIDE_RADIUS]
-                ok = (np.minimum(n_a[i], n_b[j]) >= similarity * np.maximum(n_a[i], n_b[j]) - 1e-9) & (key_a[i] != key_b[j])
-                if ok.any():
-                    found.append((blocks[k], np.unique(np.concatenate([key_a[i[ok]], key_b[j[ok]]]))))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found])), pa.array(np.concatenate([f[1] for f in found]))], ["block", "key"])
+    return source.mapInArrow(each, f"doc_id long, text_key long, key long, fp long, {', '.join(f'{c} long' for c in low)}, n int")
 
-    return pairs.mapInArrow(compare, "block long, key long")
 
+def _similar_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(src, dst): those of the pairs (a, b) of classes whose sets share enough; one text for each class in question is read again."""
+    sized = pairs.join(classes.select(F.col("key").alias("a"), F.col("n").alias("n_a")), "a").join(classes.select(F.col("key").alias("b"), F.col("n").alias("n_b")), "b")
+    fit = save(sized.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9).select("a", "b"), "candidates")
+    ends = fit.select(F.col("a").alias("key")).union(fit.select("b")).distinct()
+    asked = save(classes.join(ends, "key", "left_semi").select("key", "text_key"), "asked")
+    texts = docs.select(F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"))
+    texts = texts.join(small_side(asked.select("text_key"), BROADCAST_KEYS), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
 
-def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    # unsigned: numpy counts the bits of a signed number's absolute value
-    return np.bitwise_count(a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :]) <= radius
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, 0, 500):
+                sets = _sets(some.column(0), shingle)
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(sets)), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["key", "shingles"])
 
+    sets = save(texts.select("text").mapInArrow(each, "key long, shingles binary").dropDuplicates(["key"]), "sets")
+    one = lambda c: sets.select(F.col("key").alias(c), F.col("shingles").alias(f"set_{c}"))
 
-def _similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Which pairs of the sets have so large a share of their union in common, as a matrix."""
-    n = np.array([len(x) for x in sets], np.int64)
-    values, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    # only what several sets hold counts for what two have in common
-    column = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[at]
-    row = np.repeat(np.arange(len(sets)), n)[column >= 0]
-    column = column[column >= 0]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    common = np.zeros((len(sets), len(sets)), np.float64)
-    width = 4_096
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, b = np.searchsorted(column, (first, first + width))
-        held = np.zeros((len(sets), width), np.float32)
-        held[row[a:b], column[a:b] - first] = 1
-        common += held @ held.T
-    return common * (1 + similarity) >= similarity * (n[:, None] + n) - 1e-9
-
-
-def similar_links(docs: DataFrame, prints: DataFrame, radius: int, similarity: float, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tile: int = 512) -> DataFrame:
-    """(src, dst): links between different values of the column key of ``prints``, enough to connect all pairs within the radius that have the similarity."""
-    classes = prints.groupBy("key").agg(*(F.min(c).alias(c) for c in ("fp", "n", "text_key", *_FURTHER)))
-    classes = save(classes, "classes")
-    members = save(_candidates(classes, radius, similarity, tile), "candidates")
-    asked = save(members.select("key").distinct().join(classes.select("key", "fp", "text_key"), "key"), "asked")
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("set_a", "set_b"))
+            ok = []
+            for p, q in zip(x, y, strict=True):
+                p, q = np.frombuffer(p.as_buffer(), "<u8"), np.frombuffer(q.as_buffer(), "<u8")
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                ok.append(common * (1 + similarity) >= similarity * (len(p) + len(q)) - 1e-9)
+            keep = pa.array(np.flatnonzero(ok))
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).take(keep) for c in "ab"], ["src", "dst"])
+
+    links = save(fit.join(one("a"), "a").join(one("b"), "b").mapInArrow(verify, "src long, dst long"), "links")
+    for used in (sets, asked, fit):
+        discard(used)
     release(docs.sparkSession)
-    # one text for each set
-    texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"))
-    texts = texts.join(small_side(asked.select("text_key"), BROADCAST_TEXTS), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"), F.first(id_col).alias(id_col))
-    sets = save(_shingle_sets(texts, id_col, "text", shingle, True), "sets")
-    held = members.join(asked.select("key", "fp"), "key").join(sets, "key")
+    return links
+
 
-    def verify(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        keys, fp = (table.column(c).to_numpy() for c in ("key", "fp"))
-        ok = _similar([np.frombuffer(x.as_buffer(), "<u8") for x in table.column("shingles")], similarity) & _near(fp, fp, radius)
-        i, j = np.nonzero(np.triu(ok, 1))
-        src, dst = _spanning(keys[i], keys[j])
-        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+def _first_pairs(classes: DataFrame, radius: int) -> DataFrame:
+    """(a, b): SimHash links, and each class with the first of those of its fingerprint and of its least shingles: a number of pairs that grows with the classes."""
+    some = classes.where("n > 0")
+    heads = save(some.groupBy("fp").agg(F.min("key").alias("head")), "heads")
+    near = near_links(heads.select("fp"), radius)
+    of = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head"))
+    pairs = near.join(of("src"), "src").join(of("dst"), "dst").select(F.col("src_head").alias("a"), F.col("dst_head").alias("b"))
+    for c in ("fp", *(f"low{k}" for k in range(_LEAST))):
+        first = some.groupBy(c).agg(F.min("key").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
+        pairs = pairs.unionByName(some.select(c, F.col("key").alias("b")).join(first, c).select("a", "b"))
+    return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _frequencies(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How many shingles of all texts fall into each of _BUCKETS buckets of hashes."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(_BUCKETS, np.int64)
+        for batch in batches:
+            for some in slices(batch, 0, 500):
+                found += np.bincount((np.concatenate(_sets(some.column(0), shingle)) % np.uint64(_BUCKETS)).astype(np.int64), minlength=_BUCKETS)
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], ["bucket", "n"])
 
-    return held.groupBy("block").applyInArrow(verify, "src long, dst long")
+    rows = texts.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # _BUCKETS rows
+    counts = np.zeros(_BUCKETS, np.int64)
+    counts[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    return np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32)
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 20, similarity: float = 0.8) -> DataFrame:
-    """As near_duplicates, but texts are linked where their fingerprints lie within the radius and their sets of shingles have ``similarity`` (intersection by union) or more.
+def _prefix_pairs(docs: DataFrame, classes: DataFrame, roots: DataFrame, similarity: float, text_col: str, shingle: int) -> DataFrame:
+    """(a, b): all pairs of classes of different components that can share enough.
+
+    Shingles are in one order, those of rare buckets first. Of n shingles two
+    sets that share enough have one in common among the first n - ceil(s n) + 1
+    of each, whatever the order; rare ones first keep what is posted under one
+    shingle short. Only shingles of several components matter.
+    """
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    frequency = _frequencies(texts, shingle)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, 0, 500):
+                sets = _sets(some.column(0), shingle)
+                n = np.array([len(x) for x in sets], np.int64)
+                row, values = np.repeat(np.arange(len(sets)), n), np.concatenate(sets)
+                order = np.lexsort((values, frequency[(values % np.uint64(_BUCKETS)).astype(np.int64)], row))
+                place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+                first = place < (n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(values[order][first].view(np.int64)), pa.array(_keys(sets)[row[first]])], ["shingle", "key"])
+
+    postings = save(texts.mapInArrow(post, "shingle long, key long"), "postings")
+    roots = small_side(roots, BROADCAST_KEYS)
+    rooted = postings.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    live = rooted.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("shingle")
+    live = save(live, "live-shingles")
+    release(docs.sparkSession)
+    held = save(rooted.join(small_side(live, BROADCAST_KEYS), "shingle", "left_semi").distinct(), "live-postings")
+    discard(postings)
+    held = held.join(classes.select("key", "n"), "key")
+    one = held.select("shingle", F.col("key").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
+    two = held.select("shingle", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
+    fit = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
+    return one.join(two, "shingle").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fit).select("a", "b").distinct()
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 2, similarity: float = 0.8) -> DataFrame:
+    """As near_duplicates, but texts are linked where their sets of shingles have ``similarity`` (intersection by union) or more; no such link is lost.
 
     Texts of the same shingles are one class, those without words too. Here a
-    shingle counts once for the fingerprint, however often it occurs.
+    shingle counts once for the fingerprint, however often it occurs. ``radius``
+    is that of the first links, which are verified like all others.
     """
-    prints = save(_shingle_sets(docs, id_col, text_col, shingle, False), "fingerprints")
-    least = save(prints.groupBy("key").agg(F.min("doc_id").alias("least")), "least")
-    roots = connected_components(save(similar_links(docs, prints, radius, similarity, id_col, text_col, shingle), "links"))
+    prints = save(_set_prints(docs, id_col, text_col, shingle), "fingerprints")
+    low = [f"low{k}" for k in range(_LEAST)]
+    classes = save(prints.groupBy("key").agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in ("fp", "n", "text_key", *low))), "classes")
+    first = _similar_pairs(docs, classes, _first_pairs(classes, radius), similarity, id_col, text_col, shingle)
+    roots = save(connected_components(first), "roots")
+    release(docs.sparkSession)
+    more = _similar_pairs(docs, classes, _prefix_pairs(docs, classes, roots, similarity, text_col, shingle), similarity, id_col, text_col, shingle)
+    roots = connected_components(save(first.unionByName(more), "links"))
     release(docs.sparkSession)
-    rooted = least.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    rooted = classes.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(named, "root").select("key", "root", "component_id"), "key").select("doc_id", "text_key", "fp", "root", "component_id")
+    return prints.select("doc_id", "text_key", "key", "fp").join(rooted.join(named, "root").select("key", "root", "component_id"), "key").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:

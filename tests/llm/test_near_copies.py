@@ -44,3 +44,30 @@ def test_awkward_rows(spark, docs, empty, small):
     want = [1, 3, 6, 7, 8, 9, 10, 11, 11, 12, None]
     assert sorted((r["doc_id"] for r in kept), key=str) == sorted(want, key=str)
     assert corpus_pipeline.near_dedup(spark, as_corpus(empty), small).count() == 0
+
+
+def test_a_cluster_is_not_compared_in_pairs(spark, small):
+    """2,000 near copies of one text, some at the edge of the similarity, among others: one of them stays, and so do those beyond."""
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choices("abcdefghijklmnop", k=draw.randint(2, 9)))
+    base = [word() for _ in range(120)]
+    edited = lambda n: " ".join(word() if k in places else w for places in [set(draw.sample(range(120), n))] for k, w in enumerate(base))
+    texts = [" ".join(base)] + [edited(draw.choice([1, 1, 2])) for _ in range(2_000)] + [edited(draw.randint(3, 9)) for _ in range(100)] + [" ".join(word() for _ in range(100)) for _ in range(100)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+    sets = [shingles(t) for t in texts]
+    least, todo = list(range(len(texts))), [0]
+    linked = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    left = set(range(1, len(texts)))
+    groups = []
+    while todo:
+        group = [todo.pop()]
+        for i in group:
+            found = [j for j in left if linked(i, j)]
+            left -= set(found)
+            group += found
+        groups.append(min(group))
+        if left:
+            todo = [min(left)]
+            left -= {todo[0]}
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, small).select("doc_id").collect()}
+    assert kept == set(groups) and len(least) - len(kept) >= 2_000
