@@ -281,7 +281,8 @@ def _prefix_pairs(docs: DataFrame, classes: DataFrame, roots: DataFrame, similar
     Shingles are in one order, those of rare buckets first. Of n shingles two
     sets that share enough have one in common among the first n - ceil(s n) + 1
     of each, whatever the order; rare ones first keep what is posted under one
-    shingle short. Only shingles of several components matter.
+    shingle short. Only shingles of several components matter, and only pairs
+    with so many of them in common that the rest can make up for what is missing.
     """
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     frequency = _frequencies(texts, shingle)
@@ -308,8 +309,11 @@ def _prefix_pairs(docs: DataFrame, classes: DataFrame, roots: DataFrame, similar
     held = held.join(classes.select("key", "n"), "key")
     one = held.select("shingle", F.col("key").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
     two = held.select("shingle", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
-    fit = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
-    return one.join(two, "shingle").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fit).select("a", "b").distinct()
+    met = one.join(two, "shingle").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common"))
+    # whichever of two prefixes ends first in the order, all else that is shared lies behind it
+    behind = F.greatest(*(F.ceil(similarity * F.col(n) - 1e-9) - 1 for n in ("n_a", "n_b")))
+    enough = (F.col("common") + behind) * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - 1e-9
+    return met.where(enough).select("a", "b")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 2, similarity: float = 0.8) -> DataFrame:
