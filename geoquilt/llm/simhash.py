@@ -20,7 +20,7 @@ from itertools import product, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, release, save, small_side
@@ -35,8 +35,10 @@ _SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in ra
 _QUARTERS, _BASE = 4, 64
 #: Tiles that a tile meets in one group of the join.
 _SALT = 64
-#: Least shingles by which near_copies groups texts at first, buckets in which it counts how frequent shingles are (4 bytes each in every task), and rows of 8 bytes up to which its lists of texts, shingles and components are broadcast.
-_LEAST, _BUCKETS, BROADCAST_KEYS = 2, 1 << 19, 2_000_000
+#: Orders whose least shingles group texts at first in near_copies, and those of them that come first, buckets in which it counts how frequent shingles are (4 bytes each in every task), and rows of 8 bytes up to which its lists of texts, shingles and components are broadcast.
+_LEAST, _EARLY, _BUCKETS, BROADCAST_KEYS = 6, 2, 1 << 19, 2_000_000
+#: Partners of a class in each further order, and classes of one least shingle in one task; rows and bytes of texts that are taken apart at a time.
+_PARTNERS, _SHARE, _SLICE = 5, 10_000, (500, 4 << 20)
 
 
 def _shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +201,7 @@ def _set_prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Da
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch, 1, 500):
+            for some in slices(batch, 1, *_SLICE):
                 sets = _sets(some.column(1), shingle)
                 n, all_hashes = np.array([len(x) for x in sets], np.int64), np.concatenate(sets)
                 least = [np.minimum.reduceat(np.append(mix(all_hashes + np.uint64(k + 1)), ~np.uint64(0)), np.cumsum(n) - n) for k in range(_LEAST)]
@@ -209,22 +211,26 @@ def _set_prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Da
     return source.mapInArrow(each, f"doc_id long, text_key long, key long, fp long, {', '.join(f'{c} long' for c in low)}, n int")
 
 
-def _similar_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(src, dst): those of the pairs (a, b) of classes whose sets share enough; one text for each class in question is read again."""
-    sized = pairs.join(classes.select(F.col("key").alias("a"), F.col("n").alias("n_a")), "a").join(classes.select(F.col("key").alias("b"), F.col("n").alias("n_b")), "b")
-    fit = save(sized.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9).select("a", "b"), "candidates")
-    ends = fit.select(F.col("a").alias("key")).union(fit.select("b")).distinct()
+def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """(key, shingles) of the classes in some pairs (a, b): one text of each is read again."""
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     asked = save(classes.join(ends, "key", "left_semi").select("key", "text_key"), "asked")
     texts = docs.select(F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"))
     texts = texts.join(small_side(asked.select("text_key"), BROADCAST_KEYS), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch, 0, 500):
+            for some in slices(batch, 0, *_SLICE):
                 sets = _sets(some.column(0), shingle)
                 yield pa.RecordBatch.from_arrays([pa.array(_keys(sets)), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["key", "shingles"])
 
     sets = save(texts.select("text").mapInArrow(each, "key long, shingles binary").dropDuplicates(["key"]), "sets")
+    discard(asked)
+    return sets
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): those of the pairs (a, b) whose sets share enough."""
     one = lambda c: sets.select(F.col("key").alias(c), F.col("shingles").alias(f"set_{c}"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,33 +244,63 @@ def _similar_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, simila
             keep = pa.array(np.flatnonzero(ok))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).take(keep) for c in "ab"], ["src", "dst"])
 
-    links = save(fit.join(one("a"), "a").join(one("b"), "b").mapInArrow(verify, "src long, dst long"), "links")
-    for used in (sets, asked, fit):
+    return save(pairs.select("a", "b").join(one("a"), "a").join(one("b"), "b").mapInArrow(verify, "src long, dst long"), "links")
+
+
+def _links_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, links: DataFrame | None, similarity: float, text_col: str, shingle: int) -> DataFrame:
+    """``links`` and those of the pairs (a, b) that share enough."""
+    sized = pairs.join(classes.select(F.col("key").alias("a"), F.col("n").alias("n_a")), "a").join(classes.select(F.col("key").alias("b"), F.col("n").alias("n_b")), "b") if "n_a" not in pairs.columns else pairs
+    left = save(sized.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9), "candidates")
+    sets = _sets_of(docs, classes, left, text_col, shingle)
+    found = _verified(left, sets, similarity)
+    links = found if links is None else save(links.unionByName(found), "links")
+    for used in (sets, left):
         discard(used)
     release(docs.sparkSession)
     return links
 
 
 def _first_pairs(classes: DataFrame, radius: int) -> DataFrame:
-    """(a, b): SimHash links, and each class with the first of those of its fingerprint and of its least shingles: a number of pairs that grows with the classes."""
+    """(a, b): SimHash links, and each class with the first of those of its fingerprint and of its least shingles in some orders: a number of pairs that grows with the classes."""
     some = classes.where("n > 0")
     heads = save(some.groupBy("fp").agg(F.min("key").alias("head")), "heads")
     near = near_links(heads.select("fp"), radius)
     of = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head"))
     pairs = near.join(of("src"), "src").join(of("dst"), "dst").select(F.col("src_head").alias("a"), F.col("dst_head").alias("b"))
-    for c in ("fp", *(f"low{k}" for k in range(_LEAST))):
+    for c in ("fp", *(f"low{k}" for k in range(_EARLY))):
         first = some.groupBy(c).agg(F.min("key").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
         pairs = pairs.unionByName(some.select(c, F.col("key").alias("b")).join(first, c).select("a", "b"))
     return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _further_pairs(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): each class with the next ones, in an order by chance, that have the same least shingle in further orders, where they are of different components.
+
+    So each has as many partners as any other, and loose groups of near copies,
+    in which only some pairs share enough, come together without all their pairs.
+    """
+    some = classes.where("n > 0").join(small_side(roots.withColumnRenamed("node", "key"), BROADCAST_KEYS), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    some = save(some.select("key", "root", *(f"low{k}" for k in range(_EARLY, _LEAST))), "rooted")
+    pairs = None
+    for k in range(_EARLY, _LEAST):
+        # large groups are dealt to shares, each in an order of its own
+        sizes = some.groupBy(f"low{k}").agg(F.count("*").alias("m"), F.min("root").alias("r"), F.max("root").alias("s")).where("r < s")
+        held = some.select(f"low{k}", "key", "root").join(sizes.select(f"low{k}", F.ceil(F.col("m") / _SHARE).alias("shares")), f"low{k}")
+        held = held.withColumn("place", F.xxhash64("key", F.lit(k))).withColumn("share", F.pmod("place", "shares"))
+        order = Window.partitionBy(f"low{k}", "share").orderBy("place")
+        partners = F.array(*(F.lead(F.struct("key", "root"), d).over(order) for d in range(1, _PARTNERS + 1)))
+        met = held.select("key", "root", partners.alias("next")).select("key", "root", F.explode("next").alias("x")).where("x.root != root").select(F.col("key").alias("a"), F.col("x.key").alias("b"))
+        pairs = met if pairs is None else pairs.unionByName(met)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _frequencies(texts: DataFrame, shingle: int) -> np.ndarray:
     """How many shingles of all texts fall into each of _BUCKETS buckets of hashes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(_BUCKETS, np.int64)
         for batch in batches:
-            for some in slices(batch, 0, 500):
+            for some in slices(batch, 0, *_SLICE):
                 found += np.bincount((np.concatenate(_sets(some.column(0), shingle)) % np.uint64(_BUCKETS)).astype(np.int64), minlength=_BUCKETS)
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], ["bucket", "n"])
@@ -289,7 +325,7 @@ def _prefix_pairs(docs: DataFrame, classes: DataFrame, roots: DataFrame, similar
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch, 0, 500):
+            for some in slices(batch, 0, *_SLICE):
                 sets = _sets(some.column(0), shingle)
                 n = np.array([len(x) for x in sets], np.int64)
                 row, values = np.repeat(np.arange(len(sets)), n), np.concatenate(sets)
@@ -313,7 +349,7 @@ def _prefix_pairs(docs: DataFrame, classes: DataFrame, roots: DataFrame, similar
     # whichever of two prefixes ends first in the order, all else that is shared lies behind it
     behind = F.greatest(*(F.ceil(similarity * F.col(n) - 1e-9) - 1 for n in ("n_a", "n_b")))
     enough = (F.col("common") + behind) * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - 1e-9
-    return met.where(enough).select("a", "b")
+    return met.where(enough)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 2, similarity: float = 0.8) -> DataFrame:
@@ -326,11 +362,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = save(_set_prints(docs, id_col, text_col, shingle), "fingerprints")
     low = [f"low{k}" for k in range(_LEAST)]
     classes = save(prints.groupBy("key").agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in ("fp", "n", "text_key", *low))), "classes")
-    first = _similar_pairs(docs, classes, _first_pairs(classes, radius), similarity, id_col, text_col, shingle)
-    roots = save(connected_components(first), "roots")
-    release(docs.sparkSession)
-    more = _similar_pairs(docs, classes, _prefix_pairs(docs, classes, roots, similarity, text_col, shingle), similarity, id_col, text_col, shingle)
-    roots = connected_components(save(first.unionByName(more), "links"))
+    links = _links_of(docs, classes, _first_pairs(classes, radius), None, similarity, text_col, shingle)
+    for pairs in (_further_pairs, lambda classes, roots: _prefix_pairs(docs, classes, roots, similarity, text_col, shingle)):
+        roots = save(connected_components(links), "roots")
+        release(docs.sparkSession)
+        links = _links_of(docs, classes, pairs(classes, roots), links, similarity, text_col, shingle)
+    roots = connected_components(links)
     release(docs.sparkSession)
     rooted = classes.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
