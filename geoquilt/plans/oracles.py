@@ -156,7 +156,9 @@ _SQL: dict[str, tuple[list[str], str]] = {
         f AS (SELECT DISTINCT fid FROM s WHERE n>1), g AS (SELECT * FROM s WHERE x2 IS NOT NULL),
         m AS (SELECT a.fid, (a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1) AS det, (b.x1-a.x1)*(b.y2-b.y1)-(b.y1-a.y1)*(b.x2-b.x1) AS t, (b.x1-a.x1)*(a.y2-a.y1)-(b.y1-a.y1)*(a.x2-a.x1) AS u FROM g a JOIN g b ON a.fid=b.fid AND a.ix<a.n//2 AND b.ix>b.n//2)
         SELECT f.fid, coalesce(bool_or(abs(det)>=1e-14 AND t/det>1e-10 AND t/det<1-1e-10 AND u/det>1e-10 AND u/det<1-1e-10),false) AS value FROM f LEFT JOIN m USING (fid) GROUP BY f.fid"""),
-    "booleanDisjoint": (["geo_hex", "geo_pts"], f"WITH {INSIDE}, x AS (SELECT nk, count(*) AS n FROM pip GROUP BY nk) SELECT h.nk, (SELECT count(*) FROM geo_pts)-coalesce(n,0) AS n FROM (SELECT DISTINCT nk FROM geo_hex) h LEFT JOIN x USING (nk)"),
+    "booleanDisjoint": (["geo_hex", "geo_pts", "geo_path"], f"""WITH {INSIDE}, {_TOUCHING}, x AS (SELECT 'point' AS kind, nk, count(*) AS n FROM pip GROUP BY nk UNION ALL SELECT 'path', nk, count(*) FROM touching WHERE kind='path' GROUP BY nk),
+        w AS (SELECT 'point' AS kind, count(*) AS whole FROM geo_pts UNION ALL SELECT 'path', count(DISTINCT fid) FROM ({_PATHS_OF_TWO}))
+        SELECT w.kind, h.nk, whole-coalesce(n,0) AS n FROM (SELECT DISTINCT nk FROM geo_hex) h CROSS JOIN w LEFT JOIN x ON x.nk=h.nk AND x.kind=w.kind"""),
     "booleanEqual": (["geo_hex", "geo_path"], """WITH v AS (SELECT 'hexagon' AS kind, nk::BIGINT AS id, ix::BIGINT AS ix, lon, lat FROM geo_hex UNION ALL SELECT 'path', fid, ix, lon, lat FROM geo_path),
         n AS (SELECT kind, id, count(*) AS n FROM v GROUP BY kind, id), m AS (SELECT a.kind, a.id AS a, b.id AS b, count(*) AS n FROM v a JOIN v b ON a.kind=b.kind AND a.ix=b.ix AND a.lon=b.lon AND a.lat=b.lat GROUP BY a.kind, a.id, b.id)
         SELECT m.kind, m.a, m.b FROM m JOIN n x ON x.kind=m.kind AND x.id=m.a JOIN n y ON y.kind=m.kind AND y.id=m.b WHERE m.n=x.n AND m.n=y.n AND m.n>1"""),
@@ -196,7 +198,6 @@ _SQL: dict[str, tuple[list[str], str]] = {
     "booleanOverlap": (["geo_hex", "geo_path"], f"""WITH {_TOUCHING}, c AS (SELECT kind, id, nk, count(*) AS n FROM within GROUP BY kind, id, nk), s AS (SELECT kind, id, count(*) AS n FROM left_v GROUP BY kind, id),
         r AS (SELECT id, nk, count(*) AS n FROM within_other GROUP BY id, nk)
         SELECT t.kind, t.id AS a, t.nk AS b FROM touching t JOIN s ON s.kind=t.kind AND s.id=t.id LEFT JOIN c ON c.kind=t.kind AND c.id=t.id AND c.nk=t.nk LEFT JOIN r ON t.kind='hexagon' AND r.id=t.id AND r.nk=t.nk WHERE coalesce(c.n,0)<s.n AND coalesce(r.n,0)<7"""),
-    "booleanDisjointPaths": (["geo_hex", "geo_path"], f"WITH {_TOUCHING}, q AS ({_PATHS_OF_TWO}) SELECT DISTINCT fid FROM q WHERE fid NOT IN (SELECT id FROM touching WHERE kind='path')"),
 }
 
 ORACLE_SQL: dict[str, str] = {name: with_views(views, body) for name, (views, body) in _SQL.items()}

@@ -136,11 +136,17 @@ def boolean_crosses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("booleanDisjoint")
 def boolean_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each hexagon how many points are disjoint from it: all but those that the grid join finds to intersect."""
-    hexes, points = hexagons(spark, sf_dir), _points(spark, sf_dir)
-    met = A.points_in_polygons(hexes, points, fid="nk", inside=lambda p, g: ~P.boolean_disjoint(S.of_point(p["lon"], p["lat"]), g)).groupBy("fid").agg(F.count("*").alias("met"))
-    whole = points.agg(F.count("*").alias("whole"))
-    return hexes.select("nk").join(met, F.col("nk") == F.col("fid"), "left").crossJoin(F.broadcast(whole)).select("nk", (F.col("whole") - F.coalesce("met", F.lit(0))).alias("n"))
+    """For each hexagon how many points, and how many paths, are disjoint from it: all but those that the joins find to intersect."""
+    hexes, points, paths = hexagons(spark, sf_dir), _points(spark, sf_dir), lines(spark, sf_dir)
+    of_points = A.points_in_polygons(hexes, points, fid="nk", inside=lambda p, g: ~P.boolean_disjoint(S.of_point(p["lon"], p["lat"]), g)).select("fid")
+    of_paths = J.spatial_join(paths, hexes, P.intersects, bid="nk").select(F.col("b").alias("fid"))
+
+    def counted(kind: str, met: DataFrame, every: DataFrame) -> DataFrame:
+        whole = every.agg(F.count("*").alias("whole"))
+        found = met.groupBy("fid").agg(F.count("*").alias("met"))
+        return hexes.select("nk").join(found, F.col("nk") == F.col("fid"), "left").crossJoin(F.broadcast(whole)).select(F.lit(kind).alias("kind"), "nk", (F.col("whole") - F.coalesce("met", F.lit(0))).alias("n"))
+
+    return counted("point", of_points, points).unionByName(counted("path", of_paths, paths))
 
 
 @_query("booleanEqual")
@@ -159,12 +165,6 @@ def boolean_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.unionByName(J.spatial_join(paths, hexes, P.boolean_overlap, bid="nk").select(F.lit("path").alias("kind"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
 
 
-@_query("booleanDisjointPaths")
-def boolean_disjoint_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths that are disjoint from all hexagons: those for which the join finds none that intersects."""
-    return J.spatial_join(lines(spark, sf_dir), hexagons(spark, sf_dir), P.intersects, how="left_anti", bid="nk").select(F.col("a").alias("fid"))
-
-
 @_query("booleanParallel")
 def boolean_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each path against that of the next user."""
