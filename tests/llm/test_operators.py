@@ -501,6 +501,8 @@ def test_query_runs_over_the_whole_table(spark, small, name):
         assert len(got) == 10 * (vectors["vec_id"] % 100 == 0).sum()
     elif name.startswith("op5_"):
         assert got["doc_id"].nunique() == n
+    elif name.startswith("op13_"):
+        assert len(got) == spark.read.parquet(f"{small}/conversations.parquet").toPandas()["conv_id"].nunique()
     else:
         assert len(got) == n
 
