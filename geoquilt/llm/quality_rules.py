@@ -6,8 +6,9 @@ exact binomial test on labelled good documents rejects "it turns away more than
 its share of the limit" at the level left by Bonferroni's correction over all
 strata and rules, and the first failure ends the list (fixed-sequence testing).
 So with probability 1 - ``error`` or more, no stratum loses more than ``limit``
-of its good documents to the rules. Where labels are too few, no cutoff can be
-certified and the rule turns nothing away.
+of its good documents to the rules. A trial is one text, however many documents repeat
+it, since copies pass or fail together. Where labels are too few, no cutoff can
+be certified and the rule turns nothing away.
 """
 
 from __future__ import annotations
@@ -118,14 +119,22 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 def certify(measured: DataFrame, labels: DataFrame, limit: float = LIMIT, error: float = ERROR, steps: int = STEPS) -> DataFrame:
     """(stratum, and for each rule cut_<rule> int: the strictest certified cutoff, null if none).
 
-    ``measured`` has doc_id, stratum and COUNTS of documents that pass the base
-    rules; ``labels`` has doc_id and quality. Only sums over good documents by
-    stratum, rule and step leave the tasks.
+    ``measured`` has doc_id, stratum, text_key (equal for equal texts) and COUNTS
+    of documents that pass the base rules; ``labels`` has doc_id and quality. Only
+    sums over good texts by stratum, rule and step leave the tasks.
+
+    Trials are distinct: an id counts once, by its text with the least key; a
+    text counts once in a stratum. An id labelled both good and bad is no trial,
+    and neither is a text of which one copy is good and another bad.
     """
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    marks = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("least"))
     names = list(RATIOS)
     steps_of = F.array(*(F.struct(F.lit(r).alias("rule"), _step(r, steps).alias("step")) for r in names))
-    held = measured.join(good, "doc_id", "left_semi").select("stratum", F.explode(steps_of).alias("x")).select("stratum", "x.rule", "x.step")
+    row = F.struct("text_key", "stratum", steps_of.alias("steps"), "least")
+    by_id = measured.join(marks, "doc_id").groupBy("doc_id").agg(F.min_by(row, F.struct("text_key", "stratum")).alias("t")).select("t.*")
+    # copies of one text have the same ratios, so any of their rows will do
+    by_text = by_id.groupBy("stratum", "text_key").agg(F.min("least").alias("least"), F.first("steps").alias("steps")).where("least = 1")
+    held = by_text.select("stratum", F.explode("steps").alias("x")).select("stratum", "x.rule", "x.step")
     counts = save(held.groupBy("stratum", "rule", "step").agg(F.count("*").alias("n")), "holdout")
     n_strata = max(1, counts.select(F.count_distinct(F.struct("stratum"))).first()[0])
     level, share = error / (n_strata * len(names)), limit / len(names)
@@ -157,10 +166,12 @@ def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     base_failed: fewer than 50 words, or more than half its words in repeated
     windows. Null is a stratum of its own; rows without an id are judged but are
     no holdout; a row that repeats an id is judged by itself; labels without a
-    document, or null, are not used; with no labels only the base decides; an
+    document, null, or neither 0 nor 1 are not used; with no labels only the base decides; an
     empty table gives no rows.
     """
-    measured = save(measure(docs, id_col, text_col, (stratum_col,)), "measured").withColumnRenamed(f"kept_{stratum_col}", "stratum")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), F.unhex(F.sha2(text, 256)).alias("text_key"), text.alias("text"))
+    measured = save(measure(source, keep=("stratum", "text_key")), "measured").withColumnsRenamed({"kept_stratum": "stratum", "kept_text_key": "text_key"})
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     measured = measured.withColumn("base_failed", failed)
     cuts = certify(measured.where("NOT base_failed"), labels, limit, error).withColumnRenamed("stratum", "of")

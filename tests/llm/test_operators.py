@@ -1,5 +1,6 @@
 """Each operator against plain Python on awkward rows, and on a small table."""
 
+import hashlib
 import zlib
 from collections import Counter
 
@@ -108,6 +109,50 @@ def test_cutoffs_hold_the_limit_and_turn_junk_away(spark):
     assert got.loc[range(5000, 5010), "kept"].all()
 
 
+def test_cutoffs_by_brute_force_count_each_text_once(spark):
+    """Copies of a text, repeated ids and labels that disagree are no trials of their own; cutoffs and verdicts as by hand."""
+    fresh = lambda k, mark: " ".join(f"w{k}x{j}" + mark * (j < 3) for j in range(60))
+    rows = [(k, fresh(k, "#" if k % 90 == 0 else ""), "en") for k in range(2400)]
+    rows += [(10_000 + k, fresh(7, ""), "en") for k in range(3000)]  # copies of text 7
+    rows += [(1, fresh(1, ""), "en"), (2, fresh(90_001, "###"), "en"), (None, fresh(8, ""), "en"), (20_000, None, "en")]
+    rows += [(30_000 + k, fresh(30_000, "") + " !", None) for k in range(1500)]  # one text alone certifies nothing
+    rows += [(40_000, fresh(40_000, "##"), None), (41_000, " ".join(f"v{j}###" for j in range(60)), "en")]
+    marks = [(k, 1) for k in range(2400)] + [(10_000 + k, 1) for k in range(2999)] + [(12_999, 0), (3, 0), (4, None), (5, 7), (None, 1), (99_999, 1)] + [(30_000 + k, 1) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    got = quality_rules.apply_rules(docs, labels).select("doc_id", "stratum", *quality_rules.COUNTS, "base_failed", "kept").collect()
+    assert len(got) == len(rows)
+
+    step = lambda r, rule: min(quality_rules.STEPS, r[quality_rules.RATIOS[rule][0]] * quality_rules.STEPS // max(1, r[quality_rules.RATIOS[rule][1]]))
+    told = {}
+    for k, q in marks:
+        if k is not None and q in (0, 1):
+            told[k] = min(q, told.get(k, 1))
+    text_of = {}
+    for k, t, lang in rows:
+        if k in told:
+            key = hashlib.sha256((t or "").encode()).digest()
+            text_of[k] = min(text_of.get(k, (key, lang)), (key, lang))
+    trials = {}
+    for k, (key, lang) in text_of.items():
+        trials[lang, key] = min(told[k], trials.get((lang, key), 1))
+    counted = {(lang, hashlib.sha256((t or "").encode()).digest()): brute.rule_counts(t) for _, t, lang in rows if (lang, hashlib.sha256((t or "").encode()).digest()) in trials}
+    good = {lang: [k for k, q in trials.items() if q == 1 and k[0] == lang and counted[k]["n_words"] >= 50] for lang in ("en", None)}
+    assert len(good["en"]) == 2398 and len(good[None]) == 1
+    level, share = quality_rules.ERROR / (2 * len(quality_rules.RATIOS)), quality_rules.LIMIT / len(quality_rules.RATIOS)
+    symbols = [min(200, counted[k]["n_symbols"] * 200 // counted[k]["word_chars"]) for k in good["en"]]
+    cut = None
+    for k in range(quality_rules.STEPS, 0, -1):
+        if quality_rules.binomial_tail(sum(s >= k for s in symbols), len(symbols), share) > level:
+            break
+        cut = k
+    assert cut is not None
+    assert [r["kept"] for r in got if r["doc_id"] == 41_000] == [False]
+    for r in got:
+        if not r["base_failed"]:
+            assert r["kept"] == (r["stratum"] is None or step(r, "symbols") < cut)
+
+
 def test_rules_on_awkward_rows(docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = quality_rules.apply_rules(docs, none).collect()
