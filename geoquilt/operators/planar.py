@@ -20,7 +20,7 @@ def _turn(o, a, b) -> float:
 
 
 def hull(points, tolerance: float = PLANAR_EPSILON) -> Path:
-    """The convex hull, counter-clockwise from the least x, closed; collinear vertices go. Empty if it has no area."""
+    """The convex hull, counter-clockwise from the least x, closed; collinear vertices go; of points within the tolerance both ways the first stays. Empty if it has no area."""
     ordered: Path = []
     for p in sorted((float(x), float(y)) for x, y in points):
         if not ordered or max(abs(p[0] - ordered[-1][0]), abs(p[1] - ordered[-1][1])) > tolerance:

@@ -84,14 +84,14 @@ def _hulls(points: DataFrame, by: list[str], lon: str, lat: str) -> DataFrame:
             for key, group in groups:
                 p = list(zip(group["lon"], group["lat"], strict=True))
                 # three points or fewer, or collinear ones, stay as they are
-                least = planar.hull(p)[:-1] or list(dict.fromkeys(p))
+                least = planar.hull(p, EPSILON)[:-1] or list(dict.fromkeys(p))
                 out = pd.DataFrame(least, columns=["lon", "lat"])
                 for name, value in zip(by, key if isinstance(key, tuple) else (key,), strict=True):
                     out[name] = pd.Series([None if pd.isna(value) else value] * len(out), dtype=object)
                 yield out[names]
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        ring = planar.hull(zip(group["lon"], group["lat"], strict=True))
+        ring = planar.hull(zip(group["lon"], group["lat"], strict=True), EPSILON)
         out = group[by].iloc[:1].copy() if by else pd.DataFrame(index=[0])
         out["ring"] = [[{"lon": x, "lat": y} for x, y in ring]]
         return out

@@ -117,7 +117,24 @@ _TOUCHING = f"""left_v AS (SELECT 'hexagon' AS kind, nk::BIGINT AS id, ix::BIGIN
     touching AS MATERIALIZED (SELECT DISTINCT a.kind, a.id, b.nk FROM left_e a JOIN right_e b ON a.kind=b.kind AND abs({_DET})>=1e-14 AND {_T}/{_DET} BETWEEN -1e-10 AND 1+1e-10 AND {_U}/{_DET} BETWEEN -1e-10 AND 1+1e-10
         UNION SELECT kind, id, nk FROM within WHERE ix=(CASE kind WHEN 'path' THEN 1 ELSE 0 END) UNION SELECT kind, id, nk FROM within_other WHERE ix=0)"""
 
+_ALL_PATHS = "p AS (SELECT * FROM geo_path)"
+_BY_KEY = f"{PATHS}, k AS (SELECT fid%16 AS part, lon, lat FROM p)"
+#: The paths' boxes as polygons, each with its area and middle in its own plane.
+_BOXES_BY_KEY = f"""{PATHS}, b AS (SELECT fid, min(lon) AS x0, min(lat) AS y0, max(lon) AS x1, max(lat) AS y1 FROM p GROUP BY fid),
+    q AS (SELECT *, fid%16 AS part, 3*y0+2*y1 AS lats, cos(radians((3*y0+2*y1)/5)) AS c FROM b),
+    m AS (SELECT part, lats, {R}*{R}*radians(x1-x0)*c*radians(y1-y0) AS area, {R}*radians((x0+x1)/2)*c AS x, {R}*radians((y0+y1)/2) AS y FROM q),
+    t AS (SELECT part, sum(area) AS area, sum(area*x)/sum(area) AS x, sum(area*y)/sum(area) AS y, sum(lats)/(5*count(*)) AS lat0 FROM m GROUP BY part)"""
+
 _SQL: dict[str, tuple[list[str], str]] = {
+    "alongRows": (["geo_path"], walk(d(100000)).replace(PATHS, _ALL_PATHS)),
+    "lengthRows": (["geo_path"], f"WITH {SEGS.replace(PATHS, _ALL_PATHS)}, l AS (SELECT fid, sum(m) AS m FROM g GROUP BY fid) SELECT fid, round(coalesce(l.m,0)/1000,3) AS km FROM (SELECT DISTINCT fid FROM geo_path) LEFT JOIN l USING (fid)"),
+    "pointOnPathRows": (["geo_path"], walk("sum(m) OVER (PARTITION BY fid)/2").replace(PATHS, _ALL_PATHS)),
+    "areaByKey": (["geo_path"], f"WITH {_BOXES_BY_KEY} SELECT part, round(area/1000000,3) AS km2 FROM t"),
+    "bboxByKey": (["geo_path"], f"WITH {_BY_KEY} SELECT part, min(lon) AS x0, min(lat) AS y0, max(lon) AS x1, max(lat) AS y1 FROM k GROUP BY part"),
+    "centerByKey": (["geo_path"], f"WITH {_BY_KEY} SELECT part, {at('(min(lon)+max(lon))/2', '(min(lat)+max(lat))/2')} FROM k GROUP BY part"),
+    "centerOfMassByKey": (["geo_path"], f"WITH {_BOXES_BY_KEY} SELECT part, {at(f'degrees(x/({R}*cos(radians(lat0))))', f'degrees(y/{R})')} FROM t"),
+    "centroidByKey": (["geo_path"], f"WITH {_BY_KEY} SELECT part, {at('avg(lon)', 'avg(lat)', 8)} FROM k GROUP BY part"),
+    "envelopeByKey": (["geo_path"], f"WITH {_BY_KEY}, b AS (SELECT part, min(lon) AS x0, min(lat) AS y0, max(lon) AS x1, max(lat) AS y1 FROM k GROUP BY part) {_CORNERS.replace('nk', 'part')}"),
     "along": (["geo_path"], walk(d(100000))),
     "area": (["geo_hex"], f"WITH {HEX_PLANE} SELECT nk, round(abs(s)/1000000,3) AS km2 FROM a"),
     "bbox": (["geo_path"], f"WITH {PATHS} SELECT fid, min(lon) AS x0, min(lat) AS y0, max(lon) AS x1, max(lat) AS y1 FROM p GROUP BY fid"),

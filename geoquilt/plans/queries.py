@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import shapes as S
 from ..functions.constants import EPSILON
 from ..operators import aggregation as A
+from ..operators import groups as G
 from ..operators import joins as J
 from ..operators import measurement as M
+from ..operators import paths as W
 from ..operators import predicates as P
 from ..operators import transformation as T
 from .oracles import ORACLE_SQL
@@ -275,4 +277,27 @@ def voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select(F.col("fid").alias("id"), F.round(F.abs(S.signed_area(S.first_line(F.col(_G)))), 6).alias("deg2"))
 
 
+# paths whose vertices are rows
+QUERIES["alongRows"] = lambda spark, sf_dir: W.along(view(spark, sf_dir, "geo_path"), 100.0).select("fid", *_at(F.struct("lon", "lat")))
+QUERIES["lengthRows"] = lambda spark, sf_dir: W.length(view(spark, sf_dir, "geo_path")).select("fid", F.round("length", 3).alias("km"))
+QUERIES["pointOnPathRows"] = lambda spark, sf_dir: W.point_on_path(view(spark, sf_dir, "geo_path")).select("fid", *_at(F.struct("lon", "lat")))
+
+# measures of all rows of a group
+def _paths_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).select((F.col("fid") % 16).alias("part"), _G)
+
+
+def _boxes_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths' boxes as polygons."""
+    return lines(spark, sf_dir).select((F.col("fid") % 16).alias("part"), M.envelope(F.col(_G)).alias(_G))
+
+
+QUERIES["areaByKey"] = lambda spark, sf_dir: G.area(_boxes_by_key(spark, sf_dir), ["part"]).select("part", F.round(F.col("area") / 1e6, 3).alias("km2"))
+QUERIES["bboxByKey"] = lambda spark, sf_dir: _box(G.bbox(_paths_by_key(spark, sf_dir), ["part"]), "part", F.col("bbox"))
+QUERIES["centerByKey"] = lambda spark, sf_dir: G.center(_paths_by_key(spark, sf_dir), ["part"]).select("part", *_at(F.col("point")))
+QUERIES["centerOfMassByKey"] = lambda spark, sf_dir: G.center_of_mass(_boxes_by_key(spark, sf_dir), ["part"]).select("part", *_at(F.col("point")))
+QUERIES["centroidByKey"] = lambda spark, sf_dir: G.centroid(_paths_by_key(spark, sf_dir), ["part"]).select("part", *_at(F.col("point"), 8))
+QUERIES["envelopeByKey"] = lambda spark, sf_dir: _corners(G.envelope(_paths_by_key(spark, sf_dir), ["part"]), "part", F.col(_G), None)
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]

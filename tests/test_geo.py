@@ -193,6 +193,13 @@ def test_hulls(spark):
         T.convex(spark.createDataFrame([(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)], "lon double, lat double")).collect()
 
 
+def test_hull_tells_close_points_apart(spark):
+    """Points 5e-11 degrees apart are distinct; only those within 1e-12 are one."""
+    near = [(0.0, 0.0), (5e-11, 0.0), (0.0, 5e-11), (2e-13, 2e-13)]
+    ring = T.convex(spark.createDataFrame(near, "lon double, lat double")).select(S.vertices(F.col("geom")).alias("v")).first()["v"]
+    assert [(v["lon"], v["lat"]) for v in ring] == [(0.0, 0.0), (5e-11, 0.0), (0.0, 5e-11), (0.0, 0.0)]
+
+
 def test_hull_in_parts():
     rng = np.random.default_rng(0)
     for _ in range(100):
