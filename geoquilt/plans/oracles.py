@@ -117,6 +117,62 @@ _TOUCHING = f"""left_v AS (SELECT 'hexagon' AS kind, nk::BIGINT AS id, ix::BIGIN
     touching AS MATERIALIZED (SELECT DISTINCT a.kind, a.id, b.nk FROM left_e a JOIN right_e b ON a.kind=b.kind AND abs({_DET})>=1e-14 AND {_T}/{_DET} BETWEEN -1e-10 AND 1+1e-10 AND {_U}/{_DET} BETWEEN -1e-10 AND 1+1e-10
         UNION SELECT kind, id, nk FROM within WHERE ix=(CASE kind WHEN 'path' THEN 1 ELSE 0 END) UNION SELECT kind, id, nk FROM within_other WHERE ix=0)"""
 
+
+
+def ring(points: str, key: str, digits: int, middle: str = "") -> str:
+    """Common tables ending in ``ring``: the edges, counter-clockwise, of the convex polygons whose corners are ``points`` (key, x, y) in any order; ``middle`` has a point inside each, else it is the mean corner."""
+    inside = middle or f"SELECT {key}, avg(x) AS cx, avg(y) AS cy FROM rd GROUP BY {key}"
+    return f"""rd AS (SELECT DISTINCT {key}, round(x,{digits}) AS x, round(y,{digits}) AS y FROM {points}), mid AS ({inside}),
+    o AS (SELECT {key}, x, y, row_number() OVER (PARTITION BY {key} ORDER BY atan2(y-cy,x-cx)) AS i, count(*) OVER (PARTITION BY {key}) AS n FROM rd JOIN mid USING ({key})),
+    ring AS (SELECT a.{key}, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM o a JOIN o b ON a.{key}=b.{key} AND b.i=a.i%a.n+1)"""
+
+
+def _corners_in(a: str, b: str) -> str:
+    """Corners of convex polygons inside the others."""
+    return f"SELECT a.nk, a.x1 AS x, a.y1 AS y FROM {a} a JOIN {b} b USING (nk) GROUP BY a.nk, a.x1, a.y1 HAVING min((b.x2-b.x1)*(a.y1-b.y1)-(b.y2-b.y1)*(a.x1-b.x1))>=0"
+
+
+#: What each hexagon shares with its copy moved by (9, 4): corners of one inside the other, and crossings of their edges.
+_SHARED = f"""{HEX_EDGES}, f AS (SELECT nk, x1+9 AS x1, y1+4 AS y1, x2+9 AS x2, y2+4 AS y2 FROM e),
+    sv AS ({_corners_in("e", "f")} UNION ALL {_corners_in("f", "e")} UNION ALL SELECT a.nk, a.x1+{_T}/{_DET}*(a.x2-a.x1), a.y1+{_T}/{_DET}*(a.y2-a.y1) FROM e a JOIN f b USING (nk) WHERE abs({_DET})>=1e-14 AND {_T}/{_DET} BETWEEN 0 AND 1 AND {_U}/{_DET} BETWEEN 0 AND 1),
+    {ring("sv", "nk", 6)}"""
+
+
+def _from(k: str, low: str, high: str) -> str:
+    return f"CASE WHEN d{k}>0 THEN ({low}-{k})/d{k} WHEN d{k}<0 THEN ({high}-{k})/d{k} END"
+
+
+#: Pieces of path segments in the middle half of the path's box; pieces that follow on one another make up a part.
+_CLIPPED = f"""{PATHS}, w AS (SELECT fid, min(lon) AS a0, min(lat) AS a1, max(lon) AS a2, max(lat) AS a3 FROM p GROUP BY fid),
+    b AS (SELECT fid, a0+(a2-a0)/4 AS bx0, a1+(a3-a1)/4 AS by0, a2+(a0-a2)/4 AS bx1, a3+(a1-a3)/4 AS by1 FROM w),
+    s AS (SELECT fid, ix, lag(lon) OVER o AS x, lag(lat) OVER o AS y, lon-lag(lon) OVER o AS dx, lat-lag(lat) OVER o AS dy FROM p WINDOW o AS (PARTITION BY fid ORDER BY ix)),
+    r AS (SELECT s.*, greatest({d(0)},{_from("x", "bx0", "bx1")},{_from("y", "by0", "by1")}) AS t0, least({d(1)},{_from("x", "bx1", "bx0")},{_from("y", "by1", "by0")}) AS t1 FROM s JOIN b USING (fid)
+      WHERE x IS NOT NULL AND (dx<>0 OR x BETWEEN bx0 AND bx1) AND (dy<>0 OR y BETWEEN by0 AND by1)),
+    i AS (SELECT fid, ix, x+t0*dx AS x1, y+t0*dy AS y1, x+t1*dx AS x2, y+t1*dy AS y2 FROM r WHERE t0<=t1),
+    g AS (SELECT *, coalesce(lag(ix) OVER o=ix-1,false) AS follows, greatest(abs(lag(x2) OVER o-x1),abs(lag(y2) OVER o-y1))<=1e-10 AS meets FROM i WINDOW o AS (PARTITION BY fid ORDER BY ix)),
+    c AS (SELECT *, sum(CASE WHEN follows AND meets THEN 0 ELSE 1 END) OVER (PARTITION BY fid ORDER BY ix) AS run FROM g),
+    k AS (SELECT *, dense_rank() OVER (PARTITION BY fid ORDER BY run)-1 AS part FROM c WHERE NOT follows OR greatest(abs(x2-x1),abs(y2-y1))>1e-10),
+    n AS (SELECT fid, max(part) AS most FROM k GROUP BY fid)"""
+#: Vertices that stay: a range of vertices is cut at the one farthest from its chord, if that is beyond the tolerance.
+_SIMPLER = f"""{PATHS}, q(fid, i, j) AS (SELECT fid, min(ix), max(ix) FROM p GROUP BY fid UNION ALL
+    SELECT m.fid, CASE u.h WHEN 0 THEN m.i ELSE m.k END, CASE u.h WHEN 0 THEN m.k ELSE m.j END FROM (
+      SELECT fid, i, j, arg_max(k, {{'away': away, 'back': -k}}) AS k FROM (
+        SELECT fid, i, j, k, sqrt(pow(px-(ax+t*dx),2)+pow(py-(ay+t*dy),2)) AS away FROM (
+          SELECT *, CASE WHEN abs(dx)<1e-15 AND abs(dy)<1e-15 THEN 0 ELSE least({d(1)},greatest({d(0)},((px-ax)*dx+(py-ay)*dy)/(dx*dx+dy*dy))) END AS t FROM (
+            SELECT q.fid, q.i, q.j, v.ix AS k, v.lon AS px, v.lat AS py, a.lon AS ax, a.lat AS ay, z.lon-a.lon AS dx, z.lat-a.lat AS dy
+            FROM q JOIN p a ON a.fid=q.fid AND a.ix=q.i JOIN p z ON z.fid=q.fid AND z.ix=q.j JOIN p v ON v.fid=q.fid AND v.ix>q.i AND v.ix<q.j)))
+      GROUP BY fid, i, j HAVING max(away)>0.5) m CROSS JOIN (VALUES (0),(1)) u(h)),
+    stay AS (SELECT fid, i AS ix FROM q UNION SELECT fid, j FROM q)"""
+_IN_WORLD = "x BETWEEN -180-1e-9 AND 180+1e-9 AND y BETWEEN -90-1e-9 AND 90+1e-9"
+#: Corners of the cells: where bisectors meet one another or the box, or the box's corners, if no other site is nearer.
+_CELLS = f"""s AS (SELECT id, lon AS x, lat AS y FROM geo_sites),
+    l AS MATERIALIZED (SELECT i.id, j.id AS j, j.x-i.x AS a, j.y-i.y AS b, (j.x*j.x+j.y*j.y-i.x*i.x-i.y*i.y)/2 AS c FROM s i JOIN s j ON i.id<>j.id),
+    v AS (SELECT p.id, (p.c*q.b-q.c*p.b)/(p.a*q.b-q.a*p.b) AS x, (p.a*q.c-q.a*p.c)/(p.a*q.b-q.a*p.b) AS y FROM l p JOIN l q ON p.id=q.id AND p.j<q.j AND abs(p.a*q.b-q.a*p.b)>1e-12
+      UNION ALL SELECT id, {d("w")}, (c-a*w)/b FROM l CROSS JOIN (VALUES (-180),(180)) t(w) WHERE b<>0 UNION ALL SELECT id, (c-b*w)/a, {d("w")} FROM l CROSS JOIN (VALUES (-90),(90)) t(w) WHERE a<>0
+      UNION ALL SELECT id, {d("w")}, {d("h")} FROM s CROSS JOIN (VALUES (-180),(180)) t(w) CROSS JOIN (VALUES (-90),(90)) u(h)),
+    k AS (SELECT m.* FROM (SELECT * FROM v WHERE {_IN_WORLD}) m WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.id=m.id AND l.a*m.x+l.b*m.y>l.c+1e-9)),
+    {ring("k", "id", 4, "SELECT id, x AS cx, y AS cy FROM s")}"""
+
 _ALL_PATHS = "p AS (SELECT * FROM geo_path)"
 _BY_KEY = f"{PATHS}, k AS (SELECT fid%16 AS part, lon, lat FROM p)"
 #: The paths' boxes as polygons, each with its area and middle in its own plane.
@@ -126,6 +182,12 @@ _BOXES_BY_KEY = f"""{PATHS}, b AS (SELECT fid, min(lon) AS x0, min(lat) AS y0, m
     t AS (SELECT part, sum(area) AS area, sum(area*x)/sum(area) AS x, sum(area*y)/sum(area) AS y, sum(lats)/(5*count(*)) AS lat0 FROM m GROUP BY part)"""
 
 _SQL: dict[str, tuple[list[str], str]] = {
+    "intersect": (["geo_hex"], f"WITH {_SHARED} SELECT nk, 0::BIGINT AS ring, x1, y1, x2, y2 FROM ring"),
+    "difference": (["geo_hex"], f"WITH {_SHARED} SELECT nk, 0::BIGINT AS ring, x1, y1, x2, y2 FROM e UNION ALL SELECT nk, 1, x2, y2, x1, y1 FROM ring"),
+    "bboxClip": (["geo_path"], f"""WITH {_CLIPPED} SELECT b.fid, CASE most WHEN 0 THEN 'LineString' ELSE 'Multi' || CASE WHEN most>0 THEN 'LineString' END END AS type, part,
+        round(x1,6) AS x1, round(y1,6) AS y1, round(x2,6) AS x2, round(y2,6) AS y2 FROM b LEFT JOIN n USING (fid) LEFT JOIN k USING (fid)"""),
+    "simplify": (["geo_path"], f"WITH {_SIMPLER} SELECT fid, row_number() OVER (PARTITION BY fid ORDER BY ix)-1 AS ix, lon, lat FROM stay JOIN p USING (fid, ix)"),
+    "voronoi": (["geo_sites"], f"WITH {_CELLS} SELECT id, x1, y1, x2, y2 FROM ring"),
     "alongRows": (["geo_path"], walk(d(100000)).replace(PATHS, _ALL_PATHS)),
     "lengthRows": (["geo_path"], f"WITH {SEGS.replace(PATHS, _ALL_PATHS)}, l AS (SELECT fid, sum(m) AS m FROM g GROUP BY fid) SELECT fid, round(coalesce(l.m,0)/1000,3) AS km FROM (SELECT DISTINCT fid FROM geo_path) LEFT JOIN l USING (fid)"),
     "pointOnPathRows": (["geo_path"], walk("sum(m) OVER (PARTITION BY fid)/2").replace(PATHS, _ALL_PATHS)),

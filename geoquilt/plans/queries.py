@@ -234,13 +234,17 @@ def _with_copy(name: str, made: Callable[[Column, Column], Column], show: Callab
     QUERIES[name] = query
 
 
-def _rounded_area(df: DataFrame) -> DataFrame:
-    return df.select("nk", F.size(F.col(_G)["coords"][0]).alias("rings"), F.round(F.abs(S.signed_area(S.as_points(F.element_at(F.col(_G)["coords"][0], -1)))), 6).alias("shared_deg2"))
+def _ring_edges(df: DataFrame, key: str, digits: int = 6) -> DataFrame:
+    """The edges of all rings of one polygon a row, in their direction; an edge that rounding shuts is left out."""
+    rings = df.select(key, F.posexplode(F.col(_G)["coords"][0]).alias("ring", "v"))
+    e = rings.select(key, F.col("ring").cast("long").alias("ring"), F.explode(S.pairs(S.as_points(F.col("v")))).alias("e"))
+    at = e.select(key, "ring", *(F.round(F.col(f"e.{p}.{c}"), digits).alias(n) for p, c, n in (("a", "lon", "x1"), ("a", "lat", "y1"), ("b", "lon", "x2"), ("b", "lat", "y2"))))
+    return at.where("x1 <> x2 OR y1 <> y2")
 
 
 _with_copy("union", T.union, lambda df: _edges(df, "nk"))
-_with_copy("intersect", T.intersect, _rounded_area)
-_with_copy("difference", T.difference, _rounded_area)
+_with_copy("intersect", T.intersect, lambda df: _ring_edges(df, "nk"))
+_with_copy("difference", T.difference, lambda df: _ring_edges(df, "nk"))
 QUERIES["lineOffset"] = lambda spark, sf_dir: _corners(lines(spark, sf_dir), "fid", T.line_offset(F.col(_G), F.lit(50.0), "meters"))
 QUERIES["simplify"] = lambda spark, sf_dir: _corners(lines(spark, sf_dir), "fid", T.simplify(F.col(_G), 0.5), None)
 
@@ -264,17 +268,20 @@ def transform_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("bboxClip")
 def bbox_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths clipped to the middle half of their boxes."""
+    """Paths clipped to the middle half of their boxes: the segments of each part; a path with nothing left is one row of nulls."""
     df = lines(spark, sf_dir).withColumn("b", M.bbox(F.col(_G)))
     q = lambda k, o: F.col("b")[k] + (F.col("b")[o] - F.col("b")[k]) / 4.0
     left = T.bbox_clip(F.col(_G), F.array(q(0, 2), q(1, 3), q(2, 0), q(3, 1)))
-    return df.select("fid", left.alias("left")).select("fid", F.col("left.type").alias("type"), F.size("left.coords").alias("parts"))
+    parts = df.select("fid", left.alias("left")).select("fid", F.col("left.type").alias("type"), F.posexplode_outer("left.coords").alias("part", "v"))
+    e = parts.select("fid", "type", F.col("part").cast("long").alias("part"), F.explode_outer(S.pairs(S.as_points(F.col("v")[0]))).alias("e"))
+    return e.select("fid", "type", "part", *(F.round(F.col(f"e.{p}.{c}"), 6).alias(n) for p, c, n in (("a", "lon", "x1"), ("a", "lat", "y1"), ("b", "lon", "x2"), ("b", "lat", "y2"))))
 
 
 @_query("voronoi")
 def voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of all cells in the whole world's box."""
     cells = T.voronoi(view(spark, sf_dir, "geo_sites"), fid="id")
-    return cells.select(F.col("fid").alias("id"), F.round(F.abs(S.signed_area(S.first_line(F.col(_G)))), 6).alias("deg2"))
+    return _ring_edges(cells.select(F.col("fid").alias("id"), _G), "id", 4).drop("ring")
 
 
 # paths whose vertices are rows
