@@ -21,6 +21,8 @@ from .views import hexagons, lines, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: Queries of operators over rows instead of one geometry in a column.
+FORMS: dict[str, Query] = {}
 
 _G = "geom"
 
@@ -285,9 +287,9 @@ def voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # paths whose vertices are rows
-QUERIES["alongRows"] = lambda spark, sf_dir: W.along(view(spark, sf_dir, "geo_path"), 100.0).select("fid", *_at(F.struct("lon", "lat")))
-QUERIES["lengthRows"] = lambda spark, sf_dir: W.length(view(spark, sf_dir, "geo_path")).select("fid", F.round("length", 3).alias("km"))
-QUERIES["pointOnPathRows"] = lambda spark, sf_dir: W.point_on_path(view(spark, sf_dir, "geo_path")).select("fid", *_at(F.struct("lon", "lat")))
+FORMS["alongRows"] = lambda spark, sf_dir: W.along(view(spark, sf_dir, "geo_path"), 100.0).select("fid", *_at(F.struct("lon", "lat")))
+FORMS["lengthRows"] = lambda spark, sf_dir: W.length(view(spark, sf_dir, "geo_path")).select("fid", F.round("length", 3).alias("km"))
+FORMS["pointOnPathRows"] = lambda spark, sf_dir: W.point_on_path(view(spark, sf_dir, "geo_path")).select("fid", *_at(F.struct("lon", "lat")))
 
 # measures of all rows of a group
 def _paths_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,12 +301,12 @@ def _boxes_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select((F.col("fid") % 16).alias("part"), M.envelope(F.col(_G)).alias(_G))
 
 
-QUERIES["areaByKey"] = lambda spark, sf_dir: G.area(_boxes_by_key(spark, sf_dir), ["part"]).select("part", F.round(F.col("area") / 1e6, 3).alias("km2"))
-QUERIES["bboxByKey"] = lambda spark, sf_dir: _box(G.bbox(_paths_by_key(spark, sf_dir), ["part"]), "part", F.col("bbox"))
-QUERIES["centerByKey"] = lambda spark, sf_dir: G.center(_paths_by_key(spark, sf_dir), ["part"]).select("part", *_at(F.col("point")))
-QUERIES["centerOfMassByKey"] = lambda spark, sf_dir: G.center_of_mass(_boxes_by_key(spark, sf_dir), ["part"]).select("part", *_at(F.col("point")))
-QUERIES["centroidByKey"] = lambda spark, sf_dir: G.centroid(_paths_by_key(spark, sf_dir), ["part"]).select("part", *_at(F.col("point"), 8))
-QUERIES["envelopeByKey"] = lambda spark, sf_dir: _corners(G.envelope(_paths_by_key(spark, sf_dir), ["part"]), "part", F.col(_G), None)
+FORMS["areaByKey"] = lambda spark, sf_dir: G.area(_boxes_by_key(spark, sf_dir), ["part"]).select("part", F.round(F.col("area") / 1e6, 3).alias("km2"))
+FORMS["bboxByKey"] = lambda spark, sf_dir: _box(G.bbox(_paths_by_key(spark, sf_dir), ["part"]), "part", F.col("bbox"))
+FORMS["centerByKey"] = lambda spark, sf_dir: G.center(_paths_by_key(spark, sf_dir), ["part"]).select("part", *_at(F.col("point")))
+FORMS["centerOfMassByKey"] = lambda spark, sf_dir: G.center_of_mass(_boxes_by_key(spark, sf_dir), ["part"]).select("part", *_at(F.col("point")))
+FORMS["centroidByKey"] = lambda spark, sf_dir: G.centroid(_paths_by_key(spark, sf_dir), ["part"]).select("part", *_at(F.col("point"), 8))
+FORMS["envelopeByKey"] = lambda spark, sf_dir: _corners(G.envelope(_paths_by_key(spark, sf_dir), ["part"]), "part", F.col(_G), None)
 
 
-__all__ = ["ORACLE_SQL", "QUERIES"]
+__all__ = ["FORMS", "ORACLE_SQL", "QUERIES"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import shapes as S
+from ..functions.sphere import check
 from .scratch import saved
 
 #: Nesting of coordinates by type, and how they are brought to part, ring, vertex, ordinate.
@@ -110,14 +111,28 @@ def geometry_json(g: Column) -> Column:
     return F.concat(F.lit('{"type":"'), g["type"], F.lit('","coordinates":'), text, F.lit("}"))
 
 
-def feature_json(g: Column, properties: Column | None = None, id_: Column | None = None) -> Column:
-    """The GeoJSON text of a Feature; ``properties`` and ``id_`` are JSON texts."""
-    head = [F.lit('{"type":"Feature",'), F.coalesce(F.concat(F.lit('"id":'), id_, F.lit(",")), F.lit(""))] if id_ is not None else [F.lit('{"type":"Feature",')]
+def _json(value: Column) -> Column:
+    """The JSON text of a column of any type; null of null."""
+    return F.when(value.isNotNull(), F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", ""))
+
+
+def feature_json(g: Column, properties: Column | None = None, id_: Column | None = None, bbox: Column | None = None) -> Column:
+    """The GeoJSON text of a Feature; ``properties`` and ``id_`` are JSON texts, ``bbox`` an array of numbers. Where one is null, the id and the box are left out, the properties are empty."""
     props = F.coalesce(properties, F.lit("{}")) if properties is not None else F.lit("{}")
+    members = [F.concat(F.lit(f'"{name}":'), value, F.lit(",")) for name, value in (("id", id_), ("bbox", None if bbox is None else _json(bbox))) if value is not None]
+    head = [F.lit('{"type":"Feature",'), *(F.coalesce(m, F.lit("")) for m in members)]
     return F.concat(*head, F.lit('"properties":'), props, F.lit(',"geometry":'), F.coalesce(geometry_json(g), F.lit("null")), F.lit("}"))
 
 
-def write_geojson_lines(df: DataFrame, path: str, geom: str = "geom", properties: list[str] | None = None) -> None:
-    """One feature a line, in as many files as there are tasks."""
+def write_geojson_lines(df: DataFrame, path: str, geom: str = "geom", properties: list[str] | None = None, id_: str | None = None, bbox: str | None = None) -> None:
+    """One feature a line, in as many files as there are tasks; ``properties``, ``id_`` (a string, a number or VARIANT) and ``bbox`` name columns."""
     props = F.to_json(F.struct(*properties)) if properties else None
-    df.select(feature_json(F.col(geom), props).alias("value")).write.text(path)
+    ident, box = (None if id_ is None else _json(F.col(id_))), (None if bbox is None else F.col(bbox))
+    df.select(feature_json(F.col(geom), props, ident, box).alias("value")).write.text(path)
+
+
+def point_places(df: DataFrame, geom: str = "geom") -> DataFrame:
+    """lon and lat instead of a column of Points; a null geometry has nulls, any other type is an error."""
+    g = F.col(geom)
+    first = S.vertices(check(g["type"] == "Point", "Expected Point geometry.", g))[0]
+    return df.select(*(c for c in df.columns if c not in (geom, "lon", "lat")), first["lon"].alias("lon"), first["lat"].alias("lat"))

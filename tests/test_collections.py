@@ -80,3 +80,25 @@ def test_files_with_nested_collections(spark, tmp_path):
     for read, name in ((geojson.read_geojson, "all.geojson"), (geojson.read_geojson_lines, "all.geojsonl")):
         got = read(spark, f"file://{tmp_path}/{name}").select(F.col("id").cast("string").alias("id"), F.col("geom.type").alias("t")).collect()
         assert sorted((r["id"], r["t"] or "") for r in got) == [("deep", "LineString"), ("deep", "Point"), ("deep", "Polygon"), ("flat", "Point"), ("none", "")]
+
+
+def test_ids_boxes_and_properties_go_out_and_come_back(spark, tmp_path):
+    texts = [("a", json.dumps(POINT), '{"type": "x"}', None), (None, json.dumps(SQUARE), "2", [0.0, 0.0, 1.0, 1.0]), ('q"]', None, "[3]", None)]
+    df = spark.createDataFrame(texts, "name string, doc string, raw string, box array<double>")
+    made = geojson.geometry_rows(df, "doc").withColumn("ident", F.parse_json("raw"))
+    geojson.write_geojson_lines(made, f"file://{tmp_path}/out", properties=["name"], id_="ident", bbox="box")
+    got = sorted((json.loads(x["value"]) for x in spark.read.text(f"file://{tmp_path}/out").collect()), key=lambda f: str(f["id"]))
+    assert [f["id"] for f in got] == [2, [3], {"type": "x"}] and [f.get("bbox") for f in got] == [[0.0, 0.0, 1.0, 1.0], None, None]
+    assert [f["geometry"] for f in got] == [SQUARE, None, POINT] and [f["properties"].get("name") for f in got] == [None, 'q"]', "a"]
+    again = geojson.read_geojson_lines(spark, f"file://{tmp_path}/out").select(F.to_json("id").alias("id"), F.col("geom.type").alias("t")).collect()
+    assert sorted((r["id"], r["t"] or "") for r in again) == [("2", "Polygon"), ("[3]", ""), ('{"type":"x"}', "Point")]
+    geojson.write_geojson_lines(made, f"file://{tmp_path}/names", id_="name")
+    assert {json.loads(x["value"]).get("id", "none") for x in spark.read.text(f"file://{tmp_path}/names").collect()} == {"a", 'q"]', "none"}
+
+
+def test_points_as_places(spark):
+    df = spark.createDataFrame([(1, json.dumps(POINT)), (2, None)], "k int, doc string").withColumn("lon", F.lit("clash"))
+    rows = geojson.geometry_rows(df, "doc")
+    assert {(r["k"], r["lon"], r["lat"]) for r in geojson.point_places(rows).collect()} == {(1, 1.0, 2.0), (2, None, None)}
+    with pytest.raises(Exception, match="Expected Point"):
+        geojson.point_places(geojson.geometry_rows(spark.createDataFrame([(json.dumps(LINE),)], "doc string"), "doc")).collect()

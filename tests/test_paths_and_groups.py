@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,9 @@ from geoquilt.functions.shapes import GEOMETRY
 from geoquilt.operators import groups as G
 from geoquilt.operators import measurement as M
 from geoquilt.operators import paths as W
+from geoquilt.plans.queries import FORMS, ORACLE_SQL
+
+from .test_geo import duck, normal  # noqa: F401
 
 VERTEX = "fid long, ix long, lon double, lat double"
 
@@ -148,3 +152,10 @@ def test_no_key_and_no_rows(shapes):
     for made, name in ((G.bbox, "bbox"), (G.center, "point"), (G.centroid, "point"), (G.envelope, "geom"), (G.area, "area"), (G.center_of_mass, "point")):
         assert made(none, ["key"]).count() == 0
         assert [r[name] for r in made(none).collect()] == [None]
+
+
+@pytest.mark.parametrize("name", list(FORMS))
+def test_form_agrees_with_sql(spark, duck, name):  # noqa: F811
+    got, want = FORMS[name](spark, "/root/testdata/sf0.001").toPandas(), duck.sql(ORACLE_SQL[name]).df()
+    assert len(got)
+    pd.testing.assert_frame_equal(normal(got), normal(want), check_dtype=False, rtol=1e-9, atol=2e-6)
