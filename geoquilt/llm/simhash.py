@@ -37,6 +37,8 @@ _QUARTERS, _BASE = 4, 64
 _SALT = 64
 #: Orders whose least shingles group texts at first in near_copies, and those of them that come first, buckets in which it counts how frequent shingles are (4 bytes each in every task), and rows of 8 bytes up to which its lists of texts, shingles and components are broadcast.
 _LEAST, _EARLY, _BUCKETS, BROADCAST_KEYS = 6, 2, 1 << 19, 2_000_000
+#: Columns of 64 parities each of a text's set of shingles.
+_ODD = tuple(f"odd{k}" for k in range(8))
 #: Partners of a class in each further order, and classes of one least shingle in one task; rows and bytes of texts that are taken apart at a time.
 _PARTNERS, _SHARE, _SLICE = 5, 10_000, (500, 4 << 20)
 
@@ -193,8 +195,20 @@ def _keys(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x.astype("<u8").tobytes(), 42) for x in sets], np.uint64).view(np.int64)
 
 
+def _parities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each set, 64-bit words whose bits tell whether an odd number of its shingles falls on them.
+
+    A bit in which two sets differ needs a shingle that only one of them has, so
+    differing bits are never more than such shingles.
+    """
+    bits = 64 * len(_ODD)
+    row = np.repeat(np.arange(len(counts)), counts)
+    odd = np.bincount(row * bits + (hashes % np.uint64(bits)).astype(np.int64), minlength=len(counts) * bits).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(len(counts), bits), axis=1).view(np.int64)
+
+
 def _set_prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, text_key, key, fp, n, least shingles in other orders): key is a hash of a text's set of n shingles."""
+    """(doc_id, text_key, key, fp, n, parities, least shingles in other orders): key is a hash of a text's set of n shingles."""
     text = F.col(text_col).cast("string")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     low = [f"low{k}" for k in range(_LEAST)]
@@ -206,9 +220,10 @@ def _set_prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Da
                 n, all_hashes = np.array([len(x) for x in sets], np.int64), np.concatenate(sets)
                 least = [np.minimum.reduceat(np.append(mix(all_hashes + np.uint64(k + 1)), ~np.uint64(0)), np.cumsum(n) - n) for k in range(_LEAST)]
                 columns = [_keys(sets), majority_bits(all_hashes, n).view(np.int64), *(np.where(n > 0, x, np.uint64(0)).view(np.int64) for x in least)]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), *map(pa.array, columns), pa.array(n.astype(np.int32))], ["doc_id", "text_key", "key", "fp", *low, "n"])
+                odd = _parities(all_hashes, n)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), *map(pa.array, columns), *map(pa.array, odd.T), pa.array(n.astype(np.int32))], ["doc_id", "text_key", "key", "fp", *low, *_ODD, "n"])
 
-    return source.mapInArrow(each, f"doc_id long, text_key long, key long, fp long, {', '.join(f'{c} long' for c in low)}, n int")
+    return source.mapInArrow(each, f"doc_id long, text_key long, key long, fp long, {', '.join(f'{c} long' for c in (*low, *_ODD))}, n int")
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text_col: str, shingle: int) -> DataFrame:
@@ -318,7 +333,10 @@ def _prefix_pairs(docs: DataFrame, classes: DataFrame, roots: DataFrame, similar
     sets that share enough have one in common among the first n - ceil(s n) + 1
     of each, whatever the order; rare ones first keep what is posted under one
     shingle short. Only shingles of several components matter, and only pairs
-    with so many of them in common that the rest can make up for what is missing.
+    whose parities differ in no more bits than a link allows and whose shared
+    places leave enough behind them are joined (both are bounds that no link
+    breaks); of these, pairs with so many in common that the rest can make up
+    for what is missing.
     """
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     frequency = _frequencies(texts, shingle)
@@ -332,9 +350,9 @@ def _prefix_pairs(docs: DataFrame, classes: DataFrame, roots: DataFrame, similar
                 order = np.lexsort((values, frequency[(values % np.uint64(_BUCKETS)).astype(np.int64)], row))
                 place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
                 first = place < (n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)[row]
-                yield pa.RecordBatch.from_arrays([pa.array(values[order][first].view(np.int64)), pa.array(_keys(sets)[row[first]])], ["shingle", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(values[order][first].view(np.int64)), pa.array(_keys(sets)[row[first]]), pa.array(place[first].astype(np.int32))], ["shingle", "key", "place"])
 
-    postings = save(texts.mapInArrow(post, "shingle long, key long"), "postings")
+    postings = save(texts.mapInArrow(post, "shingle long, key long, place int"), "postings")
     roots = small_side(roots, BROADCAST_KEYS)
     rooted = postings.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     live = rooted.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("shingle")
@@ -342,10 +360,14 @@ def _prefix_pairs(docs: DataFrame, classes: DataFrame, roots: DataFrame, similar
     release(docs.sparkSession)
     held = save(rooted.join(small_side(live, BROADCAST_KEYS), "shingle", "left_semi").distinct(), "live-postings")
     discard(postings)
-    held = held.join(classes.select("key", "n"), "key")
-    one = held.select("shingle", F.col("key").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
-    two = held.select("shingle", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
-    met = one.join(two, "shingle").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common"))
+    held = held.join(classes.select("key", "n", *_ODD), "key")
+    side = lambda key, s: held.select("shingle", F.col("key").alias(key), *(F.col(c).alias(f"{c}_{s}") for c in ("root", "n", "place", *_ODD)))
+    # part of the join's condition: at most as many shingles in one set alone as a link allows, by parities, and enough from the shared place on
+    alone = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _ODD), F.lit(0))
+    both = F.col("n_a") + F.col("n_b")
+    could = F.least("place_a", "place_b") + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    near = (alone * (1 + similarity) <= (1 - similarity) * both + 1e-9) & (could * (1 + similarity) >= similarity * both - 1e-9)
+    met = side("a", "a").join(side("b", "b"), "shingle").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common"))
     # whichever of two prefixes ends first in the order, all else that is shared lies behind it
     behind = F.greatest(*(F.ceil(similarity * F.col(n) - 1e-9) - 1 for n in ("n_a", "n_b")))
     enough = (F.col("common") + behind) * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - 1e-9
@@ -361,7 +383,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     prints = save(_set_prints(docs, id_col, text_col, shingle), "fingerprints")
     low = [f"low{k}" for k in range(_LEAST)]
-    classes = save(prints.groupBy("key").agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in ("fp", "n", "text_key", *low))), "classes")
+    classes = save(prints.groupBy("key").agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in ("fp", "n", "text_key", *low, *_ODD))), "classes")
     links = _links_of(docs, classes, _first_pairs(classes, radius), None, similarity, text_col, shingle)
     for pairs in (_further_pairs, lambda classes, roots: _prefix_pairs(docs, classes, roots, similarity, text_col, shingle)):
         roots = save(connected_components(links), "roots")

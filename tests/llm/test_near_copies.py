@@ -3,6 +3,9 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+
+from geoquilt.llm.simhash import _parities
 
 from . import brute
 
@@ -71,3 +74,14 @@ def test_a_cluster_is_not_compared_in_pairs(spark, small):
             left -= {todo[0]}
     kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, small).select("doc_id").collect()}
     assert kept == set(groups) and len(least) - len(kept) >= 2_000
+
+
+def test_parities_differ_in_no_more_bits_than_sets_in_shingles():
+    draw = np.random.default_rng(3)
+    sets = [draw.integers(0, 1 << 63, n, dtype=np.uint64) for n in (0, 1, 40, 200, 3_000)]
+    sets += [np.concatenate([sets[3][k:], draw.integers(0, 1 << 63, k // 2, dtype=np.uint64)]) for k in (1, 10, 60)]
+    odd = _parities(np.concatenate(sets), np.array([len(x) for x in sets]))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            differ = sum(int(x).bit_count() for x in (odd[i] ^ odd[j]).view(np.uint64))
+            assert differ <= len(set(a.tolist()) ^ set(b.tolist())) and differ % 2 == (len(a) + len(b)) % 2
