@@ -69,27 +69,6 @@ def close(ring: Path) -> Path:
     return whole if len(whole) >= 4 and abs(area2(whole)) / 2 > EPSILON else []
 
 
-def common(subject: Path, clip: Path) -> Path:
-    """The intersection of two closed convex rings, either way round; empty if it has no area."""
-    ring = subject[:-1]
-    edges = clip if area2(clip) > 0 else clip[::-1]
-    for (x1, y1), (x2, y2) in zip(edges, edges[1:], strict=False):
-        if not ring:
-            break
-        # left of the edge
-        a, b = y2 - y1, x1 - x2
-        ring = cut(ring, a, b, a * x1 + b * y1, EPSILON)
-    return close(ring)
-
-
-def box_ring(ring: Path, box) -> Path:
-    """A ring clipped to a box [min x, min y, max x, max y]."""
-    ring = ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring
-    for a, b, c in ((-1.0, 0.0, -box[0]), (1.0, 0.0, box[2]), (0.0, -1.0, -box[1]), (0.0, 1.0, box[3])):
-        ring = cut(ring, a, b, c, EPSILON)
-    return close(ring)
-
-
 def box_segment(p, q, box):
     """The part of a segment in a box, by narrowing the range of its parameter side by side; None if there is none."""
     enter, leave = 0.0, 1.0
@@ -172,28 +151,13 @@ def hull_ring(vertices: pd.Series) -> pd.Series:
     return vertices.map(lambda v: None if v is None else [{"lon": x, "lat": y} for x, y in hull(_pairs_of(v))])
 
 
-@F.pandas_udf(RING)
-def common_ring(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The intersection of two closed convex rings, empty without area."""
-    return pd.Series([None if x is None or y is None else [{"lon": u, "lat": v} for u, v in (common(_pairs_of(x), _pairs_of(y)) if len(x) and len(y) else [])] for x, y in zip(a, b, strict=True)])
-
-
 @F.pandas_udf(COORDS)
-def clipped(kind: pd.Series, coords: pd.Series, box: pd.Series) -> pd.Series:
-    """Parts of a geometry in a box; of polygons the outer rings."""
+def clipped_lines(coords: pd.Series, box: pd.Series) -> pd.Series:
+    """Parts of lines in a box."""
     out = []
-    for k, parts, b in zip(kind, coords, box, strict=True):
-        if parts is None or b is None:
-            out.append(None)
-            continue
-        found: list = []
-        for part in parts:
-            path = [(float(v[0]), float(v[1])) for v in part[0]]
-            if k in ("LineString", "MultiLineString"):
-                found += [[[list(v) for v in p]] for p in box_line(path, b)]
-            elif ring := box_ring(path, b):
-                found.append([[list(v) for v in ring]])
-        out.append(found)
+    for parts, b in zip(coords, box, strict=True):
+        paths = None if parts is None or b is None else [[(float(v[0]), float(v[1])) for v in part[0]] for part in parts]
+        out.append(None if paths is None else [[[list(v) for v in p]] for path in paths for p in box_line(path, b)])
     return pd.Series(out)
 
 

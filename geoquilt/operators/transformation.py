@@ -1,4 +1,4 @@
-"""Transformation operators. Coordinate maps and generators are Column expressions; hulls, clips and simplification use small Arrow helpers."""
+"""Transformation operators. Coordinate maps, generators and clips of polygons are Column expressions; hulls, clips of lines and simplification use small Arrow helpers."""
 
 from __future__ import annotations
 
@@ -14,8 +14,8 @@ from ..functions import sphere
 from ..functions.constants import EARTH_RADIUS, EPSILON, meters_in
 from ..functions.sphere import check, let
 from ..sources.scratch import saved
+from . import clipping, planar
 from . import measurement as M
-from . import planar
 
 
 def _map_vertices(g: Column, change: Callable[[Column], Column]) -> Column:
@@ -26,7 +26,12 @@ def _map_vertices(g: Column, change: Callable[[Column], Column]) -> Column:
 def bbox_clip(g: Column, box: Column) -> Column:
     """Lines and polygons within a box; holes are dropped, nothing left is null, points are an error."""
     shape = check(S.is_line(g) | S.is_polygon(g), "bboxClip supports LineString, MultiLineString, Polygon, and MultiPolygon.", g)
-    left = planar.clipped(shape["type"], shape["coords"], M.valid_bbox(box))
+    flat = lambda ring: F.array(F.transform(ring, lambda v: F.array(v["lon"], v["lat"])))
+    rings = lambda g, b: F.filter(F.transform(g["coords"], lambda part: flat(clipping.box_ring(S.as_points(part[0]), b))), lambda part: F.size(part[0]) > 0)
+    bounds = M.valid_bbox(box)
+    # the helper for lines gets no polygons, and the other way round
+    lines = planar.clipped_lines(F.when(S.is_line(g), shape["coords"]), bounds)
+    left = F.when(S.is_line(g), lines).otherwise(let(F.struct(shape.alias("g"), bounds.alias("b")), lambda s: F.when(s["b"].isNotNull(), rings(s["g"], s["b"]))))
     family = F.when(S.is_line(g), "LineString").otherwise("Polygon")
     kind = F.when((g["type"] == family) & (F.size(left) == 1), family).otherwise(F.concat(F.lit("Multi"), family))
     return F.when(F.size(left) > 0, S.geometry(kind, left))
@@ -125,14 +130,14 @@ def union(a: Column, b: Column) -> Column:
 
 def intersect(a: Column, b: Column) -> Column:
     """What the hulls of two polygons share; null if that has no area."""
-    ring = planar.common_ring(_outer_hull(a), _outer_hull(b))
+    ring = clipping.common_ring(_outer_hull(a), _outer_hull(b))
     return F.when(F.size(ring) >= 4, S.of_ring(ring))
 
 
 def difference(a: Column, b: Column) -> Column:
     """The hull of a, with what the hulls share as a hole."""
     outer = _outer_hull(a)
-    shared = planar.common_ring(outer, _outer_hull(b))
+    shared = clipping.common_ring(outer, _outer_hull(b))
     flat = lambda r: F.transform(r, lambda v: F.array(v["lon"], v["lat"]))
     # the hole runs the other way from the last of its open vertices
     hole = F.reverse(F.slice(shared, 1, F.greatest(F.size(shared) - 1, F.lit(0))))
