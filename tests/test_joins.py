@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from geoquilt.functions import shapes as S
 from geoquilt.operators import density, joins, nearest
 from geoquilt.operators import predicates as P
+from geoquilt.sources.scratch import saved
 
 POINT = "pid long, lon double, lat double"
 
@@ -180,3 +181,29 @@ def test_nearest_by_levels(spark, monkeypatch, fanout, top, crowd):
     assert got["fid"].iloc[len(asked) - 2] == len(sites) - 2
     with pytest.raises(ValueError, match="non-empty"):
         nearest.nearest_point(spark.createDataFrame(targets, "tid long, lon double, lat double"), points.where("false"))
+
+
+def test_nearest_opens_boxes_for_runs_of_targets(spark, monkeypatch):
+    """What is looked at grows with runs of targets, not with targets times the points around each; equal places go to the first id."""
+    written = []
+    monkeypatch.setattr(nearest, "saved", lambda df, tag: written.append((tag, out := saved(df, tag))) or out)
+    rng = np.random.default_rng(5)
+    sites = rng.uniform((-180, -80), (180, 80), (3_000, 2)).repeat(2, axis=0)
+    got = nearest.nearest_point(as_rows(spark, rng.uniform((-180, -80), (180, 80), (20_000, 2))).withColumnRenamed("fid", "tid"), as_rows(spark, sites)).toPandas()
+    assert len(got) == 20_000 and (got["fid"] % 2 == 0).all()
+    assert sum(df.count() for tag, df in written if tag == "asked") < 20_000
+
+
+@pytest.mark.parametrize("short", [512, 3])
+def test_short_lines_meet_by_their_key_alone(spark, monkeypatch, short):
+    """Lines of a few segments need no boxes; long ones go by boxes; both give the same."""
+    monkeypatch.setattr(joins, "SHORT", short)
+    boxes = []
+    box_join = joins.box_join
+    monkeypatch.setattr(joins, "box_join", lambda *a, **k: boxes.append(1) or box_join(*a, **k))
+    lines = spark.createDataFrame([(1, [(0.0, 0.0), (2.0, 2.0)]), (2, [(0.0, float(k % 2)) if k % 3 else (float(k), 1.0) for k in range(9)])], "fid long, v array<struct<lon:double,lat:double>>").select("fid", S.of_line(F.col("v")).alias("geom"))
+    points = spark.createDataFrame([(1, 0, 1.0, 1.0), (1, 1, 1.0, 1.5), (2, 0, 0.0, 0.5), (2, 1, 3.0, 1.0), (2, 2, 9.0, 9.0), (3, 0, 1.0, 1.0)], "fid long, ix long, lon double, lat double")
+    assert {(r["fid"], r["ix"]) for r in joins.points_on_lines(points, lines).collect()} == {(1, 0), (2, 0), (2, 1)}
+    other = spark.createDataFrame([(1, [(0.0, 2.0), (2.0, 0.0)]), (2, [(2.0, 0.0), (2.0, 3.0)])], "fid long, v array<struct<lon:double,lat:double>>").select("fid", S.of_line(F.col("v")).alias("geom"))
+    assert sorted(r["fid"] for r in joins.lines_that_cross(lines, other).collect()) == [1, 2]
+    assert bool(boxes) == (short == 3)
