@@ -107,15 +107,16 @@ def boolean_overlap(a: Column, b: Column) -> Column:
     return intersects(a, b) & ~boolean_contains(a, b) & ~boolean_contains(b, a)
 
 
-def boolean_parallel(a: Column, b: Column) -> Column:
-    """The chords from first to last vertex of two LineStrings are parallel, or opposite."""
+def boolean_parallel(a: Column, b: Column, without_length: bool | None = None) -> Column:
+    """The chords from first to last vertex of two LineStrings are parallel, or opposite. A chord of no length is an error unless ``without_length`` says what it gives."""
     chord = lambda g: let(S.first_line(g), lambda v: F.struct((F.element_at(v, -1)["lon"] - v[0]["lon"]).alias("x"), (F.element_at(v, -1)["lat"] - v[0]["lat"]).alias("y")))
     both = F.struct(chord(a).alias("p"), chord(b).alias("q"))
 
     def parallel(c: Column) -> Column:
         p, q = c["p"], c["q"]
         size = F.sqrt(p["x"] * p["x"] + p["y"] * p["y"]) * F.sqrt(q["x"] * q["x"] + q["y"] * q["y"])
-        return check(size > 0, "LineString has zero length.", F.try_divide(F.abs(p["x"] * q["y"] - p["y"] * q["x"]), size) < 1e-8)
+        some = F.try_divide(F.abs(p["x"] * q["y"] - p["y"] * q["x"]), size) < 1e-8
+        return check(size > 0, "LineString has zero length.", some) if without_length is None else F.when(size > 0, some).otherwise(F.lit(without_length))
 
     return check((a["type"] == "LineString") & (b["type"] == "LineString"), "line1 and line2 must both be LineString geometries.", let(both, parallel))
 

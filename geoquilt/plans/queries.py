@@ -171,10 +171,10 @@ def boolean_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("booleanParallel")
 def boolean_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each path against that of the next user."""
+    """Each path against that of the next user; a path that ends where it began is parallel to none."""
     a = lines(spark, sf_dir)
     b = a.select((F.col("fid") - 1).alias("fid"), F.col(_G).alias("next"))
-    return a.join(b, "fid").select("fid", P.boolean_parallel(F.col(_G), F.col("next")).alias("value"))
+    return a.join(b, "fid").select("fid", P.boolean_parallel(F.col(_G), F.col("next"), without_length=False).alias("value"))
 
 
 @_query("booleanPointOnLine")

@@ -81,3 +81,11 @@ def test_every_vertex_is_tested_on_its_line(spark, paths):
     got = QUERIES["booleanPointOnLine"](spark, SF).toPandas()
     want = {(fid, k + 1): not any(np.abs(p[k] - p[e]).max() < 1e-12 for e in (0, -1)) for fid, p in paths.items() for k in range(len(p))}
     assert len(got) == len(want) and dict(zip(zip(got["fid"], got["ix"], strict=True), got["value"], strict=True)) == want
+
+
+def test_paths_that_end_where_they_began(spark, tmp_path):
+    """Such a path is parallel to none, and no error for the others."""
+    ids = [(1, 0), (1, 20_000), (2, 1), (2, 2), (3, 5), (3, 6)]
+    spark.createDataFrame([(e, k, u) for k, (u, e) in enumerate(ids)], "event_id long, ts long, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["fid"]: r["value"] for r in QUERIES["booleanParallel"](spark, str(tmp_path)).collect()}
+    assert got == {1: False, 2: True}
