@@ -18,6 +18,8 @@ from . import predicates as P
 
 #: Rows of a side that meet under one key in one task; points of a cell beyond which it is split.
 CROWD = 50_000
+#: Segments of a line up to which all of them are compared with what has the line's key.
+SHORT = 512
 #: How much boxes are widened, in degrees: predicates allow for less.
 MARGIN = 1e-9
 
@@ -137,23 +139,56 @@ def spatial_join(a: DataFrame, b: DataFrame, test: Test, how: str = "inner", aid
 
 
 def segment_rows(lines: DataFrame, key: str, geom: str, prefix: str) -> DataFrame:
-    """A row for each segment of lines and rings: key, number, segment and box, names with a prefix."""
-    rows = lines.select(F.col(key).alias(f"{prefix}_key"), F.posexplode(S.segments(F.col(geom))).alias(f"{prefix}_id", f"{prefix}_s"))
-    s = F.col(f"{prefix}_s")
-    return rows.withColumn(f"{prefix}_box", box_of(F.array(s["a"], s["b"])))
+    """A row for each segment of lines and rings: key, number, segment, and the segments of its line; names with a prefix."""
+    found = lines.select(F.col(key).alias(f"{prefix}_key"), S.segments(F.col(geom)).alias("_all"))
+    return found.select(f"{prefix}_key", F.size("_all").alias(f"{prefix}_n"), F.posexplode("_all").alias(f"{prefix}_id", f"{prefix}_s"))
+
+
+def _semi_by_key(a: DataFrame, b: DataFrame, test: Column, long: DataFrame, a_box: Column, b_box: Column) -> DataFrame:
+    """Rows of ``a`` for which ``test`` holds with a row of ``b`` of their key, maybe several times; both are written tables.
+
+    On keys without a long line the rows meet as they are. On the others, the
+    keys of ``long``, they meet by boxes, of which few are on such a line at once.
+    """
+    long = saved(long.distinct(), "long")
+    some = not long.isEmpty()
+    of = lambda df, side, how: df.join(small(long), F.col(f"{side}_key") == F.col("_long"), how)
+    brief = (of(a, "a", "left_anti"), of(b, "b", "left_anti")) if some else (a, b)
+    left, right, keys = dealt(brief[0].withColumn("_key", F.col("a_key")), brief[1].withColumn("_key", F.col("b_key")), ["_key"], ["a_id"], ["b_id"])
+    other = right.withColumnsRenamed({k: f"_r{k}" for k in keys})
+    condition = test
+    for k in keys:
+        condition = condition & (F.col(k) == F.col(f"_r{k}"))
+    met = left.join(other, condition, "left_semi").select(*a.columns)
+    if not some:
+        return met
+    boxed = of(a, "a", "left_semi").withColumn("a_box", a_box), of(b, "b", "left_semi").withColumn("b_box", b_box)
+    return met.unionByName(box_join(*boxed, test, [("a_key", "b_key")], how="left_semi").select(*a.columns))
+
+
+def _long(rows: DataFrame, prefix: str) -> DataFrame:
+    return rows.where(F.col(f"{prefix}_n") > SHORT).select(F.col(f"{prefix}_key").alias("_long"))
+
+
+def _around(s: Column) -> Column:
+    return box_of(F.array(s["a"], s["b"]))
 
 
 def lines_that_cross(a: DataFrame, b: DataFrame, key: str = "fid", geom: str = "geom") -> DataFrame:
     """(key) of rows whose line in ``a`` properly crosses the line of the same key in ``b``: the segments meet as rows, so that long lines are spread over tasks."""
-    met = box_join(segment_rows(a, key, geom, "a"), segment_rows(b, key, geom, "b"), P.segments_cross(F.col("a_s"), F.col("b_s")), [("a_key", "b_key")], how="left_semi")
+    left, right = saved(segment_rows(a, key, geom, "a"), "segments"), saved(segment_rows(b, key, geom, "b"), "segments")
+    s, t = F.col("a_s"), F.col("b_s")
+    met = _semi_by_key(left, right, P.segments_cross(s, t), _long(left, "a").unionByName(_long(right, "b")), _around(s), _around(t))
     return met.select(F.col("a_key").alias(key)).distinct()
 
 
 def points_on_lines(points: DataFrame, lines: DataFrame, key: str = "fid", pid: str = "ix", lon: str = "lon", lat: str = "lat", geom: str = "geom") -> DataFrame:
     """(key, pid) of points that lie on a segment of the line of their key."""
     at = F.struct(F.col(lon).alias("lon"), F.col(lat).alias("lat"))
-    left = points.select(F.col(key).alias("a_key"), F.col(pid).alias("a_id"), at.alias("a_p")).withColumn("a_box", box_of(F.array(F.col("a_p"))))
-    met = box_join(left, segment_rows(lines, key, geom, "b"), S.on_segment(F.col("a_p"), F.col("b_s")), [("a_key", "b_key")], how="left_semi")
+    left = saved(points.select(F.col(key).alias("a_key"), F.col(pid).alias("a_id"), at.alias("a_p")), "points")
+    right = saved(segment_rows(lines, key, geom, "b"), "segments")
+    p, s = F.col("a_p"), F.col("b_s")
+    met = _semi_by_key(left, right, S.on_segment(p, s), _long(right, "b"), box_of(F.array(p)), _around(s))
     return met.select(F.col("a_key").alias(key), F.col("a_id").alias(pid)).distinct()
 
 

@@ -16,6 +16,7 @@ from ..operators import measurement as M
 from ..operators import paths as W
 from ..operators import predicates as P
 from ..operators import transformation as T
+from ..sources.scratch import saved
 from .oracles import ORACLE_SQL
 from .views import hexagons, lines, view
 
@@ -133,7 +134,7 @@ def boolean_crosses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first half of each path's vertices against the others; a half of one vertex crosses nothing."""
     v = S.first_line(F.col(_G))
     half = F.floor(F.size(v) / 2).cast("int")
-    paths = lines(spark, sf_dir)
+    paths = saved(lines(spark, sf_dir), "paths")
     found = J.lines_that_cross(paths.select("fid", S.of_line(F.slice(v, F.lit(1), half)).alias(_G)), paths.select("fid", S.of_line(F.slice(v, half + 1, F.size(v))).alias(_G)))
     return paths.select("fid").join(found.withColumn("value", F.lit(True)), "fid", "left").select("fid", F.coalesce("value", F.lit(False)).alias("value"))
 
@@ -180,7 +181,7 @@ def boolean_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("booleanPointOnLine")
 def boolean_point_on_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each of a path's vertices, end vertices excluded."""
-    paths = lines(spark, sf_dir)
+    paths = saved(lines(spark, sf_dir), "paths")
     v = S.first_line(F.col(_G))
     at_end = lambda p, q: (F.abs(p["lon"] - q["lon"]) < EPSILON) & (F.abs(p["lat"] - q["lat"]) < EPSILON)
     ends = paths.select("fid", v[0].alias("first"), F.element_at(v, -1).alias("last"), F.posexplode(v).alias("ix", "v"))
