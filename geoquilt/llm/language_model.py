@@ -48,6 +48,8 @@ BURN_IN, SAMPLES, SWEEPS = 2, 3, 2
 CHUNK_BYTES, BUCKET_TOKENS, SHELF_WORDS = 20 << 20, 2 << 20, 1 << 20
 #: A context of more tokens than a piece is dealt to buckets in quarters of pieces: a 16th of a bucket, or the share at which FREQUENT contexts at most are so frequent.
 PIECES, FREQUENT = 16, 10_000
+#: Tokens of a chunk for which pairs are worked out at a time.
+SLICE = 1 << 18
 
 #: Words are known by the upper 48 bits of their XXH64 in the model, and by all 64 in the base.
 SEED = 10
@@ -189,11 +191,13 @@ class _Chunk:
         number[order] = np.arange(n)
         self.hashes = hashes[order]
         self.words = self.hashes >> np.uint64(16)
-        codes = number[_count(row["codes"])]
+        # a token's numbers take four bytes, and what is worked out for all tokens is so by slices: a task's memory goes by its chunk's tokens
+        codes = number.astype(np.int32)[_count(row["codes"])]
         ends = np.cumsum(n_words)
         self.sizes = n_words + 1
         self.word = np.insert(codes, ends, number[n - 2])
         context = np.insert(codes, ends - n_words, number[n - 1])
+        del codes
         self.learn = np.repeat(np.array(row["learn"], bool), self.sizes)
         found = frequent.find(self.words)
         parts = np.where(found >= 0, frequent.parts[np.maximum(found, 0)] if len(frequent.parts) else 1, 1)
@@ -205,15 +209,31 @@ class _Chunk:
         place = np.empty(len(of), np.int64)
         place[order] = np.arange(len(of))
         self.context_word, self.context_bucket = of[order], bucket[order]
-        self.key = place[first[context] + (self.words[self.word] % parts[context].astype(np.uint64)).astype(np.int64)] * n + self.word
+        self.key = np.empty(len(context), np.int64)
+        for k in range(0, len(context), SLICE):
+            c, w = context[k : k + SLICE], self.word[k : k + SLICE]
+            self.key[k : k + SLICE] = place[first[c] + (self.words[w] % parts[c].astype(np.uint64)).astype(np.int64)] * n + w
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """(key of each distinct pair in order of buckets, its training count)."""
-        learnt, counts = np.unique(self.key[self.learn], return_counts=True)
-        keys = np.unique(self.key)
-        total = np.zeros(len(keys), np.int64)
-        total[np.searchsorted(keys, learnt)] = counts
-        return keys, total
+        """(key of each distinct pair in order of buckets, its training count). The tokens' own keys are given up."""
+        key, self.key = self.key, np.zeros(0, np.int64)
+        key <<= 1
+        key |= self.learn
+        key.sort()
+        learnt = np.cumsum(key & 1, dtype=np.int32)
+        key >>= 1
+        last = np.append(key[1:] != key[:-1], True) if len(key) else np.zeros(0, bool)
+        return key[last], np.diff(learnt[last].astype(np.int64), prepend=0)
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """(key of each distinct pair in order of buckets, the place there of each token's). The tokens' own keys are given up."""
+        key, self.key = self.key, np.zeros(0, np.int64)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
+        place = np.empty(len(key), np.int32)
+        place[order] = np.cumsum(first, dtype=np.int32) - 1
+        return key[first], place
 
 
 def _ask_pairs(tokens: DataFrame, buckets: int, frequent: _Frequent) -> DataFrame:
@@ -222,15 +242,15 @@ def _ask_pairs(tokens: DataFrame, buckets: int, frequent: _Frequent) -> DataFram
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                of = _Chunk(row, buckets, frequent)
+            for k in range(batch.num_rows):
+                of = _Chunk(batch.slice(k, 1).to_pylist()[0], buckets, frequent)
                 keys, total = of.pairs()
                 context, word = np.divmod(keys, len(of.hashes))
                 out: list[list] = [[] for _ in schema]
                 for a, b in _runs(of.context_bucket[context]):
                     begins = np.flatnonzero(np.diff(context[a:b], prepend=-1))
                     contexts = of.words[of.context_word[context[a:b][begins]]]
-                    values = (of.context_bucket[context[a]], row["chunk"], _put(contexts, 6), _put(np.diff(begins, append=b - a), 4), _put(of.words[word[a:b]], 6), _put(total[a:b], 4))
+                    values = (of.context_bucket[context[a]], batch.column(0)[k].as_py(), _put(contexts, 6), _put(np.diff(begins, append=b - a), 4), _put(of.words[word[a:b]], 6), _put(total[a:b], 4))
                     for c, v in zip(out, values, strict=True):
                         c.append(v)
                 yield _rows(schema, out)
@@ -539,7 +559,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         c, p = np.zeros(n, np.int64), np.zeros((n_samples, n))
         c[by_shelf] = _joined([_count(r["a"], 8) for r in asked])
         p[:, by_shelf] = unknown + unit / 2 * np.concatenate([_count(r["b"], 8).reshape(n_samples, -1) for r in asked], axis=1)
-        keys, place = np.unique(of.key, return_inverse=True)
+        keys, place = of.distinct()
         context, w = np.divmod(keys, n)
         held = _joined([_get(r["a"], 4).astype("<u4").view("<f4") for r in answers]).astype(float)
         begins = np.diff(context, prepend=-1) != 0
@@ -549,9 +569,12 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         often = frequent.find(of.words[of.context_word[context[begins]]])
         tables = np.where(often >= 0, np.array(samples).reshape(n_samples, -1)[:, often] if len(frequent.words) else 0, tables)
         seen = c[of.context_word[context]].astype(float)
-        above = np.where(c[w] > 0, p[:, w], unknown)
-        below = ((CONTEXT_STRENGTH + DISCOUNT * tables[:, run]) * above).mean(axis=0)
-        mean = np.where(seen > 0, (held + below) / (CONTEXT_STRENGTH + seen), above.mean(axis=0))
+        over, below = np.zeros(len(keys)), np.zeros(len(keys))
+        for k in range(n_samples):
+            above = np.where(c[w] > 0, p[k, w], unknown[k])
+            over += above
+            below += (CONTEXT_STRENGTH + DISCOUNT * tables[k, run]) * above
+        mean = np.where(seen > 0, (held + below / n_samples) / (CONTEXT_STRENGTH + seen), over / n_samples)
         starts = np.cumsum(of.sizes) - of.sizes
         by_doc = lambda x: np.add.reduceat(x, starts)
         known = c[of.word]
