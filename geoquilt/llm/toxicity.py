@@ -5,7 +5,11 @@ apart, one of the same size on ordinary windows, and a larger common one on
 other ordinary windows, which follows either of the two, so that usual words
 cost the same with both. Which words of toxic documents to train on is decided
 by contrast: those that begin with letters, or are words, found in far more
-toxic documents than ordinary ones would lead to expect. A text is cut into
+toxic documents than ordinary ones would lead to expect, by a bound that allows
+for how many of them are tried. The trainer takes one segment from each stretch
+of its samples, so samples come in an order that has nothing to do with what
+they hold: equal ones side by side would fill stretches of their own and leave
+most words out. A text is cut into
 windows of a few words; a window that the toxic side shortens more than the
 ordinary one speaks for toxicity. How often a text's windows differ by how many
 bytes is turned into a probability by a calibration on labelled documents that
@@ -14,6 +18,7 @@ the dictionaries have not seen.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,12 +34,12 @@ from .fitting import fit_logistic, predict
 MOST_TOXIC, MOST_ORDINARY = 6_000, 12_000
 #: Words of a window, bytes of the common and of a class's own dictionary at most, zstandard's level, and the sizes of the segments it trains with.
 WINDOW, COMMON_BYTES, OWN_BYTES, LEVEL, SEGMENT, MATCH = 4, 32_768, 4_096, 12, 32, 6
-#: Ordinary windows that dictionaries are trained on, at most: the first by a hash.
+#: Samples of a class that dictionaries are trained on, at most: the first by a hash of text and place.
 MOST_WINDOWS = 60_000
 #: Differences in bytes are counted from -CLIP to CLIP.
 CLIP = 10
-#: A beginning of these lengths, or a word, marks a class if it is in LEAST_DOCS documents of it or more, and its excess there is this many standard deviations.
-BEGINNINGS, LEAST_DOCS, LEAST_EXCESS = (3, 4, 5, 6, 7, 8, 10), 3, 6.0
+#: A beginning of these lengths, or a word, marks toxic documents if fewer than CHANCE of all that are tried would be in so many of them by chance.
+BEGINNINGS, CHANCE = (3, 4, 5, 6, 7, 8, 10), 0.01
 #: From this score on a text is predicted to be toxic.
 THRESHOLD = 0.7
 
@@ -107,9 +112,13 @@ def _markers(sample: DataFrame) -> list[str]:
     words = sample.select("toxic", F.array_distinct(F.filter(stripped, lambda w: F.length(w) >= 2)).alias("words"))
     begun = F.flatten(F.transform("words", lambda w: F.array(F.concat(w, F.lit(" ")), *(F.when(F.length(w) >= k, F.substring(w, 1, k)) for k in BEGINNINGS))))
     counts = words.select("toxic", F.explode(F.array_distinct(F.array_compact(begun))).alias("mark")).groupBy("mark").agg(F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("o"))
+    tried = save(counts.where("t > 0"), "toxic-marks")
+    n_tried = max(1, tried.count())
     n_toxic, n_ordinary = (max(1, sample.where(F.col("toxic") == k).count()) for k in (1, 0))
     expected = (F.col("o") + 1) / (n_ordinary + 1) * n_toxic
-    found = counts.where(F.col("t") >= LEAST_DOCS).where((F.col("t") - expected) / F.sqrt(expected) >= LEAST_EXCESS)
+    # Chernoff's bound: a Poisson count reaches t with a probability of exp(-surprise) at most
+    surprise = F.col("t") * F.log(F.col("t") / expected) - F.col("t") + expected
+    found = tried.where((F.col("t") > expected) & (surprise >= math.log(n_tried / CHANCE)))
     return sorted(r["mark"] for r in found.select("mark").collect())
 
 
@@ -123,14 +132,17 @@ def _train_sides(sample: DataFrame) -> ToxicityModel:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for toxic, text, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 # toxic texts give their marked words, ordinary ones their windows
                 found = [f" {w} ".encode(errors="replace") for w in (text or "").lower().split() if marked(w)] if toxic else windows(text)
-                yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(found), pa.int32()), pa.array(found, pa.binary())], ["toxic", "window"])
-
-    found = save(sample.select("toxic", "text").mapInArrow(each, "toxic int, window binary"), "toxic-windows")
-    order = F.xxhash64(F.lit(5), "window")
-    words, ordinary = ([bytes(r["window"]) for r in found.where(F.col("toxic") == k).orderBy(order, "window").limit(MOST_WINDOWS).collect()] for k in (1, 0))
+                at = pa.array(range(len(found)), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(found), pa.int32()), pa.array([key] * len(found), pa.int64()), at, pa.array(found, pa.binary())], ["toxic", "key", "at", "window"])
+
+    keyed = sample.select("toxic", "text", F.xxhash64("text").alias("key"))
+    found = save(keyed.mapInArrow(each, "toxic int, key long, at int, window binary"), "toxic-windows")
+    # by text and place, not by content: the trainer would leave out most of what stands beside its equals
+    order = F.xxhash64(F.lit(5), "key", "at")
+    words, ordinary = ([bytes(r["window"]) for r in found.where(F.col("toxic") == k).orderBy(order, "key", "at", "window").limit(MOST_WINDOWS).select("window").collect()] for k in (1, 0))
     toxic = train(words, OWN_BYTES)
     # the ordinary side and the common part are trained on windows of their own
     cut = min(len(words), len(ordinary) // 2)

@@ -441,6 +441,31 @@ def test_toxicity_on_held_out_rows(spark):
     assert held["predicted"][held.index % 8 == 0].mean() > 0.9 and held["predicted"][held.index % 8 != 0].mean() < 0.02
 
 
+def test_toxic_dictionary_holds_every_frequent_word(spark):
+    """Words that stand in many toxic documents are all in the dictionary, cut short at most, however the rows lie."""
+    rng = np.random.default_rng(3)
+    syllables = ["an", "the", "ing", "re", "ou", "st", "er", "on", "ti", "ha", "le", "nd"]
+    bad = ["grumbleton", "snarkwad", "foulmouth", "pigswill", "mudbrain", "wretchling", "dimbulb", "gutterpup", "slimeball", "cabbagehead"]
+    rows = []
+    for k in range(1600):
+        w = ["".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(60)]
+        if k % 4 == 0:
+            for at in rng.integers(0, 60, 8):
+                w[at] = str(rng.choice(bad))
+        rows.append((int(k % 4 == 0), " ".join(w)))
+    model = toxicity._train_sides(spark.createDataFrame(rows, "toxic int, text string"))
+    assert [w for w in bad if f" {w}"[:6].encode() not in model.toxic] == []
+    assert not any(w.encode() in model.ordinary for w in bad)
+    assert toxicity._train_sides(spark.createDataFrame(rows[::-1], "toxic int, text string").repartition(7)) == model
+
+
+def test_toxic_marks_are_none_where_labels_say_nothing(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(chr(97 + x) for x in rng.integers(0, 26, 8)) for _ in range(20_000)]
+    rows = [(int(k % 9 == 0), " ".join(rng.choice(words, 100))) for k in range(1_800)]
+    assert toxicity._markers(spark.createDataFrame(rows, "toxic int, text string")) == []
+
+
 # 10: language model
 def test_language_model_base_and_gain(docs, empty):
     learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
